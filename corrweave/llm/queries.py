@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corrweave.llm import lang_id, secrets
 from corrweave.llm.bpe import encode_decode
 from corrweave.llm.token_store import read_store, write_store
 from corrweave.plans.shared import new_path
@@ -24,6 +25,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(modulus: int) -> Column:
+    """Whether the remainder of crc32(doc_id as text) is 2: such documents are never learned from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == 2, F.lit(False))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of each document."""
+    docs = _table(spark, sf_dir, "documents")
+    model = lang_id.train(docs, ~held_out(4))
+    return lang_id.identify(docs, model).select("doc_id", held_out(4).alias("held_out"), "lang_pred", "score")
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, read back from the files."""
     store = new_path(spark, "tokens")
@@ -31,6 +44,25 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, store).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def secret_digests(found: DataFrame) -> DataFrame:
+    """Counts by kind, the digest of the base spans, and all spans as text, of what ``find_secrets`` returns."""
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    base = F.filter("spans", lambda s: s["kind"] != "markov")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of each document."""
+    docs = _table(spark, sf_dir, "documents")
+    return secret_digests(secrets.find_secrets(docs, secrets.train(docs)))
+
+
 def encode_digests(encoded: DataFrame) -> DataFrame:
     """Counts and digests of what ``encode_decode`` returns."""
     return encoded.select(
@@ -47,7 +79,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_language": op5_language,
     "op7_token_store": op7_token_store,
+    "op8_secrets": op8_secrets,
     "op10_bpe": op10_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
