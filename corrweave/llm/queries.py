@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corrweave.llm import lang_id, secrets
 from corrweave.llm.bpe import encode_decode
+from corrweave.llm.neardup import near_duplicates
 from corrweave.llm.token_store import read_store, write_store
 from corrweave.plans.shared import new_path
 
@@ -30,6 +31,11 @@ def held_out(modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == 2, F.lit(False))
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each document."""
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each document."""
     docs = _table(spark, sf_dir, "documents")
@@ -79,6 +85,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_neardup": op2_neardup,
     "op5_language": op5_language,
     "op7_token_store": op7_token_store,
     "op8_secrets": op8_secrets,
