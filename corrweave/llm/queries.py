@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corrweave.llm import lang_id, secrets
 from corrweave.llm.bpe import encode_decode
+from corrweave.llm.decontaminate import find_leaks
 from corrweave.llm.neardup import near_duplicates
 from corrweave.llm.token_store import read_store, write_store
 from corrweave.plans.shared import new_path
@@ -36,6 +37,17 @@ def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def leak_digests(found: DataFrame) -> DataFrame:
+    """Counts and the digest of what ``find_leaks`` returns."""
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each document."""
+    return leak_digests(find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each document."""
     docs = _table(spark, sf_dir, "documents")
@@ -86,6 +98,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_neardup": op2_neardup,
+    "op3_decontaminate": op3_decontaminate,
     "op5_language": op5_language,
     "op7_token_store": op7_token_store,
     "op8_secrets": op8_secrets,
