@@ -12,7 +12,9 @@ from corrweave.llm import lang_id, secrets
 from corrweave.llm.bpe import encode_decode
 from corrweave.llm.decontaminate import find_leaks
 from corrweave.llm.neardup import near_duplicates
+from corrweave.llm.quality import judge
 from corrweave.llm.token_store import read_store, write_store
+from corrweave.llm.urls import Rule, judge_urls
 from corrweave.plans.shared import new_path
 
 
@@ -32,6 +34,11 @@ def held_out(modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == 2, F.lit(False))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the counts, base_failed and kept of each document, and the rates that the fences judge."""
+    return judge(_table(spark, sf_dir, "documents"))
+
+
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
@@ -48,6 +55,21 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_digests(find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+#: Verdict, host and path of the rules.
+URL_RULES = [
+    Rule("block", "com", "/en/"),
+    Rule("allow", "example.com", "/en/7"),
+    Rule("allow", "net", "/de/"),
+    Rule("block", "example.net", "/de/8"),
+    Rule("block", "org", "/es/"),
+]
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict of each page, and its template and that template's purity."""
+    return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each document."""
     docs = _table(spark, sf_dir, "documents")
@@ -97,8 +119,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_neardup": op2_neardup,
     "op3_decontaminate": op3_decontaminate,
+    "op4_urls": op4_urls,
     "op5_language": op5_language,
     "op7_token_store": op7_token_store,
     "op8_secrets": op8_secrets,
