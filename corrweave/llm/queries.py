@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corrweave.llm import lang_id, secrets
 from corrweave.llm.bpe import encode_decode
+from corrweave.llm.chunks import repeated_passages
 from corrweave.llm.decontaminate import find_leaks
 from corrweave.llm.neardup import near_duplicates
 from corrweave.llm.quality import judge
@@ -103,6 +104,11 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(secrets.find_secrets(docs, secrets.train(docs)))
 
 
+def op9_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, at, end, words, first_doc, drop of each passage that a document shares with another."""
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def encode_digests(encoded: DataFrame) -> DataFrame:
     """Counts and digests of what ``encode_decode`` returns."""
     return encoded.select(
@@ -126,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language": op5_language,
     "op7_token_store": op7_token_store,
     "op8_secrets": op8_secrets,
+    "op9_chunks": op9_chunks,
     "op10_bpe": op10_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
