@@ -12,6 +12,7 @@ from corrweave.llm import lang_id, secrets
 from corrweave.llm.bpe import encode_decode
 from corrweave.llm.chunks import repeated_passages
 from corrweave.llm.decontaminate import find_leaks
+from corrweave.llm.lm import score
 from corrweave.llm.neardup import near_duplicates
 from corrweave.llm.quality import judge
 from corrweave.llm.token_store import read_store, write_store
@@ -78,6 +79,11 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(docs, model).select("doc_id", held_out(4).alias("held_out"), "lang_pred", "score")
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
+    return score(_table(spark, sf_dir, "documents"), ~held_out(7)).withColumn("held_out", held_out(7))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, read back from the files."""
     store = new_path(spark, "tokens")
@@ -130,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_urls": op4_urls,
     "op5_language": op5_language,
+    "op6_lm": op6_lm,
     "op7_token_store": op7_token_store,
     "op8_secrets": op8_secrets,
     "op9_chunks": op9_chunks,
