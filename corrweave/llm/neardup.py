@@ -5,10 +5,12 @@ each collection, so ``side`` squared tables cost 2 x side x rows minhashes where
 2 x side x side x rows. Documents that share a key are candidates; links are confirmed on full shingle sets.
 
 Within a key no list of all pairs is made. Copies of one set are one class first. Every class of a key is compared with
-the key's hub, the class that its neighbours resemble most (the largest sum of the sizes of its keys). What the hubs
-link is one component; then every class outside its key's largest component is compared with the key's classes in
-other components. Two classes that share a key end in one component or have been compared, so no link is lost that the
-tables show.
+the key's hub, the class that its neighbours resemble most (the largest sum of the sizes of its keys), and what the hubs
+link is one component. Classes whose keys still hold several components are verified by an exact join: sets are sorted by
+rarity, similar sets must share one of their rarest shingles, at places that leave room for the overlap that a link
+takes, and only pairs of different components that pass are compared in full. Copies that each have edits of their own
+begin with shingles of their own, so even a very large group of them gives few such pairs. No link between classes that
+share a key is lost.
 """
 
 from __future__ import annotations
@@ -115,6 +117,29 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("su") + F.size("sv") - shared)).select("u", "v")
 
 
+def _across_components(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of classes (rep, n, component) in different components that a link's overlap does not rule out.
+
+    An exact prefix filter: with shingles sorted by how few classes have them, a pair of sizes a and b whose first common
+    shingle stands at places x and y shares at most min(a - x, b - y) shingles, and a link takes
+    percent x (a + b) / (100 + percent) of them. A shingle's rows are joined with those outside its largest component.
+    """
+    token = classes.join(sets, F.col("rep") == F.col("id")).select("rep", "n", "component", F.explode("shingles").alias("token"))
+    common = token.groupBy("token").agg(F.count("*").alias("df"))
+    sorted_ = token.join(common.hint("merge"), "token").groupBy("rep", "n", "component").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens"))
+    prefix = sorted_.select("rep", "n", "component", F.posexplode(F.slice("tokens", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))).alias("pos", "t"))
+    rows = materialize(prefix.where("t.df > 1").select(F.col("t.token").alias("token"), "rep", "n", "component", "pos"), "prefix")
+    parts = rows.groupBy("token", "component").agg(F.count("*").alias("members"))
+    largest = parts.groupBy("token").agg(F.max_by("component", F.struct("members", -F.col("component"))).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", "main")
+    split = rows.join(largest.hint("merge"), "token")
+    minor = split.where("component != main").select("token", F.col("rep").alias("v"), F.col("n").alias("b"), F.col("component").alias("cv"), F.col("pos").alias("y"))
+    every = split.select("token", F.col("rep").alias("u"), F.col("n").alias("a"), F.col("component").alias("cu"), F.col("pos").alias("x"), "main")
+    room = (100 + percent) * F.least(F.col("a") - F.col("x"), F.col("b") - F.col("y")) >= percent * (F.col("a") + F.col("b"))
+    once = (F.col("cu") == F.col("main")) | (F.col("u") < F.col("v"))
+    passing = every.join(minor.hint("merge"), (every["token"] == minor["token"]) & (F.col("cu") != F.col("cv")) & _close_sizes("a", "b", percent) & room & once)
+    return passing.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -142,24 +167,15 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id
     links = materialize(_confirm(stars, sets, params.percent), "links")
     found = materialize(connected_components(links), "found")
 
-    #: Classes outside the largest component of their key, against the key's classes in other components.
     placed = shared.join(found, shared["rep"] == found["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    parts = placed.groupBy("key", "component").agg(F.count("*").alias("members"))
-    largest = parts.groupBy("key").agg(F.max_by("component", F.struct("members", -F.col("component"))).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    split = placed.join(largest.hint("merge"), "key")
-    minor = split.where("component != main").select("key", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
-    rest = (
-        split.select("key", F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"), "main")
-        .join(minor, "key")
-        .where((F.col("cu") != F.col("cv")) & _close_sizes("nu", "nv", params.percent) & ((F.col("cu") == F.col("main")) | (F.col("u") < F.col("v"))))
-        .select("u", "v")
-        .distinct()
-    )
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+    open_ = materialize(placed.join(mixed.hint("merge"), "key", "left_semi").select("rep", "n", "component").distinct(), "open")
+    rest = _across_components(open_, sets, params.percent)
     more = materialize(_confirm(rest, sets, params.percent), "links")
     labels = found if more.isEmpty() else materialize(connected_components(links.unionByName(more)), "found")
 
     ids = classes.select("d1", "d2", "n", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("linked"))
     out = base.select("doc_id", "n", "d1", "d2").join(ids.hint("merge"), ["d1", "d2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("linked")).otherwise(F.col("doc_id"))
-    drop(spark, shared, sets, links, more)
+    drop(spark, shared, sets, links, more, open_)
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
