@@ -1,10 +1,666 @@
-"""Every query over the reference operators, by name, with the SQL it is held against."""
+"""Every query over the reference operators, by name, with the DuckDB SQL it is held against.
+
+Floating results are rounded to six decimals (small p-values to eight significant digits), and -0.0 becomes 0.0, so that
+both engines' sums agree.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corrweave.functions.scalar import adjust_p, average_rank, capped_log10, signif
+from corrweave.operators import assoc, evidence, graph, layout, prep, tests
+from corrweave.plans import inference
+from corrweave.sources.adapters import B_SQL, E_SQL, L_SQL, M_SQL, brand_set, embedding_set, module_members, rewired_modules, supplier_set
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: The factorials that overlap tests look up reach this total.
+UNIVERSE = 5000
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL where there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(column: str | Column, name: str | None = None) -> Column:
+    c = F.col(column) if isinstance(column, str) else column
+    return (F.round(c, 6) + F.lit(0.0)).alias(name or column)
+
+
+def s8(column: str | Column, name: str | None = None) -> Column:
+    c = F.col(column) if isinstance(column, str) else column
+    return signif(c, 8).alias(name or column)
+
+
+def _blocks(data, width: int = 8) -> DataFrame:
+    """Modules of neighbouring genes: gene number divided by ``width``."""
+    number = F.substring("gene", 2, 5).cast("int")
+    return data.genes.select("gene", F.concat(F.lit("m"), F.floor(number / width).cast("string")).alias("module"))
+
+
+def _module_values(data) -> DataFrame:
+    return data.expr.join(_blocks(data), "gene").select("module", "gene", "sample", "value")
+
+
+VARIANCE_L = f"""WITH {L_SQL}, vg AS (SELECT gene, var_samp(value) AS v FROM expr GROUP BY 1), kept AS (SELECT * FROM expr WHERE gene IN (SELECT gene FROM vg WHERE v >= 0.09)),
+vs AS (SELECT sample, var_samp(value) AS v FROM kept GROUP BY 1)"""
+
+
+@query(f"WITH {E_SQL} SELECT gene, sample, round(value, 6) + 0.0 AS value FROM expr WHERE gene < 'g10'")
+def unpivot_matrix(spark, sf_dir):
+    """Ten dimensions as columns, and back to long form."""
+    emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.concat(F.lit("s"), F.lpad(F.col("vec_id").cast("string"), 6, "0")).alias("sample"), *(F.get("embedding", F.lit(k)).cast("double").alias(f"g{k:02d}") for k in range(10)))
+    return prep.unpivot(emb, "sample").select(F.col("sample").alias("gene"), F.col("gene").alias("sample"), r6("value"))
+
+
+@query(VARIANCE_L + " SELECT gene, round(v, 6) AS variance FROM vg WHERE v >= 0.09")
+def variance_filter_genes(spark, sf_dir):
+    data = supplier_set(spark, sf_dir)
+    kept = prep.filter_genes(data.expr, 0.09)
+    return prep.variance_by(kept, "gene").select("gene", r6("variance"))
+
+
+@query(VARIANCE_L + " SELECT sample, round(v, 6) AS variance FROM vs WHERE v >= 0.06")
+def variance_filter_samples(spark, sf_dir):
+    kept = prep.filter_samples(prep.filter_genes(supplier_set(spark, sf_dir).expr, 0.09), 0.06)
+    return prep.variance_by(kept, "sample").select("sample", r6("variance"))
+
+
+@query(VARIANCE_L + " SELECT gene FROM vg WHERE v < 0.09")
+def dropped_genes(spark, sf_dir):
+    expr = supplier_set(spark, sf_dir).expr
+    return prep.dropped_genes(expr, prep.filter_genes(expr, 0.09))
+
+
+@query(f"WITH {L_SQL} SELECT gene, is_regulator FROM genes")
+def role_assignment(spark, sf_dir):
+    data = supplier_set(spark, sf_dir)
+    return prep.assign_roles(data.genes, data.genes.where("is_regulator"))
+
+
+@query("SELECT c_custkey::varchar AS sample, (dense_rank() OVER (ORDER BY c_mktsegment) - 1)::int AS phenotype FROM customer")
+def phenotype_encoding(spark, sf_dir):
+    cust = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("sample"), F.col("c_mktsegment").alias("label"))
+    return prep.encode_phenotype(cust)
+
+
+@query(f"WITH {E_SQL} SELECT gene, phenotype, count(*) AS n, round(avg(value), 6) + 0.0 AS mean FROM expr JOIN samples USING (sample) WHERE phenotype IS NOT NULL GROUP BY 1, 2")
+def phenotype_join(spark, sf_dir):
+    return prep.with_phenotype(embedding_set(spark, sf_dir)).groupBy("gene", "phenotype").agg(F.count("*").alias("n"), r6(F.avg("value"), "mean"))
+
+
+@query(f"WITH {E_SQL} SELECT sample, phenotype FROM samples WHERE phenotype IS NOT NULL")
+def phenotype_dropna(spark, sf_dir):
+    return embedding_set(spark, sf_dir).samples.dropna(subset=["phenotype"])
+
+
+@query(f"WITH {E_SQL}, c AS (SELECT count(*) FILTER (phenotype = 0) AS n0, count(*) FILTER (phenotype = 1) AS n1 FROM samples) SELECT n0, n1, round(least(n0, n1) / greatest(n0, n1), 6) AS ratio, round(least(n0, n1) / greatest(n0, n1), 6) < 0.8 AS imbalanced FROM c")
+def class_balance(spark, sf_dir):
+    return prep.class_balance(embedding_set(spark, sf_dir).samples)
+
+
+@query(f"WITH {B_SQL}, s AS (SELECT gene, phenotype, coalesce(stddev_samp(value), 0) AS sd FROM expr JOIN samples USING (sample) GROUP BY 1, 2) SELECT gene, round(min(sd), 6) AS least_sd, min(sd) > 0 AS keep FROM s GROUP BY 1")
+def zero_variance_genes(spark, sf_dir):
+    return prep.constant_genes(prep.with_phenotype(brand_set(spark, sf_dir))).select("gene", r6("least_sd"), "keep")
+
+
+SPLIT = f"WITH {E_SQL}, n AS (SELECT count(*) AS n FROM samples), split AS (SELECT b::int AS bootstrap, sample, CASE WHEN row_number() OVER (PARTITION BY b ORDER BY md5(concat('1:', b::varchar, ':', sample)), sample) <= round_even(n * 0.8, 0) THEN 'train' ELSE 'validation' END AS split FROM samples, range(3) t(b), n)"
+
+
+@query(SPLIT + " SELECT bootstrap, sample, split FROM split")
+def bootstrap_split(spark, sf_dir):
+    return prep.bootstrap_split(embedding_set(spark, sf_dir).samples, 3)
+
+
+@query(SPLIT + ", j AS (SELECT bootstrap, split, gene, sample, value FROM split JOIN expr USING (sample)), s AS (SELECT bootstrap, split, gene, avg(value) AS m, stddev_samp(value) AS sd FROM j GROUP BY 1, 2, 3) SELECT bootstrap, split, gene, sample, round((value - m) / sd, 6) + 0.0 AS z FROM j JOIN s USING (bootstrap, split, gene) WHERE gene < 'g08'")
+def zscore_by_split(spark, sf_dir):
+    data = embedding_set(spark, sf_dir)
+    few = data.expr.where("gene < 'g08'").join(prep.bootstrap_split(data.samples, 3), "sample")
+    return prep.zscore(few, ["bootstrap", "split"]).select("bootstrap", "split", "gene", "sample", r6("z"))
+
+
+PAIRS = "SELECT a.gene AS gene_a, b.gene AS gene_b, count(*) AS n, corr(a.{v}, b.{v}) AS r FROM {t} a JOIN {t} b ON a.sample = b.sample AND a.gene < b.gene GROUP BY 1, 2"
+
+
+@query(f"WITH {E_SQL}, p AS ({PAIRS.format(v='value', t='expr')}) SELECT gene_a, gene_b, n, round(r, 6) + 0.0 AS r FROM p")
+def pearson_pairs(spark, sf_dir):
+    emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("embedding")
+    return assoc.gram_correlation(emb, [f"g{k:02d}" for k in range(64)], "embedding").select("gene_a", "gene_b", "n", r6("r"))
+
+
+@query(f"WITH {B_SQL}, p AS ({PAIRS.format(v='value', t='expr')}) SELECT gene_a, gene_b, n, round(r, 6) + 0.0 AS r FROM p")
+def pearson_pairs_join(spark, sf_dir):
+    return assoc.pairs(brand_set(spark, sf_dir).expr).select("gene_a", "gene_b", "n", r6("r"))
+
+
+RANKED = "ranked AS (SELECT gene, sample, rank() OVER (PARTITION BY gene ORDER BY value) + (count(*) OVER (PARTITION BY gene, value) - 1) / 2.0 AS rank FROM expr)"
+
+
+@query(f"WITH {B_SQL}, {RANKED}, p AS ({PAIRS.format(v='rank', t='ranked')}) SELECT gene_a, gene_b, n, round(r, 6) + 0.0 AS r FROM p")
+def spearman_pairs(spark, sf_dir):
+    return assoc.spearman_pairs(brand_set(spark, sf_dir).expr).select("gene_a", "gene_b", "n", r6("r"))
+
+
+@query(f"WITH {B_SQL}, {RANKED} SELECT gene, sample, rank FROM ranked")
+def rank_average_ties(spark, sf_dir):
+    return average_rank(brand_set(spark, sf_dir).expr, "value", ["gene"]).select("gene", "sample", "rank")
+
+
+LABEL_CORR = f"WITH {E_SQL}, e AS (SELECT gene, sample, value, phenotype FROM expr JOIN samples USING (sample) WHERE phenotype IS NOT NULL AND gene < 'g16'), c AS (SELECT a.phenotype, a.gene AS gene_a, b.gene AS gene_b, count(*) AS n, corr(a.value, b.value) AS r FROM e a JOIN e b ON a.sample = b.sample AND a.gene < b.gene GROUP BY 1, 2, 3)"
+
+
+def _few_labelled(spark, sf_dir):
+    return prep.with_phenotype(embedding_set(spark, sf_dir)).where("gene < 'g16'")
+
+
+@query(LABEL_CORR + " SELECT phenotype, gene_a, gene_b, n, round(r, 6) + 0.0 AS r FROM c")
+def corr_by_label(spark, sf_dir):
+    return assoc.pairs(_few_labelled(spark, sf_dir), ["phenotype"]).select("phenotype", "gene_a", "gene_b", "n", r6("r"))
+
+
+@query(LABEL_CORR + " SELECT x.gene_a, x.gene_b, round(x.r, 6) + 0.0 AS r0, round(y.r, 6) + 0.0 AS r1, round(x.r - y.r, 6) + 0.0 AS diff FROM c x JOIN c y ON x.gene_a = y.gene_a AND x.gene_b = y.gene_b AND x.phenotype = 0 AND y.phenotype = 1")
+def corr_difference(spark, sf_dir):
+    return assoc.label_difference(_few_labelled(spark, sf_dir)).select("gene_a", "gene_b", r6("r0"), r6("r1"), r6("diff"))
+
+
+NODES = f"""WITH {L_SQL}, e AS (SELECT gene, sample, value, phenotype FROM expr JOIN samples USING (sample)),
+k AS (SELECT *, rank() OVER (PARTITION BY gene ORDER BY value) + (count(*) OVER (PARTITION BY gene, value) - 1) / 2.0 AS rank FROM e),
+s AS (SELECT gene, avg(value) AS avg_all, avg(value) FILTER (phenotype = 0) AS avg0, avg(value) FILTER (phenotype = 1) AS avg1, var_samp(value) FILTER (phenotype = 0) AS v0, var_samp(value) FILTER (phenotype = 1) AS v1, count(*) FILTER (phenotype = 0) AS n0, count(*) FILTER (phenotype = 1) AS n1, sum(rank) FILTER (phenotype = 0) AS r0 FROM k GROUP BY 1),
+c AS (SELECT gene, value, count(*) AS c, count(*) FILTER (phenotype = 0) AS c0, count(*) FILTER (phenotype = 1) AS c1 FROM e GROUP BY 1, 2),
+m AS (SELECT gene, max(c) AS repeats_all, max(c0) AS repeats0, max(c1) AS repeats1 FROM c GROUP BY 1),
+nodes AS (SELECT s.*, is_regulator, repeats_all, repeats0, repeats1, (avg0 - avg1) / nullif(sqrt(v0 / n0 + v1 / n1), 0) AS t_stat, pow(v0 / n0 + v1 / n1, 2) / nullif(pow(v0 / n0, 2) / (n0 - 1) + pow(v1 / n1, 2) / (n1 - 1), 0) AS t_df, r0 - n0 * (n0 + 1) / 2.0 AS wilcox_stat FROM s JOIN m USING (gene) JOIN genes USING (gene))"""
+
+
+def _nodes(spark, sf_dir):
+    data = supplier_set(spark, sf_dir)
+    return tests.node_summary(prep.with_phenotype(data), data.genes)
+
+
+@query(NODES + " SELECT gene, is_regulator, round(avg_all, 6) AS avg_all, round(avg0, 6) AS avg0, round(avg1, 6) AS avg1, round(avg1 - avg0, 6) + 0.0 AS avg_diff, round(t_stat, 6) + 0.0 AS t_stat, round(t_df, 6) AS t_df, wilcox_stat, repeats_all, repeats0, repeats1 FROM nodes")
+def node_summary_core(spark, sf_dir):
+    return _nodes(spark, sf_dir).select("gene", "is_regulator", r6("avg_all"), r6("avg0"), r6("avg1"), r6("avg_diff"), r6("t_stat"), r6("t_df"), F.col("wilcox_stat").cast("double").alias("wilcox_stat"), "repeats_all", "repeats0", "repeats1")
+
+
+@query()
+def node_summary_pvalues(spark, sf_dir):
+    return tests.with_node_p(_nodes(spark, sf_dir)).select("gene", s8("t_p"), s8("wilcox_p"))
+
+
+EDGES_E = f"""WITH {E_SQL}, e AS (SELECT gene, sample, value, phenotype FROM expr JOIN samples USING (sample) WHERE phenotype IS NOT NULL AND gene < 'g16'),
+k AS (SELECT *, rank() OVER (PARTITION BY gene ORDER BY value) + (count(*) OVER (PARTITION BY gene, value) - 1) / 2.0 AS rk, rank() OVER (PARTITION BY gene, phenotype ORDER BY value) + (count(*) OVER (PARTITION BY gene, phenotype, value) - 1) / 2.0 AS rl FROM e),
+s AS (SELECT a.gene AS reg, b.gene AS target, count(*) AS all_n, corr(a.value, b.value) AS all_pearson, corr(a.rk, b.rk) AS all_spearman, corr(a.value, b.value) FILTER (a.phenotype = 0) AS c0_pearson, corr(a.rl, b.rl) FILTER (a.phenotype = 0) AS c0_spearman, corr(a.value, b.value) FILTER (a.phenotype = 1) AS c1_pearson, corr(a.rl, b.rl) FILTER (a.phenotype = 1) AS c1_spearman FROM k a JOIN k b ON a.sample = b.sample AND a.gene < 'g08' AND b.gene >= 'g08' GROUP BY 1, 2)"""
+_EDGE_STATS = ("all_pearson", "all_spearman", "c0_pearson", "c0_spearman", "c1_pearson", "c1_spearman")
+
+
+def _edge_summary(spark, sf_dir):
+    data = embedding_set(spark, sf_dir)
+    return tests.edge_summary(_few_labelled(spark, sf_dir), data.genes)
+
+
+@query(EDGES_E + " SELECT reg, target, all_n, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _EDGE_STATS) + " FROM s")
+def edge_summary_core(spark, sf_dir):
+    return _edge_summary(spark, sf_dir).select("reg", "target", "all_n", *(r6(c) for c in _EDGE_STATS))
+
+
+@query()
+def edge_summary_pvalues(spark, sf_dir):
+    return tests.with_edge_p(_edge_summary(spark, sf_dir)).select("reg", "target", *(s8(f"{c}_p") for c in _EDGE_STATS))
+
+
+DRAWS = 100
+REWIRING = f"""WITH {E_SQL}, e AS (SELECT concat('m', (substr(gene, 2)::int // 8)::varchar) AS module, gene, sample, value FROM expr),
+lab AS (SELECT sample, phenotype FROM samples WHERE phenotype IS NOT NULL), ones AS (SELECT sum(phenotype) AS k FROM lab),
+perm AS (SELECT -1 AS draw, sample, phenotype FROM lab UNION ALL SELECT b::int, sample, CASE WHEN row_number() OVER (PARTITION BY b ORDER BY md5(concat('1:', b::varchar, ':', sample)), sample) <= k THEN 1 ELSE 0 END FROM lab, range({DRAWS}) t(b), ones),
+c AS (SELECT draw, module, gene_a, gene_b, phenotype, corr(x, y) AS r FROM (SELECT a.module, a.gene AS gene_a, b.gene AS gene_b, a.sample, a.value AS x, b.value AS y FROM e a JOIN e b ON a.module = b.module AND a.sample = b.sample AND a.gene < b.gene) JOIN perm USING (sample) GROUP BY 1, 2, 3, 4, 5),
+st AS (SELECT draw, module, 2 * sum(pow(r0 - r1, 2)) AS stat FROM (SELECT draw, module, gene_a, gene_b, max(r) FILTER (phenotype = 0) AS r0, max(r) FILTER (phenotype = 1) AS r1 FROM c GROUP BY 1, 2, 3, 4) GROUP BY 1, 2),
+pv AS (SELECT o.module, o.stat, (1 + count(*) FILTER (d.stat >= o.stat * (1 - 1e-9))) / (1.0 + count(d.stat)) AS p FROM st o JOIN st d ON o.module = d.module AND o.draw = -1 AND d.draw >= 0 GROUP BY 1, 2)"""
+
+
+@query(REWIRING + " SELECT module, round(stat, 6) AS stat FROM st WHERE draw = -1")
+def rewiring_observed(spark, sf_dir):
+    data = embedding_set(spark, sf_dir)
+    return tests.rewiring_statistic(_module_values(data).join(data.samples.where("phenotype is not null"), "sample")).select("module", r6("stat"))
+
+
+@query(REWIRING + " SELECT module, round(stat, 6) AS stat, round(p, 6) AS p FROM pv")
+def rewiring_permutation_p(spark, sf_dir):
+    data = embedding_set(spark, sf_dir)
+    return inference.permutation_p(_module_values(data), data.samples, DRAWS).select("module", r6("stat"), r6("p"))
+
+
+@query(REWIRING.replace(f"range({DRAWS})", "range(20)") + " SELECT module, round(p, 6) AS p FROM pv")
+def rewiring_permutation_sql(spark, sf_dir):
+    """The same test as joins and aggregates alone: right for small modules."""
+    data = embedding_set(spark, sf_dir)
+    return tests.permutation_p(_module_values(data), data.samples, 20).select("module", r6("p"))
+
+
+@query()
+def rewiring_two_stage(spark, sf_dir):
+    data = embedding_set(spark, sf_dir)
+    return tests.two_stage(_module_values(data), data.samples, tests.PermutationPlan(cheap=50, thorough=200), inference.permutation_p).select("module", r6("p_cheap"), r6("p"), "significant")
+
+
+@query()
+def rewiring_null(spark, sf_dir):
+    """Module, draw and statistic of each permutation."""
+    data = embedding_set(spark, sf_dir)
+    return inference.permutation_null(_module_values(data), data.samples, 50).select("module", "draw", r6("stat"))
+
+
+SIZE = "u AS (SELECT count(DISTINCT gene)::int AS u FROM members)"
+OVERLAP = f"""WITH {M_SQL}, {SIZE}, k AS (SELECT DISTINCT module, gene FROM members), z AS (SELECT module, count(*) AS s FROM k GROUP BY 1),
+sh AS (SELECT x.module AS m1, y.module AS m2, count(*) AS a FROM k x JOIN k y ON x.gene = y.gene AND x.module <= y.module GROUP BY 1, 2),
+cells AS (SELECT x.module AS m1, y.module AS m2, coalesce(a, 0) AS a, x.s - coalesce(a, 0) AS b, y.s - coalesce(a, 0) AS c, u - x.s - y.s + coalesce(a, 0) AS d FROM z x JOIN z y ON x.module <= y.module LEFT JOIN sh ON m1 = x.module AND m2 = y.module, u),
+lf AS (SELECT i::int AS n, lgamma(i + 1.0) AS lf FROM range((SELECT u + 1 FROM u)) t(i)),
+ov AS (SELECT m1, m2, a, b, c, d, least(1.0, (SELECT sum(exp(lgamma(a + b + 1.0) + lgamma(c + d + 1.0) + lgamma(a + c + 1.0) + lgamma(b + d + 1.0) - lgamma(a + b + c + d + 1.0) - lgamma(x + 1.0) - lgamma(a + b - x + 1.0) - lgamma(a + c - x + 1.0) - lgamma(d - a + x + 1.0))) FROM unnest(range(a, least(a + b, a + c) + 1)) q(x))) AS p FROM cells)"""
+
+
+def _universe(members: DataFrame) -> int:
+    return members.select("gene").distinct().count()
+
+
+@query(OVERLAP + " SELECT m1, m2, a, b, c, d, round(p, 6) + 0.0 AS p FROM ov")
+def module_overlap_fisher(spark, sf_dir):
+    m = module_members(spark, sf_dir)
+    return evidence.module_overlaps(m, _universe(m)).select("m1", "m2", "a", "b", "c", "d", r6("p"))
+
+
+@query(OVERLAP + " SELECT m1, m2, round(CASE WHEN p <= 0 THEN 300.0 ELSE least(-log10(p), 300.0) END, 5) + 0.0 AS score FROM ov")
+def module_similarity_long(spark, sf_dir):
+    m = module_members(spark, sf_dir)
+    return evidence.similarity(evidence.module_overlaps(m, _universe(m))).select("m1", "m2", (F.round("score", 5) + F.lit(0.0)).alias("score"))
+
+
+def _enrich(group: str) -> str:
+    return f"""WITH {M_SQL}, g AS (SELECT module, {group} AS grp, rewired FROM flags), tot AS (SELECT grp, count(*) FILTER (rewired) AS ra, count(*) FILTER (NOT rewired) AS pa FROM g GROUP BY 1),
+regs AS (SELECT DISTINCT module, gene AS regulator FROM members WHERE role = 'regulator'),
+has AS (SELECT regulator, grp, count(*) FILTER (rewired) AS d, count(*) FILTER (NOT rewired) AS c FROM regs JOIN g USING (module) GROUP BY 1, 2),
+cells AS (SELECT regulator, grp, pa - coalesce(c, 0) AS a, ra - coalesce(d, 0) AS b, coalesce(c, 0) AS c, coalesce(d, 0) AS d FROM (SELECT DISTINCT regulator FROM regs) CROSS JOIN tot LEFT JOIN has USING (regulator, grp)),
+en AS (SELECT regulator, grp, a, b, c, d, least(1.0, (SELECT sum(exp(lgamma(a + b + 1.0) + lgamma(c + d + 1.0) + lgamma(b + d + 1.0) + lgamma(a + c + 1.0) - lgamma(a + b + c + d + 1.0) - lgamma(x + 1.0) - lgamma(a + b - x + 1.0) - lgamma(b + d - x + 1.0) - lgamma(c - b + x + 1.0))) FROM unnest(range(greatest(0, b - c), b + 1)) q(x))) AS p, ((d + 0.5) / (c + 0.5)) / ((b + 0.5) / (a + 0.5)) AS odds_ratio FROM cells)"""
+
+
+_ENRICH_OUT = " SELECT regulator, grp, a, b, c, d, round(p, 6) + 0.0 AS p, round(odds_ratio, 6) AS odds_ratio FROM en"
+
+
+def _enriched(spark, sf_dir, group):
+    m = module_members(spark, sf_dir)
+    return evidence.regulator_enrichment(m, rewired_modules(m), group, UNIVERSE).select("regulator", "grp", "a", "b", "c", "d", r6("p"), r6("odds_ratio"))
+
+
+@query(_enrich("bootstrap") + _ENRICH_OUT)
+def regulator_enrichment_boot(spark, sf_dir):
+    return _enriched(spark, sf_dir, F.col("bootstrap"))
+
+
+@query(_enrich("0") + _ENRICH_OUT)
+def regulator_enrichment_all(spark, sf_dir):
+    return _enriched(spark, sf_dir, F.lit(0))
+
+
+@query(_enrich("bootstrap // 5") + _ENRICH_OUT)
+def regulator_enrichment_block5(spark, sf_dir):
+    return _enriched(spark, sf_dir, F.floor(F.col("bootstrap") / 5).cast("int"))
+
+
+def _combined(p: str = "list(p)") -> str:
+    """Fisher's combination of a list ``ps`` in SQL."""
+    return "exp(-h) * (SELECT sum(exp(k * ln(greatest(h, 1e-300)) - lgamma(k + 1.0))) FROM unnest(range(n)) q(k))"
+
+
+_GENE_LEVEL = "WITH " + ", ".join(f"{t} AS ({_enrich(g)} SELECT regulator, -sum(ln(p)) AS h, count(*) AS n, avg(odds_ratio) AS o FROM en GROUP BY 1)" for t, g in (("o1", "bootstrap"), ("o2", "0"), ("o3", "bootstrap // 5"))) + f", c1 AS (SELECT regulator, {_combined()} AS p_one, o AS or_one FROM o1), c2 AS (SELECT regulator, {_combined()} AS p_all, o AS or_all FROM o2), c3 AS (SELECT regulator, {_combined()} AS p_block, o AS or_block FROM o3)"
+
+
+@query(_GENE_LEVEL + " SELECT regulator, round(p_one, 6) + 0.0 AS p_one, round(or_one, 6) AS or_one, round(p_all, 6) + 0.0 AS p_all, round(or_all, 6) AS or_all, round(p_block, 6) + 0.0 AS p_block, round(or_block, 6) AS or_block FROM c1 JOIN c2 USING (regulator) JOIN c3 USING (regulator)")
+def gene_level_scores(spark, sf_dir):
+    m = module_members(spark, sf_dir)
+    return evidence.gene_level_scores(m, rewired_modules(m), UNIVERSE).select("regulator", r6("p_one"), r6("or_one"), r6("p_all"), r6("or_all"), r6("p_block"), r6("or_block"))
+
+
+@query(_enrich("bootstrap") + ", k AS (SELECT concat(regulator, ':', grp::varchar) AS key, p FROM en), r AS (SELECT key, p, row_number() OVER (ORDER BY p, key) AS r, count(*) OVER () AS n FROM k) SELECT key, round(least(1.0, min(p * n / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS bh, round(least(1.0, max(p * (n - r + 1)) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS holm, round(least(1.0, min(p * (n - r + 1)) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS hochberg, round(least(1.0, p * n), 6) AS bonferroni FROM r")
+def bh_adjust(spark, sf_dir):
+    m = module_members(spark, sf_dir)
+    df = evidence.regulator_enrichment(m, rewired_modules(m), F.col("bootstrap"), UNIVERSE).select(F.concat_ws(":", "regulator", F.col("grp").cast("string")).alias("key"), "p")
+    for method, name in (("BH", "bh"), ("holm", "holm"), ("hochberg", "hochberg"), ("bonferroni", "bonferroni")):
+        df = adjust_p(df, "p", "key", method, name)
+    return df.select("key", r6("bh"), r6("holm"), r6("hochberg"), r6("bonferroni"))
+
+
+#: Graphs between the members of a module: an edge for each regulator and target whose hash allows it.
+G_SQL = M_SQL + """,
+edges AS (SELECT r.module AS graph, t.gene AS target, r.gene AS regulator, (1 + strpos('0123456789abcdef', substr(md5(concat(r.module, r.gene, t.gene)), 2, 1))) / 16.0 AS weight FROM members r JOIN members t ON r.module = t.module AND r.role = 'regulator' AND t.role = 'target' WHERE substr(md5(concat(r.module, r.gene, t.gene)), 1, 1) < '4' AND r.bootstrap < 2)"""
+
+
+def _edges(spark, sf_dir) -> DataFrame:
+    m = module_members(spark, sf_dir).where("bootstrap < 2")
+    r = m.where("role = 'regulator'").select(F.col("module").alias("graph"), F.col("gene").alias("regulator"))
+    t = m.where("role = 'target'").select(F.col("module").alias("graph"), F.col("gene").alias("target"))
+    h = F.md5(F.concat("graph", "regulator", "target"))
+    return r.join(t, "graph").where(F.substring(h, 1, 1) < "4").select("graph", "target", "regulator", ((1 + F.instr(F.lit("0123456789abcdef"), F.substring(h, 2, 1))) / 16.0).alias("weight"))
+
+
+#: A p-value for each regulon from its hash, to exercise the merging of many.
+_REGULON_P = "(1 + strpos('0123456789abcdef', substr(md5(concat(graph, driver)), 1, 1))) / 400.0"
+REGULONS = f"""WITH {G_SQL}, rg AS (SELECT graph, regulator AS driver, list(DISTINCT target) AS targets FROM edges GROUP BY 1, 2), t AS (SELECT *, {_REGULON_P} AS p, concat(graph, ':', driver) AS key FROM rg),
+r AS (SELECT *, row_number() OVER (ORDER BY p, key) AS r, count(*) OVER () AS n FROM t), q AS (SELECT driver, targets, least(1.0, min(p * n / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM r),
+f AS (SELECT driver, unnest(targets) AS target, q FROM q), s AS (SELECT driver, target, -sum(ln(q)) AS h, count(*) AS n FROM f GROUP BY 1, 2), mr AS (SELECT driver, target, {_combined()} AS p, n AS multiplicity FROM s)"""
+
+
+def _merged(spark, sf_dir) -> DataFrame:
+    h = F.md5(F.concat("graph", "driver"))
+    rg = evidence.regulons(_edges(spark, sf_dir)).withColumn("p", (1 + F.instr(F.lit("0123456789abcdef"), F.substring(h, 1, 1))) / 400.0)
+    return evidence.merge_regulons(rg)
+
+
+@query(REGULONS + " SELECT driver, target, round(p, 6) + 0.0 AS p, multiplicity FROM mr")
+def regulon_merge(spark, sf_dir):
+    return _merged(spark, sf_dir).select("driver", "target", r6("p"), "multiplicity")
+
+
+@query(REGULONS + " SELECT driver, target, multiplicity FROM mr WHERE p < 0.01")
+def regulon_filter(spark, sf_dir):
+    return evidence.filter_regulons(_merged(spark, sf_dir), 0.01).select("driver", "target", "multiplicity")
+
+
+@query(f"WITH {M_SQL}, k AS (SELECT role, gene, count(DISTINCT module) AS multiplicity FROM members GROUP BY 1, 2) SELECT role, multiplicity, count(*) AS n_genes, string_agg(gene, ', ' ORDER BY gene) AS genes FROM k GROUP BY 1, 2")
+def multiplicity_table(spark, sf_dir):
+    return evidence.multiplicity_table(module_members(spark, sf_dir))
+
+
+XOR = f"WITH {G_SQL}, a AS (SELECT DISTINCT regulator, target FROM edges WHERE right(graph, 1) = '0'), b AS (SELECT DISTINCT regulator, target FROM edges WHERE right(graph, 1) = '1'), x AS (SELECT coalesce(a.regulator, b.regulator) AS driver, coalesce(a.target, b.target) AS target, (a.target IS NOT NULL)::int AS nr, (b.target IS NOT NULL)::int AS r FROM a FULL JOIN b ON a.regulator = b.regulator AND a.target = b.target)"
+
+
+def _xor(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    return evidence.condition_xor(e.where(F.substring("graph", -1, 1) == "0"), e.where(F.substring("graph", -1, 1) == "1"))
+
+
+@query(XOR + " SELECT driver, target, nr, r, abs(nr - r) AS xor FROM x")
+def condition_edge_xor(spark, sf_dir):
+    return _xor(spark, sf_dir)
+
+
+@query(XOR + " SELECT driver, round(avg(abs(nr - r)), 3) AS normalised_xor FROM x GROUP BY 1")
+def xor_summary(spark, sf_dir):
+    return evidence.xor_summary(_xor(spark, sf_dir))
+
+
+SUPPORT = f"WITH {G_SQL}, su AS (SELECT regulator, target, count(DISTINCT graph) AS support, string_agg(DISTINCT graph, '|' ORDER BY graph) AS graphs FROM edges GROUP BY 1, 2)"
+EVIDENCE = SUPPORT + ", ev AS (SELECT DISTINCT regulator, target, strpos('0123456789abcdef', substr(md5(concat(target, regulator)), 1, 1))::int - 8 AS peaks FROM edges WHERE substr(md5(concat(target, regulator)), 2, 1) < 'a'), ej AS (SELECT su.*, coalesce(peaks, -1) AS peaks, (coalesce(peaks, -1) > 0)::int AS evidence, concat(su.target, '||', su.regulator) AS key FROM su LEFT JOIN ev USING (regulator, target))"
+
+
+def _evidence(spark, sf_dir):
+    e = _edges(spark, sf_dir).select("regulator", "target").distinct()
+    h = F.md5(F.concat("target", "regulator"))
+    ev = e.where(F.substring(h, 2, 1) < "a").withColumn("peaks", (F.instr(F.lit("0123456789abcdef"), F.substring(h, 1, 1)) - 8).cast("int"))
+    return evidence.evidence_join(evidence.edge_support(_edges(spark, sf_dir)), ev)
+
+
+@query(SUPPORT + " SELECT regulator, target, support, graphs FROM su")
+def edge_support(spark, sf_dir):
+    return evidence.edge_support(_edges(spark, sf_dir))
+
+
+@query(EVIDENCE + " SELECT regulator, target, support, graphs, peaks, evidence, key FROM ej")
+def evidence_join(spark, sf_dir):
+    return _evidence(spark, sf_dir).select("regulator", "target", "support", "graphs", "peaks", "evidence", "key")
+
+
+@query(EVIDENCE + " SELECT key, support, peaks FROM ej ORDER BY support DESC, peaks DESC, key LIMIT 1000")
+def top_edges(spark, sf_dir):
+    return evidence.top_edges(_evidence(spark, sf_dir)).select("key", "support", "peaks")
+
+
+@query(SUPPORT + ", sd AS (SELECT regulator AS gene, target AS other, support FROM su UNION ALL SELECT target, regulator, support FROM su), rk AS (SELECT *, max(support) OVER (PARTITION BY gene) AS best, row_number() OVER (PARTITION BY gene ORDER BY support DESC, other) AS rn FROM sd) SELECT gene, sum(support)::bigint AS total, count(*) AS neighbours, count(*) FILTER (support = best) AS at_best, string_agg(other, ', ' ORDER BY rn) FILTER (rn <= 3) AS first FROM rk GROUP BY 1")
+def gene_support_top3(spark, sf_dir):
+    return evidence.gene_support(evidence.edge_support(_edges(spark, sf_dir)))
+
+
+@query(EVIDENCE + ", n AS (SELECT support, evidence, count(*) AS n FROM ej GROUP BY 1, 2), c AS (SELECT *, sum(n) OVER (PARTITION BY evidence ORDER BY support DESC)::bigint AS cum_n, sum(n) OVER (PARTITION BY evidence) AS w FROM n) SELECT support, evidence, n, cum_n, round_even(100.0::double * cum_n / w * pow(10.0, 2 - floor(log10(100.0::double * cum_n / w))), 0)::double / pow(10.0, 2 - floor(log10(100.0::double * cum_n / w))) AS cum_percent FROM c")
+def support_cumulative(spark, sf_dir):
+    return evidence.cumulative_support(_evidence(spark, sf_dir))
+
+
+@query(f"WITH {G_SQL}, p AS (SELECT graph, count(*) AS e, count(DISTINCT regulator) AS r, count(DISTINCT target) AS t FROM edges GROUP BY 1) SELECT count(*) AS graphs, round(avg(e), 6) AS edges, round(avg(r), 6) AS regulators, round(avg(t), 6) AS targets, round(avg(100.0::double * e / (r * t)), 6) AS percent_possible FROM p")
+def run_overview(spark, sf_dir):
+    return evidence.run_overview(_edges(spark, sf_dir)).select("graphs", r6("edges"), r6("regulators"), r6("targets"), r6("percent_possible"))
+
+
+@query(EVIDENCE + " SELECT sign(peaks)::int AS class, count(*) AS pairs, round(100.0::double * count(*) / sum(count(*)) OVER (), 6) AS percent FROM ej GROUP BY 1")
+def evidence_overview(spark, sf_dir):
+    return evidence.evidence_overview(_evidence(spark, sf_dir)).select("class", "pairs", r6("percent"))
+
+
+CLUSTERS = f"WITH {M_SQL}, cl AS (SELECT module, strpos('0123456789abcdef', substr(md5(module), 3, 1))::int % 4 AS cluster FROM flags WHERE substr(md5(module), 2, 1) < 'c')"
+
+
+def _clusters(m: DataFrame) -> DataFrame:
+    h = F.md5("module")
+    return m.select("module").distinct().where(F.substring(h, 2, 1) < "c").select("module", (F.instr(F.lit("0123456789abcdef"), F.substring(h, 3, 1)) % 4).cast("int").alias("cluster"))
+
+
+@query(CLUSTERS + " SELECT cluster, gene, role, count(DISTINCT module) AS multiplicity FROM members JOIN cl USING (module) GROUP BY 1, 2, 3")
+def cluster_members(spark, sf_dir):
+    m = module_members(spark, sf_dir)
+    return evidence.cluster_members(m, _clusters(m))
+
+
+@query(CLUSTERS + " SELECT b.cluster, gene, role, count(DISTINCT module) AS multiplicity FROM members JOIN cl USING (module) JOIN (SELECT DISTINCT cluster FROM cl) b ON b.cluster >= cl.cluster GROUP BY 1, 2, 3")
+def cluster_members_cumulative(spark, sf_dir):
+    m = module_members(spark, sf_dir)
+    return evidence.cluster_members(m, _clusters(m), compat=True)
+
+
+@query(CLUSTERS + " SELECT DISTINCT f.module, coalesce(cluster, -1) AS cluster FROM flags f LEFT JOIN cl USING (module)")
+def module_clusters(spark, sf_dir):
+    m = module_members(spark, sf_dir)
+    return evidence.module_clusters(m, _clusters(m))
+
+
+@query(f"WITH {G_SQL} SELECT graph, regulator AS driver, string_agg(DISTINCT target, ', ' ORDER BY target) AS targets, count(DISTINCT target) AS degree FROM edges GROUP BY 1, 2")
+def regulon_egonets(spark, sf_dir):
+    return evidence.regulons(_edges(spark, sf_dir)).select("graph", "driver", F.array_join("targets", ", ").alias("targets"), "degree")
+
+
+@query(f"WITH {G_SQL} SELECT regulator AS vertex, true AS is_regulator, count(*) AS degree FROM edges GROUP BY 1 UNION ALL SELECT target, false, count(*) FROM edges GROUP BY 1")
+def vertex_degree(spark, sf_dir):
+    return graph.vertex_degree(_edges(spark, sf_dir))
+
+
+_DROPPED = "substr(md5(gene), 1, 1) < '3'"
+
+
+@query(f"WITH {G_SQL}, v AS (SELECT graph, regulator AS gene, true AS reg FROM edges UNION SELECT graph, target, false FROM edges), k AS (SELECT * FROM v WHERE NOT ({_DROPPED})), g AS (SELECT graph, string_agg(gene, ', ' ORDER BY gene) FILTER (reg) AS regulators, coalesce(string_agg(gene, ', ' ORDER BY gene) FILTER (NOT reg), '') AS targets, count(*) FILTER (reg) AS n FROM k GROUP BY 1) SELECT graph, row_number() OVER (ORDER BY graph)::int AS module, regulators, targets FROM g WHERE n > 0")
+def graph_to_modules(spark, sf_dir):
+    dropped = module_members(spark, sf_dir).select("gene").distinct().where(F.substring(F.md5("gene"), 1, 1) < "3")
+    return graph.graphs_to_modules(_edges(spark, sf_dir), dropped)
+
+
+@query(f"WITH {G_SQL}, w AS (SELECT DISTINCT regulator, target FROM edges WHERE right(graph, 1) = '0'), e AS (SELECT regulator, target, max(weight) AS weight FROM edges WHERE right(graph, 1) = '1' GROUP BY 1, 2) SELECT regulator, target, coalesce(weight, 0.0)::double AS weight FROM w LEFT JOIN e USING (regulator, target)")
+def ordered_weights(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    one = e.where(F.substring("graph", -1, 1) == "1").groupBy("regulator", "target").agg(F.max("weight").cast("double").alias("weight"))
+    return graph.ordered_weights(one, e.where(F.substring("graph", -1, 1) == "0").select("regulator", "target").distinct())
+
+
+ABS_CORR = f"WITH {E_SQL}, c AS (SELECT a.gene AS gene_a, b.gene AS gene_b, abs(corr(a.value, b.value)) AS r FROM expr a JOIN expr b ON a.sample = b.sample AND a.gene < b.gene GROUP BY 1, 2)"
+_TH = 0.1
+
+
+def _abs_corr(spark, sf_dir):
+    emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("embedding")
+    return assoc.gram_correlation(emb, [f"g{k:02d}" for k in range(64)], "embedding").select("gene_a", "gene_b", F.abs("r").alias("r"))
+
+
+@query(ABS_CORR + f", s AS (SELECT gene_a AS gene, gene_b AS other FROM c WHERE r > {_TH} UNION SELECT gene_b, gene_a FROM c WHERE r > {_TH} UNION SELECT gene, gene FROM genes) SELECT gene, string_agg(other, ', ' ORDER BY other) AS neighbours, count(*) AS n FROM s GROUP BY 1")
+def neighbour_lists(spark, sf_dir):
+    return graph.neighbours(_abs_corr(spark, sf_dir), embedding_set(spark, sf_dir).genes, _TH)
+
+
+@query(ABS_CORR + f" SELECT gene_a, gene_b, round(r, 6) AS weight FROM c WHERE r > {_TH}")
+def high_corr_graph(spark, sf_dir):
+    return graph.high_corr_graph(_abs_corr(spark, sf_dir), _TH).select("gene_a", "gene_b", r6("weight"))
+
+
+@query(ABS_CORR + f" SELECT gene FROM genes WHERE gene NOT IN (SELECT gene_a FROM c WHERE r > {_TH} UNION SELECT gene_b FROM c WHERE r > {_TH})")
+def singleton_genes(spark, sf_dir):
+    return graph.singletons(_abs_corr(spark, sf_dir), embedding_set(spark, sf_dir).genes, _TH)
+
+
+@query(f"WITH {E_SQL} SELECT x.gene AS regulator, y.gene AS target, count(*) AS n, round(regr_slope(y.value, x.value), 6) + 0.0 AS slope, round(regr_intercept(y.value, x.value), 6) + 0.0 AS intercept, round(corr(x.value, y.value), 6) + 0.0 AS r FROM expr x JOIN expr y ON x.sample = y.sample AND x.gene < 'g08' AND y.gene >= 'g08' GROUP BY 1, 2")
+def ols_graph_core(spark, sf_dir):
+    data = embedding_set(spark, sf_dir)
+    return graph.ols(data.expr, data.genes).select("regulator", "target", "n", r6("slope"), r6("intercept"), r6("r"))
+
+
+@query()
+def ols_graph_edges(spark, sf_dir):
+    data = embedding_set(spark, sf_dir)
+    return graph.ols_edges(graph.ols(data.expr, data.genes)).select("regulator", "target", r6("weight"), s8("p"))
+
+
+ASSIGN = f"""WITH {E_SQL}, cen AS (SELECT substr(gene, 2)::int % 4 AS cluster, sample, avg(value) AS m FROM expr GROUP BY 1, 2), c AS (SELECT gene, cluster, corr(value, m) AS r FROM expr JOIN cen USING (sample) GROUP BY 1, 2),
+sg AS (SELECT gene, cluster, round_even(r * pow(10.0, 6 - floor(log10(abs(r)))), 0)::double / pow(10.0, 6 - floor(log10(abs(r)))) AS r FROM c), asg AS (SELECT gene, cluster FROM (SELECT gene, cluster, row_number() OVER (PARTITION BY gene ORDER BY r DESC, cluster) AS k FROM sg) WHERE k = 1)"""
+
+
+def _assigned(spark, sf_dir):
+    expr = embedding_set(spark, sf_dir).expr
+    cen = expr.groupBy((F.substring("gene", 2, 2).cast("int") % 4).alias("cluster"), "sample").agg(F.avg("value").alias("m"))
+    return graph.assign_to_centroids(expr.join(cen, "sample").groupBy("gene", "cluster").agg(F.corr("value", "m").alias("r")))
+
+
+@query(ASSIGN + " SELECT gene, cluster FROM asg")
+def cluster_assign_step(spark, sf_dir):
+    return _assigned(spark, sf_dir)
+
+
+@query(ASSIGN + " SELECT gene, cluster, count(*) OVER (PARTITION BY cluster) < 17 AS dissolved FROM asg")
+def cluster_dissolve_step(spark, sf_dir):
+    return graph.dissolve_small(_assigned(spark, sf_dir), 17)
+
+
+@query(f"""WITH {E_SQL}, v AS (SELECT concat('m', (substr(gene, 2)::int // 8)::varchar) AS module, gene, sample, value FROM expr), m AS (SELECT module, sample, avg(value) AS m FROM v GROUP BY 1, 2),
+p AS (SELECT module, gene, abs(corr(value, m)) AS r, sum(pow(value - m, 2)) AS res, var_pop(value) * count(*) AS tot FROM v JOIN m USING (module, sample) GROUP BY 1, 2), f AS (SELECT module, count(*) AS n_genes, avg(r) AS mean_corr, 1 - sum(res) / sum(tot) AS rsquare FROM p GROUP BY 1),
+w AS (SELECT module, 2 * sum(r) AS off FROM (SELECT a.module, a.gene AS ga, b.gene AS gb, abs(corr(a.value, b.value)) AS r FROM v a JOIN v b ON a.module = b.module AND a.sample = b.sample AND a.gene < b.gene GROUP BY 1, 2, 3) GROUP BY 1)
+SELECT module, n_genes, round(mean_corr, 6) AS mean_corr, round(rsquare, 6) + 0.0 AS rsquare, round(off / pow(n_genes - 1, 2), 6) AS homogeneity FROM f JOIN w USING (module)""")
+def module_eval_stats(spark, sf_dir):
+    data = embedding_set(spark, sf_dir)
+    return graph.module_eval(data.expr, _blocks(data)).select("module", "n_genes", r6("mean_corr"), r6("rsquare"), r6("homogeneity"))
+
+
+@query(NODES + ", w AS (SELECT gene, is_regulator, t_stat, row_number() OVER (PARTITION BY is_regulator ORDER BY t_stat NULLS FIRST, gene) AS r, count(*) OVER (PARTITION BY is_regulator) AS n, max(abs(t_stat)) OVER (PARTITION BY is_regulator) AS most FROM nodes), q AS (SELECT *, t_stat / most AS h FROM w) SELECT gene, is_regulator, round(CASE WHEN n > 1 THEN -1 + 2.0::double * (r - 1) / (n - 1) ELSE 0.0 END, 6) + 0.0 AS x, CASE WHEN is_regulator THEN CASE WHEN r % 2 = 1 THEN 2.0::double ELSE -2.0::double END WHEN h = 0 THEN 0.0::double ELSE round(round_even(h * pow(10.0, 2 - floor(log10(abs(h)))), 0)::double / pow(10.0, 2 - floor(log10(abs(h)))), 6) + 0.0 END AS y FROM q")
+def layout_phenotype(spark, sf_dir):
+    return layout.layout_phenotype(_nodes(spark, sf_dir)).select("gene", "is_regulator", r6("x"), r6("y"))
+
+
+@query(f"WITH {L_SQL}, w AS (SELECT *, row_number() OVER (PARTITION BY is_regulator ORDER BY gene) AS r, count(*) OVER (PARTITION BY is_regulator) AS n FROM genes) SELECT gene, is_regulator, round(CASE WHEN n > 1 THEN -1 + 2.0::double * (r - 1) / (n - 1) ELSE 0.0 END, 6) + 0.0 AS x, CASE WHEN is_regulator THEN CASE WHEN r % 2 = 1 THEN 1.0::double ELSE -1.0::double END ELSE 0.0::double END AS y FROM w")
+def layout_plain(spark, sf_dir):
+    return layout.layout(supplier_set(spark, sf_dir).genes).select("gene", "is_regulator", r6("x"), r6("y"))
+
+
+@query(f"WITH {E_SQL} SELECT gene, sample, round(least(greatest(value, -0.1), 0.1), 6) + 0.0 AS value FROM expr WHERE gene < 'g16'")
+def heatmap_clamp(spark, sf_dir):
+    return layout.heatmap(embedding_set(spark, sf_dir).expr.where("gene < 'g16'"), -0.1, 0.1).select("gene", "sample", r6("value"))
+
+
+@query(f"WITH {G_SQL}, m AS (SELECT max(abs(weight)) AS most FROM edges) SELECT graph, regulator, target, round((weight + most) / (2 * most), 6)::double AS shade FROM edges, m")
+def edge_colours(spark, sf_dir):
+    return layout.edge_colours(_edges(spark, sf_dir)).select("graph", "regulator", "target", F.round(F.col("shade").cast("double"), 6).alias("shade"))
+
+
+@query(NODES + ", w AS (SELECT gene, is_regulator, wilcox_stat, row_number() OVER (ORDER BY wilcox_stat, gene) AS r FROM nodes) SELECT gene, is_regulator, wilcox_stat FROM w WHERE r <= 25 OR is_regulator")
+def top25_or_regulator(spark, sf_dir):
+    return layout.top_or_regulator(_nodes(spark, sf_dir), "wilcox_stat").select("gene", "is_regulator", F.col("wilcox_stat").cast("double").alias("wilcox_stat"))
+
+
+@query(LABEL_CORR.split(", c AS")[0] + " SELECT x.phenotype, count(*) AS n, round(corr(x.value, y.value), 6) + 0.0 AS r, round(regr_slope(y.value, x.value), 6) + 0.0 AS slope, round(regr_intercept(y.value, x.value), 6) + 0.0 AS intercept, round(avg(x.value), 6) + 0.0 AS mean_x, round(avg(y.value), 6) + 0.0 AS mean_y FROM e x JOIN e y ON x.sample = y.sample AND x.gene = 'g00' AND y.gene = 'g09' GROUP BY 1")
+def gene_pair_scatter(spark, sf_dir):
+    return layout.gene_pair(_few_labelled(spark, sf_dir), "g00", "g09").select("phenotype", "n", *(r6(c) for c in ("r", "slope", "intercept", "mean_x", "mean_y")))
+
+
+@query(f"WITH {M_SQL}, k AS (SELECT bootstrap AS clique_rank, gene, row_number() OVER (PARTITION BY bootstrap ORDER BY gene, module)::int AS pos FROM members), w AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY clique_rank, pos) AS r FROM k) SELECT clique_rank, gene, pos FROM w WHERE r = 1")
+def first_seen_dedup(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    m = module_members(spark, sf_dir)
+    k = m.select(F.col("bootstrap").alias("clique_rank"), "gene", F.row_number().over(W.partitionBy("bootstrap").orderBy("gene", "module")).alias("pos"))
+    return graph.first_seen(k)
+
+
+@query(f"WITH {L_SQL} SELECT gene, sample, CASE WHEN value = 0 THEN 0.0 ELSE round(round_even(value * pow(10.0, 2 - floor(log10(abs(value)))), 0)::double / pow(10.0, 2 - floor(log10(abs(value)))), 6) END AS value FROM expr")
+def signif_format(spark, sf_dir):
+    return supplier_set(spark, sf_dir).expr.select("gene", "sample", r6(signif(F.col("value"), 3), "value"))
+
+
+@query(f"WITH {M_SQL} SELECT module, least((row_number() OVER (ORDER BY module) - 1) * 5 // greatest(count(*) OVER () - 1, 1), 4)::int AS bin FROM (SELECT DISTINCT module FROM members)")
+def log_bins(spark, sf_dir):
+    return layout.log_bins(module_members(spark, sf_dir).select(F.col("module").alias("name")).distinct(), 5).withColumnRenamed("name", "module")
+
+
+@query()
+def lasso_graph(spark, sf_dir):
+    data = embedding_set(spark, sf_dir)
+    return inference.target_graph(data.expr, data.genes, "LASSOmin").select("regulator", "target", r6("weight"))
+
+
+@query()
+def vbsr_graph(spark, sf_dir):
+    data = embedding_set(spark, sf_dir)
+    return inference.target_graph(data.expr, data.genes, "VBSR").select("regulator", "target", r6("weight"))
+
+
+@query()
+def module_discovery(spark, sf_dir):
+    data = embedding_set(spark, sf_dir)
+    return inference.discover_modules(data.expr, data.genes, inference.DiscoveryParams(modules=4, bootstraps=2, iterations=5, mode="LASSOmin")).select("bootstrap", "module", "role", "gene", r6("beta"))
+
+
+@query()
+def module_graphs(spark, sf_dir):
+    data = embedding_set(spark, sf_dir)
+    found = inference.discover_modules(data.expr, data.genes, inference.DiscoveryParams(modules=4, bootstraps=1, iterations=3, mode="LASSOmin"))
+    return inference.module_graphs(data.expr, found, "LASSOmin").select("bootstrap", "module", "regulator", "target", r6("weight"))
+
+
+@query()
+def maximal_cliques(spark, sf_dir):
+    return inference.cliques(graph.high_corr_graph(_abs_corr(spark, sf_dir), _TH)).select("component", "clique", "size", "genes")
+
+
+@query()
+def representative_genes(spark, sf_dir):
+    data = embedding_set(spark, sf_dir)
+    return inference.select_representatives(data.expr, _abs_corr(spark, sf_dir), _TH, "median")
+
+
+@query()
+def module_hclust(spark, sf_dir):
+    m = module_members(spark, sf_dir)
+    return inference.cluster_modules(evidence.similarity(evidence.module_overlaps(m, _universe(m))), rounds=50)
+
+
+@query()
+def regulator_ranking(spark, sf_dir):
+    data = embedding_set(spark, sf_dir)
+    few = _few_labelled(spark, sf_dir)
+    nodes = tests.with_node_p(tests.node_summary(few, data.genes))
+    return evidence.regulator_ranking(nodes, tests.edge_summary(few, data.genes)).select("reg", "rank_expr", "rank_t", "rank_shift")
+
+
+@query()
+def gene_order(spark, sf_dir):
+    """Genes in the order of the leaves of the tree over their correlation differences."""
+    return inference.gene_order(assoc.label_difference(_few_labelled(spark, sf_dir)))
