@@ -37,8 +37,8 @@ _BUCKETS = 48
 class LmParams:
     """Words of the table of frequent words (at most 2**21), bigrams of the table of frequent bigrams, groups that bigrams are dealt into (at least), and rounds of EM."""
 
-    words: int = 1 << 21
-    hot_bigrams: int = 1 << 19
+    words: int = 1 << 20
+    hot_bigrams: int = 1 << 18
     groups: int = 48
     rounds: int = 60
 
@@ -182,10 +182,10 @@ def _frequent(counts: DataFrame, params: LmParams) -> tuple[_Tables, dict[int, i
             least = c + 1
             break
         room -= by_count[c]
-    top = counts.where(F.col("c") >= least).toPandas().sort_values("h")  # params.words rows at most
-    hashes = top["h"].to_numpy(np.int64).view(np.uint64)
+    top = counts.where(F.col("c") >= least).toArrow()  # params.words rows at most, 16 bytes each
+    hashes = top["h"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    tables = _Tables(hashes[order], top["c"].to_numpy(np.int64)[order], sum(c * n for c, n in by_count.items()), sum(by_count.values()))
+    tables = _Tables(hashes[order], top["c"].to_numpy()[order], sum(c * n for c, n in by_count.items()), sum(by_count.values()))
     return tables, {c: n for c, n in by_count.items() if c < least}
 
 
@@ -278,8 +278,9 @@ def score(docs: DataFrame, learn: Column, params: LmParams = LmParams(), id_col:
                 key = (at - _BUCKETS * _BINS, _BINS - 1, f1)
                 cells[key] = cells.get(key, 0) + c * count * k / rare_total
     weights = expectation_maximisation(cells, uniform, params.rounds)
-    top = found.where("kind = 1").select("at", "c").toPandas().sort_values("at")  # params.hot_bigrams rows at most
-    hot = spark.sparkContext.broadcast((top["at"].to_numpy(np.int64).astype(np.uint64), top["c"].to_numpy(np.int64)))
+    top = found.where("kind = 1").select("at", "c").toArrow()  # params.hot_bigrams rows at most, 16 bytes each
+    order = np.argsort(top["at"].to_numpy())
+    hot = spark.sparkContext.broadcast((top["at"].to_numpy()[order].astype(np.uint64), top["c"].to_numpy()[order]))
 
     def log_p(table: _Tables, ch: np.ndarray, cw: np.ndarray, chw: np.ndarray) -> np.ndarray:
         w = weights[_bucket(ch)]
