@@ -37,11 +37,11 @@ _RANDOM_ALPHABETS = (b"0123456789abcdef", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789
 
 @dataclass(frozen=True)
 class SecretParams:
-    """Shortest token the chains judge, the log-likelihood ratio from which it is a secret (prior odds of one in a million), the smoothing count, and generated strings for each alphabet."""
+    """Shortest token the chains judge, the log-likelihood ratio from which it is a secret (prior odds of one in a million), the weight of a label's overall frequencies beside a state's own, and generated strings for each alphabet."""
 
     min_length: int = 16
     min_ratio: float = 13.8
-    smoothing: float = 0.5
+    smoothing: float = 20.0
     generated: int = 2000
 
 
@@ -105,8 +105,10 @@ class SecretModel:
     @staticmethod
     def of_counts(random: np.ndarray, ordinary: np.ndarray, params: SecretParams) -> SecretModel:
         def logs(counts: np.ndarray) -> np.ndarray:
-            c = counts.reshape(_STATES, _STATES) + params.smoothing
-            return np.log(c / c.sum(1, keepdims=True))
+            """A state that is rarely left takes its label's frequencies of the next states."""
+            c = counts.reshape(_STATES, _STATES)
+            overall = (c.sum(0) + 0.5) / (c.sum() + 0.5 * _STATES)
+            return np.log((c + params.smoothing * overall) / (c.sum(1, keepdims=True) + params.smoothing))
 
         return SecretModel((logs(random + _generated(params)) - logs(ordinary)).ravel(), params)
 
