@@ -12,6 +12,8 @@ pre-token pattern and added tokens are the library's; merging is done here.
 from __future__ import annotations
 
 import functools
+import gc
+import itertools
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -22,14 +24,45 @@ from pyspark.sql import DataFrame
 
 from corrweave.llm.text import blocks
 
-#: Chunks kept with their encodings, and trie nodes, in one Python worker. Beyond that both start anew.
-CACHE_CHUNKS = 1_000_000
-TRIE_NODES = 1_500_000
+#: Chunks kept with their encodings in one Python worker (beyond that, the more frequent half stays), and trie nodes (beyond that, the trie starts anew).
+CACHE_CHUNKS = 400_000
+TRIE_NODES = 600_000
+#: Token pairs whose standing is remembered.
+KNOWN_PAIRS = 400_000
 #: Added to the last character of a word: it stands for the character with the word-end mark.
 _LAST = 0x1000
-#: Characters that the byte-level alphabet leaves alone.
-_PLAIN = re.compile(rb"[\x21-\x7e]+")
-_ASCII_PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Printable ASCII and Latin letters whose lower case is one Latin letter: normalisation leaves them as they are.
+_PLAIN = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+_PRETOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+#: Bytes that stand for themselves in the byte-level alphabet; the others, in order, are the characters from 256 on.
+_SELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LEVEL = dict(zip(sorted(set(range(256)).difference(_SELF)), range(256, 512), strict=False))
+
+
+def plain_pretokens(chunk: bytes) -> list[str] | None:
+    """Byte-level pre-tokens, lower-cased, of a chunk of plain characters; None where the library has to look."""
+    if chunk.isalpha():
+        return [chunk.decode().lower()]
+    if b"<|" in chunk:
+        return None
+    text = chunk.decode("utf-8", "replace")
+    if not _PLAIN.fullmatch(text):
+        return None
+    found = _PRETOKEN.findall(text.lower())
+    return found if text.isascii() else [p.encode().decode("latin-1").translate(_BYTE_LEVEL) for p in found]
+
+
+class _Numbers(dict):
+    """Numbers keys in the order in which they are first looked up; ``fresh`` gathers the new ones."""
+
+    def __init__(self, *given):
+        super().__init__(*given)
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = number = len(self)
+        self.fresh.append(key)
+        return number
 
 
 class ChunkCache:
@@ -43,31 +76,49 @@ class ChunkCache:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number = _Numbers()
         self.begin = np.zeros(1, np.int64)  # where each chunk's ids begin in self.arena
         self.arena = np.zeros(0, np.int32)
+        self.uses = np.zeros(0, np.int64)
+
+    def shrink(self, size: int) -> None:
+        """Keep the ``size`` most frequent chunks; counts are halved, so that old uses fade."""
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[:size])  # in the order of self.number
+        place = np.full(len(self.uses), -1)
+        place[keep] = np.arange(len(keep))
+        sizes = np.diff(self.begin)[keep]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        self.arena = self.arena[np.repeat(self.begin[keep] - upto[:-1], sizes) + np.arange(upto[-1])]
+        self.begin, self.uses = upto, self.uses[keep] // 2
+        self.number = _Numbers((w, k) for w, k in zip(self.number, place.tolist(), strict=True) if k >= 0)
 
     def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Offsets of each text's ids, and the ids."""
+        """Offsets of each text's ids, and the ids. The cycle collector, which would walk the caches again and again, rests meanwhile."""
+        gc.disable()
+        try:
+            return self._ids(texts)
+        except BaseException:
+            self.clear()  # a later task must not find numbers without ids
+            raise
+        finally:
+            gc.enable()
+
+    def _ids(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         split = [t.split() if t else [] for t in texts]
         words = [w for s in split for w in s]
-        distinct = set(words)
-        new = distinct.difference(self.number)
-        if len(self.number) + len(new) > self.limit and self.number:
-            self.clear()
-            new = distinct
-        if new:
-            ordered = sorted(new)
-            encoded = self.encode_many(ordered)
-            at = len(self.number)
-            self.number.update(zip(ordered, range(at, at + len(ordered)), strict=True))
+        if len(self.number) > self.limit:
+            self.shrink(self.limit // 2)
+        index = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        if fresh := self.number.fresh:
+            self.number.fresh = []
+            encoded = self.encode_many(fresh)
             sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
             self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
-            self.arena = np.concatenate([self.arena, np.fromiter((i for ids in encoded for i in ids), np.int32, int(sizes.sum()))])
-        index = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+            self.arena = np.concatenate([self.arena, np.fromiter(itertools.chain.from_iterable(encoded), np.int32, int(sizes.sum()))])
+        self.uses = np.concatenate([self.uses, np.zeros(len(self.number) - len(self.uses), np.int64)]) + np.bincount(index, minlength=len(self.number))
         begin = self.begin[index]
         sizes = self.begin[index + 1] - begin
-        upto = np.zeros(len(words) + 1, np.int64)
+        upto = np.zeros(len(index) + 1, np.int64)
         np.cumsum(sizes, out=upto[1:])
         ids = self.arena[np.repeat(begin - upto[:-1], sizes) + np.arange(upto[-1])]
         per_text = np.zeros(len(texts) + 1, np.int64)
@@ -104,8 +155,8 @@ class TrieBpe:
         for t in self.tokens:
             self.lengths.setdefault(t[-2:], [1]).append(len(t))
         self.lengths = {k: sorted(set(v), reverse=True) for k, v in self.lengths.items() if len(k) == 2}
-        self.stays: dict[int, bool] = {}
-        self._clear()
+        self.stays: dict[int, bool] = {}  # for pairs of tokens, whether BPE leaves them apart
+        self.clear()
 
     @staticmethod
     def _symbols(token: str, suffix: str) -> str:
@@ -114,7 +165,8 @@ class TrieBpe:
             return token[:-1] + chr(ord(token[-1]) + _LAST)
         return token
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
+        """An empty trie: the root alone."""
         self.child: dict[int, int] = {}
         self.last, self.back = [-1], [0]
 
@@ -141,7 +193,7 @@ class TrieBpe:
                 up_a, a = part_a[0], part_a[2]
             else:
                 up_b, b = part_b[0], part_b[1]
-        if len(self.stays) > 2_000_000:
+        if len(self.stays) > KNOWN_PAIRS:
             self.stays.clear()
         self.stays[key] = result
         return result
@@ -184,8 +236,8 @@ class TrieBpe:
 
     def _pretokens(self, chunk: bytes) -> Iterator[str | int]:
         """Byte-level pre-tokens of a chunk, and ids of added tokens."""
-        if _PLAIN.fullmatch(chunk) and b"<|" not in chunk:
-            yield from _ASCII_PRETOKEN.findall(chunk.decode().lower())
+        if (plain := plain_pretokens(chunk)) is not None:
+            yield from plain
             return
         text = chunk.decode("utf-8", "replace")
         for piece in self.added.split(text) if self.added else [text]:
@@ -199,7 +251,7 @@ class TrieBpe:
         """Ids of each chunk. The distinct pre-tokens go into the trie in sorted order, that is depth first."""
         split = [[*self._pretokens(c)] for c in chunks]
         if len(self.last) > self.limit:
-            self._clear()
+            self.clear()
         ids = {w: self.encode_word(w) for w in sorted({w for s in split for w in s if type(w) is str})}
         return [[i for w in s for i in (ids[w] if type(w) is str else (w,))] for s in split]
 

@@ -22,7 +22,7 @@ import json
 import os
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corrweave.llm.bpe import ChunkCache
+from corrweave.llm.bpe import ChunkCache, plain_pretokens
 from corrweave.llm.text import blocks
 
 MAGIC, END = b"CWTOKS01", b"CWTOKEND"
 #: Documents the dictionary is trained on (those with the smallest hash), bytes of each kept, and the dictionary's size.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 500, 1 << 16, 1 << 16
 LEVEL = 3
+#: Chunks kept with their ids in one Python worker (beyond that, the more frequent half stays).
+CACHE_CHUNKS = 1_000_000
 
 
 def _filesystem(uri: str):
@@ -70,12 +72,17 @@ def library_encoder(path: str) -> ChunkCache:
     """Ids by the tokenizers library, for distinct white-space separated chunks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import WhitespaceSplit
 
     library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
 
-    def encode_many(chunks: list[bytes]) -> list[list[int]]:
+    suffix = json.loads(library.to_str())["model"].get("end_of_word_suffix")
+    closes = np.array([bool(suffix) and (library.id_to_token(i) or "").endswith(suffix) for i in range(library.get_vocab_size())])
+    marked = bool(closes.any())
+
+    def by_place(chunks: list[bytes]) -> list[list[int]]:
         """One call for all chunks, joined by blanks; the tokens' places tell the chunks."""
         texts = [c.decode("utf-8", "replace") for c in chunks]
         upto = np.cumsum([len(t) + 1 for t in texts])
@@ -85,10 +92,30 @@ def library_encoder(path: str) -> ChunkCache:
         ids = found.ids
         return [ids[a:b] for a, b in zip([0, *limits[:-1]], limits, strict=True)]
 
-    def in_parts(chunks: list[bytes]) -> list[list[int]]:
-        return [ids for k in range(0, len(chunks), 2000) for ids in encode_many(chunks[k : k + 2000])]
+    #: Plain pre-tokens are in the byte alphabet already: the model alone gives their ids.
+    bare = Tokenizer(library.model)
+    bare.pre_tokenizer = WhitespaceSplit()
+
+    def by_mark(pieces: list[str]) -> list[list[int]]:
+        """One call for plain pre-tokens, joined by blanks; word-end marks tell them apart."""
+        ids = bare.encode(" ".join(pieces), add_special_tokens=False).ids
+        limits = (np.flatnonzero(closes[ids]) + 1).tolist()
+        if len(limits) != len(pieces):
+            raise ValueError("word ends do not match the pre-tokens")
+        return [ids[a:b] for a, b in zip([0, *limits[:-1]], limits, strict=True)]
+
+    def in_parts(encode: Callable, of: list) -> list[list[int]]:
+        return [ids for k in range(0, len(of), 2000) for ids in encode(of[k : k + 2000])]
 
-    return ChunkCache(in_parts)
+    def encode_many(chunks: list[bytes]) -> list[list[int]]:
+        """Chunks share their pre-tokens' ids where these are plain to see; the others go to the library as they are."""
+        split = [plain_pretokens(c) for c in chunks] if marked else [None] * len(chunks)
+        pieces = list({p for s in split if s for p in s})
+        ids = dict(zip(pieces, in_parts(by_mark, pieces), strict=True))
+        rest = iter(in_parts(by_place, [c for c, s in zip(chunks, split, strict=True) if s is None]))
+        return [next(rest) if s is None else ids[s[0]] if len(s) == 1 else [i for p in s for i in ids[p]] for s in split]
+
+    return ChunkCache(encode_many, CACHE_CHUNKS)
 
 
 def _with_end(offsets: np.ndarray, ids: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
