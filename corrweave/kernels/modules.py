@@ -38,7 +38,7 @@ def eigengene(x: np.ndarray) -> np.ndarray:
 
 
 #: Profiles of a module by name.
-PROFILES = {"MEAN": lambda x: x.mean(0), "LINKER": eigengene}
+PROFILES = {"MEAN": lambda x: x.mean(0), "EIGENGENE": eigengene}
 
 
 def seed_modules(targets: np.ndarray, k: int, seed: int, profile: str = "MEAN", rounds: int = 5) -> np.ndarray:
@@ -168,6 +168,6 @@ def discover(expr: np.ndarray, is_regulator: np.ndarray, samples: list[str], mod
         for split, part in parts.items():
             if part is not None:
                 x = part[~is_regulator][module == c]
-                found[split] = evaluate(x, PROFILES[profile](x), b @ part[is_regulator], int(np.count_nonzero(b)), profile == "LINKER")
+                found[split] = evaluate(x, PROFILES[profile](x), b @ part[is_regulator], int(np.count_nonzero(b)), profile == "EIGENGENE")
         out.append(found)
     return out

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from corrweave.functions.dist import chi2_isf1, chi2_sf1
+from corrweave.functions.dist import chi2_isf1, chi2_sf1, normal_quantile, pearson_p
 
 DUPLICATE = 10.0
 
@@ -79,7 +79,7 @@ def vbsr(x: np.ndarray, y: np.ndarray, l0: float | None = None, post: float = 0.
             raise ValueError("the error variance left the positive numbers")
         on = features[1:]
         q, v = pr[np.ix_(live, on)], np.maximum(var[np.ix_(live, on)], 1e-300)
-        entropy = -(q * np.log(np.maximum(q, 1e-300)) + (1 - q) * np.log(np.maximum(1 - q, 1e-300))) + 0.5 * q * (np.log(2 * np.pi * v) + 1)
+        entropy = -(q * np.log(np.maximum(q, 1e-300)) + (1 - q) * np.log(np.maximum(1 - q, 1e-300))) + 0.5 * q * np.log(2 * np.pi * v)
         now = -0.5 * n * (np.log(2 * np.pi * sigma[live]) + 1) + (q * math.log(prior) + (1 - q) * math.log1p(-prior) + entropy).sum(1)
         change = np.abs(now - bound[live])
         bound[live] = now
@@ -105,3 +105,101 @@ def vbsr(x: np.ndarray, y: np.ndarray, l0: float | None = None, post: float = 0.
     stat = np.where(alive, average[1:], 0.0)
     centre = np.where(alive, x.mean(0), 0.0)
     return VbsrFit(beta, stat, np.array([chi2_sf1(s * s) for s in stat]), (weights @ pr)[1:], float((weights @ eb)[0] - centre @ beta), l0, weights)
+
+
+def screen(x: np.ndarray, y: np.ndarray, below: float) -> np.ndarray:
+    """Columns whose own regression has a p-value below the level: the features that a screened fit gets."""
+    sd = x.std(0)
+    r = np.divide((x - x.mean(0)).T @ (y - y.mean()) / len(y), sd * y.std(), out=np.zeros(x.shape[1]), where=sd > 1e-12)
+    return np.flatnonzero([sd[k] > 1e-12 and pearson_p(float(np.clip(v, -1, 1)), len(y)) < below for k, v in enumerate(r)])
+
+
+def refit(x: np.ndarray, y: np.ndarray, fit: VbsrFit, level: float = 0.05) -> tuple[np.ndarray, np.ndarray, float]:
+    """Ordinary least squares on the features below the Bonferroni limit: their columns, coefficients, intercept."""
+    on = np.flatnonzero(fit.p < level / x.shape[1])
+    beta = np.linalg.lstsq(np.hstack([np.ones((len(y), 1)), x[:, on]]), y, rcond=None)[0]
+    return on, beta[1:], float(beta[0])
+
+
+def vbsr_logistic(x: np.ndarray, y: np.ndarray, l0: float | None = None, post: float = 0.95, seed: int = 0, eps: float = 1e-6, max_rounds: int = 1000) -> VbsrFit:
+    """Fit of a 0/1 response by weighted coordinate steps on the working residuals; one order of the features.
+
+    Fitted probabilities of 0 or 1 (separable data) are a ValueError.
+    """
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    n, p = x.shape
+    scale = x.std(0)
+    alive = scale > 1e-12
+    z = np.zeros_like(x)
+    z[:, alive] = (x[:, alive] - x[:, alive].mean(0)) / scale[alive]
+    design = np.hstack([np.ones((n, 1)), z])
+    l0 = penalty(n, p + 1, post) if l0 is None else l0
+    order = np.random.default_rng(seed).permutation(np.concatenate([[0], np.flatnonzero(alive) + 1]))
+    eb, pr, stat = np.zeros(p + 1), np.zeros(p + 1), np.zeros(p + 1)
+    eta = np.zeros(n)
+    for _ in range(max_rounds):
+        m = 1 / (1 + np.exp(-eta))
+        w = m * (1 - m)
+        if (w < 1e-10).any():
+            raise ValueError("fitted probabilities reached 0 or 1")
+        resid = (y - m) / w
+        before = eb.copy()
+        for k in order:
+            c = design[:, k]
+            precision = (w * c * c).sum()
+            mu = (w * c * resid).sum() / precision + eb[k]
+            q = 1.0 if k == 0 else 1 / (1 + np.exp(-0.5 * np.clip(mu * mu * precision + l0 - np.log(precision), -1400, 1400)))
+            new = q * mu
+            resid -= c * (new - eb[k])
+            eta += c * (new - eb[k])
+            eb[k], pr[k], stat[k] = new, q, mu * math.sqrt(precision)
+        if np.abs(eb - before).max() < eps:
+            break
+    beta = np.where(alive, eb[1:] / np.where(alive, scale, 1.0), 0.0)
+    return VbsrFit(beta, stat[1:], np.array([chi2_sf1(s * s) for s in stat[1:]]), pr[1:], float(eb[0] - np.where(alive, x.mean(0), 0) @ beta), l0, np.ones(1))
+
+
+def kl_to_null(z: np.ndarray, alpha: float, screened: float = 1.0, draws: int = 1000, seed: int = 0) -> tuple[np.ndarray, float, float]:
+    """For each column of z statistics the log divergence of their bulk from the normal null cut at ``alpha`` (and beyond ``screened``, where features were screened), and mean and deviation of the same under the null.
+
+    The divergence is between normals: mean squared over two, and (v - 1 - ln v) / 2 of the variance over the cut normal's.
+    """
+    density = lambda t: math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+    low = -normal_quantile(screened / 2) if screened < 1 else 0.0
+    high = -normal_quantile(alpha / 2)
+    inside = 2 * (0.5 * math.erf(high / math.sqrt(2)) - 0.5 * math.erf(low / math.sqrt(2)))
+    reference = 1 + 2 * (low * density(low) - high * density(high)) / inside
+
+    def divergence(column: np.ndarray) -> float:
+        bulk = column[(np.abs(column) < high) & (np.abs(column) >= low)]
+        if len(bulk) < 3:
+            return float("nan")
+        v = bulk.var(ddof=1) / reference
+        return math.log(max(bulk.mean() ** 2 / 2 + 0.5 * (v - 1 - math.log(v)), 1e-300))
+
+    rng = np.random.default_rng(seed)
+    null = []
+    for _ in range(draws):
+        sample = rng.standard_normal(len(z) if low == 0 else int(len(z) / screened * 1.5))
+        null.append(divergence(sample[np.abs(sample) >= low][: len(z)]))
+    return np.array([divergence(c) for c in z.T]), float(np.nanmean(null)), float(np.nanstd(null, ddof=1))
+
+
+def vbsr_path(x: np.ndarray, y: np.ndarray, l0s: np.ndarray, alpha: float = 0.01, rule: str = "mean", errors: float = 0.0, **fit) -> tuple[VbsrFit, list[VbsrFit], np.ndarray]:
+    """Fits along penalties, from the strongest to the weakest, and the one chosen by the divergence of its statistics.
+
+    The choice is the last crossing of the path's divergence with its smallest value (``rule`` min) or the null's mean
+    (``mean``), plus so many standard ``errors`` of the null: of the two fits at the crossing, the nearer.
+    """
+    if rule not in ("min", "mean"):
+        raise ValueError(f"unknown rule {rule!r}")
+    fits = [vbsr(x, y, l0=float(v), **fit) for v in l0s]
+    kl, mean, se = kl_to_null(np.stack([f.z for f in fits], 1), alpha)
+    target = (np.nanmin(kl) if rule == "min" else mean) + errors * se
+    crossing = [k for k in range(len(kl) - 1) if min(kl[k], kl[k + 1]) <= target <= max(kl[k], kl[k + 1])]
+    if crossing:
+        k = crossing[-1]
+        best = k if abs(kl[k] - target) <= abs(kl[k + 1] - target) else k + 1
+    else:
+        best = int(np.nanargmin(np.abs(kl - target)))
+    return fits[best], fits, kl

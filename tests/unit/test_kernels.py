@@ -11,7 +11,7 @@ from corrweave.kernels import hclust, perm
 from corrweave.kernels.cliques import maximal_cliques
 from corrweave.kernels.lasso import cv_lasso, lambda_path, path
 from corrweave.kernels.modules import discover, reassign, regression, seed_modules
-from corrweave.kernels.vbsr import penalty, vbsr
+from corrweave.kernels.vbsr import kl_to_null, penalty, refit, screen, vbsr, vbsr_logistic, vbsr_path
 
 
 def test_published_p_values():
@@ -156,3 +156,35 @@ def test_small_modules_dissolve():
     assert len(np.unique(seed_modules(x[~is_reg], 3, 1))) == 3
     with pytest.raises(ValueError):
         regression("NONE")
+
+
+def test_vbsr_options():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(150, 40))
+    y = 2 * x[:, 4] - x[:, 9] + rng.normal(0, 0.5, 150)
+    assert {4, 9} <= set(screen(x, y, 0.01)) and len(screen(x, y, 0.01)) < 10
+    on, beta, intercept = refit(x, y, vbsr(x, y, best_only=True))
+    assert on.tolist() == [4, 9] and beta == pytest.approx([2, -1], abs=0.15) and abs(intercept) < 0.2
+    best, fits, kl = vbsr_path(x, y, np.array([-60.0, -20.0, -8.0]), orderings=3)
+    assert len(fits) == len(kl) == 3 and any(best is f for f in fits)
+    with pytest.raises(ValueError):
+        vbsr_path(x, y, np.array([-20.0]), rule="max")
+
+
+def test_vbsr_logistic():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 15))
+    y = (rng.random(400) < 1 / (1 + np.exp(-(1.5 * x[:, 2] - 1.2 * x[:, 7])))).astype(float)
+    fit = vbsr_logistic(x, y)
+    assert set(np.flatnonzero(fit.post > 0.95)) == {2, 7} and fit.beta[2] == pytest.approx(1.5, abs=0.5)
+    with pytest.raises(ValueError):
+        vbsr_logistic(x[:, :1] * 100, (x[:, 0] > 0).astype(float), l0=0.0)
+
+
+def test_divergence_of_null_statistics_is_the_nulls():
+    rng = np.random.default_rng(9)
+    z = np.stack([rng.standard_normal(2000), rng.standard_normal(2000) * 2 + 1], 1)
+    kl, mean, se = kl_to_null(z, 0.05, draws=200)
+    assert abs(kl[0] - mean) < 4 * se and kl[1] > mean + 4 * se
+    kl, mean, se = kl_to_null(z[np.abs(z[:, 0]) > 0.7][:, :1], 0.05, screened=0.5, draws=100)
+    assert math.isfinite(kl[0]) and se > 0
