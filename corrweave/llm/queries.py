@@ -142,4 +142,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chunks": op9_chunks,
     "op10_bpe": op10_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED_WORDS = rf"regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+')"
+_ALNUM_WORDS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Where SQL can express a query. The others are tested against brute force, round trips or held-out labels.
+ORACLE_SQL: dict[str, str] = {
+    "op2_neardup": f"""WITH RECURSIVE w AS (SELECT doc_id, {_SPACED_WORDS} AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + least(len(ws), 3) - 1], ' ') AS win FROM w, unnest(range(1, greatest(len(ws) - 1, 2))) t(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM sh a JOIN sh b ON a.win = b.win AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT u, v FROM common JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * k >= 85 * (x.n + y.n - k)),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.doc_id)
+SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(c) AS component_id, d.doc_id = min(c) AS kept FROM r JOIN documents d USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id""",
+    "op3_decontaminate": f"""WITH w AS (SELECT doc_id, {_ALNUM_WORDS} AS ws FROM documents), b AS (SELECT item_id, {_ALNUM_WORDS} AS ws FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[i : i + least(len(ws), 10) - 1], ' ') AS win FROM b, unnest(range(1, greatest(len(ws) - 8, 2))) t(i) WHERE len(ws) > 0),
+lens AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, i, n, array_to_string(ws[i : i + n - 1], ' ') AS win FROM w, lens, unnest(range(1, len(ws) - n + 2)) t(i)),
+h AS (SELECT doc_id, i, n, item_id FROM dw JOIN bw USING (n, win)),
+p AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM h, unnest(range(n)) q(k) GROUP BY 1),
+it AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS sha FROM (SELECT DISTINCT doc_id, item_id::varchar AS item FROM h) GROUP BY 1)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM w LEFT JOIN p USING (doc_id) LEFT JOIN it USING (doc_id)""",
+}
