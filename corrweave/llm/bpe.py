@@ -29,6 +29,8 @@ CACHE_CHUNKS = 400_000
 TRIE_NODES = 600_000
 #: Token pairs whose standing is remembered.
 KNOWN_PAIRS = 400_000
+#: Chunks kept from one task to the next: a Python worker that does other work next gives the rest of the memory back.
+KEPT_CHUNKS = 250_000
 #: Added to the last character of a word: it stands for the character with the word-end mark.
 _LAST = 0x1000
 #: Printable ASCII and Latin letters whose lower case is one Latin letter: normalisation leaves them as they are.
@@ -273,12 +275,14 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, cache, names = trie_encoder(tokenizer)
+        bpe, cache, names = trie_encoder(tokenizer)
         for rows, texts in blocks(batches, text_col, 1 << 19):
             offsets, ids = cache(texts)
             spelled = list(map(names.__getitem__, ids.tolist()))
             decoded = [" ".join(spelled[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())), pa.array(decoded, pa.string())], [id_col, "ids", "decoded"])
+        cache.shrink(KEPT_CHUNKS)
+        bpe.clear()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
