@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corrweave.functions.scalar import adjust_p, average_rank, capped_log10, signif
 from corrweave.operators import assoc, evidence, graph, layout, prep, tests
-from corrweave.plans import inference
+from corrweave.plans import inference, report
 from corrweave.sources.adapters import B_SQL, E_SQL, L_SQL, M_SQL, brand_set, embedding_set, module_members, rewired_modules, supplier_set
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -434,6 +434,11 @@ def support_cumulative(spark, sf_dir):
     return evidence.cumulative_support(_evidence(spark, sf_dir))
 
 
+@query(EVIDENCE + " SELECT support, count(*) FILTER (evidence = 0) AS evidence_0, count(*) FILTER (evidence = 1) AS evidence_1 FROM ej GROUP BY 1")
+def support_by_evidence(spark, sf_dir):
+    return report.contingency(_evidence(spark, sf_dir), "support", "evidence", [0, 1])
+
+
 @query(f"WITH {G_SQL}, p AS (SELECT graph, count(*) AS e, count(DISTINCT regulator) AS r, count(DISTINCT target) AS t FROM edges GROUP BY 1) SELECT count(*) AS graphs, round(avg(e), 6) AS edges, round(avg(r), 6) AS regulators, round(avg(t), 6) AS targets, round(avg(100.0::double * e / (r * t)), 6) AS percent_possible FROM p")
 def run_overview(spark, sf_dir):
     return evidence.run_overview(_edges(spark, sf_dir)).select("graphs", r6("edges"), r6("regulators"), r6("targets"), r6("percent_possible"))
@@ -664,3 +669,12 @@ def regulator_ranking(spark, sf_dir):
 def gene_order(spark, sf_dir):
     """Genes in the order of the leaves of the tree over their correlation differences."""
     return inference.gene_order(assoc.label_difference(_few_labelled(spark, sf_dir)))
+
+
+@query()
+def clique_points(spark, sf_dir):
+    from corrweave.operators.prep import variance_by
+
+    corr = _abs_corr(spark, sf_dir)
+    points = report.clique_points(inference.cliques(graph.high_corr_graph(corr, _TH)), corr, variance_by(embedding_set(spark, sf_dir).expr, "gene"))
+    return points.select("component", "clique", "size_class", r6("avg_variance"), r6("median_r"))

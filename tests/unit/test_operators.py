@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corrweave.functions.scalar import adjust_p, capped_log10, fisher_combined, signif
 from corrweave.kernels.modules import REGRESSIONS
 from corrweave.operators import evidence, graph, prep, tests, validate
-from corrweave.plans import inference, pipeline
+from corrweave.plans import inference, pipeline, report
 from corrweave.sources import files
 from corrweave.sources.adapters import ExprSet
 
@@ -181,3 +181,19 @@ def test_validation(spark, planted):
     for bad in (-0.1, 2, "x", True):
         with pytest.raises(ValueError):
             validate.check_threshold("threshold", bad)
+
+
+def test_reports(spark, planted, tmp_path):
+    genes = planted.genes.where("gene in ('b0', 'b1', 'r0', 'r1')")
+    found = report.module_report(planted, genes, "LM", draws=20)
+    found.write(f"file://{tmp_path}/module")
+    assert files.read_table(spark, f"file://{tmp_path}/module/edges").count() == 4
+    assert found.tables["null"].count() == 21 and "<h2>regulators</h2>" in found.html("m")
+    edges = spark.createDataFrame([("g1", "t1", "r1", 1.0), ("g2", "t1", "r1", 1.0), ("g2", "t2", "r1", 0.5)], "graph string, target string, regulator string, weight double")
+    peaks = spark.createDataFrame([("r1", "t1", 4)], "regulator string, target string, peaks int")
+    tables = report.evidence_report(edges, peaks)
+    assert tables["edges"].first()["key"] == "t1||r1"
+    assert sorted(map(tuple, tables["support_by_evidence"].collect())) == [(1, 1, 0), (2, 0, 1)]
+    assert report.first_last(["a", "b", "c", "d"]) == "a, ..., d" and report.cell({1: 3, 0: 2}) == "0:2 1:3"
+    values = planted.expr.where("gene < 'r'").withColumn("module", F.substring("gene", 1, 1))
+    assert [r["module"] for r in report.rewired_ids(values, planted.samples, tests.PermutationPlan(50, 100)).collect()] == ["a"]
