@@ -629,13 +629,13 @@ def vbsr_graph(spark, sf_dir):
 
 @query()
 def module_discovery(spark, sf_dir):
-    data = embedding_set(spark, sf_dir)
+    data = brand_set(spark, sf_dir)
     return inference.discover_modules(data.expr, data.genes, inference.DiscoveryParams(modules=4, bootstraps=2, iterations=5, mode="LASSOmin")).select("bootstrap", "module", "role", "gene", r6("beta"))
 
 
 @query()
 def module_graphs(spark, sf_dir):
-    data = embedding_set(spark, sf_dir)
+    data = brand_set(spark, sf_dir)
     found = inference.discover_modules(data.expr, data.genes, inference.DiscoveryParams(modules=4, bootstraps=1, iterations=3, mode="LASSOmin"))
     return inference.module_graphs(data.expr, found, "LASSOmin").select("bootstrap", "module", "regulator", "target", r6("weight"))
 

@@ -155,6 +155,8 @@ def discover(expr: np.ndarray, is_regulator: np.ndarray, samples: list[str], mod
     t, r = parts["train"][~is_regulator], parts["train"][is_regulator]
     if len(r) < 2:
         raise ValueError("at least two regulators are needed")
+    if not len(t):
+        return []
     module = seed_modules(t, modules, seed * 1000 + bootstrap, profile)
     beta = programs(t, module, r, mode, profile, fdr, seed)
     for _ in range(iterations - 1):

@@ -40,8 +40,8 @@ class DiscoveryParams:
 
 
 def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, list[str], list[str]]:
-    """Samples x genes, both in order."""
-    wide = pdf.pivot(index="sample", columns="gene", values="value").sort_index().sort_index(axis=1)
+    """Samples x genes, both in order; samples that lack a gene are left out."""
+    wide = pdf.pivot(index="sample", columns="gene", values="value").sort_index().sort_index(axis=1).dropna()
     return wide.to_numpy(float), list(wide.index), list(wide.columns)
 
 
@@ -52,7 +52,7 @@ def _labelled(values: DataFrame, samples: DataFrame) -> DataFrame:
 def _null_of(pdf: pd.DataFrame, draws: int, seed: int) -> tuple[float, np.ndarray]:
     label = pdf.drop_duplicates("sample").set_index("sample")["phenotype"]
     x, names, _ = _matrix(pdf)
-    y = label.loc[names].to_numpy(np.int8)
+    y = label.loc[names].to_numpy().astype(np.int8)
     x = x[:, varying(x, y)] if 0 < y.sum() < len(y) else x[:, :0]
     if x.shape[1] < 2:
         return float("nan"), np.zeros(0)
