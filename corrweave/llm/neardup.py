@@ -175,6 +175,8 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id
     labels = found if more.isEmpty() else materialize(connected_components(links.unionByName(more)), "found")
 
     ids = classes.select("d1", "d2", "n", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("linked"))
+    #: Written first: both sides of the join are then plain exchanges, and adaptive execution can split a hot digest.
+    ids = materialize(ids, "classes")
     out = base.select("doc_id", "n", "d1", "d2").join(ids.hint("merge"), ["d1", "d2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("linked")).otherwise(F.col("doc_id"))
     drop(spark, shared, sets, links, more, open_)
