@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corrweave.llm.text import blocks
+from corrweave.llm.text import blocks, small_batches
 
 #: Chunks kept with their encodings in one Python worker (beyond that, the more frequent half stays), and trie nodes (beyond that, the trie starts anew).
 CACHE_CHUNKS = 400_000
@@ -285,4 +285,4 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         bpe.clear()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")

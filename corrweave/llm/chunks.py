@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corrweave.llm.text import blocks, join_texts
+from corrweave.llm.text import blocks, join_texts, small_batches
 
 #: Bytes that the hash looks back over: one shift drops each byte after 32 steps.
 REACH = 32
@@ -105,7 +105,7 @@ def chunk_table(docs: DataFrame, params: ChunkParams = ChunkParams(), id_col: st
             both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(owner)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(at, pa.int32()), pa.array(end, pa.int32()), pa.array(words.astype(np.int32))], schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, schema)
 
 
 def repeated_passages(docs: DataFrame, params: ChunkParams = ChunkParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corrweave.llm.text import ALNUM, blocks, window_hashes, words_of
+from corrweave.llm.text import ALNUM, blocks, small_batches, window_hashes, words_of
 from corrweave.plans.shared import materialize
 
 #: Words of a benchmark window.
@@ -174,7 +174,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPANS_ARROW), pa.array(items, pa.list_(pa.string()))], [id_col, "n_words", "spans", "items"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("spans", _SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, schema)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,7 +189,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             _, spans, _ = shared.value.search(texts)
             yield rows.filter(pa.array([not s for s in spans], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def _windows(kind: str, lengths: list[int], key: str):
@@ -228,7 +228,7 @@ def _find_by_shuffle(docs: DataFrame, benchmark: DataFrame, id_col: str, text_co
         for rows, texts in blocks(batches, "text"):
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(words_of(texts, ALNUM).counts)], ["row", "n_words"])
 
-    items = benchmark_rows(benchmark)
+    items = benchmark_rows(small_batches(benchmark))
     spec = "{} string, t int, at long, h long"
     lengths = list(range(1, WINDOW + 1))
     prints = items.mapInArrow(_windows("prints", lengths, "item"), spec.format("item")).select("t", "h").distinct()

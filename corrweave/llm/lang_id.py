@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corrweave.llm.text import blocks, mix64
+from corrweave.llm.text import blocks, mix64, small_batches
 
 UNKNOWN = "und"
 #: Distinct n-grams of a language that a task holds before it sends their counts on.
@@ -158,7 +158,7 @@ def train(docs: DataFrame, learn: Column | None = None, params: LanguageParams =
         for lang in held:
             yield emit(lang)
 
-    picked = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    picked = small_batches(docs).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     picked = picked.where(learn) if learn is not None else picked
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
     counts = picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias(text_col)).mapInArrow(run, schema).groupBy("gram", "lang").agg(F.sum("n").alias("n"))
@@ -186,7 +186,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(lang, pa.string()), pa.array(score)], [id_col, "lang_pred", "score"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, schema)
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least_score: float, text_col: str = "text") -> DataFrame:
@@ -198,4 +198,4 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least_score: float, t
             lang, score = shared.value.predict(texts)
             yield rows.filter(pa.array([x != UNKNOWN and s >= least_score for x, s in zip(lang, score.tolist(), strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

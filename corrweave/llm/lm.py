@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corrweave.llm.text import SPACED, blocks, mix64, words_of
+from corrweave.llm.text import SPACED, blocks, mix64, small_batches, words_of
 from corrweave.plans.shared import drop, materialize
 
 #: The end token's hash.
@@ -199,7 +199,7 @@ def score(docs: DataFrame, learn: Column, params: LmParams = LmParams(), id_col:
     """
     spark = docs.sparkSession
     groups = max(params.groups, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("train"))
+    picked = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("train"))
     counts = materialize(_word_counts(picked.where("train"), "text"), "words")
     tables, outside = _frequent(counts, params)
     shared = spark.sparkContext.broadcast(tables)  # 16 bytes for each of params.words at most

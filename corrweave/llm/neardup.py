@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corrweave.llm.text import SPACED, blocks, mix64, window_hashes, words_of
+from corrweave.llm.text import SPACED, blocks, mix64, small_batches, window_hashes, words_of
 from corrweave.plans.components import connected_components
 from corrweave.plans.shared import drop, materialize
 
@@ -88,7 +88,7 @@ def signatures(docs: DataFrame, params: NearDupParams, id_col: str, text_col: st
             halves = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(h).view(np.int64).ravel())) for h in (bands[:, : params.side], bands[:, params.side :])]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)), *halves], schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, schema)
 
 
 def _sets(docs: DataFrame, params: NearDupParams, id_col: str, text_col: str) -> DataFrame:
@@ -100,7 +100,7 @@ def _sets(docs: DataFrame, params: NearDupParams, id_col: str, text_col: str) ->
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], ["id", "shingles"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("shingles", T.ArrayType(T.LongType()))]))
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("shingles", T.ArrayType(T.LongType()))]))
 
 
 def _close_sizes(a: str, b: str, percent: int) -> Column:

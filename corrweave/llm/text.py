@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text handled at once; a longer text is handled alone.
 BLOCK_BYTES = 1 << 20
@@ -106,11 +108,24 @@ def window_hashes(hashed: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+#: Rows and bytes of the batches that Spark hands to Python: texts are long, and every task holds a batch on both sides.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame, with its session's Arrow batches limited from now on. Results do not depend on it."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Pieces of the batches with at most ``size`` bytes of text each (or one row), and their texts as bytes."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text)).cast(pa.binary() if not pa.types.is_large_string(batch.schema.field(text).type) else pa.large_binary())
-        lengths = [len(x) if x else 0 for x in (column.to_pylist() if batch.num_rows else [])]
+        lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         begin, held = 0, 0
         for k, n in enumerate(lengths):
             if k > begin and held + n > size:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corrweave.llm.bpe import ChunkCache, plain_pretokens
-from corrweave.llm.text import blocks
+from corrweave.llm.text import blocks, small_batches
 
 MAGIC, END = b"CWTOKS01", b"CWTOKEND"
 #: Documents the dictionary is trained on (those with the smallest hash), bytes of each kept, and the dictionary's size.
@@ -152,7 +152,7 @@ def write_store(docs: DataFrame, store: str, tokenizer: str, end_id: int = 1, wi
     holds is one shard's compressed frames. Returns the manifest (a row of totals for each shard goes to the driver).
     """
     spark = docs.sparkSession
-    picked = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
+    picked = small_batches(docs).select(F.col(id_col).cast("long").alias(id_col), text_col)
     dictionary = _train(picked, tokenizer, end_id, width, text_col, id_col)
     digest = hashlib.sha256(dictionary).hexdigest()
     _write(f"{store}/dictionary.zst", dictionary)
