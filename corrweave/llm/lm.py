@@ -6,10 +6,11 @@ The weights of each bucket are learned by expectation-maximisation on held-out c
 deleted from the counts that predict it, so that c(h, w) - 1 of c(h) - 1 and c(w) - 1 of N - 1 are left. The counts of
 equal estimates are added up first, so EM runs on a histogram of bounded size.
 
-Counts cover every training text. Words travel as 64-bit hashes. The most frequent words (a bounded table) have short
-numbers; bigrams are counted among them and move in compressed blocks, one for each task and group. Bigrams that are
-frequent in any task are scored where they are read, from a bounded table, so that no group is hot. Other words' counts
-come by a join, and they take the unigram and uniform estimates.
+Counts cover every training text, and bigrams of all words are counted. Words travel as 64-bit hashes. The most frequent
+words (a bounded table) have short numbers; bigrams among them move in compressed blocks, one for each task and group.
+Bigrams that are frequent in any task are scored where they are read, from a bounded table, so that no group is hot. Both
+tables are only fast paths: bigrams with a word outside the first are counted as pairs of hashes in the same groups, and
+their counts and those of their words come by joins, so that no result depends on the tables' sizes.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corrweave.llm.text import SPACED, blocks, mix64, small_batches, words_of
-from corrweave.plans.shared import drop, materialize
+from corrweave.plans.shared import materialize
 
 #: The end token's hash.
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
@@ -53,7 +54,7 @@ def _unbin(k: np.ndarray) -> np.ndarray:
 
 
 def _bucket(c: np.ndarray) -> np.ndarray:
-    """0 for contexts outside the table, else 1 + floor(log2 c)."""
+    """0 for contexts never seen in training, else 1 + floor(log2 c)."""
     return np.where(c > 0, 1 + np.floor(np.log2(np.maximum(c, 1))), 0).astype(np.int64)
 
 
@@ -135,6 +136,16 @@ def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return once, np.bincount(where, weights=values, minlength=len(once)).astype(np.int64)
 
 
+def _pair_sums(h: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of equal pairs of hashes added up, in order of the first."""
+    order = np.lexsort((w, h))
+    h, w, c = h[order], w[order], c[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
+    at = np.flatnonzero(new)
+    return h[at], w[at], np.add.reduceat(c, at) if len(at) else c
+
+
 class _Held:
     """Counts of keys that a task adds up, merged now and then."""
 
@@ -173,8 +184,8 @@ def _word_counts(train: DataFrame, text_col: str) -> DataFrame:
     return train.select(text_col).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _frequent(counts: DataFrame, params: LmParams) -> tuple[_Tables, dict[int, int]]:
-    """The table of words above the count at which it is full, and words by count for the words outside it."""
+def _frequent(counts: DataFrame, params: LmParams) -> _Tables:
+    """The table of words above the count at which it is full."""
     by_count = {r["c"]: r["n"] for r in counts.groupBy("c").agg(F.count("*").alias("n")).collect()}  # as many rows as there are different counts
     room, least = params.words, 1
     for c in sorted(by_count, reverse=True):
@@ -185,8 +196,26 @@ def _frequent(counts: DataFrame, params: LmParams) -> tuple[_Tables, dict[int, i
     top = counts.where(F.col("c") >= least).toArrow()  # params.words rows at most, 16 bytes each
     hashes = top["h"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    tables = _Tables(hashes[order], top["c"].to_numpy()[order], sum(c * n for c, n in by_count.items()), sum(by_count.values()))
-    return tables, {c: n for c, n in by_count.items() if c < least}
+    return _Tables(hashes[order], top["c"].to_numpy()[order], sum(c * n for c, n in by_count.items()), sum(by_count.values()))
+
+
+def _bucket_of(c: Column) -> Column:
+    """The same as ``_bucket``, as a column: the binary digits of the count."""
+    return F.when(c > 0, F.length(F.bin(c))).otherwise(0)
+
+
+def _bin_of(x: Column) -> Column:
+    return F.when(x > 0, F.least(F.rint(-4 * F.log2(x)).cast("long"), F.lit(_BINS - 2))).otherwise(_BINS - 1)
+
+
+def _with_counts(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    """``ch`` and ``cw`` filled in by joins where the table of frequent words left them 0; other rows' keys are spread, so that no frequent word is hot."""
+    for side, count in (("h", "ch"), ("w", "cw")):
+        look = F.when(F.col(count) > 0, F.xxhash64("h", "w")).otherwise(F.col(side))
+        every = counts.select(F.col("h").alias("look"), F.col("c").alias("found"))
+        joined = pairs.withColumn("look", look).join(every.hint("merge"), "look", "left")
+        pairs = joined.withColumn(count, F.when(F.col(count) > 0, F.col(count)).otherwise(F.coalesce("found", F.lit(0)))).drop("look", "found")
+    return pairs
 
 
 def score(docs: DataFrame, learn: Column, params: LmParams = LmParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,23 +230,32 @@ def score(docs: DataFrame, learn: Column, params: LmParams = LmParams(), id_col:
     groups = max(params.groups, int(spark.conf.get("spark.sql.shuffle.partitions")))
     picked = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("train"))
     counts = materialize(_word_counts(picked.where("train"), "text"), "words")
-    tables, outside = _frequent(counts, params)
+    tables = _frequent(counts, params)
     shared = spark.sparkContext.broadcast(tables)  # 16 bytes for each of params.words at most
     n, v = tables.total, tables.distinct
     uniform = 1.0 / (v + 1)
     end = int(tables.numbers(np.array([END]))[0])
 
     def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of counted pairs for each group; cells of the histogram for tokens that no pair predicts (group -1: place and count)."""
+        """Blocks of counted pairs for each group: pairs of numbers, or hashes of contexts beside those of their words."""
         table = shared.value
-        held, cells = _Held(), np.zeros(_BUCKETS * _BINS + _BUCKETS, np.int64)
+        held, far = _Held(), []
+
+        def block(g: int, keys: np.ndarray, c: np.ndarray, words: bytes | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([_pack(keys, c)], pa.binary()), pa.array([words], pa.binary())], ["g", "data", "words"])
 
         def out() -> Iterator[pa.RecordBatch]:
             pairs, c = held.merged()
             at = _group_of(pairs, groups)
             for g in np.unique(at).tolist():
                 mine = at == g
-                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([_pack(pairs[mine], c[mine])], pa.binary())], ["g", "data"])
+                yield block(g, pairs[mine], c[mine], None)
+            if far:
+                h, w, c = _pair_sums(*(np.concatenate(x) for x in zip(*far, strict=True)))
+                at = _group_of(mix64(h) ^ w, groups)
+                for g in np.unique(at).tolist():
+                    mine = at == g
+                    yield block(g, h[mine], c[mine], w[mine].tobytes())
 
         for _, texts in blocks(batches, "text"):
             hashed, first, _ = _tokens(texts)
@@ -225,58 +263,62 @@ def score(docs: DataFrame, learn: Column, params: LmParams = LmParams(), id_col:
             before = _contexts(number, first, end)
             both = (number >= 0) & (before >= 0)
             held.add((before[both].astype(np.uint64) << np.uint64(21)) | number[both].astype(np.uint64))
-            rest = ~both
-            bucket = _bucket(np.where(before[rest] >= 0, table.counts[before[rest]], 0))
-            known = number[rest] >= 0
-            f1 = _bin((table.counts[number[rest][known]] - 1) / max(table.total - 1, 1))
-            np.add.at(cells, bucket[known] * _BINS + f1, 1)
-            np.add.at(cells, _BUCKETS * _BINS + bucket[~known], 1)
-            if held.size > held.limit // 2:
+            if not both.all():
+                far.append(_pair_sums(_contexts(hashed, first, END)[~both], hashed[~both], np.ones((~both).sum(), np.int64)))
+            if held.size + 2 * sum(len(h) for h, _, _ in far) > held.limit // 2:
                 yield from out()
-                held = _Held()
+                held, far = _Held(), []
         yield from out()
-        at = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([_pack(at.astype(np.uint64), np.minimum(cells[at], 0xFFFFFFFF))], pa.binary())], ["g", "data"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each group, the cells of the histogram (kind 0) and the most frequent pairs (kind 1)."""
+        """Of each group, the cells of the histogram (kind 0), the most frequent pairs (kind 1), and all pairs with a word outside the table (kind 2: ``at`` is the context's hash, counts of words outside are 0)."""
         table = shared.value
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-
-        def close(g: int) -> pa.RecordBatch:
-            pairs, c = _sums(np.concatenate([a for a, _ in held[g]]), np.concatenate([b for _, b in held[g]]))
-            if g < 0:
-                return pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), 2, np.int32)), pa.array(pairs.view(np.int64)), pa.array(c)], ["kind", "at", "c"])
-            h, w = table.counts[(pairs >> np.uint64(21)).astype(np.int64)], table.counts[(pairs & np.uint64((1 << 21) - 1)).astype(np.int64)]
-            cell = (_bucket(h) * _BINS + _bin((c - 1) / np.maximum(h - 1, 1))) * _BINS + _bin((w - 1) / max(table.total - 1, 1))
-            cell, mass = _sums(cell, c)
-            top = np.argsort(-c, kind="stable")[: max(1, params.hot_bigrams // groups)]
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([0, 1], np.int32), [len(cell), len(top)])), pa.array(np.concatenate([cell, pairs[top].view(np.int64)])), pa.array(np.concatenate([mass, c[top]]))], ["kind", "at", "c"])
+        held: dict[int, tuple[list, list]] = {}
+        names = ["kind", "at", "w", "c", "ch", "cw"]
+
+        def count_of(hashed: np.ndarray) -> np.ndarray:
+            number = table.numbers(hashed)
+            return np.where(number >= 0, table.counts[number] if len(table.counts) else 0, 0)
+
+        def close(g: int) -> Iterator[pa.RecordBatch]:
+            near, far = held[g]
+            if near:
+                pairs, c = _sums(np.concatenate([a for a, _ in near]), np.concatenate([b for _, b in near]))
+                h, w = table.counts[(pairs >> np.uint64(21)).astype(np.int64)], table.counts[(pairs & np.uint64((1 << 21) - 1)).astype(np.int64)]
+                cell = (_bucket(h) * _BINS + _bin((c - 1) / np.maximum(h - 1, 1))) * _BINS + _bin((w - 1) / max(table.total - 1, 1))
+                cell, mass = _sums(cell, c)
+                top = np.argsort(-c, kind="stable")[: max(1, params.hot_bigrams // groups)]
+                m = len(cell) + len(top)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([0, 1], np.int32), [len(cell), len(top)])), pa.array(np.concatenate([cell, pairs[top].view(np.int64)])), pa.nulls(m, pa.int64()), pa.array(np.concatenate([mass, c[top]])), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names)
+            if far:
+                h, w, c = _pair_sums(*(np.concatenate(x) for x in zip(*far, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), 2, np.int32)), pa.array(h.view(np.int64)), pa.array(w.view(np.int64)), pa.array(c), pa.array(count_of(h)), pa.array(count_of(w))], names)
 
         for batch in batches:
-            for g, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for g, data, words in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if held and g not in held:
                     for k in list(held):
-                        yield close(k)
+                        yield from close(k)
                     held.clear()
-                held.setdefault(g, []).append(_unpack(data))
+                near, far = held.setdefault(g, ([], []))
+                keys, c = _unpack(data)
+                if words is None:
+                    near.append((keys, c))
+                else:
+                    far.append((keys, np.frombuffer(words, np.uint64), c))
         for k in held:
-            yield close(k)
-
-    dealt = picked.where("train").select("text").mapInArrow(pair_counts, "g int, data binary").repartition(groups, "g").sortWithinPartitions("g")
-    found = materialize(dealt.mapInArrow(total, "kind int, at long, c long"), "bigrams")
+            yield from close(k)
+
+    dealt = picked.where("train").select("text").mapInArrow(pair_counts, "g int, data binary, words binary").repartition(groups, "g").sortWithinPartitions("g")
+    found = materialize(dealt.mapInArrow(total, "kind int, at long, w long, c long, ch long, cw long"), "bigrams")
+    far_pairs = found.where("kind = 2").select(F.col("at").alias("h"), "w", "c", "ch", "cw")
+    counted = _with_counts(far_pairs, counts)
+    ratio = lambda c, whole: _bin_of((c - 1) / whole)
+    far_cell = (_bucket_of(F.col("ch")) * _BINS + ratio(F.col("c"), F.greatest(F.col("ch") - 1, F.lit(1)))) * _BINS + ratio(F.col("cw"), F.lit(max(n - 1, 1)))
     cells: dict[tuple[int, int, int], float] = {}
-    rare_total = sum(c * k for c, k in outside.items()) or 1
-    for kind, at, c in found.where("kind != 1").groupBy("kind", "at").agg(F.sum("c")).collect():  # buckets x bins x bins rows at most
-        if kind == 0:
-            cells[at // _BINS**2, at // _BINS % _BINS, at % _BINS] = cells.get((at // _BINS**2, at // _BINS % _BINS, at % _BINS), 0) + c
-        elif at < _BUCKETS * _BINS:
-            cells[at // _BINS, _BINS - 1, at % _BINS] = cells.get((at // _BINS, _BINS - 1, at % _BINS), 0) + c
-        else:  # words outside the table, spread over their counts
-            for count, k in outside.items():
-                f1 = int(_bin(np.array([(count - 1) / max(n - 1, 1)]))[0])
-                key = (at - _BUCKETS * _BINS, _BINS - 1, f1)
-                cells[key] = cells.get(key, 0) + c * count * k / rare_total
+    every_cell = found.where("kind = 0").select(F.col("at").alias("cell"), "c").unionByName(counted.select(far_cell.cast("long").alias("cell"), "c"))
+    for at, c in every_cell.groupBy("cell").agg(F.sum("c")).collect():  # buckets x bins x bins rows at most
+        cells[at // _BINS**2, at // _BINS % _BINS, at % _BINS] = c
     weights = expectation_maximisation(cells, uniform, params.rounds)
     top = found.where("kind = 1").select("at", "c").toArrow()  # params.hot_bigrams rows at most, 16 bytes each
     order = np.argsort(top["at"].to_numpy())
@@ -287,12 +329,12 @@ def score(docs: DataFrame, learn: Column, params: LmParams = LmParams(), id_col:
         return np.log10(w[:, 0] * chw / np.maximum(ch, 1) + w[:, 1] * cw / max(n, 1) + w[:, 2] * uniform)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text with what is known of its score here; blocks of pairs for each group; rows for words outside the table.
+        """A row for each text with what is known of its score here; blocks of pairs for each group; rows for pairs with a word outside the table, whose counts are 0.
 
         ``row`` names a text by task, block and place, training texts of a block first."""
         table = shared.value
         hot_pairs, hot_counts = hot.value
-        names = ["g", "row", "id", "data", "h", "bucket", "k", "n_tokens", "n_known", "base", "score"]
+        names = ["g", "row", "id", "data", "h", "w", "ch", "cw", "k", "n_tokens", "n_known", "base", "score"]
         none = lambda size, kind: pa.nulls(size, kind)
         task, number_of_block = TaskContext.get().partitionId(), 0
         for rows, texts in blocks(batches, "text", 4 << 20):
@@ -312,16 +354,16 @@ def score(docs: DataFrame, learn: Column, params: LmParams = LmParams(), id_col:
             pairs = np.where(both, (before << 21) | number, 0).astype(np.uint64)
             spot = np.minimum(np.searchsorted(hot_pairs, pairs), max(len(hot_pairs) - 1, 0))
             is_hot = both & (hot_pairs[spot] == pairs) if len(hot_pairs) else np.zeros(len(pairs), bool)
-            here = is_hot | (inside & ~both)
             value = np.zeros(len(pairs))
-            value[here] = log_p(table, ch[here], cw[here], np.where(is_hot[here], hot_counts[spot[here]] if len(hot_counts) else 0, 0))
+            if is_hot.any():
+                value[is_hot] = log_p(table, ch[is_hot], cw[is_hot], hot_counts[spot[is_hot]])
             size = len(texts)
             total_of = lambda x: np.bincount(owner, weights=x, minlength=size)
             base = total_of(np.where(inside, np.log10((cw + 1) / (n + v + 1)), 0))
             row = base_row + np.arange(size)
             ids = rows.column(1 - 1).take(pa.array(order))
             yield pa.RecordBatch.from_arrays(
-                [pa.array((np.arange(size) % groups).astype(np.int32)), pa.array(row), ids, none(size, pa.binary()), none(size, pa.int64()), none(size, pa.int32()), none(size, pa.int64()), pa.array(np.diff(first)), pa.array(total_of(inside).astype(np.int64)), pa.array(base), pa.array(total_of(value))], names
+                [pa.array((np.arange(size) % groups).astype(np.int32)), pa.array(row), ids, none(size, pa.binary()), *(none(size, pa.int64()) for _ in range(5)), pa.array(np.diff(first)), pa.array(total_of(inside).astype(np.int64)), pa.array(base), pa.array(total_of(value))], names
             )
             go = both & ~is_hot
             p, o = pairs[go], owner[go]
@@ -333,18 +375,26 @@ def score(docs: DataFrame, learn: Column, params: LmParams = LmParams(), id_col:
             if full:
                 packed = [_pack(p[limits[g] : limits[g + 1]], o[limits[g] : limits[g + 1]]) for g in full]
                 m = len(full)
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(m, base_row)), none(m, ids.type), pa.array(packed, pa.binary()), none(m, pa.int64()), none(m, pa.int32()), pa.array(np.full(m, n_train)), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), none(m, pa.float64())], names)
-            far = ~inside
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(m, base_row)), none(m, ids.type), pa.array(packed, pa.binary()), *(none(m, pa.int64()) for _ in range(4)), pa.array(np.full(m, n_train)), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), none(m, pa.float64())], names)
+            far = ~both
             if far.any():
-                key = np.stack([hashed[far].view(np.int64), row[owner[far]], _bucket(ch[far])], 1)
-                once, k = np.unique(key, axis=0, return_counts=True)
+                h, w, o = _contexts(hashed, first, END)[far], hashed[far], owner[far]
+                sort = np.lexsort((o, w, h))
+                h, w, o = h[sort], w[sort], o[sort]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1]) | (o[1:] != o[:-1])
+                once = np.flatnonzero(new)
+                k = np.diff(np.append(once, len(h)))
                 m = len(once)
-                yield pa.RecordBatch.from_arrays([pa.array((once[:, 1] % groups).astype(np.int32)), pa.array(once[:, 1].copy()), none(m, ids.type), none(m, pa.binary()), pa.array(once[:, 0].copy()), pa.array(once[:, 2].astype(np.int32)), pa.array(k), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), none(m, pa.float64())], names)
+                of = row[o[once]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((of % groups).astype(np.int32)), pa.array(of), none(m, ids.type), none(m, pa.binary()), pa.array(h[once].view(np.int64)), pa.array(w[once].view(np.int64)), pa.array(ch[far][sort][once]), pa.array(cw[far][sort][once]), pa.array(k), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), none(m, pa.float64())], names
+                )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    parts = ["g int", "row long", f"id {kind}", "data binary", "h long", "bucket int", "k long", "n_tokens long", "n_known long", "base double", "score double"]
-    out_spec = f"row long, id {kind}, h long, bucket int, k long, n_tokens long, n_known long, base double, score double"
-    out_names = ["row", "id", "h", "bucket", "k", "n_tokens", "n_known", "base", "score"]
+    parts = ["g int", "row long", f"id {kind}", "data binary", "h long", "w long", "ch long", "cw long", "k long", "n_tokens long", "n_known long", "base double", "score double"]
+    out_spec = f"row long, id {kind}, h long, w long, ch long, cw long, k long, n_tokens long, n_known long, base double, score double"
+    out_names = ["row", "id", "h", "w", "ch", "cw", "k", "n_tokens", "n_known", "base", "score"]
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Count a group's pairs over training texts and score them for all; other rows pass."""
@@ -361,7 +411,7 @@ def score(docs: DataFrame, learn: Column, params: LmParams = LmParams(), id_col:
             rows, place = np.unique(row, return_inverse=True)
             m = len(rows)
             sums = np.bincount(place, weights=logs, minlength=m)
-            yield pa.RecordBatch.from_arrays([pa.array(rows), *(pa.nulls(m, f.type) for f in schema_arrow[1:8]), pa.array(sums)], out_names)
+            yield pa.RecordBatch.from_arrays([pa.array(rows), *(pa.nulls(m, f.type) for f in schema_arrow[1:10]), pa.array(sums)], out_names)
 
         schema_arrow = None
         for batch in batches:
@@ -373,7 +423,7 @@ def score(docs: DataFrame, learn: Column, params: LmParams = LmParams(), id_col:
             if plain.num_rows:
                 yield pa.RecordBatch.from_arrays([plain.column(plain.schema.get_field_index(c)) for c in out_names], out_names)
             blob = batch.filter(data.is_valid())
-            for g, row, raw, t in zip(blob.column(0).to_pylist(), blob.column(1).to_pylist(), blob.column(3).to_pylist(), blob.column(6).to_pylist(), strict=True):
+            for g, row, raw, t in zip(blob.column(0).to_pylist(), blob.column(1).to_pylist(), blob.column(3).to_pylist(), blob.column(8).to_pylist(), strict=True):
                 if g != group and held:
                     yield from close()
                     held = []
@@ -385,17 +435,18 @@ def score(docs: DataFrame, learn: Column, params: LmParams = LmParams(), id_col:
     sent = picked.select("id", "text", "train").mapInArrow(send, ", ".join(parts)).repartition(groups, "g").sortWithinPartitions("g")
     partial = materialize(sent.mapInArrow(receive, out_spec), "partial")
     table = spark.createDataFrame([(int(b), *map(float, w)) for b, w in enumerate(weights)], "bucket int, l2 double, l1 double, l0 double")
-    far = partial.where("h is not null").join(counts.hint("merge"), "h", "left").join(F.broadcast(table), "bucket")  # as many rows as buckets
-    c = F.coalesce(F.col("c"), F.lit(0))
+    rows = partial.where("h is not null").select("row", "h", "w", "ch", "cw", "k", (F.col("cw") == 0).alias("far"))
+    seen = rows.join(far_pairs.select("h", "w", F.col("c").alias("chw")).hint("merge"), ["h", "w"], "left")
+    far = _with_counts(seen, counts).withColumn("bucket", _bucket_of(F.col("ch"))).join(F.broadcast(table), "bucket")  # as many rows as buckets
+    ch, cw, chw = F.col("ch"), F.col("cw"), F.coalesce(F.col("chw"), F.lit(0))
     resolved = far.select(
         "row",
         F.lit(None).cast(kind).alias("id"),
         F.lit(None).cast("long").alias("n_tokens"),
-        F.when(c > 0, F.col("k")).otherwise(F.lit(0)).cast("long").alias("n_known"),
-        (F.col("k") * F.log10((c + 1) / F.lit(float(n + v + 1)))).alias("base"),
-        (F.col("k") * F.log10(F.col("l1") * c / F.lit(float(max(n, 1))) + F.col("l0") * F.lit(uniform))).alias("score"),
+        F.when(F.col("far") & (cw > 0), F.col("k")).otherwise(F.lit(0)).cast("long").alias("n_known"),
+        F.when(F.col("far"), F.col("k") * F.log10((cw + 1) / F.lit(float(n + v + 1)))).otherwise(F.lit(0.0)).alias("base"),
+        (F.col("k") * F.log10(F.col("l2") * chw / F.greatest(ch, F.lit(1)) + F.col("l1") * cw / F.lit(float(max(n, 1))) + F.col("l0") * F.lit(uniform))).alias("score"),
     )
     every = partial.where("h is null").select("row", "id", "n_tokens", "n_known", "base", "score").unionByName(resolved)
     out = every.groupBy("row").agg(F.max("id").alias("id"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    drop(spark, found)
     return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -182,6 +182,31 @@ def test_language_model_against_its_formula(spark):
         assert got[d] == pytest.approx(total, rel=1e-9)
 
 
+def test_language_model_counts_bigrams_of_all_words(spark):
+    """The tables are fast paths alone: scores and EM's histogram are the same with a table of any size."""
+    rnd = random.Random(14)
+    docs = [(k, " ".join(f"w{min(int(rnd.expovariate(0.05)), 200)}" for _ in range(40))) for k in range(80)] + [(900, "rare pair"), (901, "rare pair"), (902, "rare pair"), (903, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    seen, scores = [], []
+    plain = lm.expectation_maximisation
+
+    def spy(cells, *a):
+        seen.append(dict(cells))
+        return plain(cells, *a)
+
+    lm.expectation_maximisation = spy
+    try:
+        for params in (lm.LmParams(), lm.LmParams(words=8, hot_bigrams=50), lm.LmParams(words=0)):
+            scores.append({r["doc_id"]: (r["n_known"], r["base_score"], r["score"]) for r in lm.score(df, F.col("doc_id") % 5 != 0, params).collect()})
+    finally:
+        lm.expectation_maximisation = plain
+    assert sum(seen[0].values()) == sum(len(t.split()) + 1 for d, t in docs if d % 5)
+    for cells, got in zip(seen[1:], scores[1:], strict=True):
+        assert cells == seen[0]
+        for d, values in scores[0].items():
+            assert got[d] == pytest.approx(values, rel=1e-9)
+
+
 def test_em_finds_the_mixture():
     rnd = random.Random(2)
     cells = defaultdict(float)
