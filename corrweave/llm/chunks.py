@@ -109,7 +109,7 @@ def chunk_table(docs: DataFrame, params: ChunkParams = ChunkParams(), id_col: st
 
 
 def repeated_passages(docs: DataFrame, params: ChunkParams = ChunkParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Passages that a document shares with another: doc_id, at and end (bytes of the UTF-8 text, end exclusive), words, first_doc (the smallest id that has the passage's first chunk) and drop (every chunk of it occurs in a document with a smaller id).
+    """Passages that a document shares with another: doc_id, at and end (bytes of the UTF-8 text, end exclusive), words, first_doc (the smallest id that has the passage's first chunk), drop (every chunk of it occurs in a document with a smaller id) and earlier (at and end of each span of neighbouring chunks that do, in order, so that what a passage takes from smaller ids is known where it also has chunks that are first seen here).
 
     A chunk is repeated if two ids have it; neighbouring repeated chunks are one run, and runs of ``min_words`` are
     passages. A passage of any length within 128 bytes at either end is found whole but for those. Texts without a
@@ -122,14 +122,25 @@ def repeated_passages(docs: DataFrame, params: ChunkParams = ChunkParams(), id_c
     #: Smallest and largest id tell whether two documents have a chunk, without a list of them.
     seen = chunks.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").select("d1", "d2", "first_doc")
     hits = chunks.join(seen.hint("merge"), ["d1", "d2"]).select("doc_id", "at", "end", "words", "first_doc").distinct()
-    place = W.partitionBy("doc_id").orderBy("at", "end")
+    place = W.partitionBy("doc_id").orderBy("at", "end", "first_doc")
     marked = hits.withColumn("new", F.coalesce(F.col("at") > F.max("end").over(place.rowsBetween(W.unboundedPreceding, -1)), F.lit(True)).cast("int"))
-    runs = marked.withColumn("run", F.sum("new").over(place))
-    out = runs.groupBy("doc_id", "run").agg(
+    earlier = F.col("first_doc") < F.col("doc_id")
+    parted = marked.withColumn("turn", F.coalesce(earlier != F.lag(earlier).over(place), F.lit(False)).cast("int"))
+    rows = place.rowsBetween(W.unboundedPreceding, W.currentRow)
+    runs = parted.withColumn("run", F.sum("new").over(rows)).withColumn("part", F.sum("turn").over(rows))
+    parts = runs.groupBy("doc_id", "run", "part").agg(
         F.min("at").alias("at"),
         F.max("end").alias("end"),
         F.sum("words").cast("long").alias("words"),
         F.min_by("first_doc", F.struct("at", "end")).alias("first_doc"),
-        F.min(F.col("first_doc") < F.col("doc_id")).alias("drop"),
+        F.min(earlier).alias("drop"),
     )
-    return out.where(F.col("words") >= params.min_words).select("doc_id", "at", "end", "words", "first_doc", "drop")
+    out = parts.groupBy("doc_id", "run").agg(
+        F.min("at").alias("at"),
+        F.max("end").alias("end"),
+        F.sum("words").alias("words"),
+        F.min_by("first_doc", F.struct("at", "end")).alias("first_doc"),
+        F.min("drop").alias("drop"),
+        F.array_sort(F.collect_list(F.when(F.col("drop"), F.struct("at", "end")))).alias("earlier"),
+    )
+    return out.where(F.col("words") >= params.min_words).select("doc_id", "at", "end", "words", "first_doc", "drop", "earlier")

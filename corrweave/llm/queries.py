@@ -111,7 +111,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, at, end, words, first_doc, drop of each passage that a document shares with another."""
+    """doc_id, at, end, words, first_doc, drop, earlier of each passage that a document shares with another."""
     return repeated_passages(_table(spark, sf_dir, "documents"))
 
 

@@ -130,6 +130,21 @@ def test_repeated_passages(spark, odd_docs, no_docs):
     assert chunks.repeated_passages(odd_docs).count() == 0 and chunks.repeated_passages(no_docs).count() == 0
 
 
+def test_spans_of_earlier_documents_inside_a_passage(spark):
+    rnd = random.Random(8)
+    some = lambda n: " ".join("".join(rnd.choices("abcdefghijklm", k=rnd.randint(2, 8))) for _ in range(n))
+    old, new = some(80), some(80)
+    docs = [(1, old), (5, f"{old} {new}"), (9, new), (12, f"{old} {new}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in chunks.repeated_passages(df).collect() if r["words"] >= 100 or r["doc_id"] in (1, 9)}
+    whole = len(docs[1][1])
+    assert (rows[5]["at"], rows[5]["end"], rows[5]["drop"]) == (0, whole, False)  # what document 1 has, then what is first seen here
+    ((a, b),) = rows[5]["earlier"]
+    assert a == 0 and abs(b - len(old)) <= 128
+    assert [tuple(s) for s in rows[12]["earlier"]] == [(0, whole)] and rows[12]["drop"]
+    assert rows[1]["earlier"] == [] and [tuple(s) for s in rows[9]["earlier"]] == [(rows[9]["at"], rows[9]["end"])]
+
+
 def _held(d, m):
     return zlib.crc32(str(d).encode()) % m == 2
 
