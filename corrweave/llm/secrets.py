@@ -9,6 +9,7 @@ task, so training holds a constant amount whatever the corpus.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -79,6 +80,22 @@ def _spans_of(texts: list[bytes | None], data: np.ndarray, offset: np.ndarray) -
     return out
 
 
+#: Letters of scripts that are written without blanks: a token beside them is no part of a longer word.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3021-\u30ff\u3100-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+
+
+def _joins_word(data: np.ndarray, at: int, step: int) -> bool:
+    """Whether the character beyond ASCII that ends (step -1) or begins (step 1) at a byte is a letter or mark of a script written with blanks."""
+    if step < 0:
+        first = at
+        while first > max(at - 3, 0) and data[first] & 0xC0 == 0x80:
+            first -= 1
+        char = data[first : at + 1].tobytes().decode("utf-8", "replace")[-1]
+    else:
+        char = data[at : at + 4].tobytes().decode("utf-8", "replace")[0]
+    return unicodedata.category(char)[0] in "LM" and not _UNSPACED.match(char)
+
+
 def _pairs(token: bytes) -> np.ndarray:
     """State pairs along a token, entry and exit included."""
     s = np.concatenate([[0], _STATE[np.frombuffer(token, np.uint8)], [0]])
@@ -150,8 +167,11 @@ def spans_of_block(texts: list[bytes | None], model: SecretModel) -> list[list[t
     state = _STATE[data]
     start, end = _runs(state > 0, model.params.min_length)
     if len(start):
-        #: A run that touches a letter beyond ASCII is part of a longer word.
-        whole = (data[np.maximum(start - 1, 0)] < 0x80) & (data[np.minimum(end, len(data) - 1)] < 0x80)
+        #: A run that touches a letter beyond ASCII is part of a longer word; other characters beyond ASCII bound it.
+        whole = np.ones(len(start), bool)
+        for places, step in ((np.maximum(start - 1, 0), -1), (np.minimum(end, len(data) - 1), 1)):
+            for k in np.flatnonzero(data[places] >= 0x80).tolist():
+                whole[k] &= not _joins_word(data, int(places[k]), step)
         start, end = start[whole], end[whole]
         upto = np.zeros(len(data) + 1)
         np.cumsum(model.ratio[state[:-1] * _STATES + state[1:]], out=upto[1:-1])

@@ -121,6 +121,20 @@ def test_secret_patterns_and_chains(spark):
     assert hexes not in clean[0] and clean[0].startswith("é [assign]") and clean[6] == texts[6] and clean[7] is None
 
 
+def test_secrets_beside_characters_beyond_ascii(spark):
+    token, word = "aQ3xZ9kLm2Wv8Rt5Yb7Nc1Pd4", "Straßenbahnhaltestellenschild"
+    bounds = [("“", "”"), ("«", "»"), ("\u00a0", "\u00a0"), ("—", "…"), ("：", "。"), ("密钥", "结束"), ("キー", "です"), ("รหัส", "จบ"), ("", "😀")]
+    texts = [f"key {a}{token}{b} here" for a, b in bounds]
+    texts += [f"part of é{token} a word", f"part of {token}ж a word", f"part of {token}\u0301 a word", f"a {word} “{word}”"]
+    ordinary = " ".join(["the ordinary words of a language with some identifier_names and hyphenated-words"] * 40)
+    model = secrets.train(spark.createDataFrame([(0, ordinary)], "doc_id long, text string"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"]] for r in secrets.find_secrets(docs, model).collect()}
+    assert found == {k: [token] if k < len(bounds) else [] for k in range(len(texts))}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs, model).collect()}
+    assert all(clean[k] == f"key {a}[markov]{b} here" for k, (a, b) in enumerate(bounds))
+
+
 def test_secrets_of_odd_rows(odd_docs, no_docs):
     model = secrets.train(odd_docs)
     assert secrets.find_secrets(odd_docs, model).count() == odd_docs.count()
