@@ -162,7 +162,12 @@ def rank_average_ties(spark, sf_dir):
 LABEL_CORR = f"WITH {E_SQL}, e AS (SELECT gene, sample, value, phenotype FROM expr JOIN samples USING (sample) WHERE phenotype IS NOT NULL AND gene < 'g16'), c AS (SELECT a.phenotype, a.gene AS gene_a, b.gene AS gene_b, count(*) AS n, corr(a.value, b.value) AS r FROM e a JOIN e b ON a.sample = b.sample AND a.gene < b.gene GROUP BY 1, 2, 3)"
 
 
+def _labelled(spark, sf_dir):
+    return prep.with_phenotype(embedding_set(spark, sf_dir))
+
+
 def _few_labelled(spark, sf_dir):
+    """What the SQL beside it covers; queries without SQL take ``_labelled``."""
     return prep.with_phenotype(embedding_set(spark, sf_dir)).where("gene < 'g16'")
 
 
@@ -217,7 +222,7 @@ def edge_summary_core(spark, sf_dir):
 
 @query()
 def edge_summary_pvalues(spark, sf_dir):
-    return tests.with_edge_p(_edge_summary(spark, sf_dir)).select("reg", "target", *(s8(f"{c}_p") for c in _EDGE_STATS))
+    return tests.with_edge_p(tests.edge_summary(_labelled(spark, sf_dir), embedding_set(spark, sf_dir).genes)).select("reg", "target", *(s8(f"{c}_p") for c in _EDGE_STATS))
 
 
 DRAWS = 100
@@ -660,15 +665,15 @@ def module_hclust(spark, sf_dir):
 @query()
 def regulator_ranking(spark, sf_dir):
     data = embedding_set(spark, sf_dir)
-    few = _few_labelled(spark, sf_dir)
-    nodes = tests.with_node_p(tests.node_summary(few, data.genes))
-    return evidence.regulator_ranking(nodes, tests.edge_summary(few, data.genes)).select("reg", "rank_expr", "rank_t", "rank_shift")
+    labelled = _labelled(spark, sf_dir)
+    nodes = tests.with_node_p(tests.node_summary(labelled, data.genes))
+    return evidence.regulator_ranking(nodes, tests.edge_summary(labelled, data.genes)).select("reg", "rank_expr", "rank_t", "rank_shift")
 
 
 @query()
 def gene_order(spark, sf_dir):
     """Genes in the order of the leaves of the tree over their correlation differences."""
-    return inference.gene_order(assoc.label_difference(_few_labelled(spark, sf_dir)))
+    return inference.gene_order(assoc.label_difference(_labelled(spark, sf_dir)))
 
 
 @query()

@@ -137,6 +137,14 @@ def test_representatives_cover_all_genes(planted):
         graph.correlations(expr, "kendall")
 
 
+def test_queries_without_sql_cover_all_genes(spark, sf_small):
+    from corrweave import catalogue
+
+    edges = catalogue.QUERIES["edge_summary_pvalues"](spark, sf_small).select("reg", "target").collect()
+    assert sorted(map(tuple, edges)) == [(f"g{r:02d}", f"g{t:02d}") for r in range(8) for t in range(8, 64)]
+    assert catalogue.QUERIES["gene_order"](spark, sf_small).count() == 64
+
+
 def test_xor_and_support(spark):
     a = spark.createDataFrame([("g1", "t1", "r1", 1.0), ("g1", "t2", "r1", 1.0)], "graph string, target string, regulator string, weight double")
     b = spark.createDataFrame([("g2", "t1", "r1", 1.0), ("g2", "t3", "r1", 1.0)], "graph string, target string, regulator string, weight double")
