@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
 
     Nodes without an edge are not listed. Self-loops, repeated and null ends are ignored. A round moves edges to
     smaller neighbours; rounds grow with the logarithm of a component's diameter. A node with very many edges is joined
-    with one row, so that a skewed side can be split by adaptive execution.
+    with one row, so that a skewed side can be split by adaptive execution. The result is written to the shared folder.
     """
     ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where(F.col("u") != F.col("v"))
     now = materialize(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
@@ -39,4 +39,6 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    found = materialize(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "found")
+    drop(now.sparkSession, now)
+    return found
