@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corrweave.llm.text import blocks, small_batches
+from corrweave.llm.text import blocks, keep
 
 #: Chunks kept with their encodings in one Python worker (beyond that, the more frequent half stays), and trie nodes (beyond that, the trie starts anew).
 CACHE_CHUNKS = 400_000
@@ -139,7 +139,7 @@ class TrieBpe:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        model, self.limit = spec["model"], nodes
+        model, self.limit, self.decoder = spec["model"], nodes, spec.get("decoder")
         suffix = model["end_of_word_suffix"]
         self.tokens: dict[str, int] = {self._symbols(t, suffix): i for t, i in model["vocab"].items()}
         self.names = {i: t for t, i in model["vocab"].items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
@@ -268,21 +268,26 @@ def trie_encoder(path: str) -> tuple[TrieBpe, ChunkCache, list[str]]:
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token ids of every whole text and the text that the ids decode to.
 
-    Returns ``id_col``, ``ids`` (array of int) and ``decoded`` (names of the ids, joined by blanks where the vocabulary
-    file names no decoder). Null and empty texts have no ids and decode to an empty text. Repeated rows each get a row;
+    Returns ``id_col``, ``ids`` (array of int) and ``decoded`` (by the vocabulary file's decoder; names of the ids, joined
+    by blanks, where it names none). Null and empty texts have no ids and decode to an empty text. Repeated rows each get a row;
     other columns are not read, so clashing names do not matter; an empty table gives an empty result. Memory in a
     worker is bounded by the cache, the trie and one block of text or one longer text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep("bpe", trie_encoder.cache_clear)
         bpe, cache, names = trie_encoder(tokenizer)
-        for rows, texts in blocks(batches, text_col, 1 << 19):
+        for rows, texts in blocks(batches, text_col, 1 << 19, "bpe"):
             offsets, ids = cache(texts)
-            spelled = list(map(names.__getitem__, ids.tolist()))
-            decoded = [" ".join(spelled[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            places = list(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
+            if bpe.decoder:
+                decoded = bpe.library.decode_batch([ids[a:b].tolist() for a, b in places], skip_special_tokens=False)
+            else:
+                spelled = list(map(names.__getitem__, ids.tolist()))
+                decoded = [" ".join(spelled[a:b]) for a, b in places]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())), pa.array(decoded, pa.string())], [id_col, "ids", "decoded"])
         cache.shrink(KEPT_CHUNKS)
         bpe.clear()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")

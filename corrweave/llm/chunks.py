@@ -18,7 +18,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corrweave.llm.text import blocks, join_texts, small_batches
+from corrweave.llm.text import blocks, join_texts
+from corrweave.plans.shared import materialize
 
 #: Bytes that the hash looks back over: one shift drops each byte after 32 steps.
 REACH = 32
@@ -105,7 +106,7 @@ def chunk_table(docs: DataFrame, params: ChunkParams = ChunkParams(), id_col: st
             both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(owner)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(at, pa.int32()), pa.array(end, pa.int32()), pa.array(words.astype(np.int32))], schema.names)
 
-    return small_batches(docs).select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def repeated_passages(docs: DataFrame, params: ChunkParams = ChunkParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,6 +122,8 @@ def repeated_passages(docs: DataFrame, params: ChunkParams = ChunkParams(), id_c
     chunks = chunk_table(docs, params, id_col, text_col).where("doc_id is not null")
     #: Smallest and largest id tell whether two documents have a chunk, without a list of them.
     seen = chunks.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").select("d1", "d2", "first_doc")
+    #: Written, so that both sides of the join are plain exchanges and adaptive execution can split a hot digest.
+    seen = materialize(seen, "digests")
     hits = chunks.join(seen.hint("merge"), ["d1", "d2"]).select("doc_id", "at", "end", "words", "first_doc").distinct()
     place = W.partitionBy("doc_id").orderBy("at", "end", "first_doc")
     marked = hits.withColumn("new", F.coalesce(F.col("at") > F.max("end").over(place.rowsBetween(W.unboundedPreceding, -1)), F.lit(True)).cast("int"))

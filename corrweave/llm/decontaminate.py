@@ -2,8 +2,8 @@
 
 Of each window of ``t - k + 1`` consecutive k-gram hashes the smallest is kept, on both sides by one rule, so that any
 shared span of t words shares a kept fingerprint. Documents' fingerprints are joined with the benchmark's, and hits are
-extended: each window of t words around one is looked up among the benchmark's windows and compared word by word.
-Items shorter than the window are spans of their own length, winnowed at that length.
+extended: each window of t words around one is looked up among the benchmark's windows by its hash. Words are 64-bit
+hashes throughout; in memory, a window that is found is also compared word hash by word hash. Items shorter than the window are spans of their own length, winnowed at that length.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corrweave.llm.text import ALNUM, blocks, small_batches, window_hashes, words_of
+from corrweave.llm.text import ALNUM, blocks, window_hashes, words_of
 from corrweave.plans.shared import materialize
 
 #: Words of a benchmark window.
@@ -174,11 +174,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPANS_ARROW), pa.array(items, pa.list_(pa.string()))], [id_col, "n_words", "spans", "items"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("spans", _SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
-    return small_batches(docs).select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, all columns as they are, that repeat no benchmark window."""
+    """The rows, all columns as they are, that repeat no benchmark window.
+
+    Null and empty texts repeat none and stay; repeated rows are judged alike; rows without an id are judged like any
+    other; an empty benchmark drops nothing; columns of any name pass, for the join's are its own.
+    """
     if not fits_in_memory(benchmark):
         leaking = _find_by_shuffle(docs, benchmark, id_col, text_col).where(F.size("spans") > 0).select(F.col(id_col).alias("_leaking")).distinct()
         return docs.join(leaking, docs[id_col].eqNullSafe(leaking["_leaking"]), "left_anti")
@@ -189,7 +193,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             _, spans, _ = shared.value.search(texts)
             yield rows.filter(pa.array([not s for s in spans], pa.bool_()))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _windows(kind: str, lengths: list[int], key: str):
@@ -228,7 +232,7 @@ def _find_by_shuffle(docs: DataFrame, benchmark: DataFrame, id_col: str, text_co
         for rows, texts in blocks(batches, "text"):
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(words_of(texts, ALNUM).counts)], ["row", "n_words"])
 
-    items = benchmark_rows(small_batches(benchmark))
+    items = benchmark_rows(benchmark)
     spec = "{} string, t int, at long, h long"
     lengths = list(range(1, WINDOW + 1))
     prints = items.mapInArrow(_windows("prints", lengths, "item"), spec.format("item")).select("t", "h").distinct()

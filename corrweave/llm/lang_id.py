@@ -20,9 +20,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corrweave.llm.text import blocks, mix64, small_batches
+from corrweave.llm.text import blocks, mix64
 
 UNKNOWN = "und"
+#: Bytes of text handled at once: a byte becomes a score of numbers.
+BLOCK = 1 << 18
 #: Distinct n-grams of a language that a task holds before it sends their counts on.
 HELD_GRAMS = 1 << 20
 
@@ -112,7 +114,7 @@ class LanguageModel:
             for slot in slots[1:]:
                 mask &= self.table[part, slot]
             for k in range(64 * part, min(len(self.languages), 64 * part + 64)):
-                upto = np.concatenate([[0], np.cumsum((mask >> np.uint64(k % 64)) & np.uint64(1))]).astype(np.int64)
+                upto = np.concatenate([[0], np.cumsum((mask & (np.uint64(1) << np.uint64(k % 64))) != 0, dtype=np.int64)])
                 out[:, k] = upto[ends] - upto[ends - counts]
         share = out / np.maximum(counts, 1)[:, None]
         return np.clip((share - self.false_rate) / np.maximum(1 - self.false_rate, 1e-9), 0, 1), counts
@@ -132,6 +134,7 @@ def train(docs: DataFrame, learn: Column | None = None, params: LanguageParams =
 
     Tasks send counts of distinct n-grams; a language keeps those above its least share, so that at most
     1 / least_share n-grams of each language reach the driver. Languages are in alphabetical order, which settles ties.
+    Null texts and rows without a language teach nothing; an empty table gives a model without languages.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +147,7 @@ def train(docs: DataFrame, learn: Column | None = None, params: LanguageParams =
             held[lang] = [(gram, n)]
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(gram.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-        for rows, texts in blocks(batches, text_col):
+        for rows, texts in blocks(batches, text_col, BLOCK):
             langs = rows.column(0).to_pylist()
             for lang in sorted({x for x in langs if x is not None}):
                 gram, _ = trigrams([t for t, x in zip(texts, langs, strict=True) if x == lang])
@@ -158,7 +161,7 @@ def train(docs: DataFrame, learn: Column | None = None, params: LanguageParams =
         for lang in held:
             yield emit(lang)
 
-    picked = small_batches(docs).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    picked = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     picked = picked.where(learn) if learn is not None else picked
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
     counts = picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias(text_col)).mapInArrow(run, schema).groupBy("gram", "lang").agg(F.sum("n").alias("n"))
@@ -181,21 +184,25 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(model)  # slots x 8 bytes for each 64 languages, and no more
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in blocks(batches, text_col):
+        for rows, texts in blocks(batches, text_col, BLOCK):
             lang, score = shared.value.predict(texts)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(lang, pa.string()), pa.array(score)], [id_col, "lang_pred", "score"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return small_batches(docs).select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least_score: float, text_col: str = "text") -> DataFrame:
-    """The rows, all columns as they are, whose language is known with ``least_score`` at least."""
+    """The rows, all columns as they are, whose language is known with ``least_score`` at least.
+
+    Null, empty and letterless texts have no language and go; repeated rows are judged alike; a null id, an empty table
+    and columns of any other name pass as they are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded as in identify
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in blocks(batches, text_col):
+        for rows, texts in blocks(batches, text_col, BLOCK):
             lang, score = shared.value.predict(texts)
             yield rows.filter(pa.array([x != UNKNOWN and s >= least_score for x, s in zip(lang, score.tolist(), strict=True)], pa.bool_()))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corrweave.llm.text import SPACED, blocks, mix64, small_batches, words_of
-from corrweave.plans.shared import materialize
+from corrweave.llm.text import SPACED, blocks, mix64, words_of
+from corrweave.plans.shared import materialize, plan_bytes
 
 #: The end token's hash.
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
@@ -36,11 +36,11 @@ _BUCKETS = 48
 
 @dataclass(frozen=True)
 class LmParams:
-    """Words of the table of frequent words (at most 2**21), bigrams of the table of frequent bigrams, groups that bigrams are dealt into (at least), and rounds of EM."""
+    """Words of the table of frequent words (at most 2**21), bigrams of the table of frequent bigrams, bytes of input for a group that bigrams are dealt into (by Spark's estimate; there are as many as shuffle partitions at least), and rounds of EM."""
 
     words: int = 1 << 20
     hot_bigrams: int = 1 << 18
-    groups: int = 48
+    group_bytes: int = 6 << 20
     rounds: int = 60
 
 
@@ -227,8 +227,8 @@ def score(docs: DataFrame, learn: Column, params: LmParams = LmParams(), id_col:
     empty result.
     """
     spark = docs.sparkSession
-    groups = max(params.groups, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    picked = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("train"))
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-plan_bytes(docs) // params.group_bytes))
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("train"))
     counts = materialize(_word_counts(picked.where("train"), "text"), "words")
     tables = _frequent(counts, params)
     shared = spark.sparkContext.broadcast(tables)  # 16 bytes for each of params.words at most

@@ -4,13 +4,13 @@ Two collections of ``side`` short bands (``rows`` minhashes each) are computed.
 each collection, so ``side`` squared tables cost 2 x side x rows minhashes where independent tables would cost
 2 x side x side x rows. Documents that share a key are candidates; links are confirmed on full shingle sets.
 
-Within a key no list of all pairs is made. Copies of one set are one class first. Every class of a key is compared with
-the key's hub, the class that its neighbours resemble most (the largest sum of the sizes of its keys), and what the hubs
-link is one component. Classes whose keys still hold several components are verified by an exact join: sets are sorted by
-rarity, similar sets must share one of their rarest shingles, at places that leave room for the overlap that a link
-takes, and only pairs of different components that pass are compared in full. Copies that each have edits of their own
-begin with shingles of their own, so even a very large group of them gives few such pairs. No link between classes that
-share a key is lost.
+Within a key no list of all pairs is made. Rows with one set are one class first, whatever their ids, and all that
+follows is about classes. Every class of a key is compared with the key's hub, the class that its neighbours resemble
+most (the largest sum of the sizes of its keys), and what the hubs link is one component. Classes whose keys still hold
+several components are verified by an exact join: sets are sorted by rarity, similar sets must share one of their rarest
+shingles, at places that leave room for the overlap that a link takes, and only pairs of different components that pass
+are compared in full. Copies that each have edits of their own begin with shingles of their own, so even a very large
+group of them gives few such pairs. No link between classes that share a key is lost.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corrweave.llm.text import SPACED, blocks, mix64, small_batches, window_hashes, words_of
+from corrweave.llm.text import SPACED, blocks, mix64, window_hashes, words_of
 from corrweave.plans.components import connected_components
 from corrweave.plans.shared import drop, materialize
 
@@ -60,47 +61,64 @@ def _functions(params: NearDupParams) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
 
 
+def _bands(params: NearDupParams) -> tuple[list[str], list[str]]:
+    """Columns of the two collections. Each band is a column of its own, so that classes are counted without sorting."""
+    return [f"a{k}" for k in range(params.side)], [f"b{k}" for k in range(params.side)]
+
+
 def signatures(docs: DataFrame, params: NearDupParams, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n (size of the set), d1 and d2 (its digest), left and right (bands of the two collections) for each row."""
-    kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in ("n", "d1", "d2")), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("left", "right"))])
+    """doc_id, text_hash, n (size of the set), d1 and d2 (its digest), and the bands of the two collections for each row."""
+    left, right = _bands(params)
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("text_hash", "n", "d1", "d2", *left, *right))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _functions(params)
-        for rows, texts in blocks(batches, text_col):
+        for rows, texts in blocks(batches):
             sets = shingle_sets(texts, params.words)
             n = np.fromiter(map(len, sets), np.int64, len(sets))
             full = np.flatnonzero(n)
             digests = np.zeros((2, len(sets)), np.uint64)
-            bands = np.zeros((len(sets), 2 * params.side), np.uint64)
+            bands = np.zeros((2 * params.side, len(sets)), np.uint64)
             if len(full):
                 every = np.concatenate([sets[k] for k in full])
                 begin = np.concatenate([[0], np.cumsum(n[full])[:-1]])
                 digests[0, full] = np.add.reduceat(mix64(every + np.uint64(1)), begin)
                 digests[1, full] = np.add.reduceat(mix64(every ^ np.uint64(0xA5A5A5A55A5A5A5A)), begin)
-                band = np.zeros((len(full), 2 * params.side), np.uint64)
                 for k in range(len(a)):
-                    least = np.minimum.reduceat(every * a[k] + b[k], begin)
                     at = k // params.rows
-                    band[:, at] = mix64(band[:, at] + least + np.uint64(k))
-                bands[full] = band
-            offsets = np.arange(len(sets) + 1, dtype=np.int32) * params.side
-            halves = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(h).view(np.int64).ravel())) for h in (bands[:, : params.side], bands[:, params.side :])]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)), *halves], schema.names)
+                    bands[at, full] = mix64(bands[at, full] + np.minimum.reduceat(every * a[k] + b[k], begin) + np.uint64(k))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(n), *(pa.array(x.view(np.int64)) for x in (*digests, *bands))], schema.names)
 
-    return small_batches(docs).select(id_col, text_col).mapInArrow(run, schema)
+    named = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return named.mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, params: NearDupParams, id_col: str, text_col: str) -> DataFrame:
-    """id, shingles (the sorted set) for each row."""
+def _sets(docs: DataFrame, wanted: DataFrame, params: NearDupParams, id_col: str, text_col: str) -> DataFrame:
+    """c, shingles (the sorted set) of each class of ``wanted`` (c, rep, rep_hash): one row a class, though rows repeat.
+
+    A class is found by one row's id and text hash, so that texts which share an id do not meet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in blocks(batches, text_col):
-            sets = shingle_sets(texts, params.words)
+        seen: set[int] = set()
+        task = TaskContext.get().partitionId()
+        for rows, texts in blocks(batches):
+            number = rows.column(0).to_pylist()
+            fresh = [k for k, c in enumerate(number) if not (c in seen or seen.add(c))]
+            sets = shingle_sets([texts[k] for k in fresh], params.words)
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], ["id", "shingles"])
+            flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([number[k] for k in fresh], pa.int64()), pa.array(np.full(len(fresh), task, np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["c", "task", "shingles"])
 
-    return small_batches(docs).select(id_col, text_col).mapInArrow(run, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("shingles", T.ArrayType(T.LongType()))]))
+    named = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("text"))
+    rows = named.join(wanted, F.col("_id").eqNullSafe(F.col("rep")) & (F.col("_hash") == F.col("rep_hash"))).select("c", "text")
+    found = materialize(rows.mapInArrow(run, "c long, task int, shingles array<long>"), "sets")
+    first = found.groupBy("c").agg(F.min("task").alias("task"), F.count("*").alias("copies"))
+    if first.where("copies > 1").isEmpty():
+        return found.select("c", "shingles")
+    once = materialize(found.join(first.select("c", "task"), ["c", "task"], "left_semi").select("c", "shingles"), "sets")
+    drop(docs.sparkSession, found)
+    return once
 
 
 def _close_sizes(a: str, b: str, percent: int) -> Column:
@@ -110,74 +128,85 @@ def _close_sizes(a: str, b: str, percent: int) -> Column:
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough. The join on u comes last: it is the side that may be a hub of very many pairs, and holds one set for each."""
-    mine = sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv"))
-    hubs = sets.select(F.col("id").alias("u"), F.col("shingles").alias("su"))
+    mine = sets.select(F.col("c").alias("v"), F.col("shingles").alias("sv"))
+    hubs = sets.select(F.col("c").alias("u"), F.col("shingles").alias("su"))
     both = pairs.join(mine.hint("merge"), "v").join(hubs.hint("merge"), "u")
     shared = F.size(F.array_intersect("su", "sv"))
     return both.where(100 * shared >= percent * (F.size("su") + F.size("sv") - shared)).select("u", "v")
 
 
 def _across_components(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of classes (rep, n, component) in different components that a link's overlap does not rule out.
+    """Pairs (u, v) of classes (c, n, component) in different components that a link's overlap does not rule out. ``sets`` has one row a class.
 
     An exact prefix filter: with shingles sorted by how few classes have them, a pair of sizes a and b whose first common
     shingle stands at places x and y shares at most min(a - x, b - y) shingles, and a link takes
     percent x (a + b) / (100 + percent) of them. A shingle's rows are joined with those outside its largest component.
+    Counts are written before the join, so that both its sides are plain exchanges and a frequent shingle can be split.
     """
-    token = classes.join(sets, F.col("rep") == F.col("id")).select("rep", "n", "component", F.explode("shingles").alias("token"))
-    common = token.groupBy("token").agg(F.count("*").alias("df"))
-    sorted_ = token.join(common.hint("merge"), "token").groupBy("rep", "n", "component").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens"))
-    prefix = sorted_.select("rep", "n", "component", F.posexplode(F.slice("tokens", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))).alias("pos", "t"))
-    rows = materialize(prefix.where("t.df > 1").select(F.col("t.token").alias("token"), "rep", "n", "component", "pos"), "prefix")
+    token = classes.join(sets, "c").select("c", "n", "component", F.explode("shingles").alias("token"))
+    common = materialize(token.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "counts")
+    counted = token.join(common.hint("merge"), "token", "left").select("c", "n", "component", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token").alias("t"))
+    sorted_ = counted.groupBy("c", "n", "component").agg(F.array_sort(F.collect_list("t")).alias("tokens"))
+    prefix = sorted_.select("c", "n", "component", F.posexplode(F.slice("tokens", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))).alias("pos", "t"))
+    rows = materialize(prefix.where("t.df > 1").select(F.col("t.token").alias("token"), "c", "n", "component", "pos"), "prefix")
     parts = rows.groupBy("token", "component").agg(F.count("*").alias("members"))
     largest = parts.groupBy("token").agg(F.max_by("component", F.struct("members", -F.col("component"))).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", "main")
     split = rows.join(largest.hint("merge"), "token")
-    minor = split.where("component != main").select("token", F.col("rep").alias("v"), F.col("n").alias("b"), F.col("component").alias("cv"), F.col("pos").alias("y"))
-    every = split.select("token", F.col("rep").alias("u"), F.col("n").alias("a"), F.col("component").alias("cu"), F.col("pos").alias("x"), "main")
+    minor = split.where("component != main").select("token", F.col("c").alias("v"), F.col("n").alias("b"), F.col("component").alias("cv"), F.col("pos").alias("y"))
+    every = split.select("token", F.col("c").alias("u"), F.col("n").alias("a"), F.col("component").alias("cu"), F.col("pos").alias("x"), "main")
     room = (100 + percent) * F.least(F.col("a") - F.col("x"), F.col("b") - F.col("y")) >= percent * (F.col("a") + F.col("b"))
     once = (F.col("cu") == F.col("main")) | (F.col("u") < F.col("v"))
     passing = every.join(minor.hint("merge"), (every["token"] == minor["token"]) & (F.col("cu") != F.col("cv")) & _close_sizes("a", "b", percent) & room & once)
-    return passing.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    pairs = materialize(passing.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    drop(classes.sparkSession, common, rows)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
+    """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept, text_hash.
 
     Words are lower-cased (A-Z) and split at ASCII white space. ``component_id`` is the smallest id reachable by links,
     ``kept`` whether it is the row's own. Null, empty and blank texts have no shingles, are linked with nothing and are
-    kept. A row without an id takes its class's smallest id; where no row of a class has one, its component is null and
-    it is kept. Rows repeated under one id each get a row with the same answer. Other columns are not read. An empty
-    table gives an empty result.
+    kept. Rows repeated under one id each get a row with the same answer. Two texts that share an id are two documents:
+    the id links neither to the other's class, and ``text_hash`` (xxhash64 of the text) tells them apart. A row without
+    an id takes the smallest id of its component; where no row of that has one, its component is null and it is kept.
+    Other columns are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    left, right = _bands(params)
     base = materialize(signatures(docs, params, id_col, text_col), "signatures")
-    classes = base.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("left").alias("left"), F.first("right").alias("right"))
-    tables = classes.where("rep is not null").select("rep", "n", F.posexplode("left").alias("i", "a"), "right").select("rep", "n", "i", "a", F.posexplode("right").alias("j", "b"))
-    keys = tables.select(F.xxhash64("i", "j", "a", "b").alias("key"), "rep", "n")
+    one = base.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("rep_hash"), *(F.first(b).alias(b) for b in (*left, *right)))
+    #: Numbered where they are written, so that a class keeps its number.
+    classes = materialize(one.withColumn("c", F.monotonically_increasing_id()), "classes")
+    tables = classes.select("c", "n", F.posexplode(F.array(*left)).alias("i", "a"), F.array(*right).alias("right")).select("c", "n", "i", "a", F.posexplode("right").alias("j", "b"))
+    keys = tables.select(F.xxhash64("i", "j", "a", "b").alias("key"), "c", "n")
     sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = materialize(keys.join(sizes.hint("merge"), "key").select("key", "rep", "n", "size"), "keys")
+    shared = materialize(keys.join(sizes.hint("merge"), "key").select("key", "c", "n", "size"), "keys")
 
     #: The hub of a key: the class whose keys hold most classes in all.
-    crowd = shared.groupBy("rep").agg(F.sum("size").alias("crowd"))
-    ranked = shared.join(crowd, "rep")
-    hubs = ranked.groupBy("key").agg(F.max_by(F.struct(F.col("rep").alias("u"), F.col("n").alias("nu")), F.struct("crowd", -F.col("rep"))).alias("hub")).select("key", "hub.u", "hub.nu")
-    stars = shared.join(hubs.hint("merge"), "key").where((F.col("u") != F.col("rep")) & _close_sizes("n", "nu", params.percent)).select("u", F.col("rep").alias("v")).distinct()
-    needed = shared.select("rep").distinct()
-    sets = materialize(_sets(docs.join(needed, docs[id_col] == needed["rep"], "left_semi"), params, id_col, text_col), "sets")
+    crowd = shared.groupBy("c").agg(F.sum("size").alias("crowd"))
+    ranked = shared.join(crowd, "c")
+    hubs = ranked.groupBy("key").agg(F.max_by(F.struct(F.col("c").alias("u"), F.col("n").alias("nu")), F.struct("crowd", -F.col("c"))).alias("hub")).select("key", "hub.u", "hub.nu")
+    stars = shared.join(hubs.hint("merge"), "key").where((F.col("u") != F.col("c")) & _close_sizes("n", "nu", params.percent)).select("u", F.col("c").alias("v")).distinct()
+    wanted = classes.select("c", "rep", "rep_hash").join(shared.select("c").distinct(), "c", "left_semi")
+    sets = _sets(docs, wanted, params, id_col, text_col)
     links = materialize(_confirm(stars, sets, params.percent), "links")
-    found = materialize(connected_components(links), "found")
+    found = connected_components(links)
 
-    placed = shared.join(found, shared["rep"] == found["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    placed = shared.join(found, shared["c"] == found["node"], "left").select("key", "c", "n", F.coalesce("component", "c").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    open_ = materialize(placed.join(mixed.hint("merge"), "key", "left_semi").select("rep", "n", "component").distinct(), "open")
+    open_ = materialize(placed.join(mixed.hint("merge"), "key", "left_semi").select("c", "n", "component").distinct(), "open")
     rest = _across_components(open_, sets, params.percent)
     more = materialize(_confirm(rest, sets, params.percent), "links")
-    labels = found if more.isEmpty() else materialize(connected_components(links.unionByName(more)), "found")
-
-    ids = classes.select("d1", "d2", "n", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("linked"))
-    #: Written first: both sides of the join are then plain exchanges, and adaptive execution can split a hot digest.
-    ids = materialize(ids, "classes")
-    out = base.select("doc_id", "n", "d1", "d2").join(ids.hint("merge"), ["d1", "d2", "n"], "left")
-    component = F.when(F.col("n") > 0, F.col("linked")).otherwise(F.col("doc_id"))
-    drop(spark, shared, sets, links, more, open_)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    labels = found if more.isEmpty() else connected_components(links.unionByName(more))
+
+    #: Classes in no component have keys of their own, so that none is hot; what a join reads is written first, so that adaptive execution can split it.
+    named = classes.join(labels, F.col("c") == F.col("node"), "left").select("d1", "d2", "n", "rep", F.col("component"), F.coalesce("component", -1 - F.col("c")).alias("group"))
+    least = materialize(named.where("component is not null").groupBy("group").agg(F.min("rep").alias("least")), "least")
+    linked = F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("least"))
+    ids = materialize(named.join(least.hint("merge"), "group", "left").select("d1", "d2", "n", linked.alias("component_id")), "ids")
+    drop(spark, shared, sets, links, rest, more, open_, least, classes, found, labels)
+    narrow = base.select("doc_id", "n", "d1", "d2", "text_hash")
+    columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "text_hash"]
+    out = narrow.where("n > 0").join(ids.hint("merge"), ["d1", "d2", "n"]).select(*columns).unionByName(narrow.where("n = 0").withColumn("component_id", F.col("doc_id")).select(*columns))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "text_hash")

@@ -15,6 +15,7 @@ from corrweave.llm.decontaminate import find_leaks
 from corrweave.llm.lm import score
 from corrweave.llm.neardup import near_duplicates
 from corrweave.llm.quality import judge
+from corrweave.llm.text import limit_batches
 from corrweave.llm.token_store import read_store, write_store
 from corrweave.llm.urls import Rule, judge_urls
 from corrweave.plans.shared import new_path
@@ -28,6 +29,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    limit_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,7 +45,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document."""
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def leak_digests(found: DataFrame) -> DataFrame:
@@ -68,7 +70,7 @@ URL_RULES = [
 
 
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, host, path, rule, verdict of each page, and its template and that template's purity."""
+    """page_id, host, path, rule, verdict of each page, its template, the branch that it was merged into and that branch's purity."""
     return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 

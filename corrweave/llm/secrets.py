@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corrweave.llm.text import blocks, join_texts, small_batches
+from corrweave.llm.text import blocks, join_texts
 
 KINDS = ("assign", "access", "hex", "markov")
 _ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -154,7 +154,7 @@ def train(docs: DataFrame, params: SecretParams = SecretParams(), text_col: str
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(both[at])], ["at", "n"])
 
     both = np.zeros(2 * _STATES**2)
-    for at, n in small_batches(docs).select(text_col).mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n")).collect():
+    for at, n in docs.select(text_col).mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n")).collect():
         both[at] = n
     both[0] = both[_STATES**2] = 0
     return SecretModel.of_counts(both[: _STATES**2], both[_STATES**2 :], params)
@@ -203,11 +203,15 @@ def find_secrets(docs: DataFrame, model: SecretModel, id_col: str = "doc_id", te
             spans = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in s] for s in spans_of_block(texts, model)]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(spans, inner)], [id_col, "spans"])
 
-    return small_batches(docs).select(id_col, text_col).mapInArrow(run, T.StructType([T.StructField(id_col, kind), T.StructField("spans", shape)]))
+    return docs.select(id_col, text_col).mapInArrow(run, T.StructType([T.StructField(id_col, kind), T.StructField("spans", shape)]))
 
 
 def redact(docs: DataFrame, model: SecretModel, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """The same rows and columns, each secret replaced by ``[kind]``; ``length_col``, where there is one, follows the text."""
+    """The same rows and columns, each secret replaced by ``[kind]``; ``length_col``, where there is one, follows the text.
+
+    Null and empty texts stay as they are, and so do the lengths of texts without a secret; repeated rows each stay; a
+    null id, an empty table and columns of any other name pass as they are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in blocks(batches, text_col):
@@ -232,4 +236,4 @@ def redact(docs: DataFrame, model: SecretModel, text_col: str = "text", length_c
                 rows = pa.RecordBatch.from_arrays(columns, schema=rows.schema)
             yield rows
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

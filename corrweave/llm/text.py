@@ -6,13 +6,14 @@ non-ASCII character is 0x80 or above, so word limits found on bytes are the limi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import SparkSession
 
 #: Bytes of text handled at once; a longer text is handled alone.
 BLOCK_BYTES = 1 << 20
@@ -112,17 +113,40 @@ def window_hashes(hashed: np.ndarray, width: int) -> np.ndarray:
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """The frame, with its session's Arrow batches limited from now on. Results do not depend on it."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df
+def limit_batches(spark: SparkSession) -> None:
+    """Limit the session's Arrow batches, as programs that run these operators on long texts should; the operators themselves leave the session as it is. Results do not depend on it."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Pieces of the batches with at most ``size`` bytes of text each (or one row), and their texts as bytes."""
+#: Who keeps something in this Python worker between tasks, and what frees it.
+_kept: list[tuple[str, Callable[[], None]]] = []
+
+
+def keep(name: str, free: Callable[[], None]) -> None:
+    """Say that an operator keeps a cache from one task to the next; another operator's task in this worker frees it first."""
+    _free_others(name)
+    _kept[:] = [(name, free)]
+
+
+def _free_others(name: str) -> None:
+    if _kept and _kept[0][0] != name:
+        _kept.pop()[1]()
+        give_back()
+
+
+def give_back() -> None:
+    """Hand freed memory back to the machine: workers live on, and the next one's memory comes beside theirs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
+def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BLOCK_BYTES, keeper: str = "") -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Pieces of the batches with at most ``size`` bytes of text each (or one row), and their texts as bytes. ``keeper`` names the operator, if it keeps a cache."""
+    _free_others(keeper)
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text)).cast(pa.binary() if not pa.types.is_large_string(batch.schema.field(text).type) else pa.large_binary())
         lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
@@ -134,3 +158,4 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BL
             held += n
         if begin < batch.num_rows:
             yield batch.slice(begin), column.slice(begin).to_pylist()
+    give_back()

@@ -10,8 +10,9 @@ A shard file is, little-endian:
     footer    n uint64, width uint64, where the index begins uint64, b"CWTOKEND"
 
 so that one document is read with three short reads: footer, index, frame. Shards hold ascending doc_ids (null first),
-and every shard's ids come before the next one's. Shard names are set by partition, and files are moved into place when
-whole: a task that runs again after a lost executor writes the same bytes.
+and no shard's ids come after the next one's; rows with one id may be dealt over several shards. A shard is written as
+its documents are encoded, and its file is moved into place when whole: a task that runs again after a lost executor
+writes the same bytes under the same name.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import os
 import struct
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +34,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corrweave.llm.bpe import ChunkCache, plain_pretokens
-from corrweave.llm.text import blocks, small_batches
+from corrweave.llm.text import blocks, keep
+from corrweave.plans.shared import plan_bytes
 
 MAGIC, END = b"CWTOKS01", b"CWTOKEND"
-#: Documents the dictionary is trained on (those with the smallest hash), bytes of each kept, and the dictionary's size.
-SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 500, 1 << 16, 1 << 16
-LEVEL = 3
 #: Chunks kept with their ids in one Python worker (beyond that, the more frequent half stays).
 CACHE_CHUNKS = 1_000_000
 
 
+@dataclass(frozen=True)
+class StoreParams:
+    """Bytes of an id, the id that ends a document, documents that the dictionary is trained on (those whose ids have the smallest hashes), bytes of each (in pieces from all over a longer one) and of the dictionary, zstandard's level, and bytes of input for a shard (by Spark's estimate). The dictionary decides about the files' size alone: every whole document is stored."""
+
+    width: int = 4
+    end_id: int = 1
+    sample_docs: int = 500
+    sample_bytes: int = 1 << 16
+    dictionary_bytes: int = 1 << 16
+    level: int = 3
+    shard_bytes: int = 8 << 20
+
+
 def _filesystem(uri: str):
     from pyarrow import fs
 
@@ -123,68 +136,79 @@ def _with_end(offsets: np.ndarray, ids: np.ndarray, end_id: int) -> tuple[np.nda
     return offsets + np.arange(len(offsets)), np.insert(ids, offsets[1:], end_id)
 
 
-def _train(docs: DataFrame, tokenizer: str, end_id: int, width: int, text_col: str, id_col: str) -> bytes:
+def _pieces(data: bytes, size: int, piece: int = 1 << 12) -> bytes:
+    """All of a short value; else pieces of it, evenly spaced from its start to its end."""
+    if len(data) <= size:
+        return data
+    starts = np.linspace(0, len(data) - piece, size // piece).astype(np.int64) // 8 * 8
+    return b"".join(data[a : a + piece] for a in starts.tolist())
+
+
+def _train(docs: DataFrame, tokenizer: str, params: StoreParams, text_col: str, id_col: str) -> bytes:
     """A dictionary from a bounded sample, trained in one task; empty where the sample is too small for one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        keep("token_store", library_encoder.cache_clear)
         samples = []
-        for _, texts in blocks(batches, text_col):
-            offsets, ids = _with_end(*library_encoder(tokenizer)(texts), end_id)
-            data = ids.astype(f"<u{width}").tobytes()
-            samples += [data[a * width : b * width][:SAMPLE_BYTES] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        for _, texts in blocks(batches, text_col, keeper="token_store"):
+            offsets, ids = _with_end(*library_encoder(tokenizer)(texts), params.end_id)
+            data = ids.astype(f"<u{params.width}").tobytes()
+            samples += [_pieces(data[a * params.width : b * params.width], params.sample_bytes) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         try:
-            trained = zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+            trained = zstandard.train_dictionary(params.dictionary_bytes, samples).as_bytes()
         except (zstandard.ZstdError, ValueError):
             trained = b""
         yield pa.RecordBatch.from_arrays([pa.array([trained], pa.binary())], ["dictionary"])
 
-    sample = docs.select(id_col, text_col).orderBy(F.xxhash64(id_col), id_col, F.xxhash64(text_col)).limit(SAMPLE_DOCS)
+    sample = docs.select(id_col, text_col).orderBy(F.xxhash64(id_col), id_col, F.xxhash64(text_col)).limit(params.sample_docs)
     return max((bytes(r[0]) for r in sample.select(text_col).mapInArrow(run, "dictionary binary").collect()), key=len, default=b"")
 
 
-def write_store(docs: DataFrame, store: str, tokenizer: str, end_id: int = 1, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> dict:
-    """Encode every whole text, append ``end_id``, and write the store in ascending order of ``id_col``.
+def write_store(docs: DataFrame, store: str, tokenizer: str, params: StoreParams = StoreParams(), id_col: str = "doc_id", text_col: str = "text") -> dict:
+    """Encode every whole text, append ``params.end_id``, and write the store in ascending order of ``id_col``.
 
-    Null and empty texts are documents of ``end_id`` alone; a null id comes first; rows with one id keep together and each
-    is a document of its own; an empty table gives a store without documents. Other columns are not read. What a task
-    holds is one shard's compressed frames. Returns the manifest (a row of totals for each shard goes to the driver).
+    Null and empty texts are documents of the end id alone; null ids come first; rows with one id follow each other and
+    each is a document of its own; an empty table gives a store without documents. Other columns are not read. Shards
+    grow in number with the input, and a task holds one block of text and 25 bytes for each document of its shard.
+    Returns the manifest (a row of totals for each shard goes to the driver).
     """
     spark = docs.sparkSession
-    picked = small_batches(docs).select(F.col(id_col).cast("long").alias(id_col), text_col)
-    dictionary = _train(picked, tokenizer, end_id, width, text_col, id_col)
+    width, end_id = params.width, params.end_id
+    picked = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias(text_col))
+    dictionary = _train(picked, tokenizer, params, text_col, id_col)
     digest = hashlib.sha256(dictionary).hexdigest()
     _write(f"{store}/dictionary.zst", dictionary)
-    shared = spark.sparkContext.broadcast(dictionary)  # of DICTIONARY_BYTES at most
+    shared = spark.sparkContext.broadcast(dictionary)  # of params.dictionary_bytes at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encoder = library_encoder(tokenizer)
+        keep("token_store", library_encoder.cache_clear)
         raw = shared.value
-        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
-        frames: list[bytes] = []
-        keys: list[int | None] = []
-        sizes: list[np.ndarray] = []
-        for rows, texts in blocks(batches, text_col):
-            offsets, ids = _with_end(*encoder(texts), end_id)
-            data = memoryview(ids.astype(f"<u{width}").tobytes())
-            frames += [press.compress(data[a * width : b * width]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            keys += rows.column(0).to_pylist()
-            sizes.append(np.diff(offsets))
-        if not frames:
-            return
-        counts = np.concatenate(sizes)
-        at = np.full(len(frames) + 1, 40, np.uint64)
-        at[1:] += np.cumsum([len(f) for f in frames]).astype(np.uint64)
-        index = b"".join(struct.pack("<qB", k or 0, k is not None) for k in keys) + at.astype("<u8").tobytes() + counts.astype("<u8").tobytes()
+        press = zstandard.ZstdCompressor(level=params.level, dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
         number = TaskContext.get().partitionId()
         name = f"shard-{number:06d}.cwt"
-        _write(f"{store}/{name}", b"".join([MAGIC, bytes.fromhex(digest), *frames, index, struct.pack("<QQQ", len(frames), width, int(at[-1])), END]))
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([name]), pa.array([len(frames)], pa.int64()), pa.array([int(counts.sum())], pa.int64())], ["number", "name", "docs", "ids"])
-
-    ordered = picked.repartitionByRange(F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first(), text_col)
+        shard = ShardWriter(f"{store}/{name}", bytes.fromhex(digest), width)
+        try:
+            for rows, texts in blocks(batches, text_col, keeper="token_store"):
+                offsets, ids = _with_end(*library_encoder(tokenizer)(texts), end_id)
+                data = memoryview(ids.astype(f"<u{width}").tobytes())
+                frames = [press.compress(data[a * width : b * width]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                shard.add(rows.column(0), np.diff(offsets), frames)
+            total = shard.close()
+        except BaseException:
+            shard.abandon()
+            raise
+        if shard.docs:
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([name]), pa.array([shard.docs], pa.int64()), pa.array([total], pa.int64())], ["number", "name", "docs", "ids"])
+
+    #: Rows with one id are told apart by their texts' hashes and their places, so that no id is more than a range can part.
+    keyed = picked.withColumn("_hash", F.xxhash64(text_col)).withColumn("_place", F.monotonically_increasing_id())
+    order = [F.col(id_col).asc_nulls_first(), F.col("_hash"), F.col("_place")]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-plan_bytes(docs) // params.shard_bytes))
+    ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(id_col, text_col)
     shards, total = [], 0
     for r in sorted(ordered.mapInArrow(run, "number int, name string, docs long, ids long").collect(), key=lambda r: r["number"]):
         shards.append({"name": r["name"], "docs": r["docs"], "ids": r["ids"], "start": total})
@@ -194,6 +218,52 @@ def write_store(docs: DataFrame, store: str, tokenizer: str, end_id: int = 1, wi
     return manifest
 
 
+class ShardWriter:
+    """Writes one shard file as its documents come; the file appears whole, or not at all."""
+
+    def __init__(self, uri: str, digest: bytes, width: int):
+        self.uri, self.head, self.width = uri, MAGIC + digest, width
+        self.out = None
+        self.docs = 0
+        self.keys: list[bytes] = []
+        self.frames: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+
+    def add(self, keys: pa.Array, counts: np.ndarray, frames: list[bytes]) -> None:
+        if self.out is None:
+            self.filesystem, path = _filesystem(self.uri)
+            self.filesystem.create_dir(os.path.dirname(path), recursive=True)
+            self.path, self.part = path, f"{path}.{uuid.uuid4().hex}.part"
+            self.out = self.filesystem.open_output_stream(self.part, compression=None)
+            self.out.write(self.head)
+        self.out.write(b"".join(frames))
+        known = np.array(keys.is_valid())
+        head = np.zeros(len(keys), np.dtype([("key", "<i8"), ("known", "u1")]))
+        head["key"], head["known"] = np.array(keys.fill_null(0)), known
+        self.docs += len(keys)
+        self.keys.append(head.tobytes())
+        self.frames.append(np.fromiter(map(len, frames), np.uint64, len(frames)))
+        self.counts.append(counts.astype("<u8"))
+
+    def close(self) -> int:
+        """Index, footer, and the move into place. Returns the number of ids."""
+        if self.out is None:
+            return 0
+        at = np.concatenate([[np.uint64(len(self.head))], np.uint64(len(self.head)) + np.cumsum(np.concatenate(self.frames), dtype=np.uint64)])
+        counts = np.concatenate(self.counts)
+        for part in (*self.keys, at.astype("<u8").tobytes(), counts.tobytes(), struct.pack("<QQQ", self.docs, self.width, int(at[-1])), END):
+            self.out.write(part)
+        self.out.close()
+        self.filesystem.move(self.part, self.path)
+        return int(counts.sum())
+
+    def abandon(self) -> None:
+        """Delete what a failed task has written."""
+        if self.out is not None:
+            self.out.close()
+            self.filesystem.delete_file(self.part)
+
+
 class Shard:
     """Reads documents of one shard file."""
 
@@ -224,7 +294,7 @@ def read_store(spark: SparkSession, store: str) -> DataFrame:
     """Every document of a store: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit integers in one binary value)."""
     manifest = json.loads(_read(f"{store}/manifest.json"))
     dictionary = _read(f"{store}/dictionary.zst")
-    shared = spark.sparkContext.broadcast(dictionary)  # of DICTIONARY_BYTES at most
+    shared = spark.sparkContext.broadcast(dictionary)  # of the dictionary_bytes it was written with
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
