@@ -12,8 +12,11 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LOCAL_DEFAULT = "/tmp/checkpoints/corrweave"
+#: Rows of a few numbers that ``broadcast_if_small`` lets be broadcast: some tens of megabytes.
+MAX_BROADCAST_ROWS = 1_000_000
 #: Folders that ``materialize`` made, in order.
 _made: list[str] = []
 
@@ -73,6 +76,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         del _made[before:]
 
 
+def broadcast_if_small(df: DataFrame, rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """A frame of a few numbers a row, hinted for a broadcast if it has been counted and is small enough; beyond that the join shuffles, with the same result. For frames that ``materialize`` returned: counting reads no data."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Spark's estimate of a frame's bytes, from the sizes of its files; 0 where it has none. No job runs."""
     found = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
