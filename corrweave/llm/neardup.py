@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from corrweave.llm.text import SPACED, blocks, mix64, window_hashes, words_of
 from corrweave.plans.components import connected_components
-from corrweave.plans.shared import drop, materialize
+from corrweave.plans.shared import broadcast_if_small, drop, materialize
 
 
 @dataclass(frozen=True)
@@ -188,8 +188,8 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id
     ranked = shared.join(crowd, "c")
     hubs = ranked.groupBy("key").agg(F.max_by(F.struct(F.col("c").alias("u"), F.col("n").alias("nu")), F.struct("crowd", -F.col("c"))).alias("hub")).select("key", "hub.u", "hub.nu")
     stars = shared.join(hubs.hint("merge"), "key").where((F.col("u") != F.col("c")) & _close_sizes("n", "nu", params.percent)).select("u", F.col("c").alias("v")).distinct()
-    wanted = classes.select("c", "rep", "rep_hash").join(shared.select("c").distinct(), "c", "left_semi")
-    sets = _sets(docs, wanted, params, id_col, text_col)
+    wanted = materialize(classes.select("c", "rep", "rep_hash").join(shared.select("c").distinct(), "c", "left_semi"), "wanted")
+    sets = _sets(docs, broadcast_if_small(wanted), params, id_col, text_col)
     links = materialize(_confirm(stars, sets, params.percent), "links")
     found = connected_components(links)
 
@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id
     least = materialize(named.where("component is not null").groupBy("group").agg(F.min("rep").alias("least")), "least")
     linked = F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("least"))
     ids = materialize(named.join(least.hint("merge"), "group", "left").select("d1", "d2", "n", linked.alias("component_id")), "ids")
-    drop(spark, shared, sets, links, rest, more, open_, least, classes, found, labels)
+    drop(spark, shared, wanted, sets, links, rest, more, open_, least, classes, found, labels)
     narrow = base.select("doc_id", "n", "d1", "d2", "text_hash")
     columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "text_hash"]
     out = narrow.where("n > 0").join(ids.hint("merge"), ["d1", "d2", "n"]).select(*columns).unionByName(narrow.where("n = 0").withColumn("component_id", F.col("doc_id")).select(*columns))
