@@ -36,6 +36,8 @@ _LAST = 0x1000
 #: Printable ASCII and Latin letters whose lower case is one Latin letter: normalisation leaves them as they are.
 _PLAIN = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 _PRETOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+#: Bytes that are a pre-token of their own after letters.
+_MARKS = frozenset(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
 #: Bytes that stand for themselves in the byte-level alphabet; the others, in order, are the characters from 256 on.
 _SELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_LEVEL = dict(zip(sorted(set(range(256)).difference(_SELF)), range(256, 512), strict=False))
@@ -45,6 +47,8 @@ def plain_pretokens(chunk: bytes) -> list[str] | None:
     """Byte-level pre-tokens, lower-cased, of a chunk of plain characters; None where the library has to look."""
     if chunk.isalpha():
         return [chunk.decode().lower()]
+    if chunk[-1] in _MARKS and chunk[:-1].isalpha():
+        return [chunk[:-1].decode().lower(), chr(chunk[-1])]
     if b"<|" in chunk:
         return None
     text = chunk.decode("utf-8", "replace")
@@ -79,19 +83,40 @@ class ChunkCache:
 
     def clear(self) -> None:
         self.number = _Numbers()
-        self.begin = np.zeros(1, np.int64)  # where each chunk's ids begin in self.arena
-        self.arena = np.zeros(0, np.int32)
-        self.uses = np.zeros(0, np.int64)
+        self.chunks = 0
+        #: Arrays with room to grow: where each chunk's ids begin in the arena (the last one's end beside it), the ids, and uses.
+        self.begin, self.arena, self.uses = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), np.zeros(1 << 16, np.int64)
+
+    def _room(self, chunks: int, ids: int) -> None:
+        for name, size in (("begin", chunks + 1), ("arena", ids), ("uses", chunks)):
+            old = getattr(self, name)
+            if len(old) < size:
+                new = np.zeros(max(size, 2 * len(old)), old.dtype)
+                new[: len(old)] = old
+                setattr(self, name, new)
+
+    def _learn(self, encoded: list[list[int]]) -> None:
+        """Ids of new chunks, in the order of their numbers."""
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        total, held, first = int(sizes.sum()), int(self.begin[self.chunks]), self.chunks
+        self.chunks += len(sizes)
+        self._room(self.chunks, held + total)
+        self.begin[first + 1 : self.chunks + 1] = held + np.cumsum(sizes)
+        self.arena[held : held + total] = np.fromiter(itertools.chain.from_iterable(encoded), np.int32, total)
+        self.uses[first : self.chunks] = 0
 
     def shrink(self, size: int) -> None:
         """Keep the ``size`` most frequent chunks; counts are halved, so that old uses fade."""
-        keep = np.sort(np.argsort(-self.uses, kind="stable")[:size])  # in the order of self.number
-        place = np.full(len(self.uses), -1)
+        if size >= self.chunks:
+            return
+        uses = self.uses[: self.chunks]
+        keep = np.sort(np.argsort(-uses, kind="stable")[:size])  # in the order of self.number
+        place = np.full(len(uses), -1)
         place[keep] = np.arange(len(keep))
-        sizes = np.diff(self.begin)[keep]
+        sizes = np.diff(self.begin[: self.chunks + 1])[keep]
         upto = np.concatenate([[0], np.cumsum(sizes)])
         self.arena = self.arena[np.repeat(self.begin[keep] - upto[:-1], sizes) + np.arange(upto[-1])]
-        self.begin, self.uses = upto, self.uses[keep] // 2
+        self.begin, self.uses, self.chunks = upto, uses[keep] // 2, len(keep)
         self.number = _Numbers((w, k) for w, k in zip(self.number, place.tolist(), strict=True) if k >= 0)
 
     def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -113,11 +138,8 @@ class ChunkCache:
         index = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         if fresh := self.number.fresh:
             self.number.fresh = []
-            encoded = self.encode_many(fresh)
-            sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
-            self.arena = np.concatenate([self.arena, np.fromiter(itertools.chain.from_iterable(encoded), np.int32, int(sizes.sum()))])
-        self.uses = np.concatenate([self.uses, np.zeros(len(self.number) - len(self.uses), np.int64)]) + np.bincount(index, minlength=len(self.number))
+            self._learn(self.encode_many(fresh))
+        np.add.at(self.uses, index, 1)
         begin = self.begin[index]
         sizes = self.begin[index + 1] - begin
         upto = np.zeros(len(index) + 1, np.int64)

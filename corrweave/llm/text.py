@@ -158,4 +158,5 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BL
             held += n
         if begin < batch.num_rows:
             yield batch.slice(begin), column.slice(begin).to_pylist()
-    give_back()
+    if not keeper:  # a keeper's next task needs the memory again
+        give_back()
