@@ -1,4 +1,4 @@
-"""Distributions, in numpy and the standard library: the tails that tests need."""
+"""Distributions, in numpy and the standard library: the tails that tests need, a whole column at a time."""
 
 from __future__ import annotations
 
@@ -11,37 +11,70 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_lgamma = math.lgamma
-
-
-def beta_inc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta by its continued fraction."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1.0 - beta_inc(b, a, 1.0 - x)
-    front = math.exp(a * math.log(x) + b * math.log1p(-x) - (_lgamma(a) + _lgamma(b) - _lgamma(a + b))) / a
+def _plain(x: np.ndarray) -> np.ndarray | float:
+    """A number for numbers, an array for arrays."""
+    return float(x) if np.ndim(x) == 0 else x
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function for positive x: Stirling's series from 10 on, smaller x shifted up."""
+    y = np.array(x, float)
+    shift = np.zeros_like(y)
+    while (small := y < 10).any():
+        shift = np.where(small, shift - np.log(np.where(small, y, 1.0)), shift)
+        y = np.where(small, y + 1, y)
+    z = 1 / (y * y)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z * (1 / 1188 - z * 691 / 360360))))) / y + shift
+
+
+def beta_inc(a, b, x):
+    """Regularised incomplete beta by its continued fraction, for numbers or arrays."""
+    a, b, x = np.broadcast_arrays(*(np.asarray(v, float) for v in (a, b, x)))
+    inside = (x > 0) & (x < 1)
+    flip = x > (a + 1) / (a + b + 2)
+    p, q, z = np.where(flip, b, a), np.where(flip, a, b), np.where(inside, np.where(flip, 1 - x, x), 0.5)
+    front = np.exp(p * np.log(z) + q * np.log1p(-z) - (log_gamma(p) + log_gamma(q) - log_gamma(p + q))) / p
     tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    f = d
+    away = lambda v: np.where(np.abs(v) > tiny, v, tiny)
+    c, d = np.ones_like(z), 1 / away(1 - (p + q) * z / (p + 1))
+    f = d.copy()
     for m in range(1, 1000):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1.0 + num * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + num / c
-            c = c if abs(c) > tiny else tiny
-            f *= c * d
-        if abs(c * d - 1) < 1e-15:
+        for num in (m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))):
+            d = 1 / away(1 + num * d)
+            c = away(1 + num / c)
+            f = f * c * d
+        if (np.abs(c * d - 1) < 1e-15).all():
             break
-    return front * f
-
-
-def t_two_sided(t: float, df: float) -> float:
-    """Two-sided tail of Student's t."""
-    if t is None or df is None or math.isnan(t) or math.isnan(df) or df <= 0:
-        return math.nan
-    return beta_inc(df / 2, 0.5, df / (df + t * t)) if math.isfinite(t) else 0.0
+    out = np.where(flip, 1 - front * f, front * f)
+    return _plain(np.where(inside, out, (x >= 1).astype(float)))
+
+
+def t_two_sided(t, df):
+    """Two-sided tail of Student's t, for numbers or arrays; NaN where either is missing or df is not positive."""
+    t, df = np.broadcast_arrays(np.asarray(t, float), np.asarray(df, float))
+    good = ~np.isnan(t) & (df > 0)
+    safe_t, safe_df = np.where(good & np.isfinite(t), t, 0.0), np.where(good, df, 1.0)
+    p = np.where(np.isinf(t), 0.0, beta_inc(safe_df / 2, 0.5, safe_df / (safe_df + safe_t * safe_t)))
+    return _plain(np.where(good, p, np.nan))
+
+
+def erfc(x: np.ndarray) -> np.ndarray:
+    """Complementary error function of an array: the series of erf below 2.5, the continued fraction beyond."""
+    x = np.asarray(x, float)
+    a = np.minimum(np.abs(np.where(np.isnan(x), 0.0, x)), 30.0)
+    low = np.minimum(a, 2.5)
+    term = total = low
+    for k in range(1, 90):
+        term = term * 2 * low * low / (2 * k + 1)
+        total = total + term
+    near = 1 - 2 / math.sqrt(math.pi) * np.exp(-low * low) * total
+    high = np.maximum(a, 2.5)
+    f = np.zeros_like(high)
+    for k in range(120, 0, -1):
+        f = k / (2 * high * high) / (1 + f)
+    far = np.exp(-high * high) / (high * math.sqrt(math.pi)) / (1 + f)
+    out = np.where(a < 2.5, near, far)
+    return np.where(np.isnan(x), np.nan, np.where(x < 0, 2 - out, out))
 
 
 def normal_sf(z: float) -> float:
@@ -84,29 +117,42 @@ def _rank_sum_counts(n0: int, n1: int) -> tuple[float, ...]:
     return tuple(ways[n0])
 
 
-def wilcoxon_p(w: float, n0: int, n1: int, tie_sizes: list[int] | None = None) -> float:
-    """Two-sided p of the rank-sum statistic: exact for small samples without ties, else normal with tie and continuity correction."""
-    ties = [t for t in (tie_sizes or []) if t > 1]
-    if n0 < 1 or n1 < 1:
-        return math.nan
-    if n0 < 50 and n1 < 50 and not ties:
-        ways = np.array(_rank_sum_counts(n0, n1))
-        total, k = ways.sum(), int(round(w))
-        tail = ways[k:].sum() if w > n0 * n1 / 2 else ways[: k + 1].sum()
-        return min(2 * tail / total, 1.0)
+def wilcoxon_tail(w, n0, n1, tie_sum) -> np.ndarray:
+    """Two-sided p of rank-sum statistics, arrays alike: exact for samples below 50 without ties (``tie_sum``, the sum of t^3 - t over sizes of ties, is 0), else normal with tie and continuity correction."""
+    w, n0, n1, ties = (np.atleast_1d(np.asarray(v, float)) for v in (w, n0, n1, tie_sum))
+    out = np.full(len(w), np.nan)
+    some = (n0 >= 1) & (n1 >= 1) & ~np.isnan(w)
+    exact = some & (n0 < 50) & (n1 < 50) & (ties == 0)
+    for a, b in {(int(x), int(y)) for x, y in zip(n0[exact], n1[exact], strict=True)}:
+        mine = exact & (n0 == a) & (n1 == b)
+        ways = np.array(_rank_sum_counts(a, b))
+        upto = np.cumsum(ways)
+        k = np.rint(w[mine]).astype(int)
+        tail = np.where(w[mine] > a * b / 2, upto[-1] - np.where(k > 0, upto[np.maximum(k - 1, 0)], 0), upto[np.clip(k, 0, a * b)])
+        out[mine] = np.minimum(2 * tail / upto[-1], 1.0)
+    rest = some & ~exact
     n = n0 + n1
-    var = n0 * n1 / 12 * ((n + 1) - sum(t**3 - t for t in ties) / (n * (n - 1)))
-    if var <= 0:
-        return math.nan
-    z = w - n0 * n1 / 2
-    z = (z - math.copysign(0.5, z) * (z != 0)) / math.sqrt(var)
-    return min(2 * min(normal_sf(z), 1 - normal_sf(z)), 1.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        var = n0 * n1 / 12 * ((n + 1) - ties / (n * (n - 1)))
+        z = w - n0 * n1 / 2
+        z = (z - np.sign(z) * 0.5) / np.sqrt(var)
+        out[rest] = np.where(var[rest] > 0, np.minimum(erfc(np.abs(z[rest]) / math.sqrt(2)), 1.0), np.nan)
+    return out
 
 
-def pearson_p(r: float, n: int) -> float:
-    if r is None or n < 3 or math.isnan(r):
-        return math.nan
-    return t_two_sided(math.inf if abs(r) >= 1 else r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
+def wilcoxon_p(w: float, n0: int, n1: int, tie_sizes: list[int] | None = None) -> float:
+    """One statistic's p, from the sizes of its ties."""
+    return float(wilcoxon_tail(w, n0, n1, sum(t**3 - t for t in tie_sizes or []))[0])
+
+
+def pearson_p(r, n):
+    """Two-sided p of correlations, for numbers or arrays; NaN below three rows."""
+    r, n = np.broadcast_arrays(np.asarray(r, float), np.asarray(n, float))
+    good = (n >= 3) & ~np.isnan(r)
+    inside = good & (np.abs(r) < 1)
+    safe = np.where(inside, r, 0.0)
+    t = np.where(inside, safe * np.sqrt(np.where(good, n - 2, 1.0) / (1 - safe * safe)), np.inf)
+    return _plain(np.where(good, t_two_sided(t, np.where(good, n - 2, 1.0)), np.nan))
 
 
 @functools.lru_cache(maxsize=16)
@@ -120,41 +166,47 @@ def _spearman_exact(n: int) -> np.ndarray:
 _EDGEWORTH = (0.2274, 0.2531, 0.1745, 0.0758, 0.1033, 0.3932, 0.0879, 0.0151, 0.0072, 0.0831, 0.0131, 4.6e-4)
 
 
-def _rank_difference_tail(s: float, n: int) -> float:
-    """P(S >= s) for sums of squared rank differences."""
+def _rank_difference_tail(s: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """P(S >= s) for sums of squared rank differences: exact for nine rows or fewer, else by the series."""
     cubes = n * (n * n - 1.0)
-    if s <= 0:
-        return 1.0
-    if s > cubes / 3:
-        return 0.0
-    if n <= 9:
-        every = _spearman_exact(n)
-        return 1 - np.searchsorted(every, s, "left") / len(every)
+    out = np.zeros(len(s))
+    for k in {int(v) for v in n[n <= 9]}:
+        mine = n == k
+        every = _spearman_exact(k)
+        out[mine] = 1 - np.searchsorted(every, s[mine], "left") / len(every)
     c1, c2, c3, c4, c5, c6, c7, c8, c9, c10, c11, c12 = _EDGEWORTH
-    b = 1.0 / n
-    x = (6 * (s - 1) * b / (n * n - 1.0) - 1) * math.sqrt(1 / b - 1)
+    big = n > 9
+    b = 1.0 / n[big]
+    x = (6 * (s[big] - 1) * b / (n[big] * n[big] - 1.0) - 1) * np.sqrt(1 / b - 1)
     y = x * x
     u = x * b * (c1 + b * (c2 + c3 * b) + y * (-c4 + b * (c5 + c6 * b) - y * b * (c7 + c8 * b - y * (c9 - c10 * b + y * b * (c11 - c12 * y)))))
-    return min(max(u / math.exp(y / 2) + normal_sf(x), 0.0), 1.0)
+    out[big] = np.clip(u / np.exp(y / 2) + 0.5 * erfc(x / math.sqrt(2)), 0.0, 1.0)
+    return np.where(s <= 0, 1.0, np.where(s > cubes / 3, 0.0, out))
+
+
+def spearman_tail(rho, n, ties) -> np.ndarray:
+    """Two-sided p of rank correlations, arrays alike: by t with ties, else by the series (exact enumeration for nine rows or fewer)."""
+    rho, n, ties = np.broadcast_arrays(np.atleast_1d(np.asarray(rho, float)), np.asarray(n, float), np.asarray(ties, bool))
+    out = np.atleast_1d(pearson_p(rho, n)).copy()
+    some = ~np.isnan(out) & ~ties
+    r, m = rho[some], n[some]
+    cubes = m * (m * m - 1.0)
+    s = 2 * np.round(cubes * (1 - r) / 6 / 2)
+    upper = s > cubes / 6
+    tail = np.where(upper, _rank_difference_tail(s, m), 1 - _rank_difference_tail(s + 2, m))
+    out[some] = np.minimum(2 * tail, 1.0)
+    return out
 
 
 def spearman_p(rho: float, n: int, ties: bool) -> float:
-    """Two-sided p: by t with ties, else by the series (exact enumeration for nine or fewer)."""
-    if rho is None or n < 3 or math.isnan(rho):
-        return math.nan
-    if ties:
-        return pearson_p(rho, n)
-    cubes = n * (n * n - 1.0)
-    s = 2 * round(cubes * (1 - rho) / 6 / 2)
-    tail = _rank_difference_tail(s, n) if s > cubes / 6 else 1 - _rank_difference_tail(s + 2, n)
-    return min(2 * tail, 1.0)
+    return float(spearman_tail(rho, n, ties)[0])
 
 
-def _vector(f):
-    return lambda *columns: pd.Series([f(*x) if not any(pd.isna(v) for v in x if not isinstance(v, (list, np.ndarray))) else math.nan for x in zip(*columns, strict=True)], dtype=float)
+def _numbers(*columns: pd.Series) -> list[np.ndarray]:
+    return [pd.to_numeric(c).to_numpy(float, na_value=np.nan) for c in columns]
 
 
-t_p_udf = F.pandas_udf(lambda t, df: _vector(t_two_sided)(t, df), T.DoubleType())
-pearson_p_udf = F.pandas_udf(lambda r, n: _vector(pearson_p)(r, n), T.DoubleType())
-spearman_p_udf = F.pandas_udf(lambda r, n, ties: _vector(spearman_p)(r, n, ties), T.DoubleType())
-wilcoxon_p_udf = F.pandas_udf(lambda w, a, b, ties: _vector(lambda w, a, b, t: wilcoxon_p(w, int(a), int(b), list(t) if t is not None else []))(w, a, b, ties), T.DoubleType())
+t_p_udf = F.pandas_udf(lambda t, df: pd.Series(np.atleast_1d(t_two_sided(*_numbers(t, df)))), T.DoubleType())
+pearson_p_udf = F.pandas_udf(lambda r, n: pd.Series(np.atleast_1d(pearson_p(*_numbers(r, n)))), T.DoubleType())
+spearman_p_udf = F.pandas_udf(lambda r, n, ties: pd.Series(spearman_tail(*_numbers(r, n), ties.fillna(False).to_numpy(bool))), T.DoubleType())
+wilcoxon_p_udf = F.pandas_udf(lambda w, a, b, ties: pd.Series(wilcoxon_tail(*_numbers(w, a, b, ties))), T.DoubleType())

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corrweave.plans.shared import materialize
+
 
 def signif(x: Column, digits: int = 3) -> Column:
     """Rounded to significant digits; zero and null stay as they are."""
@@ -19,34 +21,91 @@ def capped_log10(p: Column, cap: float = 300.0) -> Column:
     return F.when(p <= 0, F.lit(cap)).otherwise(F.least(-F.log10(p), F.lit(cap)))
 
 
+#: Distinct values of a frame that one window orders; more are ordered in ranges.
+RANGE_ROWS = 1_000_000
+
+
+def cumulated(counts: DataFrame, value: str, by: list[str], extremes: dict[str, tuple[str, Column]] | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``counts`` (by, value, c: one row for each value) with hi, the sum of c up to the value, and n, over all values.
+
+    ``extremes`` adds, by name, the largest of an expression over smaller values and this one (``up``), or the smallest
+    over this and larger ones (``down``); the expression may use hi, n and c. Without ``by``, more than ``range_rows``
+    values are dealt over ranges between quantiles: each range is one window, and a table of one row a range carries
+    sums and extremes from one to the next, so that no task orders everything.
+    """
+    bounds: list[float] = []
+    if not by:
+        counts = materialize(counts, "counts")
+        ranges = -(-counts.count() // range_rows)
+        bounds = sorted(set(counts.approxQuantile(value, [k / ranges for k in range(1, ranges)], 0.1 / ranges))) if ranges > 1 else []
+    part = sum((F.when(F.col(value) > b, 1).otherwise(0) for b in bounds), F.lit(0))
+    ranged = counts.withColumn("_range", part)
+    totals = ranged.groupBy(*by, "_range").agg(F.sum("c").alias("_c"))
+    over = W.partitionBy(*by) if by else W.partitionBy()  # one row for each range
+    before = over.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(*by, "_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(over).alias("n"))
+    up = W.partitionBy(*by, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy(*by, "_range").orderBy(value).rowsBetween(0, W.unboundedFollowing)
+    out = ranged.withColumn("_hi", F.sum("c").over(up)).join(offsets, [*by, "_range"]).withColumn("hi", F.col("_hi") + F.col("_before")).drop("_hi", "_before")
+    for name, (way, form) in (extremes or {}).items():
+        out = out.withColumn(name, F.max(form).over(up) if way == "up" else F.min(form).over(down))
+    if bounds:
+        out = materialize(out, "ranked")
+        for name, (way, _) in (extremes or {}).items():
+            best = out.groupBy("_range").agg((F.max(name) if way == "up" else F.min(name)).alias("_best"))
+            others = W.partitionBy().orderBy("_range").rowsBetween(*((W.unboundedPreceding, -1) if way == "up" else (1, W.unboundedFollowing)))
+            carried = best.select("_range", (F.max("_best") if way == "up" else F.min("_best")).over(others).alias("_best"))
+            pick = F.greatest if way == "up" else F.least  # both pass over nulls
+            out = out.join(F.broadcast(carried), "_range").withColumn(name, pick(name, "_best")).drop("_best")  # one row for each range
+    return out.drop("_range")
+
+
 def average_rank(df: DataFrame, value: str, by: list[str], name: str = "rank") -> DataFrame:
-    """Ranks from 1 with ties at their mean."""
-    order = W.partitionBy(*by).orderBy(value)
-    peers = W.partitionBy(*by, value)
-    return df.withColumn(name, F.rank().over(order) + (F.count("*").over(peers) - 1) / F.lit(2.0))
+    """Ranks from 1 with ties at their mean, within ``by``; without ``by``, over all rows in ranges. Null values have no rank."""
+    if by:
+        order = W.partitionBy(*by).orderBy(value)
+        peers = W.partitionBy(*by, value)
+        rank = F.rank().over(order) + (F.count("*").over(peers) - 1) / F.lit(2.0)
+        missing = F.count(F.when(F.col(value).isNull(), 1)).over(W.partitionBy(*by))  # they are ordered first
+        return df.withColumn(name, F.when(F.col(value).isNotNull(), rank - missing))
+    ranked = cumulated(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c")), value, [])
+    return df.join(ranked.select(value, (F.col("hi") - (F.col("c") - 1) / F.lit(2.0)).alias(name)), value, "left").select(*df.columns, name)
 
 
-def adjust_p(df: DataFrame, p: str, key: str, method: str = "BH", name: str = "adjusted", by: list[str] | None = None) -> DataFrame:
-    """Multiple-testing correction: bonferroni, holm, hochberg, BH or BY, within ``by``; nulls do not count."""
+def harmonic(n: Column) -> Column:
+    """1 + 1/2 + ... + 1/n: summed up to 50, by its expansion beyond."""
+    near = F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(50)).cast("int")), F.lit(0.0), lambda a, k: a + F.lit(1.0) / k)
+    far = F.ln(n) + F.lit(0.5772156649015329) + 1 / (2.0 * n) - 1 / (12.0 * n * n) + 1 / (120.0 * n * n * n * n)
+    return F.when(n <= 50, near).otherwise(far)
+
+
+def adjust_many(df: DataFrame, p: str, methods: dict[str, str], by: list[str] | None = None) -> DataFrame:
+    """Multiple-testing corrections (name to method: bonferroni, holm, hochberg, BH or BY) within ``by``; nulls do not count.
+
+    A correction depends on a p-value and on how many are smaller and as large, so it is found once for each different
+    value, and joined back.
+    """
     by = by or []
-    known = df.where(F.col(p).isNotNull())
-    n = F.count(p).over(W.partitionBy(*by))
-    up = W.partitionBy(*by).orderBy(F.col(p).asc(), F.col(key).asc())
-    rank = F.row_number().over(up)
-    ranked = known.withColumn("_n", n).withColumn("_r", rank)
-    to_here = W.partitionBy(*by).orderBy("_r").rowsBetween(W.unboundedPreceding, 0)
-    from_here = W.partitionBy(*by).orderBy("_r").rowsBetween(0, W.unboundedFollowing)
-    harmonic = F.aggregate(F.sequence(F.lit(1), F.col("_n").cast("int")), F.lit(0.0), lambda a, k: a + F.lit(1.0) / k)
+    P, hi, n, c = F.col(p), F.col("hi"), F.col("n"), F.col("c")
     forms = {
-        "bonferroni": F.col(p) * F.col("_n"),
-        "holm": F.max(F.col(p) * (F.col("_n") - F.col("_r") + 1)).over(to_here),
-        "hochberg": F.min(F.col(p) * (F.col("_n") - F.col("_r") + 1)).over(from_here),
-        "BH": F.min(F.col(p) * F.col("_n") / F.col("_r")).over(from_here),
-        "BY": F.min(F.col(p) * F.col("_n") / F.col("_r") * harmonic).over(from_here),
+        "bonferroni": ("up", P * n),
+        "holm": ("up", P * (n - hi + c)),
+        "hochberg": ("down", P * (n - hi + 1)),
+        "BH": ("down", P * n / hi),
+        "BY": ("down", P * n / hi * harmonic(n)),
     }
-    if method not in forms:
-        raise ValueError(f"unknown adjustment {method!r}")
-    return ranked.withColumn(name, F.least(forms[method], F.lit(1.0))).drop("_n", "_r").unionByName(df.where(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double")))
+    for method in methods.values():
+        if method not in forms:
+            raise ValueError(f"unknown adjustment {method!r}")
+    counts = df.where(P.isNotNull()).groupBy(*by, p).agg(F.count("*").alias("c"))
+    found = cumulated(counts, p, by, {name: forms[method] for name, method in methods.items()})
+    joined = df.join(found.select(*by, p, *methods), [*by, p], "left")
+    return joined.select(*df.columns, *(F.when(P.isNotNull(), F.least(F.col(name), F.lit(1.0))).alias(name) for name in methods))
+
+
+def adjust_p(df: DataFrame, p: str, method: str = "BH", name: str = "adjusted", by: list[str] | None = None) -> DataFrame:
+    """One correction, as ``adjust_many``."""
+    return adjust_many(df, p, {name: method}, by)
 
 
 def fisher_combined(ps: Column) -> Column:

@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 
-def maximal_cliques(neighbours: dict[str, set[str]]) -> Iterator[list[str]]:
-    """Bron-Kerbosch with pivots, without recursion; cliques and their members in sorted order of discovery."""
-    stack = [([], set(neighbours), set())]
+def maximal_cliques(neighbours: dict[str, set[str]], chosen: list[str] | None = None, open_: set[str] | None = None, done: set[str] | None = None) -> Iterator[list[str]]:
+    """Bron-Kerbosch with pivots, without recursion; members in sorted order.
+
+    With ``chosen``, the maximal cliques that hold those, any of ``open_`` and none of ``done``: the part of the search
+    that belongs to one vertex.
+    """
+    stack = [(chosen or [], set(neighbours) if open_ is None else open_, done or set())]
     while stack:
         chosen, open_, done = stack.pop()
         if not open_ and not done:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 
@@ -70,7 +71,7 @@ def _by_lm(x: np.ndarray, y: np.ndarray, cut: float, seed: int) -> np.ndarray:
     r = correlate(x.T, y[None])[:, 0]
     sx = x.std(0)
     slope = np.divide(r * y.std(), sx, out=np.zeros_like(sx), where=sx > 0)
-    return np.where([pearson_p(v, len(y)) < cut for v in r], slope, 0.0)
+    return np.where(pearson_p(r, len(y)) < cut, slope, 0.0)
 
 
 def _by_vbsr(x: np.ndarray, y: np.ndarray, cut: float, seed: int) -> np.ndarray:
@@ -81,7 +82,7 @@ def _by_vbsr(x: np.ndarray, y: np.ndarray, cut: float, seed: int) -> np.ndarray:
     return np.where(fit.p <= cut, fit.beta, 0.0)
 
 
-#: Regressions by name: (design, response, cut for p-values, seed) to coefficients. LASSOparam5 is the middle of the path.
+#: Regressions by name: (design, response, cut for p-values, seed) to coefficients. Beside these, LASSOparam and a number is the lasso at that place of its path.
 REGRESSIONS = {
     "VBSR": _by_vbsr,
     "LM": _by_lm,
@@ -92,20 +93,33 @@ REGRESSIONS = {
 
 
 def regression(mode: str):
-    if mode not in REGRESSIONS:
-        raise ValueError(f"unknown mode {mode!r}; one of {', '.join(REGRESSIONS)}")
-    return REGRESSIONS[mode]
+    """The regression of a name. ``LASSOparam<k>``: the penalty at the k-th of ten quantiles of the path (1 the smallest); 0 or less is no penalty."""
+    if mode in REGRESSIONS:
+        return REGRESSIONS[mode]
+    found = re.fullmatch(r"LASSOparam(-?\d+)", mode)
+    if not found or int(found[1]) > 10:
+        raise ValueError(f"unknown mode {mode!r}; one of {', '.join(REGRESSIONS)}, or LASSOparam with a number up to 10")
+    return lambda x, y, cut, seed: lasso_at(x, y, int(found[1]))
 
 
 def programs(targets: np.ndarray, module: np.ndarray, regulators: np.ndarray, mode: str, profile: str, fdr: float, seed: int) -> dict[int, np.ndarray]:
-    """Coefficients of the regulators for each module's profile."""
+    """Coefficients of the regulators for each module's profile; tests are cut at ``fdr`` over regulators x target genes."""
     fit = regression(mode)
-    names = np.unique(module)
+    cut = fdr / max(len(regulators) * len(targets), 1)
     out = {}
-    for c in names.tolist():
+    for c in np.unique(module).tolist():
         y = PROFILES[profile](targets[module == c])
-        tests = len(regulators) * (len(targets) if mode == "VBSR" else len(names))
-        out[c] = fit(regulators.T, y, fdr / max(tests, 1), seed) if y.std() > 1e-12 else np.zeros(len(regulators))
+        out[c] = fit(regulators.T, y, cut, seed) if y.std() > 1e-12 else np.zeros(len(regulators))
+    return out
+
+
+def program_fit(targets: np.ndarray, module: np.ndarray, regulators: np.ndarray, beta: dict[int, np.ndarray], profile: str, mode: str) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """Intercept, prediction and error of each module's program over the samples. Lasso programs have the intercept that centres the error; the others have none."""
+    out = {}
+    for c, b in beta.items():
+        y, fitted = PROFILES[profile](targets[module == c]), b @ regulators
+        intercept = float(y.mean() - fitted.mean()) if mode.startswith("LASSO") else 0.0
+        out[c] = (intercept, fitted + intercept, y - fitted - intercept)
     return out
 
 
@@ -143,15 +157,15 @@ def evaluate(x: np.ndarray, outcome: np.ndarray, predicted: np.ndarray, n_reg: i
     }
 
 
-def discover(expr: np.ndarray, is_regulator: np.ndarray, samples: list[str], modules: int, mode: str, iterations: int, bootstrap: int, train_share: float = 0.8, profile: str = "MEAN", fdr: float = 0.05, seed: int = 1) -> list[dict]:
-    """Modules of one bootstrap: members, program, and statistics on the training and held-out samples.
+def discover(expr: np.ndarray, is_regulator: np.ndarray, samples: list[str], modules: int, mode: str, iterations: int, bootstrap: int, train_share: float = 0.8, profile: str = "MEAN", fdr: float = 0.05, seed: int = 1, only_train: bool = False) -> list[dict]:
+    """Modules of one bootstrap: members, program with its intercept, and statistics on the training and, unless ``only_train``, the held-out samples.
 
     Samples are split by the smallest hashes and scaled within each part; a module without regulators is left out.
     """
     order = sorted(range(len(samples)), key=lambda k: (hashlib.md5(f"{seed}:{bootstrap}:{samples[k]}".encode()).hexdigest(), samples[k]))
     train = np.array(sorted(order[: round(train_share * len(samples))]))
     held = np.array(sorted(set(range(len(samples))).difference(train.tolist())), int)
-    parts = {"train": _z(expr[:, train]), "held_out": _z(expr[:, held]) if len(held) > 1 else None}
+    parts = {"train": _z(expr[:, train]), "held_out": _z(expr[:, held]) if len(held) > 1 and not only_train else None}
     t, r = parts["train"][~is_regulator], parts["train"][is_regulator]
     if len(r) < 2:
         raise ValueError("at least two regulators are needed")
@@ -163,10 +177,11 @@ def discover(expr: np.ndarray, is_regulator: np.ndarray, samples: list[str], mod
         module = reassign(t, module, beta, r)
         beta = programs(t, module, r, mode, profile, fdr, seed)
     out = []
+    fitted = program_fit(t, module, r, beta, profile, mode)
     for c, b in sorted(beta.items()):
         if not np.any(b):
             continue
-        found = {"module": int(c), "targets": np.flatnonzero(module == c), "beta": b}
+        found = {"module": int(c), "targets": np.flatnonzero(module == c), "beta": b, "intercept": fitted[c][0]}
         for split, part in parts.items():
             if part is not None:
                 x = part[~is_regulator][module == c]

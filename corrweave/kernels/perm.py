@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import warnings
 
 import numpy as np
 
@@ -15,21 +16,37 @@ def hashed_labels(samples: list[str], ones: int, draw: int, seed: int = 1) -> np
     return out
 
 
-def statistic(x: np.ndarray, label: np.ndarray) -> float:
-    """Sum over both triangles of squared differences of the correlations within the labels; NaN where a gene is constant in one."""
-    parts = []
-    for k in (0, 1):
-        z = x[label == k] - x[label == k].mean(0)
+def _correlations(x: np.ndarray) -> np.ndarray | None:
+    """Correlations of the columns, each pair over the rows that have both; None where a column is constant."""
+    known = ~np.isnan(x)
+    if known.all():
+        z = x - x.mean(0)
         s = np.sqrt((z * z).sum(0))
         if len(z) < 2 or (s <= 1e-12).any():
-            return float("nan")
+            return None
         z /= s
-        parts.append(z.T @ z)
+        return z.T @ z
+    m = known.astype(float)
+    z = np.where(known, x - np.nanmean(x, 0), 0.0)
+    n, a, q = m.T @ m, z.T @ m, (z * z).T @ m  # rows, sums and squares of the first gene of a pair over the pair's rows
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cov = z.T @ z - a * a.T / n
+        var = q - a * a / n
+        return np.where((var > 1e-12) & (var.T > 1e-12), cov / np.sqrt(var * var.T), np.nan)
+
+
+def statistic(x: np.ndarray, label: np.ndarray) -> float:
+    """Sum over both triangles of squared differences of the correlations within the labels; NaN where a gene is constant in one. Missing values count pair by pair, and a pair that is undefined within a label adds nothing."""
+    parts = [_correlations(x[label == k]) for k in (0, 1)]
+    if any(p is None for p in parts):
+        return float("nan")
     d = parts[0] - parts[1]
     np.fill_diagonal(d, 0)
-    return float((d * d).sum())
+    return float(np.nansum(d * d)) if np.isfinite(d).any() else float("nan")
 
 
 def varying(x: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Genes that vary within both labels."""
-    return np.all([x[label == k].std(0) > 1e-12 for k in (0, 1)], axis=0)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)  # a gene without values in a label does not vary
+        return np.all([np.nan_to_num(np.nanstd(x[label == k], 0)) > 1e-12 for k in (0, 1)], axis=0)

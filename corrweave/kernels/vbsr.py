@@ -27,6 +27,7 @@ class VbsrFit:
     intercept: float
     l0: float
     weights: np.ndarray
+    state: tuple[np.ndarray, np.ndarray] | None = None  # coefficients and error variances of the restarts
 
 
 def penalty(n: int, m: int, post: float = 0.95) -> float:
@@ -34,11 +35,11 @@ def penalty(n: int, m: int, post: float = 0.95) -> float:
     return -(chi2_isf1(0.05 / m) - math.log(n) + 2 * math.log((1 - post) / post))
 
 
-def vbsr(x: np.ndarray, y: np.ndarray, l0: float | None = None, post: float = 0.95, orderings: int = 15, seed: int = 0, eps: float = 1e-6, max_rounds: int = 10_000, correct: bool = True, best_only: bool = False) -> VbsrFit:
+def vbsr(x: np.ndarray, y: np.ndarray, l0: float | None = None, post: float = 0.95, orderings: int = 15, seed: int = 0, eps: float = 1e-6, max_rounds: int = 10_000, correct: bool = True, best_only: bool = False, start: VbsrFit | None = None) -> VbsrFit:
     """Fit y on the columns of x. Constant columns get no coefficient; a y without variance is a ValueError.
 
     ``correct`` divides z by the root of the restarts' weighted residual correlations; ``best_only`` takes the restart
-    with the best bound instead of averaging.
+    with the best bound instead of averaging; ``start`` goes on from the restarts of another fit of the same data.
     """
     x, y = np.asarray(x, float), np.asarray(y, float)
     n, p = x.shape
@@ -60,6 +61,9 @@ def vbsr(x: np.ndarray, y: np.ndarray, l0: float | None = None, post: float = 0.
     pr[:, 0] = 1
     sigma = np.full(orderings, y.var(ddof=1))
     resid = np.tile(y, (orderings, 1))
+    if start is not None and start.state is not None:
+        eb, sigma = (v.copy() for v in start.state)
+        resid = y - eb @ design.T
     bound = np.full(orderings, -np.inf)
     going = np.ones(orderings, bool)
     for _ in range(max_rounds):
@@ -104,14 +108,14 @@ def vbsr(x: np.ndarray, y: np.ndarray, l0: float | None = None, post: float = 0.
     beta = np.where(alive, (weights @ eb)[1:] / back, 0.0)
     stat = np.where(alive, average[1:], 0.0)
     centre = np.where(alive, x.mean(0), 0.0)
-    return VbsrFit(beta, stat, np.array([chi2_sf1(s * s) for s in stat]), (weights @ pr)[1:], float((weights @ eb)[0] - centre @ beta), l0, weights)
+    return VbsrFit(beta, stat, np.array([chi2_sf1(s * s) for s in stat]), (weights @ pr)[1:], float((weights @ eb)[0] - centre @ beta), l0, weights, (eb, sigma))
 
 
 def screen(x: np.ndarray, y: np.ndarray, below: float) -> np.ndarray:
     """Columns whose own regression has a p-value below the level: the features that a screened fit gets."""
     sd = x.std(0)
     r = np.divide((x - x.mean(0)).T @ (y - y.mean()) / len(y), sd * y.std(), out=np.zeros(x.shape[1]), where=sd > 1e-12)
-    return np.flatnonzero([sd[k] > 1e-12 and pearson_p(float(np.clip(v, -1, 1)), len(y)) < below for k, v in enumerate(r)])
+    return np.flatnonzero((sd > 1e-12) & (pearson_p(np.clip(r, -1, 1), len(y)) < below))
 
 
 def refit(x: np.ndarray, y: np.ndarray, fit: VbsrFit, level: float = 0.05) -> tuple[np.ndarray, np.ndarray, float]:
@@ -185,21 +189,48 @@ def kl_to_null(z: np.ndarray, alpha: float, screened: float = 1.0, draws: int =
     return np.array([divergence(c) for c in z.T]), float(np.nanmean(null)), float(np.nanstd(null, ddof=1))
 
 
-def vbsr_path(x: np.ndarray, y: np.ndarray, l0s: np.ndarray, alpha: float = 0.01, rule: str = "mean", errors: float = 0.0, **fit) -> tuple[VbsrFit, list[VbsrFit], np.ndarray]:
-    """Fits along penalties, from the strongest to the weakest, and the one chosen by the divergence of its statistics.
+#: Rules that choose a fit of a path: the divergence's smallest value or the null's mean, plus so many standard errors of the null.
+PATH_RULES = {"min": ("min", 0), "mean": ("mean", 0), "min_1se": ("min", 1), "mean_1se": ("mean", 1), "min_2se": ("min", 2), "mean_2se": ("mean", 2)}
 
-    The choice is the last crossing of the path's divergence with its smallest value (``rule`` min) or the null's mean
-    (``mean``), plus so many standard ``errors`` of the null: of the two fits at the crossing, the nearer.
+
+def penalty_path(x: np.ndarray, y: np.ndarray, size: int = 20) -> np.ndarray:
+    """Penalties in equal steps from the one that lets the best feature in down to that of the weakest, or of the feature at the root of the rows where there are not enough rows for all; the strongest comes first."""
+    sd = x.std(0)
+    r = np.divide((x - x.mean(0)).T @ (y - y.mean()) / len(y), sd * y.std(), out=np.zeros(x.shape[1]), where=sd > 1e-12)
+    r2 = np.minimum(r * r, 1 - 1e-12)
+    #: The score at which a single feature's posterior is one half: its chi square and the logarithm of its variance.
+    chi = np.sort(len(y) * r2 / (1 - r2) + np.log(np.maximum(y.var() * (1 - r2) / len(y), 1e-300)))[::-1]
+    last = len(chi) - 1 if math.sqrt(len(y)) > x.shape[1] else min(len(chi) - 1, max(0, round(math.sqrt(len(y))) - 1))
+    return np.linspace(-chi[0], -chi[last], size)
+
+
+def choose_on_path(kl: np.ndarray, mean: float, se: float, rule: str) -> int:
+    """Place of the fit that a rule chooses, of divergences along a path from the strongest penalty to the weakest.
+
+    Read from the weakest penalty on, it is the last rise over the rule's value: of the two fits at it, the nearer. Where
+    there is none, the weakest fit if its divergence reaches the value, else the strongest.
     """
-    if rule not in ("min", "mean"):
-        raise ValueError(f"unknown rule {rule!r}")
-    fits = [vbsr(x, y, l0=float(v), **fit) for v in l0s]
-    kl, mean, se = kl_to_null(np.stack([f.z for f in fits], 1), alpha)
-    target = (np.nanmin(kl) if rule == "min" else mean) + errors * se
-    crossing = [k for k in range(len(kl) - 1) if min(kl[k], kl[k + 1]) <= target <= max(kl[k], kl[k + 1])]
-    if crossing:
-        k = crossing[-1]
-        best = k if abs(kl[k] - target) <= abs(kl[k + 1] - target) else k + 1
+    if rule not in PATH_RULES:
+        raise ValueError(f"unknown rule {rule!r}; one of {', '.join(PATH_RULES)}")
+    base, errors = PATH_RULES[rule]
+    target = (np.nanmin(kl) if base == "min" else mean) + errors * se
+    back = kl[::-1]
+    rises = np.flatnonzero((back[:-1] <= target) & (target <= back[1:]))
+    if len(rises):
+        k = int(rises[-1])
+        k += int(abs(back[k + 1] - target) < abs(back[k] - target))
     else:
-        best = int(np.nanargmin(np.abs(kl - target)))
-    return fits[best], fits, kl
+        k = 0 if target <= back[0] else len(back) - 1
+    return len(kl) - 1 - k
+
+
+def vbsr_path(x: np.ndarray, y: np.ndarray, l0s: np.ndarray | None = None, alpha: float = 0.01, rule: str = "mean", **fit) -> tuple[VbsrFit, list[VbsrFit], dict[str, int]]:
+    """Fits along penalties, each going on from the one before, the fit that ``rule`` chooses by the divergence of its statistics, and the place that each rule chooses."""
+    if rule not in PATH_RULES:
+        raise ValueError(f"unknown rule {rule!r}; one of {', '.join(PATH_RULES)}")
+    fits: list[VbsrFit] = []
+    for v in penalty_path(x, y) if l0s is None else l0s:
+        fits.append(vbsr(x, y, l0=float(v), start=fits[-1] if fits else None, **fit))
+    kl, mean, se = kl_to_null(np.stack([f.z for f in fits], 1), alpha)
+    chosen = {name: choose_on_path(kl, mean, se, name) for name in PATH_RULES}
+    return fits[chosen[rule]], fits, chosen
