@@ -33,6 +33,13 @@ def label_difference(labelled: DataFrame) -> DataFrame:
     return wide.withColumn("diff", F.col("r0") - F.col("r1"))
 
 
+def label_correlations(labelled: DataFrame) -> DataFrame:
+    """gene_a, gene_b, r (all samples), r0, r1, diff: the four correlation matrices that reports order genes by; undefined ones within a label are 0."""
+    every = pairs(labelled).select("gene_a", "gene_b", "r")
+    own = label_difference(labelled).select("gene_a", "gene_b", F.coalesce("r0", F.lit(0.0)).alias("r0"), F.coalesce("r1", F.lit(0.0)).alias("r1"))
+    return every.join(own, ["gene_a", "gene_b"]).withColumn("diff", F.col("r0") - F.col("r1"))
+
+
 def gram_correlation(vectors: DataFrame, genes: list[str], column: str = "v") -> DataFrame:
     """gene_a < gene_b, n, r from rows that hold all genes of one sample as an array.
 

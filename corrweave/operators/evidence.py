@@ -9,24 +9,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corrweave.functions.scalar import adjust_p, capped_log10, fisher_combined, odds_ratio
+from corrweave.functions.dist import t_p_udf
+from corrweave.functions.scalar import adjust_p, average_rank, capped_log10, fisher_combined, odds_ratio, signif
 from corrweave.operators.tests import fisher_p
 
 
-def module_overlaps(members: DataFrame, universe: int) -> DataFrame:
-    """m1 <= m2, the cells of their 2 x 2 table over ``universe`` genes, and the one-sided p of their overlap."""
-    sizes = members.select("module", "gene").distinct()
-    count = sizes.groupBy("module").agg(F.count("*").alias("size"))
-    both = sizes.select(F.col("module").alias("m1"), "gene").join(sizes.select(F.col("module").alias("m2"), "gene"), "gene").where("m1 <= m2").groupBy("m1", "m2").agg(F.count("*").alias("shared"))
-    every = count.select(F.col("module").alias("m1"), F.col("size").alias("s1")).join(count.select(F.col("module").alias("m2"), F.col("size").alias("s2")), F.col("m1") <= F.col("m2"))
-    cells = every.join(both, ["m1", "m2"], "left").withColumn("a", F.coalesce("shared", F.lit(0)))
-    cells = cells.select("m1", "m2", "a", (F.col("s1") - F.col("a")).alias("b"), (F.col("s2") - F.col("a")).alias("c"), (F.lit(universe) - F.col("s1") - F.col("s2") + F.col("a")).alias("d"))
-    return fisher_p(cells, "a", "b", "c", "d", "greater", "p", universe)
+def module_overlaps(members: DataFrame, universe: int, disjoint: bool = False) -> DataFrame:
+    """m1 <= m2, the cells of their 2 x 2 table over ``universe`` genes, and the one-sided p of their overlap.
+
+    Pairs come from the genes that modules share; ``disjoint`` adds the pairs that share none, whose p is 1, by a join of
+    all modules: for a table that shows every pair.
+    """
+    sets = members.select("module", "gene").distinct()
+    count = sets.groupBy("module").agg(F.count("*").alias("size"))
+    both = sets.select(F.col("module").alias("m1"), "gene").join(sets.select(F.col("module").alias("m2"), "gene"), "gene").where("m1 <= m2").groupBy("m1", "m2").agg(F.count("*").alias("a"))
+    s1, s2 = count.select(F.col("module").alias("m1"), F.col("size").alias("s1")), count.select(F.col("module").alias("m2"), F.col("size").alias("s2"))
+    if disjoint:
+        sized = s1.join(s2, F.col("m1") <= F.col("m2")).join(both, ["m1", "m2"], "left").withColumn("a", F.coalesce("a", F.lit(0)))
+    else:
+        sized = both.join(s1, "m1").join(s2, "m2")
+    cells = sized.select("m1", "m2", "a", (F.col("s1") - F.col("a")).alias("b"), (F.col("s2") - F.col("a")).alias("c"), (F.lit(universe) - F.col("s1") - F.col("s2") + F.col("a")).alias("d"))
+    return fisher_p(cells, "a", "b", "c", "d", "greater", "p")
 
 
 def similarity(overlaps: DataFrame) -> DataFrame:
-    """m1, m2, score: -log10 p, at most 300, over the square root of the smaller module's size."""
-    return overlaps.select("m1", "m2", capped_log10(F.col("p")).alias("score"))
+    """m1, m2, score: -log10 p to three significant digits, at most 300."""
+    return overlaps.select("m1", "m2", F.least(signif(capped_log10(F.col("p")), 3), F.lit(300.0)).alias("score"))
 
 
 def _tables(members: DataFrame, flags: DataFrame, group: Column) -> DataFrame:
@@ -40,19 +48,19 @@ def _tables(members: DataFrame, flags: DataFrame, group: Column) -> DataFrame:
     return full.select("regulator", "grp", (F.col("plain_all") - F.col("c")).alias("a"), (F.col("rewired_all") - F.col("d")).alias("b"), "c", "d")
 
 
-def regulator_enrichment(members: DataFrame, flags: DataFrame, group: Column, upto: int) -> DataFrame:
+def regulator_enrichment(members: DataFrame, flags: DataFrame, group: Column) -> DataFrame:
     """regulator, grp, the cells, one-sided p and odds ratio: is a regulator's presence tied to rewired modules?"""
     cells = _tables(members, flags, group)
     # rows: absent, present; columns: plain, rewired. Enrichment makes a small and b large, or d large: the lower tail of b.
-    tested = fisher_p(cells.withColumnsRenamed({"a": "_a", "b": "_b", "c": "_c", "d": "_d"}), "_b", "_a", "_d", "_c", "less", "p", upto)
+    tested = fisher_p(cells.withColumnsRenamed({"a": "_a", "b": "_b", "c": "_c", "d": "_d"}), "_b", "_a", "_d", "_c", "less", "p")
     return tested.select("regulator", "grp", F.col("_a").alias("a"), F.col("_b").alias("b"), F.col("_c").alias("c"), F.col("_d").alias("d"), "p", odds_ratio(F.col("_b"), F.col("_a"), F.col("_d"), F.col("_c")).alias("odds_ratio"))
 
 
-def gene_level_scores(members: DataFrame, flags: DataFrame, upto: int, block: int = 5) -> DataFrame:
+def gene_level_scores(members: DataFrame, flags: DataFrame, block: int = 5) -> DataFrame:
     """regulator, and p and odds ratio by single bootstraps (combined), over all, and by blocks of bootstraps (combined)."""
     out = None
     for tag, group in (("one", F.col("bootstrap")), ("all", F.lit(0)), ("block", F.floor(F.col("bootstrap") / block))):
-        each = regulator_enrichment(members, flags, group, upto)
+        each = regulator_enrichment(members, flags, group)
         mine = each.groupBy("regulator").agg(fisher_combined(F.array_sort(F.collect_list("p"))).alias(f"p_{tag}"), F.avg("odds_ratio").alias(f"or_{tag}"))
         out = mine if out is None else out.join(mine, "regulator")
     return out
@@ -63,6 +71,26 @@ def refine(scores: DataFrame, threshold: float) -> DataFrame:
     return scores.where(F.least("p_one", "p_all", "p_block") < threshold).orderBy("p_all", "regulator")
 
 
+def clique_members(cliques: DataFrame) -> DataFrame:
+    """gene, others: for each gene of disjoint cliques (genes, joined by commas) the other genes of its clique, in their order."""
+    split = cliques.select(F.split("genes", ", ").alias("all"))
+    return split.select(F.explode("all").alias("gene"), "all").select("gene", F.filter("all", lambda g: g != F.col("gene")).alias("others"))
+
+
+def with_cliques(table: DataFrame, gene_col: str, cliques: DataFrame, name: str = "cliques") -> DataFrame:
+    """A table of drivers with the other members of each one's clique, joined by commas; none is an empty text."""
+    others = clique_members(cliques).select(F.col("gene").alias(gene_col), F.array_join("others", ", ").alias(name))
+    return table.join(others, gene_col, "left").withColumn(name, F.coalesce(name, F.lit("")))
+
+
+def clique_labels(scores: DataFrame, cliques: DataFrame) -> DataFrame:
+    """Scores of regulators, each named with the members of its clique: regulator||member||..."""
+    others = clique_members(cliques).select(F.col("gene").alias("regulator"), "others")
+    joined = scores.join(others, "regulator", "left")
+    label = F.concat_ws("||", F.col("regulator"), F.coalesce("others", F.array().cast("array<string>")))
+    return joined.withColumn("label", label).drop("others")
+
+
 def regulons(edges: DataFrame) -> DataFrame:
     """graph, driver, targets: each regulator with its targets, and how many."""
     return edges.groupBy("graph", F.col("regulator").alias("driver")).agg(F.array_sort(F.collect_set("target")).alias("targets"), F.countDistinct("target").alias("degree"))
@@ -70,15 +98,14 @@ def regulons(edges: DataFrame) -> DataFrame:
 
 def merge_regulons(tested: DataFrame) -> DataFrame:
     """driver, target, p, multiplicity from regulons (graph, driver, targets, p): BH over all, then Fisher's combination for each target."""
-    key = F.concat_ws(":", "graph", "driver")
-    adjusted = adjust_p(tested.withColumn("_key", key), "p", "_key", "BH", "q")
+    adjusted = adjust_p(tested, "p", "BH", "q")
     flat = adjusted.select("driver", F.explode("targets").alias("target"), "q")
     return flat.groupBy("driver", "target").agg(fisher_combined(F.array_sort(F.collect_list("q"))).alias("p"), F.count("*").alias("multiplicity"))
 
 
 def filter_regulons(merged: DataFrame, threshold: float = 0.05) -> DataFrame:
-    """Targets below the threshold, the most frequent first; none is a result too."""
-    return merged.where(F.col("p") < threshold).orderBy(F.desc("multiplicity"), "driver", "target")
+    """Targets at the threshold or below, the most frequent first; none is a result too."""
+    return merged.where(F.col("p") <= threshold).orderBy(F.desc("multiplicity"), "driver", "target")
 
 
 def multiplicity_table(members: DataFrame) -> DataFrame:
@@ -103,45 +130,57 @@ def xor_summary(xor: DataFrame) -> DataFrame:
 
 def edge_support(edges: DataFrame) -> DataFrame:
     """regulator, target, support (graphs that have the edge), graphs (their ids)."""
-    return edges.groupBy("regulator", "target").agg(F.countDistinct("graph").alias("support"), F.array_join(F.array_sort(F.collect_set("graph")), "|").alias("graphs"))
+    each = edges.select("regulator", "target", "graph").distinct()
+    return each.groupBy("regulator", "target").agg(F.count("*").alias("support"), F.array_join(F.array_sort(F.collect_list("graph")), "|").alias("graphs"))
 
 
 def evidence_join(support: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Support with peaks (-1 unknown) and whether there is any, by support, then peaks."""
+    """Support with peaks (-1 unknown), their class (-1 unknown, 0 none, 1 some) and the edge's key."""
     joined = support.join(evidence, ["regulator", "target"], "left").withColumn("peaks", F.coalesce("peaks", F.lit(-1)))
-    return joined.withColumn("evidence", (F.col("peaks") > 0).cast("int")).withColumn("key", F.concat_ws("||", "target", "regulator")).orderBy(F.desc("support"), F.desc("peaks"), "key")
+    return joined.withColumn("evidence", F.least("peaks", F.lit(1)).cast("int")).withColumn("key", F.concat_ws("||", "target", "regulator"))
 
 
 def top_edges(joined: DataFrame, rows: int = 1000) -> DataFrame:
-    """The report's first rows."""
+    """The report's first rows: by support, then peaks."""
     return joined.orderBy(F.desc("support"), F.desc("peaks"), "key").limit(rows)
 
 
-def gene_support(support: DataFrame, top: int = 3) -> DataFrame:
-    """gene, total support, neighbours, neighbours at the largest support, and the first neighbours by support."""
-    sides = support.select(F.col("regulator").alias("gene"), F.col("target").alias("other"), "support").unionByName(support.select(F.col("target").alias("gene"), F.col("regulator").alias("other"), "support"))
-    best = F.max("support").over(W.partitionBy("gene"))
-    rank = F.row_number().over(W.partitionBy("gene").orderBy(F.desc("support"), "other"))
-    ranked = sides.withColumn("best", best).withColumn("rank", rank)
-    first = F.array_sort(F.collect_list(F.when(F.col("rank") <= top, F.struct("rank", "other"))))
-    return ranked.groupBy("gene").agg(F.sum("support").alias("total"), F.count("*").alias("neighbours"), F.count_if(F.col("support") == F.col("best")).alias("at_best"), F.array_join(F.transform(first, lambda s: s["other"]), ", ").alias("first"))
+def gene_support(joined: DataFrame, bootstraps: int, top: int = 3) -> DataFrame:
+    """role, gene, total support, neighbours, neighbours that every bootstrap supports, and the first neighbours by support, then peaks."""
+    side = lambda role, gene, other: joined.select(F.lit(role).alias("role"), F.col(gene).alias("gene"), F.col(other).alias("other"), "support", "peaks")
+    sides = side("regulator", "regulator", "target").unionByName(side("target", "target", "regulator"))
+    rank = F.row_number().over(W.partitionBy("role", "gene").orderBy(F.desc("support"), F.desc("peaks"), "other"))
+    first = sides.withColumn("rank", rank).where(F.col("rank") <= top).groupBy("role", "gene").agg(F.array_sort(F.collect_list(F.struct("rank", "other"))).alias("first"))
+    sums = sides.groupBy("role", "gene").agg(F.sum("support").alias("total"), F.count("*").alias("neighbours"), F.count_if(F.col("support") == bootstraps).alias("at_best"))
+    return sums.join(first, ["role", "gene"]).select("role", "gene", "total", "neighbours", "at_best", F.array_join(F.transform("first", lambda s: s["other"]), ", ").alias("first"))
 
 
-def cumulative_support(joined: DataFrame) -> DataFrame:
-    """support, evidence class, n, cumulative n and cumulative percentage (3 significant digits), from the largest support down."""
-    from corrweave.functions.scalar import signif
+def gene_table(joined: DataFrame, role: str, bootstraps: int, least: int = 4, rows: int = 1000) -> DataFrame:
+    """The report's genes of one role: of targets the first by their support from ``least`` up, then by the neighbours that every bootstrap supports, then by total support."""
+    genes = gene_support(joined, bootstraps).where(F.col("role") == role)
+    if role == "target" and bootstraps > 1:
+        strong = F.sum(F.when(F.col("support").between(least, bootstraps), F.col("support")).otherwise(0))
+        kept = joined.groupBy(F.col("target").alias("gene")).agg(strong.alias("_strong")).orderBy(F.desc("_strong"), "gene").limit(rows)
+        genes = genes.join(kept.select("gene"), "gene", "left_semi")
+    return genes.orderBy(F.desc("at_best"), F.desc("total"), "gene").limit(rows)
+
 
-    n = joined.groupBy("support", "evidence").agg(F.count("*").alias("n"))
-    down = W.partitionBy("evidence").orderBy(F.desc("support")).rowsBetween(W.unboundedPreceding, 0)
-    whole = F.sum("n").over(W.partitionBy("evidence"))
-    out = n.withColumn("cum_n", F.sum("n").over(down)).withColumn("whole", whole)
-    return out.select("support", "evidence", "n", "cum_n", signif(100.0 * F.col("cum_n") / F.col("whole"), 3).alias("cum_percent"))
+def cumulative_support(joined: DataFrame) -> DataFrame:
+    """support, edges and cumulated edges from the largest support down, and the percentages of unknown, no and some evidence among the cumulated ones (3 significant digits). One row for each support, which are as many as graphs at most."""
+    of = lambda k: F.count_if(F.col("evidence") == k)
+    n = joined.groupBy("support").agg(F.count("*").alias("edges"), of(-1).alias("_u"), of(0).alias("_n"), of(1).alias("_s"))
+    down = W.partitionBy().orderBy(F.desc("support")).rowsBetween(W.unboundedPreceding, 0)  # rows as said above
+    total = lambda c: F.sum(c).over(down)
+    share = lambda c: signif(100.0 * total(c) / total("edges"), 3)
+    return n.select("support", "edges", total("edges").alias("cum_edges"), share("_u").alias("percent_unknown"), share("_n").alias("percent_none"), share("_s").alias("percent_some"))
 
 
-def run_overview(edges: DataFrame) -> DataFrame:
-    """graphs, averages of edges, regulators and targets, and the percentage of possible edges."""
-    per = edges.groupBy("graph").agg(F.count("*").alias("e"), F.countDistinct("regulator").alias("r"), F.countDistinct("target").alias("t"))
-    return per.agg(F.count("*").alias("graphs"), F.avg("e").alias("edges"), F.avg("r").alias("regulators"), F.avg("t").alias("targets"), F.avg(100.0 * F.col("e") / (F.col("r") * F.col("t"))).alias("percent_possible"))
+def run_overview(edges: DataFrame, regulators: int, targets: int, bootstraps: int) -> DataFrame:
+    """graphs, average edges of one, all edges and their percentage of regulators x targets x bootstraps, unique edges and theirs of regulators x targets (percentages and the average to 3 significant digits)."""
+    each = edges.select("graph", "regulator", "target").distinct()
+    counts = each.agg(F.count("*").alias("edges"), F.countDistinct("graph").alias("graphs")).crossJoin(F.broadcast(each.select("regulator", "target").distinct().agg(F.count("*").alias("unique_edges"))))  # one row each
+    percent = lambda c, of: signif(100.0 * F.col(c) / F.lit(float(max(of, 1))), 3)
+    return counts.select("graphs", signif(F.col("edges") / F.greatest("graphs", F.lit(1)), 3).alias("mean_edges"), "edges", percent("edges", regulators * targets * bootstraps).alias("percent_possible"), "unique_edges", percent("unique_edges", regulators * targets).alias("percent_unique"))
 
 
 def evidence_overview(evidence: DataFrame) -> DataFrame:
@@ -162,13 +201,34 @@ def module_clusters(modules: DataFrame, clusters: DataFrame) -> DataFrame:
     return modules.select("module").distinct().join(clusters, "module", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
 
 
-def regulator_ranking(summary: DataFrame, edges: DataFrame) -> DataFrame:
-    """regulator, and ranks (ties at their mean) by expression p, by mean target t, and by the shift of its targets' correlations."""
-    from corrweave.functions.scalar import average_rank
-
-    regs = summary.where("is_regulator").select(F.col("gene").alias("reg"), F.col("t_p").alias("expr_p"))
-    t = edges.join(summary.select(F.col("gene").alias("target"), "t_stat"), "target").groupBy("reg").agg(F.avg(F.abs("t_stat")).alias("mean_t"), F.avg(F.abs(F.col("c0_pearson") - F.col("c1_pearson"))).alias("shift"))
-    joined = regs.join(t, "reg").withColumn("_t", -F.col("mean_t")).withColumn("_s", -F.col("shift"))
-    for value, name in (("expr_p", "rank_expr"), ("_t", "rank_t"), ("_s", "rank_shift")):
-        joined = average_rank(joined, value, [], name)
-    return joined.drop("_t", "_s")
+def _list_test(edges: DataFrame, first: Column, second: Column, name: str) -> DataFrame:
+    """reg, p of Welch's t between the correlations of a regulator with its targets within label 1 (where ``first`` holds) and label 0 (where ``second`` does), to one significant digit; 1 for fewer than two targets, or lists that do not vary."""
+    r, nr = F.coalesce("c1_pearson", F.lit(0.0)), F.coalesce("c0_pearson", F.lit(0.0))
+    a, b = F.when(first, r), F.when(second, nr)
+    stats = edges.groupBy("reg").agg(*(f.alias(k) for k, f in (("n1", F.count(a)), ("n2", F.count(b)), ("m1", F.avg(a)), ("m2", F.avg(b)), ("v1", F.var_samp(a)), ("v2", F.var_samp(b)))))
+    e1, e2 = F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2")
+    t = F.try_divide(F.col("m1") - F.col("m2"), F.sqrt(e1 + e2))
+    df = F.try_divide((e1 + e2) ** 2, e1**2 / (F.col("n1") - 1) + e2**2 / (F.col("n2") - 1))
+    tested = stats.withColumn("_t", t).withColumn("_df", df).withColumn("_p", t_p_udf("_t", "_df"))
+    plain = (F.col("n1") < 2) | (F.col("n2") < 2) | (F.col("v1") == 0) | (F.col("v2") == 0)
+    return tested.select("reg", F.when(plain, F.lit(1.0)).otherwise(signif(F.col("_p"), 1)).alias(name))
+
+
+def regulator_ranking(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """reg, and three measures with their ranks (ties at their mean).
+
+    ``expr_p``: p of the regulator's own expression. ``targets`` and ``target_t``: how many targets it has in the graph
+    over all samples, and the mean t of those (3 significant digits). ``corr_p``: whether its correlations with those
+    differ between the labels; ``corr_p_own`` takes the targets of each label's own graph. Nodes have gene,
+    is_regulator, t_stat and t_p; edges reg, target, c0_pearson, c1_pearson, and all_weight, c0_weight and c1_weight.
+    """
+    regs = nodes.where("is_regulator").select(F.col("gene").alias("reg"), F.col("t_p").alias("expr_p"))
+    drawn = edges.where("all_weight != 0").join(nodes.select(F.col("gene").alias("target"), "t_stat"), "target")
+    mean = drawn.groupBy("reg").agg(F.count("*").alias("targets"), signif(F.avg("t_stat"), 3).alias("target_t"))
+    on = lambda tag: F.col(f"{tag}_weight") != 0
+    out = regs.join(mean, "reg", "left").withColumn("targets", F.coalesce("targets", F.lit(0)))
+    out = out.join(_list_test(edges, on("all"), on("all"), "corr_p"), "reg", "left").join(_list_test(edges, on("c1"), on("c0"), "corr_p_own"), "reg", "left")
+    out = out.withColumn("corr_p", F.coalesce("corr_p", F.lit(1.0))).withColumn("corr_p_own", F.coalesce("corr_p_own", F.lit(1.0)))
+    for value, name in (("expr_p", "rank_expr"), ("target_t", "rank_t"), ("corr_p", "rank_corr"), ("corr_p_own", "rank_corr_own")):
+        out = average_rank(out, value, [], name)
+    return out

@@ -66,10 +66,17 @@ def graphs_to_modules(edges: DataFrame, dropped: DataFrame) -> DataFrame:
     kept = regs.unionByName(targets).distinct().join(dropped.select("gene"), "gene", "left_anti")
     names = lambda of: F.array_join(F.array_sort(F.collect_set(F.when(of, F.col("gene")))), ", ")
     grouped = kept.groupBy("graph").agg(names(F.col("reg")).alias("regulators"), names(~F.col("reg")).alias("targets"), F.count_if("reg").alias("n"))
-    numbered = grouped.where("n > 0").withColumn("module", F.row_number().over(W.orderBy("graph")))  # one row for each graph
+    numbered = grouped.where("n > 0").withColumn("module", F.row_number().over(W.partitionBy().orderBy("graph")))  # one row for each graph
     return numbered.select("graph", "module", "regulators", "targets")
 
 
+def chosen_graphs(edges: DataFrame, prefer: str = "VBSR") -> DataFrame:
+    """Edges (link_mode, graph_mode, graph, ...) of one graph mode for each link mode: the preferred one where it is among several, else the first by name."""
+    modes = edges.groupBy("link_mode").agg(F.collect_set("graph_mode").alias("_modes"))
+    pick = F.when(F.array_contains("_modes", prefer), F.lit(prefer)).otherwise(F.array_min("_modes"))
+    return edges.join(modes.select("link_mode", pick.alias("graph_mode")), ["link_mode", "graph_mode"], "left_semi")
+
+
 def ordered_weights(edges: DataFrame, wanted: DataFrame) -> DataFrame:
     """Weights of given edges, 0 where the graph lacks one."""
     return wanted.join(edges.select("regulator", "target", "weight"), ["regulator", "target"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
@@ -93,14 +100,33 @@ def dissolve_small(assigned: DataFrame, least: int = 2) -> DataFrame:
     return assigned.withColumn("dissolved", F.count("*").over(W.partitionBy("cluster")) < least)
 
 
-def module_eval(expr: DataFrame, members: DataFrame) -> DataFrame:
-    """module, n_genes, mean_corr (absolute, of genes with the module's mean), rsquare (of the mean as predictor), homogeneity."""
+def predictions(expr: DataFrame, programs: DataFrame) -> DataFrame:
+    """module, sample, predicted: the sum of regulators' values by a module's coefficients; programs are (module, regulator, beta), and an intercept where they have that column."""
+    by = programs.where("beta != 0")
+    found = by.join(expr.select(F.col("gene").alias("regulator"), "sample", "value"), "regulator").groupBy("module", "sample").agg(F.sum(F.col("beta") * F.col("value")).alias("predicted"))
+    if "intercept" in programs.columns:
+        level = programs.groupBy("module").agg(F.max("intercept").alias("_level"))
+        found = found.join(level, "module").withColumn("predicted", F.col("predicted") + F.coalesce("_level", F.lit(0.0))).drop("_level")
+    return found
+
+
+def residuals(expr: DataFrame, members: DataFrame, programs: DataFrame) -> DataFrame:
+    """module, sample, outcome (mean of the module's genes), predicted, error."""
+    outcome = expr.join(members, "gene").groupBy("module", "sample").agg(F.avg("value").alias("outcome"))
+    joined = outcome.join(predictions(expr, programs), ["module", "sample"], "left").withColumn("predicted", F.coalesce("predicted", F.lit(0.0)))
+    return joined.withColumn("error", F.col("outcome") - F.col("predicted"))
+
+
+def module_eval(expr: DataFrame, members: DataFrame, programs: DataFrame) -> DataFrame:
+    """The seven statistics of each module: n_reg, n_genes, mean_corr (absolute, of genes with the mean profile), rsquare and rsquare_adjusted (of the regulators' prediction of the profile), homogeneity, condition (0: the profile is a mean). Members are (module, gene), programs (module, regulator, beta)."""
     values = expr.join(members, "gene").select("module", "gene", "sample", "value")
-    mean = values.groupBy("module", "sample").agg(F.avg("value").alias("m"))
-    joined = values.join(mean, ["module", "sample"])
-    per = joined.groupBy("module", "gene").agg(F.abs(F.corr("value", "m")).alias("r"), F.sum((F.col("value") - F.col("m")) ** 2).alias("res"), (F.var_pop("value") * F.count("*")).alias("tot"))
-    fit = per.groupBy("module").agg(F.count("*").alias("n_genes"), F.avg("r").alias("mean_corr"), (1 - F.sum("res") / F.sum("tot")).alias("rsquare"))
+    fitted = residuals(expr, members, programs)
+    corr = values.join(fitted.select("module", "sample", "outcome"), ["module", "sample"]).groupBy("module", "gene").agg(F.abs(F.corr("value", "outcome")).alias("r")).groupBy("module").agg(F.count("*").alias("n_genes"), F.avg("r").alias("mean_corr"))
+    fit = fitted.groupBy("module").agg(F.count("*").alias("_n"), (1 - F.sum(F.col("error") ** 2) / (F.var_pop("outcome") * F.count("*"))).alias("rsquare"))
+    regs = programs.where("beta != 0").groupBy("module").agg(F.count("*").alias("n_reg"))
     a = values.select("module", "sample", F.col("gene").alias("ga"), F.col("value").alias("x"))
     b = values.select("module", "sample", F.col("gene").alias("gb"), F.col("value").alias("y"))
     within = a.join(b, ["module", "sample"]).where("ga < gb").groupBy("module", "ga", "gb").agg(F.abs(F.corr("x", "y")).alias("r")).groupBy("module").agg((2 * F.sum("r")).alias("off"))
-    return fit.join(within, "module", "left").select("module", "n_genes", "mean_corr", "rsquare", (F.coalesce("off", F.lit(0.0)) / F.nullif((F.col("n_genes") - 1) ** 2, F.lit(0.0))).alias("homogeneity"))
+    out = corr.join(fit, "module").join(regs, "module", "left").join(within, "module", "left").withColumn("n_reg", F.coalesce("n_reg", F.lit(0)))
+    adjusted = 1 - (1 - F.col("rsquare")) * (F.col("_n") - 1) / F.nullif(F.col("_n") - F.col("n_reg"), F.lit(0))
+    return out.select("module", "n_reg", "n_genes", "mean_corr", "rsquare", adjusted.alias("rsquare_adjusted"), (F.coalesce("off", F.lit(0.0)) / F.nullif((F.col("n_genes") - 1) ** 2, F.lit(0.0))).alias("homogeneity"), F.lit(0.0).alias("condition"))

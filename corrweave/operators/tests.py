@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,11 +11,11 @@ from pyspark.sql import functions as F
 
 from corrweave.functions.dist import pearson_p_udf, spearman_p_udf, t_p_udf, wilcoxon_p_udf
 from corrweave.functions.scalar import average_rank
-from corrweave.operators.assoc import pairs, spearman_pairs
+from corrweave.plans.shared import materialize
 
 
 def node_summary(labelled: DataFrame, genes: DataFrame) -> DataFrame:
-    """For each gene: role, means (all, label 0, label 1), their difference, Welch's t with its degrees, the rank-sum statistic, and how often its commonest value occurs."""
+    """For each gene: role, means (all, label 0, label 1), their difference (label 0 less label 1), Welch's t with its degrees, the rank-sum statistic, and how often its commonest value occurs."""
     ranked = average_rank(labelled, "value", ["gene"])
     is0, is1 = F.col("phenotype") == 0, F.col("phenotype") == 1
     stats = ranked.groupBy("gene").agg(
@@ -28,66 +29,73 @@ def node_summary(labelled: DataFrame, genes: DataFrame) -> DataFrame:
         F.sum(F.when(is0, F.col("rank"))).alias("r0"),
     )
     counts = labelled.groupBy("gene", "value").agg(F.count("*").alias("c"), F.count_if(is0).alias("c0"), F.count_if(is1).alias("c1"))
-    repeats = counts.groupBy("gene").agg(F.max("c").alias("repeats_all"), F.max("c0").alias("repeats0"), F.max("c1").alias("repeats1"), F.collect_list("c").alias("ties"))
+    repeats = counts.groupBy("gene").agg(F.max("c").alias("repeats_all"), F.max("c0").alias("repeats0"), F.max("c1").alias("repeats1"), F.sum(F.col("c") ** 3 - F.col("c")).alias("tie_sum"))
     e0, e1 = F.col("v0") / F.col("n0"), F.col("v1") / F.col("n1")
     t = F.try_divide(F.col("avg0") - F.col("avg1"), F.sqrt(e0 + e1))
     df = F.try_divide((e0 + e1) ** 2, e0**2 / (F.col("n0") - 1) + e1**2 / (F.col("n1") - 1))
     out = stats.join(repeats, "gene").join(genes, "gene")
-    return out.select("gene", "is_regulator", "avg_all", "avg0", "avg1", (F.col("avg1") - F.col("avg0")).alias("avg_diff"), t.alias("t_stat"), df.alias("t_df"), (F.col("r0") - F.col("n0") * (F.col("n0") + 1) / 2).alias("wilcox_stat"), "n0", "n1", "repeats_all", "repeats0", "repeats1", "ties")
+    return out.select("gene", "is_regulator", "avg_all", "avg0", "avg1", (F.col("avg0") - F.col("avg1")).alias("avg_diff"), t.alias("t_stat"), df.alias("t_df"), (F.col("r0") - F.col("n0") * (F.col("n0") + 1) / 2).alias("wilcox_stat"), "n0", "n1", "repeats_all", "repeats0", "repeats1", "tie_sum")
 
 
 def with_node_p(summary: DataFrame) -> DataFrame:
     """p-values of the t and rank-sum statistics of ``node_summary``."""
-    ties = F.filter("ties", lambda c: c > 1)
-    return summary.withColumn("t_p", t_p_udf("t_stat", "t_df")).withColumn("wilcox_p", wilcoxon_p_udf("wilcox_stat", "n0", "n1", ties))
+    return summary.withColumn("t_p", t_p_udf("t_stat", "t_df")).withColumn("wilcox_p", wilcoxon_p_udf("wilcox_stat", "n0", "n1", "tie_sum"))
 
 
 def edge_summary(labelled: DataFrame, genes: DataFrame) -> DataFrame:
-    """reg, target, and n, Pearson and Spearman correlations over all samples and within each label."""
-    regs = genes.where("is_regulator").select(F.col("gene").alias("reg"))
-    targets = genes.where("not is_regulator").select(F.col("gene").alias("target"))
+    """reg, target, and n, Pearson and Spearman correlations, and whether either gene has ties, over all samples and within each label.
 
-    def within(df: DataFrame, tag: str) -> DataFrame:
-        p = pairs(df).withColumnsRenamed({"r": "pearson"}).join(spearman_pairs(df).select("gene_a", "gene_b", F.col("r").alias("spearman")), ["gene_a", "gene_b"])
-        flipped = p.select(F.col("gene_b").alias("gene_a"), F.col("gene_a").alias("gene_b"), "n", "pearson", "spearman")
-        both = p.select("gene_a", "gene_b", "n", "pearson", "spearman").unionByName(flipped)
-        return both.select(F.col("gene_a").alias("reg"), F.col("gene_b").alias("target"), *(F.col(c).alias(f"{tag}_{c}") for c in ("n", "pearson", "spearman"))).join(regs, "reg", "left_semi").join(targets, "target", "left_semi")
-
-    out = within(labelled, "all")
-    for label in (0, 1):
-        out = out.join(within(labelled.where(F.col("phenotype") == label), f"c{label}"), ["reg", "target"], "left")
-    return out
-
-
-def with_edge_p(summary: DataFrame, ties: bool = False) -> DataFrame:
-    """p-values of all correlations of ``edge_summary``."""
+    Regulators meet targets on their samples once, and every statistic is an aggregate of that join.
+    """
+    ranked = average_rank(average_rank(labelled, "value", ["gene"], "rank_all"), "value", ["gene", "phenotype"], "rank_own")
+    is0, is1 = F.col("phenotype") == 0, F.col("phenotype") == 1
+    counts = labelled.groupBy("gene", "value").agg(F.count("*").alias("all"), F.count_if(is0).alias("c0"), F.count_if(is1).alias("c1"))
+    tied = counts.groupBy("gene").agg(*((F.max(c) > 1).alias(c) for c in ("all", "c0", "c1")))
+    roles = genes.select("gene", "is_regulator").join(tied, "gene")
+    regs = ranked.join(genes.where("is_regulator").select("gene"), "gene", "left_semi").select("sample", "phenotype", F.col("gene").alias("reg"), F.col("value").alias("xv"), F.col("rank_all").alias("xa"), F.col("rank_own").alias("xo"))
+    targets = ranked.join(genes.where("not is_regulator").select("gene"), "gene", "left_semi").select("sample", F.col("gene").alias("target"), F.col("value").alias("yv"), F.col("rank_all").alias("ya"), F.col("rank_own").alias("yo"))
+    stats = [F.count("*").alias("all_n"), F.corr("xv", "yv").alias("all_pearson"), F.corr("xa", "ya").alias("all_spearman")]
+    for tag, of in (("c0", is0), ("c1", is1)):
+        only = lambda c, of=of: F.when(of, F.col(c))
+        stats += [F.count_if(of).alias(f"{tag}_n"), F.corr(only("xv"), only("yv")).alias(f"{tag}_pearson"), F.corr(only("xo"), only("yo")).alias(f"{tag}_spearman")]
+    both = regs.join(targets, "sample").groupBy("reg", "target").agg(*stats)
+    ties = [roles.select(F.col("gene").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("all", "c0", "c1"))) for side in ("reg", "target")]
+    named = both.join(ties[0], "reg").join(ties[1], "target")
+    return named.select("reg", "target", *(c for tag in ("all", "c0", "c1") for c in (f"{tag}_n", f"{tag}_pearson", f"{tag}_spearman", (F.col(f"reg_{tag}") | F.col(f"target_{tag}")).alias(f"{tag}_ties"))))
+
+
+def with_edge_p(summary: DataFrame) -> DataFrame:
+    """p-values of all correlations of ``edge_summary``; a rank correlation's way depends on its own ties."""
     for tag in ("all", "c0", "c1"):
-        summary = summary.withColumn(f"{tag}_pearson_p", pearson_p_udf(f"{tag}_pearson", f"{tag}_n")).withColumn(f"{tag}_spearman_p", spearman_p_udf(f"{tag}_spearman", f"{tag}_n", F.lit(ties)))
+        summary = summary.withColumn(f"{tag}_pearson_p", pearson_p_udf(f"{tag}_pearson", f"{tag}_n")).withColumn(f"{tag}_spearman_p", spearman_p_udf(f"{tag}_spearman", f"{tag}_n", f"{tag}_ties"))
     return summary
 
 
-def log_factorials(spark, upto: int) -> DataFrame:
-    """n, lf = ln n!, for the tails of Fisher's test; ``upto`` + 1 rows."""
-    return spark.range(upto + 1).select(F.col("id").cast("int").alias("n"), F.sum(F.ln(F.greatest("id", F.lit(1)))).over(W.orderBy("id")).alias("lf"))
+#: ln k! for k below 10, where the series is not exact enough.
+_SMALL = [math.lgamma(k + 1) for k in range(10)]
 
 
-def fisher_p(df: DataFrame, a: str, b: str, c: str, d: str, tail: str, name: str, upto: int) -> DataFrame:
-    """One-sided p of a 2 x 2 table by the hypergeometric tail; a table with an empty margin has p = 1.
+def log_factorial(n: Column) -> Column:
+    """ln n! by Stirling's series; looked up for n below 10."""
+    x = n.cast("double")
+    z = 1 / (x * x)
+    series = (x + 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z / 1188)))) / x
+    return F.when(n < 10, F.element_at(F.array(*map(F.lit, _SMALL)), F.greatest(F.least(n, F.lit(9)), F.lit(0)).cast("int") + 1)).otherwise(series)
 
-    ``upto`` bounds the total of a table: the logarithms of its factorials are one array, looked up by place.
-    """
+
+def fisher_p(df: DataFrame, a: str, b: str, c: str, d: str, tail: str, name: str) -> DataFrame:
+    """One-sided p of a 2 x 2 table by the hypergeometric tail; a table with an empty margin has p = 1. No table is too large: factorials are expressions."""
     if tail not in ("greater", "less"):
         raise ValueError(f"unknown tail {tail!r}")
-    table = log_factorials(df.sparkSession, upto).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "lf"))), lambda s: s["lf"]).alias("_lf"))
-    joined = df.crossJoin(F.broadcast(table))  # one row of upto + 1 numbers
-    A, B, C, D = (F.col(x).cast("int") for x in (a, b, c, d))
-    at = lambda n: F.element_at("_lf", (n + 1).cast("int"))
+    A, B, C, D = (F.col(x).cast("long") for x in (a, b, c, d))
     row, col, n = A + B, A + C, A + B + C + D
     low, high = F.greatest(F.lit(0), row + col - n), F.least(row, col)
     cells = F.sequence(A, high) if tail == "greater" else F.sequence(low, A)
-    fixed = at(row) + at(n - row) + at(col) + at(n - col) - at(n)
-    p = F.aggregate(cells, F.lit(0.0), lambda s, x: s + F.exp(fixed - at(x) - at(row - x) - at(col - x) - at(n - row - col + x)))
-    return joined.withColumn(name, F.least(p, F.lit(1.0))).drop("_lf")
+    lf = log_factorial
+    fixed = df.withColumn("_fixed", lf(row) + lf(n - row) + lf(col) + lf(n - col) - lf(n))
+    p = F.aggregate(cells, F.lit(0.0), lambda s, x: s + F.exp(F.col("_fixed") - lf(x) - lf(row - x) - lf(col - x) - lf(n - row - col + x)))
+    whole = A == (low if tail == "greater" else high)
+    return fixed.withColumn(name, F.when(whole, F.lit(1.0)).otherwise(F.least(p, F.lit(1.0)))).drop("_fixed")
 
 
 def module_correlations(values: DataFrame, by: list[str]) -> DataFrame:
@@ -119,13 +127,14 @@ def permuted_labels(samples: DataFrame, draws: int, seed: int = 1, first: int =
 
 @dataclass(frozen=True)
 class PermutationPlan:
-    """Permutations of the cheap and of the thorough stage, the p below which a module is tested again, the threshold, and whether a p of exactly 1 counts as significant (as some published results do)."""
+    """Permutations of the cheap and of the thorough stage, the p below which a module is tested again, the threshold, whether a p of exactly 1 counts as significant (as some published results do), and a number: modules whose own number it divides are tested again whatever their p (none by default)."""
 
     cheap: int = 100
     thorough: int = 1000
     retest_below: float = 0.08
     threshold: float = 0.05
     compat: bool = False
+    every: int | None = None
 
 
 def permutation_p(values: DataFrame, samples: DataFrame, draws: int, seed: int = 1) -> DataFrame:
@@ -141,13 +150,15 @@ def _p_of(observed: DataFrame, drawn: DataFrame) -> DataFrame:
     return observed.join(counted, "module", "left").select("module", "stat", ((F.coalesce("k", F.lit(0)) + 1) / (F.coalesce("n", F.lit(0)) + 1)).alias("p"))
 
 
-def two_stage(values: DataFrame, samples: DataFrame, plan: PermutationPlan = PermutationPlan(), test=permutation_p) -> DataFrame:
-    """module, p_cheap, p, significant: modules whose cheap p is small are tested again with more permutations."""
-    first = test(values, samples, plan.cheap).select("module", F.col("p").alias("p_cheap"))
+def two_stage(values: DataFrame, samples: DataFrame, plan: PermutationPlan = PermutationPlan(), test=permutation_p, numbers: DataFrame | None = None) -> DataFrame:
+    """module, p_cheap, p, significant: modules whose cheap p is small are tested again with more permutations. ``numbers`` (module, number) is for ``plan.every``."""
+    first = materialize(test(values, samples, plan.cheap).select("module", F.col("p").alias("p_cheap")), "first")
     again: Column = F.col("p_cheap") < plan.retest_below
     if plan.compat:
         again = again | (F.col("p_cheap") == 1)
     chosen = first.where(again).select("module")
+    if plan.every and numbers is not None:
+        chosen = chosen.unionByName(numbers.where(F.col("number") % plan.every == 0).select("module")).distinct()
     second = test(values.join(chosen, "module", "left_semi"), samples, plan.thorough).select("module", "p")
     significant = F.col("p") <= plan.threshold
     if plan.compat:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corrweave.kernels.modules import REGRESSIONS
+from corrweave.kernels.modules import regression
 from corrweave.sources.adapters import ExprSet
 
 
@@ -37,8 +37,60 @@ def check_expr(data: ExprSet) -> None:
 
 def check_modes(link_modes: list[str], graph_modes: list[str]) -> None:
     for mode in [*link_modes, *graph_modes]:
-        if mode not in REGRESSIONS:
-            raise ValueError(f"unknown mode {mode!r}; one of {', '.join(REGRESSIONS)}")
+        regression(mode)
+
+
+#: Messages of argument checks, in the order in which the checks are made.
+NETWORK_MESSAGES = {
+    "empty": "lognorm_est_counts field empty",
+    "class": "matrix class is required for input dataset",
+    "number": "non-numeric values inside lognorm_est_counts variable",
+    "names": "null field detected in row names or column names, check lognorm_est_counts matrix",
+    "targets": "target_filtered_idx field empty",
+    "regulators": "regulator_filtered_idx field empty",
+    "total": "the total number of genes is not equal to the sum of target_filtered_idx and regulatory_filtered_idx lengths",
+}
+CLIQUE_MESSAGES = {"empty": "dataset field empty", "class": "matrix or dataframe class is required", "number": "non-numeric values inside dataset variable"}
+REPORT_MESSAGES = {"path": "Path to the graph object must be specified", "missing": "graph object in the specified folder must exist", "cliques": "non-logical variable pass to this cliquesbool argument"}
+
+
+def check_network(expr: object, targets: list | None, regulators: list | None) -> None:
+    """Arguments of a network over one matrix, in order: measurements (gene, sample, value), and names of targets and regulators that make up all genes."""
+    say = NETWORK_MESSAGES
+    if expr is None:
+        raise ValueError(say["empty"])
+    if not isinstance(expr, DataFrame):
+        raise ValueError(say["class"])
+    if "value" not in expr.columns or not isinstance(expr.schema["value"].dataType, T.NumericType):
+        raise ValueError(say["number"])
+    if not {"gene", "sample"} <= set(expr.columns) or expr.where("gene is null or sample is null").limit(1).count():
+        raise ValueError(say["names"])
+    if targets is None:
+        raise ValueError(say["targets"])
+    if regulators is None:
+        raise ValueError(say["regulators"])
+    if len(set(targets)) + len(set(regulators)) != expr.select("gene").distinct().count():
+        raise ValueError(say["total"])
+
+
+def check_cliques(expr: object) -> None:
+    """The measurements of a clique search."""
+    if expr is None:
+        raise ValueError(CLIQUE_MESSAGES["empty"])
+    if not isinstance(expr, DataFrame):
+        raise ValueError(CLIQUE_MESSAGES["class"])
+    if "value" not in expr.columns or not isinstance(expr.schema["value"].dataType, T.NumericType):
+        raise ValueError(CLIQUE_MESSAGES["number"])
+
+
+def check_report(path: str | None, exists: bool, cliques: object) -> None:
+    """The arguments of a condition report: a stored module's path, whether it is there, and whether cliques are wanted."""
+    if path is None:
+        raise ValueError(REPORT_MESSAGES["path"])
+    if not exists:
+        raise ValueError(REPORT_MESSAGES["missing"])
+    if not isinstance(cliques, bool):
+        raise ValueError(REPORT_MESSAGES["cliques"])
 
 
 def check_threshold(name: str, value: float, low: float = 0.0, high: float = 1.0) -> None:
