@@ -6,7 +6,7 @@ matrices are checked for size before they are broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +20,7 @@ from corrweave.kernels import hclust
 from corrweave.kernels.modules import discover, regression
 from corrweave.kernels.perm import hashed_labels, statistic, varying
 from corrweave.plans.components import connected_components
+from corrweave.plans.shared import materialize
 
 #: Numbers of a regulator matrix that may be broadcast (8 bytes each).
 MAX_BROADCAST = 8_000_000
@@ -27,7 +28,7 @@ MAX_BROADCAST = 8_000_000
 
 @dataclass(frozen=True)
 class DiscoveryParams:
-    """Modules, bootstraps, iterations of each, regression, profile of a module, share of training samples, and level of the tests."""
+    """Modules, bootstraps, iterations of each, regression, profile of a module, share of training samples, level of the tests, seed, and whether held-out samples are left alone."""
 
     modules: int = 100
     bootstraps: int = 10
@@ -37,11 +38,14 @@ class DiscoveryParams:
     train_share: float = 0.8
     fdr: float = 0.05
     seed: int = 1
+    only_train: bool = False
 
 
-def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, list[str], list[str]]:
-    """Samples x genes, both in order; samples that lack a gene are left out."""
-    wide = pdf.pivot(index="sample", columns="gene", values="value").sort_index().sort_index(axis=1).dropna()
+def _matrix(pdf: pd.DataFrame, gaps: bool = False) -> tuple[np.ndarray, list[str], list[str]]:
+    """Samples x genes, both in order. A regression needs every value; where ``gaps`` may be, they are NaN."""
+    wide = pdf.pivot(index="sample", columns="gene", values="value").sort_index().sort_index(axis=1)
+    if not gaps and wide.isna().to_numpy().any():
+        raise ValueError(f"{int(wide.isna().to_numpy().sum())} of {wide.size} values of genes x samples are missing: fill them in, or leave out those genes or samples")
     return wide.to_numpy(float), list(wide.index), list(wide.columns)
 
 
@@ -51,7 +55,7 @@ def _labelled(values: DataFrame, samples: DataFrame) -> DataFrame:
 
 def _null_of(pdf: pd.DataFrame, draws: int, seed: int) -> tuple[float, np.ndarray]:
     label = pdf.drop_duplicates("sample").set_index("sample")["phenotype"]
-    x, names, _ = _matrix(pdf)
+    x, names, _ = _matrix(pdf, gaps=True)
     y = label.loc[names].to_numpy().astype(np.int8)
     x = x[:, varying(x, y)] if 0 < y.sum() < len(y) else x[:, :0]
     if x.shape[1] < 2:
@@ -61,7 +65,7 @@ def _null_of(pdf: pd.DataFrame, draws: int, seed: int) -> tuple[float, np.ndarra
 
 
 def permutation_p(values: DataFrame, samples: DataFrame, draws: int, seed: int = 1) -> DataFrame:
-    """module, stat, p as ``operators.tests.permutation_p``, one kernel for each module: right for modules of hundreds of genes."""
+    """module, stat, p as ``operators.tests.permutation_p``, one kernel for each module: right for modules of hundreds of genes. Missing values count pair by pair, as in the join."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         seen, null = _null_of(pdf, draws, seed)
@@ -82,41 +86,59 @@ def permutation_null(values: DataFrame, samples: DataFrame, draws: int, seed: in
     return _labelled(values, samples).groupBy("module").applyInPandas(run, "module string, draw int, stat double")
 
 
+#: Statistics of a module over one part of the samples.
+STATISTICS = ("n_reg", "n_genes", "mean_corr", "rsquare", "rsquare_adjusted", "homogeneity", "condition")
+
+
 def discover_modules(expr: DataFrame, genes: DataFrame, params: DiscoveryParams = DiscoveryParams()) -> DataFrame:
-    """bootstrap, module, role, gene, beta (of regulators), and the statistics of training and held-out samples, one row for each member.
+    """bootstrap, module, role, gene, beta (of regulators), intercept, and the seven statistics of training and held-out samples, one row for each member.
 
-    Each bootstrap is one group: its loop of assignment and fitting is short of data and long of rounds, so it runs in
-    one kernel, and bootstraps run beside each other.
+    Each bootstrap's loop of assignment and fitting is short of data and long of rounds, so it runs in one kernel, and
+    bootstraps run beside each other. The matrix is broadcast once if its size allows; a larger one is dealt to the
+    bootstraps by a shuffle. Values must be complete.
     """
     regression(params.mode)
     spark = expr.sparkSession
     draws = spark.range(params.bootstraps).select(F.col("id").cast("int").alias("bootstrap"))
-    data = expr.join(genes, "gene").select("gene", "sample", "value", "is_regulator").crossJoin(F.broadcast(draws))  # bootstraps rows
+    measured = expr.join(genes, "gene").select("gene", "sample", "value", "is_regulator")
+    stats = [f"{s}_{k}" for s in ("train", "held_out") for k in STATISTICS]
+    columns = ["bootstrap", "module", "role", "gene", "beta", "intercept", *stats]
+    schema = "bootstrap int, module int, role string, gene string, beta double, intercept double, " + ", ".join(f"{c} double" for c in stats)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        role = pdf.drop_duplicates("gene").set_index("gene")["is_regulator"]
-        x, names, columns = _matrix(pdf)
-        reg = role.loc[columns].to_numpy(bool)
-        found = discover(x.T, reg, names, params.modules, params.mode, params.iterations, int(key[0]), params.train_share, params.profile, params.fdr, params.seed)
-        gene = np.array(columns)
+    def one(bootstrap: int, x: np.ndarray, samples: list[str], gene: np.ndarray, reg: np.ndarray) -> pd.DataFrame:
+        found = discover(x.T, reg, samples, params.modules, params.mode, params.iterations, bootstrap, params.train_share, params.profile, params.fdr, params.seed, params.only_train)
         rows = []
         for m in found:
-            stats = {f"{s}_{k}": v for s in ("train", "held_out") for k, v in m.get(s, {}).items() if k in ("mean_corr", "rsquare", "homogeneity")}
-            rows += [{"bootstrap": key[0], "module": m["module"], "role": "target", "gene": g, "beta": np.nan, **stats} for g in gene[~reg][m["targets"]]]
-            rows += [{"bootstrap": key[0], "module": m["module"], "role": "regulator", "gene": g, "beta": b, **stats} for g, b in zip(gene[reg], m["beta"], strict=True) if b]
-        columns_out = ["bootstrap", "module", "role", "gene", "beta", *(f"{s}_{k}" for s in ("train", "held_out") for k in ("mean_corr", "rsquare", "homogeneity"))]
-        return pd.DataFrame(rows, columns=columns_out)
+            own = {"bootstrap": bootstrap, "module": m["module"], "intercept": m["intercept"], **{f"{s}_{k}": m[s][k] for s in ("train", "held_out") if s in m for k in STATISTICS}}
+            rows += [{**own, "role": "target", "gene": g, "beta": np.nan} for g in gene[~reg][m["targets"]]]
+            rows += [{**own, "role": "regulator", "gene": g, "beta": b} for g, b in zip(gene[reg], m["beta"], strict=True) if b]
+        return pd.DataFrame(rows, columns=columns)
+
+    def whole(pdf: pd.DataFrame) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        role = pdf.drop_duplicates("gene").set_index("gene")["is_regulator"]
+        x, samples, gene = _matrix(pdf)
+        return x, samples, np.array(gene), role.loc[gene].to_numpy(bool)
+
+    if measured.count() <= MAX_BROADCAST:
+        shared = spark.sparkContext.broadcast(whole(measured.toPandas()))  # its size is checked above
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for bootstrap in batch["bootstrap"]:
+                    yield one(int(bootstrap), *shared.value)
 
-    schema = "bootstrap int, module int, role string, gene string, beta double, " + ", ".join(f"{s}_{k} double" for s in ("train", "held_out") for k in ("mean_corr", "rsquare", "homogeneity"))
-    return data.groupBy("bootstrap").applyInPandas(run, schema)
+        return draws.repartition(params.bootstraps, "bootstrap").mapInPandas(run, schema)
+    copies = measured.crossJoin(F.broadcast(draws))  # bootstraps rows
+    return copies.groupBy("bootstrap").applyInPandas(lambda key, pdf: one(int(key[0]), *whole(pdf)), schema)
 
 
 def _regulator_matrix(expr: DataFrame, genes: DataFrame):
-    """Broadcast samples x regulators; its size is checked."""
+    """Broadcast samples x regulators; its size is checked as it comes."""
     chosen = expr.join(genes.where("is_regulator"), "gene").select("gene", "sample", "value")
-    if (size := chosen.count()) > MAX_BROADCAST:
-        raise ValueError(f"{size} values of regulators; at most {MAX_BROADCAST} can be broadcast")
-    return expr.sparkSession.sparkContext.broadcast(_matrix(chosen.toPandas()))
+    found = chosen.limit(MAX_BROADCAST + 1).toPandas()
+    if len(found) > MAX_BROADCAST:
+        raise ValueError(f"more than {MAX_BROADCAST} values of regulators: they cannot be broadcast")
+    return expr.sparkSession.sparkContext.broadcast(_matrix(found))
 
 
 def target_graph(expr: DataFrame, genes: DataFrame, mode: str, fdr: float = 0.05, seed: int = 1) -> DataFrame:
@@ -162,19 +184,40 @@ def module_graphs(expr: DataFrame, modules: DataFrame, mode: str, fdr: float = 0
 
 
 def cliques(edges: DataFrame) -> DataFrame:
-    """component, clique (a number within it), size, genes: maximal cliques, one kernel for each connected component."""
-    parts = connected_components(edges, "gene_a", "gene_b")
-    placed = edges.join(parts, edges["gene_a"] == parts["node"]).select("component", "gene_a", "gene_b")
+    """component, clique (a number within it, by size and names), size, genes: maximal cliques.
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, set[str]] = {}
-        for a, b in zip(pdf["gene_a"], pdf["gene_b"], strict=True):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        found = sorted(clique_kernel.maximal_cliques(near), key=lambda c: (-len(c), c))
-        return pd.DataFrame({"component": key[0], "clique": np.arange(len(found), dtype=np.int32), "size": np.array([len(c) for c in found], np.int32), "genes": [", ".join(c) for c in found]})
+    Every vertex is a group of its own: it finds the cliques in which it comes first in order of degree, from its
+    neighbours and the triangles that it is part of. So a dense component is dealt over tasks, and what a group searches
+    is bounded by its later neighbours, of which a vertex has few in that order.
+    """
+    ends = edges.select(F.col("gene_a").alias("a"), F.col("gene_b").alias("b")).where("a != b")
+    both = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    degree = both.groupBy("a").agg(F.count("*").alias("n"))
+    ranked = both.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("n").alias("m")), "b")
+    later = materialize(ranked.where((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))).select("a", "b"), "oriented")
+    #: x before y before z, each triangle once.
+    xy, xz, yz = later.toDF("x", "y"), later.toDF("x", "z"), later.toDF("y", "z")
+    triangles = xy.join(xz, "x").join(yz, ["y", "z"])
+    around = later.select(F.col("a").alias("v"), F.col("b").alias("p"), F.lit(None).cast("string").alias("q"), F.lit(True).alias("after"))
+    before = later.select(F.col("b").alias("v"), F.col("a").alias("p"), F.lit(None).cast("string").alias("q"), F.lit(False).alias("after"))
+    near = triangles.select(F.col("x").alias("v"), F.col("y").alias("p"), F.col("z").alias("q"), F.lit(None).cast("boolean").alias("after"))
+    across = triangles.select(F.col("y").alias("v"), F.col("x").alias("p"), F.col("z").alias("q"), F.lit(None).cast("boolean").alias("after"))
 
-    return placed.groupBy("component").applyInPandas(run, "component string, clique int, size int, genes string")
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf["q"].isna()
+        near: dict[str, set[str]] = {v: set() for v in pdf["p"][own]}
+        for p, q in zip(pdf["p"][~own], pdf["q"][~own], strict=True):
+            near[p].add(q)
+            near[q].add(p)
+        open_ = set(pdf["p"][own & (pdf["after"] == True)])  # noqa: E712  the column has nulls
+        found = list(clique_kernel.maximal_cliques(near, [key[0]], open_, set(near) - open_))
+        return pd.DataFrame({"v": [key[0]] * len(found), "members": ["\x01".join(c) for c in found]}, dtype=object)
+
+    found = around.unionByName(before).unionByName(near).unionByName(across).groupBy("v").applyInPandas(run, "v string, members string").withColumn("members", F.split("members", "\x01"))
+    parts = connected_components(later, "a", "b")
+    placed = found.join(parts, F.col("v") == F.col("node")).withColumn("size", F.size("members"))
+    number = F.row_number().over(W.partitionBy("component").orderBy(F.desc("size"), "members")) - 1
+    return placed.select("component", number.alias("clique"), "size", F.array_join("members", ", ").alias("genes"))
 
 
 #: Scores that rank cliques, by name: of a clique's size, median correlation and average variance.
@@ -196,50 +239,72 @@ def select_representatives(expr: DataFrame, corr: DataFrame, threshold: float, s
     a, b = found.select("id", F.col("gene").alias("gene_a")), found.select("id", F.col("gene").alias("gene_b"))
     median = a.join(b, "id").join(corr, ["gene_a", "gene_b"]).groupBy("id").agg(F.median("r").alias("m"))
     score = found.join(var, "gene").groupBy("id", "size").agg(F.avg("variance").alias("v")).join(median, "id", "left")
-    ranked = score.withColumn("clique_rank", F.row_number().over(W.orderBy(F.desc(SELECTIONS[selection](F.col("size").cast("double"), F.coalesce("m", F.lit(0.0)), F.col("v"))), "id")))  # cliques of one matrix
+    ranked = score.withColumn("clique_rank", F.row_number().over(W.partitionBy().orderBy(F.desc(SELECTIONS[selection](F.col("size").cast("double"), F.coalesce("m", F.lit(0.0)), F.col("v"))), "id")))  # cliques of one matrix
     own = first_seen(found.join(ranked.select("id", "clique_rank"), "id").select("clique_rank", "pos", "gene"))
-    alone = singletons(corr, expr, threshold).withColumn("clique_rank", F.lit(1 << 30) + F.row_number().over(W.orderBy("gene"))).withColumn("pos", F.lit(0))
+    alone = singletons(corr, expr, threshold).withColumn("clique_rank", F.lit(1 << 30) + F.row_number().over(W.partitionBy().orderBy("gene"))).withColumn("pos", F.lit(0))
     grouped = own.select("clique_rank", "gene").unionByName(alone.select("clique_rank", "gene")).join(var, "gene").groupBy("clique_rank").agg(F.max_by("gene", F.struct("variance", "gene")).alias("representative"), F.max("variance").alias("v"), F.array_sort(F.collect_list("gene")).alias("members"))
     must = F.arrays_overlap("members", F.array(*map(F.lit, mandatory))) if mandatory else F.lit(False)
-    out = grouped.withColumn("rank", F.row_number().over(W.orderBy(must.desc(), F.desc("v"), "representative")))
+    out = grouped.withColumn("rank", F.row_number().over(W.partitionBy().orderBy(must.desc(), F.desc("v"), "representative")))
     if keep is not None:
         out = out.where((F.col("rank") <= keep) | must)
     return out.select("rank", "representative", F.array_join("members", ", ").alias("genes"))
 
 
-def cluster_modules(similarity: DataFrame, rounds: int = 1000, least: float = 0.95, seed: int = 0) -> DataFrame:
-    """module, cluster: average linkage of modules by the correlation of their similarities, clusters that hold up in a multiscale bootstrap; -1 for modules in none.
+#: Tasks that the rounds of one scale are dealt over.
+BLOCKS = 8
 
-    Modules are few beside genes: their square matrix is one group.
-    """
-
-    def run(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf["m1"]) | set(pdf["m2"]))
-        at = {m: k for k, m in enumerate(names)}
-        x = np.full((len(names), len(names)), -0.1)
-        i, j = pdf["m1"].map(at).to_numpy(), pdf["m2"].map(at).to_numpy()
-        x[i, j] = x[j, i] = pdf["score"].to_numpy(float)
-        cluster = np.full(len(names), -1, np.int32)
-        if len(names) > 2:
-            chosen = hclust.significant_clusters(hclust.multiscale_bootstrap(x, rounds, seed=seed), least, len(names))
-            for k, members in enumerate(sorted(chosen, key=min)):
-                cluster[list(members)] = k
-        return pd.DataFrame({"module": names, "cluster": cluster})
-
-    return similarity.groupBy(F.lit(1).alias("one")).applyInPandas(run, "module string, cluster int")
 
+def cluster_modules(similarity: DataFrame, rounds: int = 1000, least: float = 0.95, seed: int = 0) -> DataFrame:
+    """module, cluster: average linkage of modules by the correlation of their similarities, clusters that hold up in a multiscale bootstrap; -1 for modules in none. Pairs without a row share no gene, and have a similarity of 0.
 
-def gene_order(difference: DataFrame) -> DataFrame:
-    """pos, gene: genes in the order of the leaves of the average-linkage tree over rows of the matrix of correlation differences, by Euclidean distance."""
+    The square matrix of modules is broadcast if its size allows, and the rounds are dealt over tasks.
+    """
+    spark = similarity.sparkSession
+    pdf = similarity.select("m1", "m2", "score").limit(MAX_BROADCAST + 1).toPandas()
+    names = sorted(set(pdf["m1"]) | set(pdf["m2"]))
+    if len(pdf) > MAX_BROADCAST or len(names) ** 2 > MAX_BROADCAST:
+        raise ValueError(f"a square of {len(names)} modules or more is over {MAX_BROADCAST} numbers")
+    at = {m: k for k, m in enumerate(names)}
+    x = np.zeros((len(names), len(names)))
+    i, j = pdf["m1"].map(at).to_numpy(int), pdf["m2"].map(at).to_numpy(int)
+    x[i, j] = x[j, i] = pdf["score"].to_numpy(float)
+    cluster = np.full(len(names), -1)
+    if len(names) > 2:
+        found = hclust.clusters_of(hclust.average_linkage(hclust.correlation_distance(x)), len(names))
+        shared = spark.sparkContext.broadcast((x, found))  # its size is checked above
+        dealt = np.array_split(np.arange(rounds), BLOCKS)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for task in batch["id"]:
+                    scale, part = divmod(int(task), BLOCKS)
+                    hits = hclust.bootstrap_hits(*shared.value, hclust.SCALES[scale], dealt[part].tolist(), seed)
+                    yield pd.DataFrame({"scale": scale, "k": np.arange(len(hits)), "hits": hits})
+
+        tasks = spark.range(0, len(hclust.SCALES) * BLOCKS, 1, len(hclust.SCALES) * BLOCKS)
+        hits = np.zeros((len(hclust.SCALES), len(found)))
+        for r in tasks.mapInPandas(run, "scale int, k int, hits double").groupBy("scale", "k").agg(F.sum("hits").alias("n")).collect():  # scales x modules rows
+            hits[r["scale"], r["k"]] = r["n"]
+        tested = [(f, *hclust.approximately_unbiased(hits[:, k], rounds)) for k, f in enumerate(found)]
+        for k, members in enumerate(sorted(hclust.significant_clusters(tested, least, len(names)), key=min)):
+            cluster[list(members)] = k
+    return spark.createDataFrame([(m, int(c)) for m, c in zip(names, cluster, strict=True)], "module string, cluster int")
+
+
+def gene_order(difference: DataFrame, genes: DataFrame) -> DataFrame:
+    """is_regulator, pos, gene: regulators and targets, each in the order of the leaves of the complete-linkage tree over rows of their matrix of correlation differences (gene_a, gene_b, diff), by Euclidean distance. A role's square matrix is one group."""
+    roles = genes.select("gene", "is_regulator")
+    a, b = roles.toDF("gene_a", "is_regulator"), roles.toDF("gene_b", "_role")
+    same = difference.select("gene_a", "gene_b", "diff").join(a, "gene_a").join(b, "gene_b").where(F.col("is_regulator") == F.col("_role")).select("is_regulator", "gene_a", "gene_b", "diff")
+    alone = roles.select("is_regulator", F.col("gene").alias("gene_a"), F.col("gene").alias("gene_b"), F.lit(0.0).alias("diff"))
 
-    def run(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(pdf["gene_a"]) | set(pdf["gene_b"]))
         at = {m: k for k, m in enumerate(names)}
         x = np.zeros((len(names), len(names)))
         i, j = pdf["gene_a"].map(at).to_numpy(), pdf["gene_b"].map(at).to_numpy()
         x[i, j] = x[j, i] = pdf["diff"].fillna(0).to_numpy(float)
-        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
-        order = hclust.leaf_order(hclust.average_linkage(d), len(names))
-        return pd.DataFrame({"pos": np.arange(len(names), dtype=np.int32), "gene": [names[k] for k in order]})
+        order = hclust.leaf_order(hclust.linkage(hclust.euclidean_distance(x), "complete"), len(names))
+        return pd.DataFrame({"is_regulator": bool(key[0]), "pos": np.arange(len(names), dtype=np.int32), "gene": [names[k] for k in order]})
 
-    return difference.groupBy(F.lit(1).alias("one")).applyInPandas(run, "pos int, gene string")
+    return same.unionByName(alone).groupBy("is_regulator").applyInPandas(run, "is_regulator boolean, pos int, gene string")

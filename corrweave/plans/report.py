@@ -26,7 +26,7 @@ def cell(counts: dict[object, int]) -> str:
 def contingency(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
     """Counts of ``row`` by the given values of ``column``, zero where there is none."""
     wide = df.groupBy(row).pivot(column, values).agg(F.count(F.lit(1)))
-    return wide.select(row, *(F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(f"{column}_{v}") for v in values))
+    return wide.select(row, *(F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(f"{column}_{v}".replace("-", "minus_")) for v in values))
 
 
 def clique_points(cliques: DataFrame, corr: DataFrame, variance: DataFrame) -> DataFrame:
@@ -66,8 +66,9 @@ def module_report(data: ExprSet, genes: DataFrame, mode: str = "VBSR", draws: in
     values = data.expr.join(genes.select("gene"), "gene", "left_semi").withColumn("module", F.lit("module"))
     ordered, by_weight = pipeline.raw_summary(nodes, edges)
     labelled = prep.with_phenotype(data).join(genes.select("gene"), "gene", "left_semi")
-    from corrweave.operators.assoc import label_difference
+    from corrweave.operators.assoc import label_correlations
 
+    correlations = label_correlations(labelled)
     return ModuleReport(
         {
             "nodes": ordered,
@@ -75,7 +76,8 @@ def module_report(data: ExprSet, genes: DataFrame, mode: str = "VBSR", draws: in
             "refined": pipeline.refine_module(genes, edges),
             "expression": layout.top_or_regulator(nodes, "t_p"),
             "regulators": evidence.regulator_ranking(nodes, edges),
-            "order": inference.gene_order(label_difference(labelled)),
+            "correlations": correlations,
+            "order": inference.gene_order(correlations, genes),
             "layout": layout.layout_phenotype(nodes),
             "distributions": distributions(nodes, edges),
             "null": inference.permutation_null(values, data.samples, draws),
@@ -84,20 +86,20 @@ def module_report(data: ExprSet, genes: DataFrame, mode: str = "VBSR", draws: in
     )
 
 
-def evidence_report(edges: DataFrame, peaks: DataFrame, rows: int = 1000) -> dict[str, DataFrame]:
-    """Support of edges beside their evidence: the first edges, genes with their neighbours, cumulative and overview tables. Edges are (graph, target, regulator, weight), peaks (regulator, target, peaks)."""
-    support = evidence.edge_support(edges)
-    joined = evidence.evidence_join(support, peaks)
+def evidence_report(edges: DataFrame, peaks: DataFrame, regulators: int, targets: int, bootstraps: int, rows: int = 1000) -> dict[str, DataFrame]:
+    """Support of edges beside their evidence: the first edges, genes of both roles with their neighbours, cumulative and overview tables. Edges are (graph, target, regulator, weight), peaks (regulator, target, peaks); the numbers are those that the graphs could have."""
+    joined = evidence.evidence_join(evidence.edge_support(edges), peaks)
     return {
         "edges": evidence.top_edges(joined, rows),
-        "genes": evidence.gene_support(support),
+        "regulators": evidence.gene_table(joined, "regulator", bootstraps, rows=rows),
+        "targets": evidence.gene_table(joined, "target", bootstraps, rows=rows),
         "cumulative": evidence.cumulative_support(joined),
-        "support_by_evidence": contingency(joined, "support", "evidence", [0, 1]),
-        "runs": evidence.run_overview(edges),
+        "support_by_evidence": contingency(joined, "support", "evidence", [-1, 0, 1]),
+        "runs": evidence.run_overview(edges, regulators, targets, bootstraps),
         "overview": evidence.evidence_overview(peaks),
     }
 
 
-def rewired_ids(values: DataFrame, samples: DataFrame, plan: tests.PermutationPlan = tests.PermutationPlan()) -> DataFrame:
+def rewired_ids(values: DataFrame, samples: DataFrame, plan: tests.PermutationPlan = tests.PermutationPlan(), numbers: DataFrame | None = None) -> DataFrame:
     """Ids of the significant modules alone, without summaries: what the cache of rewired modules holds."""
-    return tests.two_stage(values, samples, plan, inference.permutation_p).where("significant").select("module")
+    return tests.two_stage(values, samples, plan, inference.permutation_p, numbers).where("significant").select("module")
