@@ -20,7 +20,6 @@ HEADLINE = (
     "spearman_pairs",
     "rewiring_observed",
     "rewiring_permutation_p",
-    "rewiring_permutation_sql",
     "module_overlap_fisher",
     "gene_level_scores",
     "bh_adjust",

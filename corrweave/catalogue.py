@@ -1,7 +1,7 @@
 """Every query over the reference operators, by name, with the DuckDB SQL it is held against.
 
-Floating results are rounded to six decimals (small p-values to eight significant digits), and -0.0 becomes 0.0, so that
-both engines' sums agree.
+Floating results are rounded to six decimals, and -0.0 becomes 0.0, so that both engines' sums agree. Tails of
+distributions, which DuckDB lacks, are Simpson's rule there: accurate to some 1e-12.
 """
 
 from __future__ import annotations
@@ -11,17 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrweave.functions.scalar import adjust_p, average_rank, capped_log10, signif
+from corrweave.functions.scalar import adjust_many, average_rank, signif
 from corrweave.operators import assoc, evidence, graph, layout, prep, tests
-from corrweave.plans import inference, report
-from corrweave.sources.adapters import B_SQL, E_SQL, L_SQL, M_SQL, brand_set, embedding_set, module_members, rewired_modules, supplier_set
+from corrweave.plans import inference, pipeline, report
+from corrweave.plans.shared import materialize
+from corrweave.sources.adapters import B_SQL, E_SQL, G_SQL, L_SQL, M_SQL, brand_set, embedding_set, module_edges, module_members, rewired_modules, supplier_set
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-#: The factorials that overlap tests look up reach this total.
-UNIVERSE = 5000
-
 
 def query(sql: str | None = None):
     """Register a function under its name, with its SQL where there is one."""
@@ -40,9 +38,47 @@ def r6(column: str | Column, name: str | None = None) -> Column:
     return (F.round(c, 6) + F.lit(0.0)).alias(name or column)
 
 
-def s8(column: str | Column, name: str | None = None) -> Column:
-    c = F.col(column) if isinstance(column, str) else column
-    return signif(c, 8).alias(name or column)
+def sig(x: str, digits: int) -> str:
+    """SQL: rounded to significant digits."""
+    return f"(CASE WHEN {x} = 0 THEN 0.0::double ELSE round_even({x} * pow(10.0, {digits - 1} - floor(log10(abs({x})))), 0)::double / pow(10.0, {digits - 1} - floor(log10(abs({x})))) END)"
+
+
+def _simpson(f: str, steps: int) -> str:
+    """SQL: the integral of ``f`` of k = 0 ... steps, for a step of 1."""
+    return f"(SELECT sum(CASE WHEN k = 0 OR k = {steps} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * {f}) / 3 FROM unnest(range(0, {steps + 1})) q(k))"
+
+
+def t_tail(t: str, df: str, steps: int = 8000) -> str:
+    """SQL: two-sided tail of Student's t, by the integral of cos^(df - 1) over angles."""
+    low = f"atan(abs({t}) / sqrt({df}::double))"
+    step = f"((pi() / 2 - {low}) / {steps})"
+    return f"(CASE WHEN {t} IS NULL OR {df} IS NULL THEN NULL ELSE least(1.0, 2 * exp(lgamma({df} / 2.0::double + 0.5) - lgamma({df} / 2.0::double) - lgamma(0.5::double)) * {step} * {_simpson(f'pow(cos({low} + k * {step}), {df} - 1)', steps)}) END)"
+
+
+def r_tail(r: str, n: str) -> str:
+    """SQL: two-sided p of a correlation."""
+    return t_tail(f"({r} * sqrt(({n} - 2) / (1 - {r} * {r})))", f"({n} - 2)")
+
+
+def normal_tail(z: str, steps: int = 4000) -> str:
+    """SQL: upper tail of the normal distribution, up to 12."""
+    step = f"((12 - {z}) / {steps})"
+    return f"({step} / sqrt(2 * pi()) * {_simpson(f'exp(-pow({z} + k * {step}, 2) / 2)', steps)})"
+
+
+def rho_tail(rho: str, n: str, ties: str) -> str:
+    """SQL: two-sided p of a rank correlation of ten rows or more: by t with ties, else by the series for its sum of squared rank differences."""
+    cubes = f"({n}::double * ({n}::double * {n} - 1))"
+    s = f"(2 * round_even({cubes} * (1 - {rho}) / 12, 0)::double)"
+
+    def tail(s: str) -> str:
+        b = f"(1.0::double / {n})"
+        x = f"((6 * ({s} - 1) * {b} / ({n}::double * {n} - 1) - 1) * sqrt({n}::double - 1))"
+        y = f"({x} * {x})"
+        u = f"({x} * {b} * (0.2274 + {b} * (0.2531 + 0.1745 * {b}) + {y} * (-0.0758 + {b} * (0.1033 + 0.3932 * {b}) - {y} * {b} * (0.0879 + 0.0151 * {b} - {y} * (0.0072 - 0.0831 * {b} + {y} * {b} * (0.0131 - 0.00046 * {y}))))))"
+        return f"least(greatest({u} / exp({y} / 2) + {normal_tail(x)}, 0.0), 1.0)"
+
+    return f"(CASE WHEN {ties} THEN {r_tail(rho, n)} WHEN {s} > {cubes} / 6 THEN least(2 * {tail(s)}, 1.0) ELSE least(2 * (1 - {tail(f'({s} + 2)')}), 1.0) END)"
 
 
 def _blocks(data, width: int = 8) -> DataFrame:
@@ -59,10 +95,10 @@ VARIANCE_L = f"""WITH {L_SQL}, vg AS (SELECT gene, var_samp(value) AS v FROM exp
 vs AS (SELECT sample, var_samp(value) AS v FROM kept GROUP BY 1)"""
 
 
-@query(f"WITH {E_SQL} SELECT gene, sample, round(value, 6) + 0.0 AS value FROM expr WHERE gene < 'g10'")
+@query(f"WITH {E_SQL} SELECT gene, sample, round(value, 6) + 0.0 AS value FROM expr")
 def unpivot_matrix(spark, sf_dir):
-    """Ten dimensions as columns, and back to long form."""
-    emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.concat(F.lit("s"), F.lpad(F.col("vec_id").cast("string"), 6, "0")).alias("sample"), *(F.get("embedding", F.lit(k)).cast("double").alias(f"g{k:02d}") for k in range(10)))
+    """All dimensions as columns, and back to long form."""
+    emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.concat(F.lit("s"), F.lpad(F.col("vec_id").cast("string"), 6, "0")).alias("sample"), *(F.get("embedding", F.lit(k)).cast("double").alias(f"g{k:02d}") for k in range(64)))
     return prep.unpivot(emb, "sample").select(F.col("sample").alias("gene"), F.col("gene").alias("sample"), r6("value"))
 
 
@@ -125,11 +161,11 @@ def bootstrap_split(spark, sf_dir):
     return prep.bootstrap_split(embedding_set(spark, sf_dir).samples, 3)
 
 
-@query(SPLIT + ", j AS (SELECT bootstrap, split, gene, sample, value FROM split JOIN expr USING (sample)), s AS (SELECT bootstrap, split, gene, avg(value) AS m, stddev_samp(value) AS sd FROM j GROUP BY 1, 2, 3) SELECT bootstrap, split, gene, sample, round((value - m) / sd, 6) + 0.0 AS z FROM j JOIN s USING (bootstrap, split, gene) WHERE gene < 'g08'")
+@query(SPLIT + ", j AS (SELECT bootstrap, split, gene, sample, value FROM split JOIN expr USING (sample)), s AS (SELECT bootstrap, split, gene, avg(value) AS m, stddev_samp(value) AS sd FROM j GROUP BY 1, 2, 3) SELECT bootstrap, split, gene, sample, round((value - m) / sd, 6) + 0.0 AS z FROM j JOIN s USING (bootstrap, split, gene)")
 def zscore_by_split(spark, sf_dir):
     data = embedding_set(spark, sf_dir)
-    few = data.expr.where("gene < 'g08'").join(prep.bootstrap_split(data.samples, 3), "sample")
-    return prep.zscore(few, ["bootstrap", "split"]).select("bootstrap", "split", "gene", "sample", r6("z"))
+    dealt = data.expr.join(prep.bootstrap_split(data.samples, 3), "sample")
+    return prep.zscore(dealt, ["bootstrap", "split"]).select("bootstrap", "split", "gene", "sample", r6("z"))
 
 
 PAIRS = "SELECT a.gene AS gene_a, b.gene AS gene_b, count(*) AS n, corr(a.{v}, b.{v}) AS r FROM {t} a JOIN {t} b ON a.sample = b.sample AND a.gene < b.gene GROUP BY 1, 2"
@@ -159,34 +195,29 @@ def rank_average_ties(spark, sf_dir):
     return average_rank(brand_set(spark, sf_dir).expr, "value", ["gene"]).select("gene", "sample", "rank")
 
 
-LABEL_CORR = f"WITH {E_SQL}, e AS (SELECT gene, sample, value, phenotype FROM expr JOIN samples USING (sample) WHERE phenotype IS NOT NULL AND gene < 'g16'), c AS (SELECT a.phenotype, a.gene AS gene_a, b.gene AS gene_b, count(*) AS n, corr(a.value, b.value) AS r FROM e a JOIN e b ON a.sample = b.sample AND a.gene < b.gene GROUP BY 1, 2, 3)"
+LABEL_CORR = f"WITH {E_SQL}, e AS (SELECT gene, sample, value, phenotype FROM expr JOIN samples USING (sample) WHERE phenotype IS NOT NULL), c AS (SELECT a.phenotype, a.gene AS gene_a, b.gene AS gene_b, count(*) AS n, corr(a.value, b.value) AS r FROM e a JOIN e b ON a.sample = b.sample AND a.gene < b.gene GROUP BY 1, 2, 3)"
 
 
 def _labelled(spark, sf_dir):
     return prep.with_phenotype(embedding_set(spark, sf_dir))
 
 
-def _few_labelled(spark, sf_dir):
-    """What the SQL beside it covers; queries without SQL take ``_labelled``."""
-    return prep.with_phenotype(embedding_set(spark, sf_dir)).where("gene < 'g16'")
-
-
 @query(LABEL_CORR + " SELECT phenotype, gene_a, gene_b, n, round(r, 6) + 0.0 AS r FROM c")
 def corr_by_label(spark, sf_dir):
-    return assoc.pairs(_few_labelled(spark, sf_dir), ["phenotype"]).select("phenotype", "gene_a", "gene_b", "n", r6("r"))
+    return assoc.pairs(_labelled(spark, sf_dir), ["phenotype"]).select("phenotype", "gene_a", "gene_b", "n", r6("r"))
 
 
 @query(LABEL_CORR + " SELECT x.gene_a, x.gene_b, round(x.r, 6) + 0.0 AS r0, round(y.r, 6) + 0.0 AS r1, round(x.r - y.r, 6) + 0.0 AS diff FROM c x JOIN c y ON x.gene_a = y.gene_a AND x.gene_b = y.gene_b AND x.phenotype = 0 AND y.phenotype = 1")
 def corr_difference(spark, sf_dir):
-    return assoc.label_difference(_few_labelled(spark, sf_dir)).select("gene_a", "gene_b", r6("r0"), r6("r1"), r6("diff"))
+    return assoc.label_difference(_labelled(spark, sf_dir)).select("gene_a", "gene_b", r6("r0"), r6("r1"), r6("diff"))
 
 
 NODES = f"""WITH {L_SQL}, e AS (SELECT gene, sample, value, phenotype FROM expr JOIN samples USING (sample)),
 k AS (SELECT *, rank() OVER (PARTITION BY gene ORDER BY value) + (count(*) OVER (PARTITION BY gene, value) - 1) / 2.0 AS rank FROM e),
 s AS (SELECT gene, avg(value) AS avg_all, avg(value) FILTER (phenotype = 0) AS avg0, avg(value) FILTER (phenotype = 1) AS avg1, var_samp(value) FILTER (phenotype = 0) AS v0, var_samp(value) FILTER (phenotype = 1) AS v1, count(*) FILTER (phenotype = 0) AS n0, count(*) FILTER (phenotype = 1) AS n1, sum(rank) FILTER (phenotype = 0) AS r0 FROM k GROUP BY 1),
 c AS (SELECT gene, value, count(*) AS c, count(*) FILTER (phenotype = 0) AS c0, count(*) FILTER (phenotype = 1) AS c1 FROM e GROUP BY 1, 2),
-m AS (SELECT gene, max(c) AS repeats_all, max(c0) AS repeats0, max(c1) AS repeats1 FROM c GROUP BY 1),
-nodes AS (SELECT s.*, is_regulator, repeats_all, repeats0, repeats1, (avg0 - avg1) / nullif(sqrt(v0 / n0 + v1 / n1), 0) AS t_stat, pow(v0 / n0 + v1 / n1, 2) / nullif(pow(v0 / n0, 2) / (n0 - 1) + pow(v1 / n1, 2) / (n1 - 1), 0) AS t_df, r0 - n0 * (n0 + 1) / 2.0 AS wilcox_stat FROM s JOIN m USING (gene) JOIN genes USING (gene))"""
+m AS (SELECT gene, max(c) AS repeats_all, max(c0) AS repeats0, max(c1) AS repeats1, sum(c * c * c - c)::double AS ties FROM c GROUP BY 1),
+nodes AS (SELECT s.*, is_regulator, repeats_all, repeats0, repeats1, ties, (avg0 - avg1) / nullif(sqrt(v0 / n0 + v1 / n1), 0) AS t_stat, pow(v0 / n0 + v1 / n1, 2) / nullif(pow(v0 / n0, 2) / (n0 - 1) + pow(v1 / n1, 2) / (n1 - 1), 0) AS t_df, r0 - n0 * (n0 + 1) / 2.0 AS wilcox_stat FROM s JOIN m USING (gene) JOIN genes USING (gene))"""
 
 
 def _nodes(spark, sf_dir):
@@ -194,25 +225,31 @@ def _nodes(spark, sf_dir):
     return tests.node_summary(prep.with_phenotype(data), data.genes)
 
 
-@query(NODES + " SELECT gene, is_regulator, round(avg_all, 6) AS avg_all, round(avg0, 6) AS avg0, round(avg1, 6) AS avg1, round(avg1 - avg0, 6) + 0.0 AS avg_diff, round(t_stat, 6) + 0.0 AS t_stat, round(t_df, 6) AS t_df, wilcox_stat, repeats_all, repeats0, repeats1 FROM nodes")
+@query(NODES + " SELECT gene, is_regulator, round(avg_all, 6) AS avg_all, round(avg0, 6) AS avg0, round(avg1, 6) AS avg1, round(avg0 - avg1, 6) + 0.0 AS avg_diff, round(t_stat, 6) + 0.0 AS t_stat, round(t_df, 6) AS t_df, wilcox_stat, repeats_all, repeats0, repeats1 FROM nodes")
 def node_summary_core(spark, sf_dir):
     return _nodes(spark, sf_dir).select("gene", "is_regulator", r6("avg_all"), r6("avg0"), r6("avg1"), r6("avg_diff"), r6("t_stat"), r6("t_df"), F.col("wilcox_stat").cast("double").alias("wilcox_stat"), "repeats_all", "repeats0", "repeats1")
 
 
-@query()
+#: Ways to reach each sum of ranks of the first label's samples, rank by rank.
+RANK_SUMS = """, size AS (SELECT max(n0)::int AS n0, max(n1)::int AS n1 FROM nodes), ways AS (WITH RECURSIVE w(k, m, s, c) AS (SELECT 0, 0, 0, 1.0::double UNION ALL SELECT k, m, s, sum(c) FROM (SELECT k + 1 AS k, m + t AS m, s + t * (k + 1) AS s, c FROM w, range(2) q(t), size WHERE k < n0 + n1 AND m + t <= n0) GROUP BY 1, 2, 3) SELECT s - n0 * (n0 + 1) // 2 AS w, c FROM w, size WHERE k = n0 + n1 AND m = n0),
+rs AS (SELECT gene, wilcox_stat AS w, n0, n1, ties, n0 * n1 / 12.0::double * (n0 + n1 + 1 - ties / ((n0 + n1) * (n0 + n1 - 1))) AS var FROM nodes),
+ex AS (SELECT gene, least(1.0, 2 * CASE WHEN max(rs.w) > max(n0 * n1) / 2.0 THEN sum(c) FILTER (ways.w >= rs.w) ELSE sum(c) FILTER (ways.w <= rs.w) END / sum(c)) AS p FROM rs, ways WHERE ties = 0 GROUP BY 1)"""
+
+
+@query(NODES.replace("WITH ", "WITH RECURSIVE ", 1) + RANK_SUMS + f", ap AS (SELECT gene, least(1.0, 2 * {normal_tail('z')}) AS p FROM (SELECT gene, (abs(w - n0 * n1 / 2.0) - 0.5 * (w <> n0 * n1 / 2.0)::int) / sqrt(var) AS z FROM rs WHERE ties > 0 AND var > 0)) SELECT gene, round({t_tail('t_stat', 't_df')}, 6) AS t_p, round(coalesce(ex.p, ap.p), 6) AS wilcox_p FROM nodes LEFT JOIN ex USING (gene) LEFT JOIN ap USING (gene)")
 def node_summary_pvalues(spark, sf_dir):
-    return tests.with_node_p(_nodes(spark, sf_dir)).select("gene", s8("t_p"), s8("wilcox_p"))
+    return tests.with_node_p(_nodes(spark, sf_dir)).select("gene", r6("t_p"), r6("wilcox_p"))
 
 
-EDGES_E = f"""WITH {E_SQL}, e AS (SELECT gene, sample, value, phenotype FROM expr JOIN samples USING (sample) WHERE phenotype IS NOT NULL AND gene < 'g16'),
+EDGES_E = f"""WITH {E_SQL}, e AS (SELECT gene, sample, value, phenotype FROM expr JOIN samples USING (sample) WHERE phenotype IS NOT NULL),
 k AS (SELECT *, rank() OVER (PARTITION BY gene ORDER BY value) + (count(*) OVER (PARTITION BY gene, value) - 1) / 2.0 AS rk, rank() OVER (PARTITION BY gene, phenotype ORDER BY value) + (count(*) OVER (PARTITION BY gene, phenotype, value) - 1) / 2.0 AS rl FROM e),
-s AS (SELECT a.gene AS reg, b.gene AS target, count(*) AS all_n, corr(a.value, b.value) AS all_pearson, corr(a.rk, b.rk) AS all_spearman, corr(a.value, b.value) FILTER (a.phenotype = 0) AS c0_pearson, corr(a.rl, b.rl) FILTER (a.phenotype = 0) AS c0_spearman, corr(a.value, b.value) FILTER (a.phenotype = 1) AS c1_pearson, corr(a.rl, b.rl) FILTER (a.phenotype = 1) AS c1_spearman FROM k a JOIN k b ON a.sample = b.sample AND a.gene < 'g08' AND b.gene >= 'g08' GROUP BY 1, 2)"""
+s AS (SELECT a.gene AS reg, b.gene AS target, count(*) AS all_n, corr(a.value, b.value) AS all_pearson, corr(a.rk, b.rk) AS all_spearman, corr(a.value, b.value) FILTER (a.phenotype = 0) AS c0_pearson, corr(a.rl, b.rl) FILTER (a.phenotype = 0) AS c0_spearman, corr(a.value, b.value) FILTER (a.phenotype = 1) AS c1_pearson, corr(a.rl, b.rl) FILTER (a.phenotype = 1) AS c1_spearman, count(*) FILTER (a.phenotype = 0) AS c0_n, count(*) FILTER (a.phenotype = 1) AS c1_n FROM k a JOIN k b ON a.sample = b.sample AND a.gene < 'g08' AND b.gene >= 'g08' GROUP BY 1, 2)"""
 _EDGE_STATS = ("all_pearson", "all_spearman", "c0_pearson", "c0_spearman", "c1_pearson", "c1_spearman")
 
 
 def _edge_summary(spark, sf_dir):
     data = embedding_set(spark, sf_dir)
-    return tests.edge_summary(_few_labelled(spark, sf_dir), data.genes)
+    return tests.edge_summary(_labelled(spark, sf_dir), data.genes)
 
 
 @query(EDGES_E + " SELECT reg, target, all_n, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _EDGE_STATS) + " FROM s")
@@ -220,9 +257,17 @@ def edge_summary_core(spark, sf_dir):
     return _edge_summary(spark, sf_dir).select("reg", "target", "all_n", *(r6(c) for c in _EDGE_STATS))
 
 
-@query()
+_TIES = "ti AS (SELECT gene, max(c) > 1 AS all_ties, max(c0) > 1 AS c0_ties, max(c1) > 1 AS c1_ties FROM (SELECT gene, value, count(*) AS c, count(*) FILTER (phenotype = 0) AS c0, count(*) FILTER (phenotype = 1) AS c1 FROM e GROUP BY 1, 2) GROUP BY 1)"
+
+
+@query(
+    EDGES_E
+    + f", {_TIES} SELECT reg, target, "
+    + ", ".join(f"round({r_tail(f'{t}_pearson', f'{t}_n')}, 6) AS {t}_pearson_p, round({rho_tail(f'{t}_spearman', f'{t}_n', f'(x.{t}_ties OR y.{t}_ties)')}, 6) AS {t}_spearman_p" for t in ("all", "c0", "c1"))
+    + " FROM s JOIN ti x ON x.gene = reg JOIN ti y ON y.gene = target"
+)
 def edge_summary_pvalues(spark, sf_dir):
-    return tests.with_edge_p(tests.edge_summary(_labelled(spark, sf_dir), embedding_set(spark, sf_dir).genes)).select("reg", "target", *(s8(f"{c}_p") for c in _EDGE_STATS))
+    return tests.with_edge_p(_edge_summary(spark, sf_dir)).select("reg", "target", *(r6(f"{c}_p") for c in _EDGE_STATS))
 
 
 DRAWS = 100
@@ -246,30 +291,38 @@ def rewiring_permutation_p(spark, sf_dir):
     return inference.permutation_p(_module_values(data), data.samples, DRAWS).select("module", r6("stat"), r6("p"))
 
 
-@query(REWIRING.replace(f"range({DRAWS})", "range(20)") + " SELECT module, round(p, 6) AS p FROM pv")
-def rewiring_permutation_sql(spark, sf_dir):
-    """The same test as joins and aggregates alone: right for small modules."""
-    data = embedding_set(spark, sf_dir)
-    return tests.permutation_p(_module_values(data), data.samples, 20).select("module", r6("p"))
+_RETEST = 0.5
+#: The thorough stage for the modules that the cheap one picks: the same steps over more draws.
+_THOROUGH = (
+    REWIRING.partition("perm AS")[2]
+    .replace(f"range({DRAWS}) t(b)", "range(1000) t(b)")
+    .replace("FROM e a JOIN e b", "FROM e2 a JOIN e2 b")
+    .replace("JOIN perm", "JOIN perm2")
+    .replace("\nc AS", "\nc2 AS")
+    .replace("FROM c GROUP BY", "FROM c2 GROUP BY")
+    .replace("\nst AS", "\nst2 AS")
+    .replace("FROM st o JOIN st d", "FROM st2 o JOIN st2 d")
+    .replace("\npv AS", "\npv2 AS")
+)
 
 
-@query()
+@query(REWIRING + f",\ne2 AS (SELECT e.* FROM e JOIN pv USING (module) WHERE p < {_RETEST}),\nperm2 AS{_THOROUGH} SELECT pv.module, round(pv.p, 6) AS p_cheap, round(pv2.p, 6) AS p, coalesce(pv2.p <= 0.05, false) AS significant FROM pv LEFT JOIN pv2 USING (module)")
 def rewiring_two_stage(spark, sf_dir):
     data = embedding_set(spark, sf_dir)
-    return tests.two_stage(_module_values(data), data.samples, tests.PermutationPlan(cheap=50, thorough=200), inference.permutation_p).select("module", r6("p_cheap"), r6("p"), "significant")
+    return tests.two_stage(_module_values(data), data.samples, tests.PermutationPlan(retest_below=_RETEST), inference.permutation_p).select("module", r6("p_cheap"), r6("p"), "significant")
 
 
-@query()
+@query(REWIRING + " SELECT module, draw, round(stat, 6) AS stat FROM st")
 def rewiring_null(spark, sf_dir):
-    """Module, draw and statistic of each permutation."""
+    """Module, draw and statistic of each permutation; draw -1 is the observed labelling."""
     data = embedding_set(spark, sf_dir)
-    return inference.permutation_null(_module_values(data), data.samples, 50).select("module", "draw", r6("stat"))
+    return inference.permutation_null(_module_values(data), data.samples, DRAWS).select("module", "draw", r6("stat"))
 
 
 SIZE = "u AS (SELECT count(DISTINCT gene)::int AS u FROM members)"
 OVERLAP = f"""WITH {M_SQL}, {SIZE}, k AS (SELECT DISTINCT module, gene FROM members), z AS (SELECT module, count(*) AS s FROM k GROUP BY 1),
 sh AS (SELECT x.module AS m1, y.module AS m2, count(*) AS a FROM k x JOIN k y ON x.gene = y.gene AND x.module <= y.module GROUP BY 1, 2),
-cells AS (SELECT x.module AS m1, y.module AS m2, coalesce(a, 0) AS a, x.s - coalesce(a, 0) AS b, y.s - coalesce(a, 0) AS c, u - x.s - y.s + coalesce(a, 0) AS d FROM z x JOIN z y ON x.module <= y.module LEFT JOIN sh ON m1 = x.module AND m2 = y.module, u),
+cells AS (SELECT x.module AS m1, y.module AS m2, coalesce(a, 0) AS a, x.s - coalesce(a, 0) AS b, y.s - coalesce(a, 0) AS c, u - x.s - y.s + coalesce(a, 0) AS d FROM z x JOIN z y ON x.module <= y.module JOIN sh ON m1 = x.module AND m2 = y.module, u),
 lf AS (SELECT i::int AS n, lgamma(i + 1.0) AS lf FROM range((SELECT u + 1 FROM u)) t(i)),
 ov AS (SELECT m1, m2, a, b, c, d, least(1.0, (SELECT sum(exp(lgamma(a + b + 1.0) + lgamma(c + d + 1.0) + lgamma(a + c + 1.0) + lgamma(b + d + 1.0) - lgamma(a + b + c + d + 1.0) - lgamma(x + 1.0) - lgamma(a + b - x + 1.0) - lgamma(a + c - x + 1.0) - lgamma(d - a + x + 1.0))) FROM unnest(range(a, least(a + b, a + c) + 1)) q(x))) AS p FROM cells)"""
 
@@ -284,10 +337,10 @@ def module_overlap_fisher(spark, sf_dir):
     return evidence.module_overlaps(m, _universe(m)).select("m1", "m2", "a", "b", "c", "d", r6("p"))
 
 
-@query(OVERLAP + " SELECT m1, m2, round(CASE WHEN p <= 0 THEN 300.0 ELSE least(-log10(p), 300.0) END, 5) + 0.0 AS score FROM ov")
+@query(OVERLAP + f", sc AS (SELECT m1, m2, round(CASE WHEN p <= 0 THEN 300.0::double ELSE least(-log10(p), 300.0)::double END, 9) AS s FROM ov) SELECT m1, m2, round(CASE WHEN s <= 0 THEN 0.0 ELSE least({sig('s', 3)}, 300.0) END, 6) + 0.0 AS score FROM sc")
 def module_similarity_long(spark, sf_dir):
     m = module_members(spark, sf_dir)
-    return evidence.similarity(evidence.module_overlaps(m, _universe(m))).select("m1", "m2", (F.round("score", 5) + F.lit(0.0)).alias("score"))
+    return evidence.similarity(evidence.module_overlaps(m, _universe(m))).select("m1", "m2", r6("score"))
 
 
 def _enrich(group: str) -> str:
@@ -303,7 +356,7 @@ _ENRICH_OUT = " SELECT regulator, grp, a, b, c, d, round(p, 6) + 0.0 AS p, round
 
 def _enriched(spark, sf_dir, group):
     m = module_members(spark, sf_dir)
-    return evidence.regulator_enrichment(m, rewired_modules(m), group, UNIVERSE).select("regulator", "grp", "a", "b", "c", "d", r6("p"), r6("odds_ratio"))
+    return evidence.regulator_enrichment(m, rewired_modules(m), group).select("regulator", "grp", "a", "b", "c", "d", r6("p"), r6("odds_ratio"))
 
 
 @query(_enrich("bootstrap") + _ENRICH_OUT)
@@ -332,29 +385,19 @@ _GENE_LEVEL = "WITH " + ", ".join(f"{t} AS ({_enrich(g)} SELECT regulator, -sum(
 @query(_GENE_LEVEL + " SELECT regulator, round(p_one, 6) + 0.0 AS p_one, round(or_one, 6) AS or_one, round(p_all, 6) + 0.0 AS p_all, round(or_all, 6) AS or_all, round(p_block, 6) + 0.0 AS p_block, round(or_block, 6) AS or_block FROM c1 JOIN c2 USING (regulator) JOIN c3 USING (regulator)")
 def gene_level_scores(spark, sf_dir):
     m = module_members(spark, sf_dir)
-    return evidence.gene_level_scores(m, rewired_modules(m), UNIVERSE).select("regulator", r6("p_one"), r6("or_one"), r6("p_all"), r6("or_all"), r6("p_block"), r6("or_block"))
+    return evidence.gene_level_scores(m, rewired_modules(m)).select("regulator", r6("p_one"), r6("or_one"), r6("p_all"), r6("or_all"), r6("p_block"), r6("or_block"))
 
 
-@query(_enrich("bootstrap") + ", k AS (SELECT concat(regulator, ':', grp::varchar) AS key, p FROM en), r AS (SELECT key, p, row_number() OVER (ORDER BY p, key) AS r, count(*) OVER () AS n FROM k) SELECT key, round(least(1.0, min(p * n / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS bh, round(least(1.0, max(p * (n - r + 1)) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS holm, round(least(1.0, min(p * (n - r + 1)) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS hochberg, round(least(1.0, p * n), 6) AS bonferroni FROM r")
+@query(_enrich("bootstrap") + ", k AS (SELECT concat(regulator, ':', grp::varchar) AS key, p FROM en), r AS (SELECT key, p, row_number() OVER (ORDER BY p, key) AS r, count(*) OVER () AS n FROM k) SELECT key, round(least(1.0, min(p * n / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS bh, round(least(1.0, max(p * (n - r + 1)) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS holm, round(least(1.0, min(p * (n - r + 1)) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS hochberg, round(least(1.0, p * n), 6) AS bonferroni, round(least(1.0, min(p * n / r * (SELECT sum(1.0::double / k) FROM unnest(range(1, n + 1)) q(k))) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS by FROM r")
 def bh_adjust(spark, sf_dir):
     m = module_members(spark, sf_dir)
-    df = evidence.regulator_enrichment(m, rewired_modules(m), F.col("bootstrap"), UNIVERSE).select(F.concat_ws(":", "regulator", F.col("grp").cast("string")).alias("key"), "p")
-    for method, name in (("BH", "bh"), ("holm", "holm"), ("hochberg", "hochberg"), ("bonferroni", "bonferroni")):
-        df = adjust_p(df, "p", "key", method, name)
-    return df.select("key", r6("bh"), r6("holm"), r6("hochberg"), r6("bonferroni"))
-
-
-#: Graphs between the members of a module: an edge for each regulator and target whose hash allows it.
-G_SQL = M_SQL + """,
-edges AS (SELECT r.module AS graph, t.gene AS target, r.gene AS regulator, (1 + strpos('0123456789abcdef', substr(md5(concat(r.module, r.gene, t.gene)), 2, 1))) / 16.0 AS weight FROM members r JOIN members t ON r.module = t.module AND r.role = 'regulator' AND t.role = 'target' WHERE substr(md5(concat(r.module, r.gene, t.gene)), 1, 1) < '4' AND r.bootstrap < 2)"""
+    df = evidence.regulator_enrichment(m, rewired_modules(m), F.col("bootstrap")).select(F.concat_ws(":", "regulator", F.col("grp").cast("string")).alias("key"), "p")
+    methods = {"bh": "BH", "holm": "holm", "hochberg": "hochberg", "bonferroni": "bonferroni", "by": "BY"}
+    return adjust_many(df, "p", methods).select("key", *(r6(name) for name in methods))
 
 
 def _edges(spark, sf_dir) -> DataFrame:
-    m = module_members(spark, sf_dir).where("bootstrap < 2")
-    r = m.where("role = 'regulator'").select(F.col("module").alias("graph"), F.col("gene").alias("regulator"))
-    t = m.where("role = 'target'").select(F.col("module").alias("graph"), F.col("gene").alias("target"))
-    h = F.md5(F.concat("graph", "regulator", "target"))
-    return r.join(t, "graph").where(F.substring(h, 1, 1) < "4").select("graph", "target", "regulator", ((1 + F.instr(F.lit("0123456789abcdef"), F.substring(h, 2, 1))) / 16.0).alias("weight"))
+    return module_edges(spark, sf_dir)
 
 
 #: A p-value for each regulon from its hash, to exercise the merging of many.
@@ -375,7 +418,7 @@ def regulon_merge(spark, sf_dir):
     return _merged(spark, sf_dir).select("driver", "target", r6("p"), "multiplicity")
 
 
-@query(REGULONS + " SELECT driver, target, multiplicity FROM mr WHERE p < 0.01")
+@query(REGULONS + " SELECT driver, target, multiplicity FROM mr WHERE p <= 0.01")
 def regulon_filter(spark, sf_dir):
     return evidence.filter_regulons(_merged(spark, sf_dir), 0.01).select("driver", "target", "multiplicity")
 
@@ -404,14 +447,15 @@ def xor_summary(spark, sf_dir):
 
 
 SUPPORT = f"WITH {G_SQL}, su AS (SELECT regulator, target, count(DISTINCT graph) AS support, string_agg(DISTINCT graph, '|' ORDER BY graph) AS graphs FROM edges GROUP BY 1, 2)"
-EVIDENCE = SUPPORT + ", ev AS (SELECT DISTINCT regulator, target, strpos('0123456789abcdef', substr(md5(concat(target, regulator)), 1, 1))::int - 8 AS peaks FROM edges WHERE substr(md5(concat(target, regulator)), 2, 1) < 'a'), ej AS (SELECT su.*, coalesce(peaks, -1) AS peaks, (coalesce(peaks, -1) > 0)::int AS evidence, concat(su.target, '||', su.regulator) AS key FROM su LEFT JOIN ev USING (regulator, target))"
+EVIDENCE = SUPPORT + ", ev AS (SELECT DISTINCT regulator, target, greatest(strpos('0123456789abcdef', substr(md5(concat(target, regulator)), 1, 1))::int - 8, 0) AS peaks FROM edges WHERE substr(md5(concat(target, regulator)), 2, 1) < 'a'), ej AS (SELECT su.*, coalesce(peaks, -1) AS peaks, least(coalesce(peaks, -1), 1) AS evidence, concat(su.target, '||', su.regulator) AS key FROM su LEFT JOIN ev USING (regulator, target))"
 
 
 def _evidence(spark, sf_dir):
-    e = _edges(spark, sf_dir).select("regulator", "target").distinct()
+    support = materialize(evidence.edge_support(_edges(spark, sf_dir)), "support")
+    e = support.select("regulator", "target")
     h = F.md5(F.concat("target", "regulator"))
-    ev = e.where(F.substring(h, 2, 1) < "a").withColumn("peaks", (F.instr(F.lit("0123456789abcdef"), F.substring(h, 1, 1)) - 8).cast("int"))
-    return evidence.evidence_join(evidence.edge_support(_edges(spark, sf_dir)), ev)
+    ev = e.where(F.substring(h, 2, 1) < "a").withColumn("peaks", F.greatest(F.instr(F.lit("0123456789abcdef"), F.substring(h, 1, 1)) - 8, F.lit(0)).cast("int"))
+    return evidence.evidence_join(support, ev)
 
 
 @query(SUPPORT + " SELECT regulator, target, support, graphs FROM su")
@@ -429,24 +473,30 @@ def top_edges(spark, sf_dir):
     return evidence.top_edges(_evidence(spark, sf_dir)).select("key", "support", "peaks")
 
 
-@query(SUPPORT + ", sd AS (SELECT regulator AS gene, target AS other, support FROM su UNION ALL SELECT target, regulator, support FROM su), rk AS (SELECT *, max(support) OVER (PARTITION BY gene) AS best, row_number() OVER (PARTITION BY gene ORDER BY support DESC, other) AS rn FROM sd) SELECT gene, sum(support)::bigint AS total, count(*) AS neighbours, count(*) FILTER (support = best) AS at_best, string_agg(other, ', ' ORDER BY rn) FILTER (rn <= 3) AS first FROM rk GROUP BY 1")
+@query(EVIDENCE + ", sd AS (SELECT 'regulator' AS role, regulator AS gene, target AS other, support, peaks FROM ej UNION ALL SELECT 'target', target, regulator, support, peaks FROM ej), rk AS (SELECT *, row_number() OVER (PARTITION BY role, gene ORDER BY support DESC, peaks DESC, other) AS rn FROM sd) SELECT role, gene, sum(support)::bigint AS total, count(*) AS neighbours, count(*) FILTER (support = 10) AS at_best, string_agg(other, ', ' ORDER BY rn) FILTER (rn <= 3) AS first FROM rk GROUP BY 1, 2")
 def gene_support_top3(spark, sf_dir):
-    return evidence.gene_support(evidence.edge_support(_edges(spark, sf_dir)))
+    return evidence.gene_support(_evidence(spark, sf_dir), 10)
 
 
-@query(EVIDENCE + ", n AS (SELECT support, evidence, count(*) AS n FROM ej GROUP BY 1, 2), c AS (SELECT *, sum(n) OVER (PARTITION BY evidence ORDER BY support DESC)::bigint AS cum_n, sum(n) OVER (PARTITION BY evidence) AS w FROM n) SELECT support, evidence, n, cum_n, round_even(100.0::double * cum_n / w * pow(10.0, 2 - floor(log10(100.0::double * cum_n / w))), 0)::double / pow(10.0, 2 - floor(log10(100.0::double * cum_n / w))) AS cum_percent FROM c")
+@query(EVIDENCE + ", k AS (SELECT target AS gene, sum(CASE WHEN support BETWEEN 4 AND 10 THEN support ELSE 0 END) AS strong FROM ej GROUP BY 1 ORDER BY strong DESC, gene LIMIT 50), g AS (SELECT target AS gene, sum(support)::bigint AS total, count(*) AS neighbours, count(*) FILTER (support = 10) AS at_best FROM ej GROUP BY 1) SELECT gene, total, neighbours, at_best FROM g WHERE gene IN (SELECT gene FROM k) ORDER BY at_best DESC, total DESC, gene LIMIT 50")
+def target_table(spark, sf_dir):
+    return evidence.gene_table(_evidence(spark, sf_dir), "target", 10, rows=50).select("gene", "total", "neighbours", "at_best")
+
+
+@query(EVIDENCE + ", n AS (SELECT support, count(*) AS edges, count(*) FILTER (evidence = -1) AS u, count(*) FILTER (evidence = 0) AS z, count(*) FILTER (evidence = 1) AS p FROM ej GROUP BY 1), c AS (SELECT support, edges, sum(edges) OVER w::bigint AS cum_edges, 100.0::double * sum(u) OVER w / sum(edges) OVER w AS pu, 100.0::double * sum(z) OVER w / sum(edges) OVER w AS pz, 100.0::double * sum(p) OVER w / sum(edges) OVER w AS pp FROM n WINDOW w AS (ORDER BY support DESC)) SELECT support, edges, cum_edges, " + ", ".join(f"{sig(c, 3)} AS percent_{n}" for c, n in (("pu", "unknown"), ("pz", "none"), ("pp", "some"))) + " FROM c")
 def support_cumulative(spark, sf_dir):
     return evidence.cumulative_support(_evidence(spark, sf_dir))
 
 
-@query(EVIDENCE + " SELECT support, count(*) FILTER (evidence = 0) AS evidence_0, count(*) FILTER (evidence = 1) AS evidence_1 FROM ej GROUP BY 1")
+@query(EVIDENCE + " SELECT support, count(*) FILTER (evidence = -1) AS evidence_minus_1, count(*) FILTER (evidence = 0) AS evidence_0, count(*) FILTER (evidence = 1) AS evidence_1 FROM ej GROUP BY 1")
 def support_by_evidence(spark, sf_dir):
-    return report.contingency(_evidence(spark, sf_dir), "support", "evidence", [0, 1])
+    return report.contingency(_evidence(spark, sf_dir), "support", "evidence", [-1, 0, 1])
 
 
-@query(f"WITH {G_SQL}, p AS (SELECT graph, count(*) AS e, count(DISTINCT regulator) AS r, count(DISTINCT target) AS t FROM edges GROUP BY 1) SELECT count(*) AS graphs, round(avg(e), 6) AS edges, round(avg(r), 6) AS regulators, round(avg(t), 6) AS targets, round(avg(100.0::double * e / (r * t)), 6) AS percent_possible FROM p")
+@query(f"WITH {G_SQL}, r AS (SELECT count(*) FILTER (s_suppkey % 10 = 0) AS nr, count(*) FILTER (s_suppkey % 10 <> 0) AS nt FROM supplier), c AS (SELECT count(DISTINCT graph) AS graphs, count(*) AS edges, count(DISTINCT (regulator, target)) AS unique_edges FROM edges), x AS (SELECT *, edges::double / graphs AS a, 100.0::double * edges / (nr * nt * 10) AS b, 100.0::double * unique_edges / (nr * nt) AS d FROM c, r) SELECT graphs, {sig('a', 3)} AS mean_edges, edges, {sig('b', 3)} AS percent_possible, unique_edges, {sig('d', 3)} AS percent_unique FROM x")
 def run_overview(spark, sf_dir):
-    return evidence.run_overview(_edges(spark, sf_dir)).select("graphs", r6("edges"), r6("regulators"), r6("targets"), r6("percent_possible"))
+    keys = spark.read.parquet(f"{sf_dir}/supplier.parquet").agg(F.count_if(F.col("s_suppkey") % 10 == 0).alias("r"), F.count_if(F.col("s_suppkey") % 10 != 0).alias("t")).first()
+    return evidence.run_overview(_edges(spark, sf_dir), keys["r"], keys["t"], 10)
 
 
 @query(EVIDENCE + " SELECT sign(peaks)::int AS class, count(*) AS pairs, round(100.0::double * count(*) / sum(count(*)) OVER (), 6) AS percent FROM ej GROUP BY 1")
@@ -536,10 +586,10 @@ def ols_graph_core(spark, sf_dir):
     return graph.ols(data.expr, data.genes).select("regulator", "target", "n", r6("slope"), r6("intercept"), r6("r"))
 
 
-@query()
+@query(f"WITH {E_SQL}, f AS (SELECT x.gene AS regulator, y.gene AS target, count(*) AS n, regr_slope(y.value, x.value) AS slope, corr(x.value, y.value) AS r FROM expr x JOIN expr y ON x.sample = y.sample AND x.gene < 'g08' AND y.gene >= 'g08' GROUP BY 1, 2), t AS (SELECT *, {r_tail('r', 'n')} AS p FROM f) SELECT regulator, target, round(slope, 6) + 0.0 AS weight, round(p, 6) AS p FROM t WHERE p < 0.05 / (SELECT count(DISTINCT regulator) * count(DISTINCT target) FROM f)")
 def ols_graph_edges(spark, sf_dir):
     data = embedding_set(spark, sf_dir)
-    return graph.ols_edges(graph.ols(data.expr, data.genes)).select("regulator", "target", r6("weight"), s8("p"))
+    return graph.ols_edges(graph.ols(data.expr, data.genes)).select("regulator", "target", r6("weight"), r6("p"))
 
 
 ASSIGN = f"""WITH {E_SQL}, cen AS (SELECT substr(gene, 2)::int % 4 AS cluster, sample, avg(value) AS m FROM expr GROUP BY 1, 2), c AS (SELECT gene, cluster, corr(value, m) AS r FROM expr JOIN cen USING (sample) GROUP BY 1, 2),
@@ -562,13 +612,21 @@ def cluster_dissolve_step(spark, sf_dir):
     return graph.dissolve_small(_assigned(spark, sf_dir), 17)
 
 
-@query(f"""WITH {E_SQL}, v AS (SELECT concat('m', (substr(gene, 2)::int // 8)::varchar) AS module, gene, sample, value FROM expr), m AS (SELECT module, sample, avg(value) AS m FROM v GROUP BY 1, 2),
-p AS (SELECT module, gene, abs(corr(value, m)) AS r, sum(pow(value - m, 2)) AS res, var_pop(value) * count(*) AS tot FROM v JOIN m USING (module, sample) GROUP BY 1, 2), f AS (SELECT module, count(*) AS n_genes, avg(r) AS mean_corr, 1 - sum(res) / sum(tot) AS rsquare FROM p GROUP BY 1),
+@query(f"""WITH {E_SQL}, v AS (SELECT concat('m', (substr(gene, 2)::int // 8)::varchar) AS module, gene, sample, value FROM expr WHERE gene >= 'g08'), m AS (SELECT module, sample, avg(value) AS m FROM v GROUP BY 1, 2),
+pr AS (SELECT module, gene AS regulator, corr(m, value) AS r, regr_slope(m, value) AS beta FROM m JOIN expr USING (sample) WHERE gene < 'g08' GROUP BY 1, 2), pg AS (SELECT module, regulator, beta FROM pr WHERE abs(r) > 0.03),
+pd AS (SELECT module, sample, sum(beta * value) AS f FROM pg JOIN expr ON gene = regulator GROUP BY 1, 2), fit AS (SELECT module, count(*) AS n, 1 - sum(pow(m - coalesce(f, 0), 2)) / (var_pop(m) * count(*)) AS rsquare FROM m LEFT JOIN pd USING (module, sample) GROUP BY 1),
+nr AS (SELECT module, count(*) AS n_reg FROM pg GROUP BY 1), p AS (SELECT module, gene, abs(corr(value, m)) AS r FROM v JOIN m USING (module, sample) GROUP BY 1, 2), f AS (SELECT module, count(*) AS n_genes, avg(r) AS mean_corr FROM p GROUP BY 1),
 w AS (SELECT module, 2 * sum(r) AS off FROM (SELECT a.module, a.gene AS ga, b.gene AS gb, abs(corr(a.value, b.value)) AS r FROM v a JOIN v b ON a.module = b.module AND a.sample = b.sample AND a.gene < b.gene GROUP BY 1, 2, 3) GROUP BY 1)
-SELECT module, n_genes, round(mean_corr, 6) AS mean_corr, round(rsquare, 6) + 0.0 AS rsquare, round(off / pow(n_genes - 1, 2), 6) AS homogeneity FROM f JOIN w USING (module)""")
+SELECT module, coalesce(n_reg, 0) AS n_reg, n_genes, round(mean_corr, 6) AS mean_corr, round(rsquare, 6) + 0.0 AS rsquare, round(1 - (1 - rsquare) * (n - 1) / (n - coalesce(n_reg, 0)), 6) + 0.0 AS rsquare_adjusted, round(off / pow(n_genes - 1, 2), 6) AS homogeneity, 0.0::double AS condition FROM f JOIN fit USING (module) LEFT JOIN nr USING (module) JOIN w USING (module)""")
 def module_eval_stats(spark, sf_dir):
+    """Targets in modules of eight; a module's program is its profile's slope on each regulator that it is correlated with."""
     data = embedding_set(spark, sf_dir)
-    return graph.module_eval(data.expr, _blocks(data)).select("module", "n_genes", r6("mean_corr"), r6("rsquare"), r6("homogeneity"))
+    members = _blocks(data).join(data.genes.where("not is_regulator"), "gene").select("module", "gene")
+    profile = data.expr.join(members, "gene").groupBy("module", "sample").agg(F.avg("value").alias("m"))
+    regs = data.expr.join(data.genes.where("is_regulator"), "gene").select(F.col("gene").alias("regulator"), "sample", "value")
+    fits = profile.join(regs, "sample").groupBy("module", "regulator").agg(F.corr("m", "value").alias("r"), F.regr_slope("m", "value").alias("beta"))
+    found = graph.module_eval(data.expr, members, fits.where("abs(r) > 0.03").select("module", "regulator", "beta"))
+    return found.select("module", "n_reg", "n_genes", *(r6(c) for c in ("mean_corr", "rsquare", "rsquare_adjusted", "homogeneity")), "condition")
 
 
 @query(NODES + ", w AS (SELECT gene, is_regulator, t_stat, row_number() OVER (PARTITION BY is_regulator ORDER BY t_stat NULLS FIRST, gene) AS r, count(*) OVER (PARTITION BY is_regulator) AS n, max(abs(t_stat)) OVER (PARTITION BY is_regulator) AS most FROM nodes), q AS (SELECT *, t_stat / most AS h FROM w) SELECT gene, is_regulator, round(CASE WHEN n > 1 THEN -1 + 2.0::double * (r - 1) / (n - 1) ELSE 0.0 END, 6) + 0.0 AS x, CASE WHEN is_regulator THEN CASE WHEN r % 2 = 1 THEN 2.0::double ELSE -2.0::double END WHEN h = 0 THEN 0.0::double ELSE round(round_even(h * pow(10.0, 2 - floor(log10(abs(h)))), 0)::double / pow(10.0, 2 - floor(log10(abs(h)))), 6) + 0.0 END AS y FROM q")
@@ -581,9 +639,9 @@ def layout_plain(spark, sf_dir):
     return layout.layout(supplier_set(spark, sf_dir).genes).select("gene", "is_regulator", r6("x"), r6("y"))
 
 
-@query(f"WITH {E_SQL} SELECT gene, sample, round(least(greatest(value, -0.1), 0.1), 6) + 0.0 AS value FROM expr WHERE gene < 'g16'")
+@query(f"WITH {E_SQL} SELECT gene, sample, round(least(greatest(value, -0.1), 0.1), 6) + 0.0 AS value FROM expr")
 def heatmap_clamp(spark, sf_dir):
-    return layout.heatmap(embedding_set(spark, sf_dir).expr.where("gene < 'g16'"), -0.1, 0.1).select("gene", "sample", r6("value"))
+    return layout.heatmap(embedding_set(spark, sf_dir).expr, -0.1, 0.1).select("gene", "sample", r6("value"))
 
 
 @query(f"WITH {G_SQL}, m AS (SELECT max(abs(weight)) AS most FROM edges) SELECT graph, regulator, target, round((weight + most) / (2 * most), 6)::double AS shade FROM edges, m")
@@ -596,9 +654,24 @@ def top25_or_regulator(spark, sf_dir):
     return layout.top_or_regulator(_nodes(spark, sf_dir), "wilcox_stat").select("gene", "is_regulator", F.col("wilcox_stat").cast("double").alias("wilcox_stat"))
 
 
-@query(LABEL_CORR.split(", c AS")[0] + " SELECT x.phenotype, count(*) AS n, round(corr(x.value, y.value), 6) + 0.0 AS r, round(regr_slope(y.value, x.value), 6) + 0.0 AS slope, round(regr_intercept(y.value, x.value), 6) + 0.0 AS intercept, round(avg(x.value), 6) + 0.0 AS mean_x, round(avg(y.value), 6) + 0.0 AS mean_y FROM e x JOIN e y ON x.sample = y.sample AND x.gene = 'g00' AND y.gene = 'g09' GROUP BY 1")
+_PAIR = "count(*) AS n, corr(x, y) AS r, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, avg(x) AS mean_x, avg(y) AS mean_y"
+
+
+def _welch(v: str) -> tuple[str, str]:
+    """SQL: t and its degrees, of a column between the labels."""
+    e0, e1 = (f"(var_samp({v}) FILTER (phenotype = {k}) / count({v}) FILTER (phenotype = {k}))" for k in (0, 1))
+    n0, n1 = (f"count({v}) FILTER (phenotype = {k})" for k in (0, 1))
+    return f"(avg({v}) FILTER (phenotype = 0) - avg({v}) FILTER (phenotype = 1)) / sqrt({e0} + {e1})", f"pow({e0} + {e1}, 2) / (pow({e0}, 2) / ({n0} - 1) + pow({e1}, 2) / ({n1} - 1))"
+
+
+@query(
+    LABEL_CORR.split(", c AS")[0]
+    + f", b AS (SELECT x.phenotype, x.value AS x, y.value AS y FROM e x JOIN e y ON x.sample = y.sample AND x.gene = 'g00' AND y.gene = 'g09'), a AS (SELECT phenotype, {_PAIR}, NULL::double AS tx, NULL::double AS dx, NULL::double AS ty, NULL::double AS dy FROM b GROUP BY 1 UNION ALL SELECT NULL, {_PAIR}, "
+    + ", ".join((*_welch("x"), *_welch("y")))
+    + f" FROM b) SELECT phenotype, n, round(r, 6) + 0.0 AS r, round({r_tail('r', 'n')}, 6) AS r_p, round(slope, 6) + 0.0 AS slope, round(intercept, 6) + 0.0 AS intercept, round(mean_x, 6) + 0.0 AS mean_x, round(mean_y, 6) + 0.0 AS mean_y, round({t_tail('tx', 'dx')}, 6) AS t_p_x, round({t_tail('ty', 'dy')}, 6) AS t_p_y FROM a"
+)
 def gene_pair_scatter(spark, sf_dir):
-    return layout.gene_pair(_few_labelled(spark, sf_dir), "g00", "g09").select("phenotype", "n", *(r6(c) for c in ("r", "slope", "intercept", "mean_x", "mean_y")))
+    return layout.gene_pair(_labelled(spark, sf_dir), "g00", "g09").select("phenotype", "n", *(r6(c) for c in ("r", "r_p", "slope", "intercept", "mean_x", "mean_y", "t_p_x", "t_p_y")))
 
 
 @query(f"WITH {M_SQL}, k AS (SELECT bootstrap AS clique_rank, gene, row_number() OVER (PARTITION BY bootstrap ORDER BY gene, module)::int AS pos FROM members), w AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY clique_rank, pos) AS r FROM k) SELECT clique_rank, gene, pos FROM w WHERE r = 1")
@@ -632,54 +705,143 @@ def vbsr_graph(spark, sf_dir):
     return inference.target_graph(data.expr, data.genes, "VBSR").select("regulator", "target", r6("weight"))
 
 
+#: Modules of a bootstrap, and rounds of assignment, for 56 targets.
+_DISCOVERY = inference.DiscoveryParams(modules=7, iterations=5, mode="LASSOmin")
+
+
 @query()
 def module_discovery(spark, sf_dir):
-    data = brand_set(spark, sf_dir)
-    return inference.discover_modules(data.expr, data.genes, inference.DiscoveryParams(modules=4, bootstraps=2, iterations=5, mode="LASSOmin")).select("bootstrap", "module", "role", "gene", r6("beta"))
+    data = embedding_set(spark, sf_dir)
+    return inference.discover_modules(data.expr, data.genes, _DISCOVERY).select("bootstrap", "module", "role", "gene", r6("beta"), r6("held_out_rsquare"))
 
 
 @query()
 def module_graphs(spark, sf_dir):
-    data = brand_set(spark, sf_dir)
-    found = inference.discover_modules(data.expr, data.genes, inference.DiscoveryParams(modules=4, bootstraps=1, iterations=3, mode="LASSOmin"))
-    return inference.module_graphs(data.expr, found, "LASSOmin").select("bootstrap", "module", "regulator", "target", r6("weight"))
+    data = embedding_set(spark, sf_dir)
+    found = materialize(inference.discover_modules(data.expr, data.genes, _DISCOVERY), "modules")
+    return inference.module_graphs(data.expr, found, "LM").select("bootstrap", "module", "regulator", "target", r6("weight"))
 
 
-@query()
+#: Cliques grow by vertices after their last; those that no vertex is next to in full are maximal. Components spread by the smallest name.
+CLIQUES = f"""{ABS_CORR.replace("WITH ", "WITH RECURSIVE ", 1)}, g AS (SELECT gene_a AS a, gene_b AS b FROM c WHERE r > {_TH} UNION ALL SELECT gene_b, gene_a FROM c WHERE r > {_TH}),
+nb AS (SELECT a, list(b) AS near FROM g GROUP BY 1), cq AS (SELECT [a] AS m, near FROM nb UNION ALL SELECT list_append(m, nb.a), list_intersect(cq.near, nb.near) FROM cq JOIN nb ON list_contains(cq.near, nb.a) AND nb.a > m[-1]),
+mx AS (SELECT m FROM cq WHERE len(near) = 0 AND len(m) > 1), cc AS (SELECT a, a AS root FROM nb UNION SELECT g.b, cc.root FROM cc JOIN g ON g.a = cc.a), comp AS (SELECT a, min(root) AS component FROM cc GROUP BY 1),
+cliques AS (SELECT component, (row_number() OVER (PARTITION BY component ORDER BY len(m) DESC, m) - 1)::int AS clique, len(m)::int AS size, m FROM mx JOIN comp ON comp.a = m[1])"""
+
+
+@query(CLIQUES + " SELECT component, clique, size, array_to_string(m, ', ') AS genes FROM cliques")
 def maximal_cliques(spark, sf_dir):
     return inference.cliques(graph.high_corr_graph(_abs_corr(spark, sf_dir), _TH)).select("component", "clique", "size", "genes")
 
 
-@query()
+REPRESENTATIVES = CLIQUES + """, va AS (SELECT gene, var_samp(value) AS variance FROM expr GROUP BY 1), mem AS (SELECT concat(component, ':', clique::varchar) AS id, size, unnest(m) AS gene, generate_subscripts(m, 1) AS pos FROM cliques),
+med AS (SELECT x.id, median(r) AS m FROM mem x JOIN mem y ON x.id = y.id JOIN c ON c.gene_a = x.gene AND c.gene_b = y.gene GROUP BY 1),
+rk AS (SELECT id, row_number() OVER (ORDER BY coalesce(m, 0) DESC, id) AS clique_rank FROM (SELECT DISTINCT id FROM mem) LEFT JOIN med USING (id)),
+own AS (SELECT gene, clique_rank FROM (SELECT gene, clique_rank, row_number() OVER (PARTITION BY gene ORDER BY clique_rank, pos) AS k FROM mem JOIN rk USING (id)) WHERE k = 1),
+alone AS (SELECT gene, 1 << 30 AS base, row_number() OVER (ORDER BY gene) AS k FROM genes WHERE gene NOT IN (SELECT a FROM nb)),
+gr AS (SELECT clique_rank, arg_max(gene, (variance, gene)) AS representative, max(variance) AS v, list_sort(list(gene)) AS members FROM (SELECT gene, clique_rank FROM own UNION ALL SELECT gene, base + k FROM alone) JOIN va USING (gene) GROUP BY 1)"""
+
+
+@query(REPRESENTATIVES + " SELECT row_number() OVER (ORDER BY v DESC, representative)::int AS rank, representative, array_to_string(members, ', ') AS genes FROM gr")
 def representative_genes(spark, sf_dir):
+    return _representatives(spark, sf_dir)
+
+
+def _representatives(spark, sf_dir) -> DataFrame:
     data = embedding_set(spark, sf_dir)
     return inference.select_representatives(data.expr, _abs_corr(spark, sf_dir), _TH, "median")
 
 
+#: Regulators of the embeddings with their expression scores, and the genes that they are correlated with.
+@query(REPRESENTATIVES + f", sc AS (SELECT gene AS regulator, t.mem FROM genes JOIN (SELECT unnest(members) AS g, members AS mem FROM gr) t ON t.g = gene WHERE is_regulator) SELECT regulator, array_to_string(list_concat([regulator], list_filter(mem, lambda x: x <> regulator)), '||') AS label FROM sc")
+def clique_labels(spark, sf_dir):
+    regs = embedding_set(spark, sf_dir).genes.where("is_regulator").select(F.col("gene").alias("regulator"))
+    return evidence.clique_labels(regs, _representatives(spark, sf_dir)).select("regulator", "label")
+
+
+#: Edges of the embeddings within each label, by correlation.
+_BY_LABEL = "ed AS (SELECT reg AS driver, target, (abs(c0_pearson) > 0.08)::int AS nr, (abs(c1_pearson) > 0.08)::int AS r FROM s WHERE abs(c0_pearson) > 0.08 OR abs(c1_pearson) > 0.08)"
+
+
+@query(REPRESENTATIVES + ", " + EDGES_E.partition(f"WITH {E_SQL}, ")[2] + f", {_BY_LABEL}, su AS (SELECT driver, round(avg(abs(nr - r)), 3) AS normalised_xor FROM ed GROUP BY 1) SELECT driver, normalised_xor, coalesce(array_to_string(list_filter(mem, lambda x: x <> driver), ', '), '') AS cliques FROM su LEFT JOIN (SELECT unnest(members) AS g, members AS mem FROM gr) ON g = driver")
+def condition_cliques(spark, sf_dir):
+    """Drivers with their shares of edges in one condition only, and the genes that they are correlated with."""
+    edges = _edge_summary(spark, sf_dir)
+    strong = lambda tag: edges.where(F.abs(f"{tag}_pearson") > 0.08).select(F.col("reg").alias("regulator"), "target")
+    summary = evidence.xor_summary(evidence.condition_xor(strong("c0"), strong("c1")))
+    return evidence.with_cliques(summary, "driver", _representatives(spark, sf_dir))
+
+
 @query()
 def module_hclust(spark, sf_dir):
     m = module_members(spark, sf_dir)
-    return inference.cluster_modules(evidence.similarity(evidence.module_overlaps(m, _universe(m))), rounds=50)
+    return inference.cluster_modules(evidence.similarity(evidence.module_overlaps(m, _universe(m))), rounds=100)
 
 
-@query()
+def _weighted(edges: DataFrame) -> DataFrame:
+    """Edges whose weight is their correlation, where that is strong enough."""
+    for tag in ("all", "c0", "c1"):
+        edges = edges.withColumn(f"{tag}_weight", F.when(F.abs(f"{tag}_pearson") > 0.05, F.col(f"{tag}_pearson")).otherwise(0.0))
+    return edges
+
+
+_T_OF_GENES = f"ts AS (SELECT gene, {_welch('value')[0]} AS t_stat, {_welch('value')[1]} AS df FROM e GROUP BY 1), tp AS (SELECT gene, t_stat, {t_tail('t_stat', 'df')} AS p FROM ts)"
+
+
+def _list_test_sql(a: str, b: str) -> str:
+    """SQL: p of the t-test between label 1's correlations where ``a`` holds and label 0's where ``b`` does."""
+    r, nr = f"(c1_pearson) FILTER ({a})", f"(c0_pearson) FILTER ({b})"
+    e1, e2 = f"(var_samp{r} / count{r})", f"(var_samp{nr} / count{nr})"
+    return f"SELECT reg, count{r} AS n1, count{nr} AS n2, var_samp{r} AS v1, var_samp{nr} AS v2, (avg{r} - avg{nr}) / sqrt({e1} + {e2}) AS t, pow({e1} + {e2}, 2) / (pow({e1}, 2) / (count{r} - 1) + pow({e2}, 2) / (count{nr} - 1)) AS df FROM s GROUP BY 1"
+
+
+def _rank_sql(v: str) -> str:
+    return f"rank() OVER (ORDER BY {v}) + (count(*) OVER (PARTITION BY {v}) - 1) / 2.0"
+
+
+@query(
+    EDGES_E
+    + f", {_T_OF_GENES}, tt AS (SELECT reg, count(*) AS targets, avg(t_stat) AS mt FROM s JOIN tp ON gene = target WHERE abs(all_pearson) > 0.05 GROUP BY 1), l1 AS ({_list_test_sql('abs(all_pearson) > 0.05', 'abs(all_pearson) > 0.05')}), l2 AS ({_list_test_sql('abs(c1_pearson) > 0.05', 'abs(c0_pearson) > 0.05')}),"
+    + f" p1 AS (SELECT reg, CASE WHEN n1 < 2 OR n2 < 2 OR v1 = 0 OR v2 = 0 THEN 1.0::double ELSE {t_tail('t', 'df')} END AS p FROM l1), p2 AS (SELECT reg, CASE WHEN n1 < 2 OR n2 < 2 OR v1 = 0 OR v2 = 0 THEN 1.0::double ELSE {t_tail('t', 'df')} END AS p FROM l2),"
+    + f" a AS (SELECT reg, tp.p AS ep, coalesce(targets, 0) AS targets, {sig('mt', 3)} AS target_t, {sig('p1.p', 1)} AS corr_p, {sig('p2.p', 1)} AS corr_p_own FROM p1 JOIN p2 USING (reg) JOIN tp ON gene = reg LEFT JOIN tt USING (reg))"
+    + f" SELECT reg, targets, target_t, corr_p, corr_p_own, {_rank_sql('ep')} AS rank_expr, CASE WHEN target_t IS NOT NULL THEN {_rank_sql('target_t')} END AS rank_t, {_rank_sql('corr_p')} AS rank_corr, {_rank_sql('corr_p_own')} AS rank_corr_own FROM a"
+)
 def regulator_ranking(spark, sf_dir):
     data = embedding_set(spark, sf_dir)
     labelled = _labelled(spark, sf_dir)
     nodes = tests.with_node_p(tests.node_summary(labelled, data.genes))
-    return evidence.regulator_ranking(nodes, tests.edge_summary(labelled, data.genes)).select("reg", "rank_expr", "rank_t", "rank_shift")
+    ranked = evidence.regulator_ranking(nodes, _weighted(tests.edge_summary(labelled, data.genes)))
+    return ranked.select("reg", "targets", "target_t", "corr_p", "corr_p_own", "rank_expr", "rank_t", "rank_corr", "rank_corr_own")
 
 
 @query()
 def gene_order(spark, sf_dir):
-    """Genes in the order of the leaves of the tree over their correlation differences."""
-    return inference.gene_order(assoc.label_difference(_labelled(spark, sf_dir)))
+    """Regulators and targets in the order of the leaves of the trees over their correlation differences."""
+    data = embedding_set(spark, sf_dir)
+    return inference.gene_order(assoc.label_difference(_labelled(spark, sf_dir)), data.genes)
 
 
-@query()
+@query(REPRESENTATIVES + " , pt AS (SELECT id, size, avg(variance) AS v FROM mem JOIN va USING (gene) GROUP BY 1, 2) SELECT split_part(id, ':', 1) AS component, split_part(id, ':', 2)::int AS clique, least(size, 4) AS size_class, round(v, 6) + 0.0 AS avg_variance, round(m, 6) + 0.0 AS median_r FROM pt JOIN med USING (id)")
 def clique_points(spark, sf_dir):
-    from corrweave.operators.prep import variance_by
-
     corr = _abs_corr(spark, sf_dir)
-    points = report.clique_points(inference.cliques(graph.high_corr_graph(corr, _TH)), corr, variance_by(embedding_set(spark, sf_dir).expr, "gene"))
+    points = report.clique_points(inference.cliques(graph.high_corr_graph(corr, _TH)), corr, prep.variance_by(embedding_set(spark, sf_dir).expr, "gene"))
     return points.select("component", "clique", "size_class", r6("avg_variance"), r6("median_r"))
+
+
+@query()
+def regulon_level(spark, sf_dir):
+    """Regulons of the embeddings' network, each tested like a module, merged for each driver."""
+    data = embedding_set(spark, sf_dir)
+    edges = materialize(graph.ols(data.expr, data.genes).where("abs(r) > 0.03").select(F.substring("target", 1, 2).alias("graph"), "target", "regulator", F.col("slope").alias("weight")), "edges")
+    return pipeline.run_regulons(data, edges, plan=tests.PermutationPlan(retest_below=0.3), threshold=1.0).select("driver", "target", r6("p"), "multiplicity")
+
+
+@query()
+def rewired_clusters(spark, sf_dir):
+    """Clusters of modules of two seeds' runs together: blocks of eight genes and of four."""
+    data = embedding_set(spark, sf_dir)
+    runs = {}
+    for width in (8, 4):
+        members = _blocks(data, width).join(data.genes, "gene").select("module", "gene", F.when(F.col("is_regulator"), "regulator").otherwise("target").alias("role"))
+        runs[f"w{width}"] = pipeline.run_rewiring(data, members.where("role = 'target'"), tests.PermutationPlan(threshold=0.9, retest_below=1.1, thorough=100), rounds=50, gene_variance=0.0)
+    return pipeline.joint_clusters(runs, rounds=50)

@@ -1,7 +1,7 @@
 """Measurements and module sets from the driver's tables, in the library's canonical long form.
 
 expr(gene, sample, value); samples(sample, phenotype); genes(gene, is_regulator); module members
-(module, bootstrap, gene, role).
+(module, bootstrap, gene, role); edges (graph, target, regulator, weight).
 """
 
 from __future__ import annotations
@@ -64,14 +64,26 @@ def brand_set(spark: SparkSession, sf_dir: str) -> ExprSet:
     return ExprSet(expr, genes, samples)
 
 
-def module_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """module (a brand in a bootstrap), bootstrap (part size modulo 10), gene (suppliers of its parts), role (regulator if the key is a multiple of 10)."""
-    line = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
-    part = table(spark, sf_dir, "part").where("p_size % 10 < 3").select("p_partkey", "p_brand", F.pmod("p_size", F.lit(10)).alias("bootstrap"))
-    pairs = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select("p_brand", "bootstrap", "l_suppkey").distinct()
+def module_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """module (a brand in a bootstrap), bootstrap (part size modulo 10), part, gene (a supplier of the part), role (regulator if the key is a multiple of 10)."""
+    line = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.pmod("p_size", F.lit(10)).alias("bootstrap"))
     module = F.concat_ws(":", F.col("p_brand"), F.col("bootstrap").cast("string"))
     role = F.when(F.pmod("l_suppkey", F.lit(10)) == 0, "regulator").otherwise("target")
-    return pairs.select(module.alias("module"), F.col("bootstrap").cast("int").alias("bootstrap"), _name("sup", F.col("l_suppkey"), 5).alias("gene"), role.alias("role"))
+    return line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(module.alias("module"), F.col("bootstrap").cast("int").alias("bootstrap"), F.col("l_partkey").alias("part"), _name("sup", F.col("l_suppkey"), 5).alias("gene"), role.alias("role"))
+
+
+def module_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """module, bootstrap, gene, role of all suppliers of a module's parts."""
+    return module_parts(spark, sf_dir).select("module", "bootstrap", "gene", "role").distinct()
+
+
+def module_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """graph (a module), target, regulator, weight: an edge where both supply a part of the module, a sixteenth for each such part."""
+    parts = module_parts(spark, sf_dir)
+    r = parts.where("role = 'regulator'").select(F.col("module").alias("graph"), "part", F.col("gene").alias("regulator"))
+    t = parts.where("role = 'target'").select("part", F.col("gene").alias("target"))
+    return r.join(t, "part").groupBy("graph", "target", "regulator").agg((F.count("*") / 16.0).alias("weight"))
 
 
 def rewired_modules(members: DataFrame) -> DataFrame:
@@ -91,5 +103,8 @@ samples AS (SELECT concat('n', lpad(n_nationkey::varchar, 2, '0')) AS sample, n_
 B_SQL = """expr AS (SELECT p_brand AS gene, concat('sup', lpad(l_suppkey::varchar, 5, '0')) AS sample, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
 genes AS (SELECT DISTINCT p_brand AS gene, right(p_brand, 1) <= '3' AS is_regulator FROM part),
 samples AS (SELECT concat('sup', lpad(s_suppkey::varchar, 5, '0')) AS sample, s_nationkey % 2 AS phenotype FROM supplier)"""
-M_SQL = """members AS (SELECT DISTINCT concat(p_brand, ':', (p_size % 10)::varchar) AS module, (p_size % 10)::int AS bootstrap, concat('sup', lpad(l_suppkey::varchar, 5, '0')) AS gene, CASE WHEN l_suppkey % 10 = 0 THEN 'regulator' ELSE 'target' END AS role FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size % 10 < 3),
+M_SQL = """parts AS (SELECT DISTINCT concat(p_brand, ':', (p_size % 10)::varchar) AS module, (p_size % 10)::int AS bootstrap, l_partkey AS part, concat('sup', lpad(l_suppkey::varchar, 5, '0')) AS gene, CASE WHEN l_suppkey % 10 = 0 THEN 'regulator' ELSE 'target' END AS role FROM lineitem JOIN part ON l_partkey = p_partkey),
+members AS (SELECT DISTINCT module, bootstrap, gene, role FROM parts),
 flags AS (SELECT DISTINCT module, bootstrap, substr(md5(module), 1, 1) < '6' AS rewired FROM members)"""
+G_SQL = M_SQL + """,
+edges AS (SELECT r.module AS graph, t.gene AS target, r.gene AS regulator, count(*)::double / 16 AS weight FROM parts r JOIN parts t ON r.part = t.part AND r.role = 'regulator' AND t.role = 'target' GROUP BY 1, 2, 3)"""

@@ -11,7 +11,7 @@ from corrweave.kernels import hclust, perm
 from corrweave.kernels.cliques import maximal_cliques
 from corrweave.kernels.lasso import cv_lasso, lambda_path, path
 from corrweave.kernels.modules import discover, reassign, regression, seed_modules
-from corrweave.kernels.vbsr import kl_to_null, penalty, refit, screen, vbsr, vbsr_logistic, vbsr_path
+from corrweave.kernels.vbsr import PATH_RULES, choose_on_path, kl_to_null, penalty, penalty_path, refit, screen, vbsr, vbsr_logistic, vbsr_path
 
 
 def test_published_p_values():
@@ -165,12 +165,78 @@ def test_vbsr_options():
     assert {4, 9} <= set(screen(x, y, 0.01)) and len(screen(x, y, 0.01)) < 10
     on, beta, intercept = refit(x, y, vbsr(x, y, best_only=True))
     assert on.tolist() == [4, 9] and beta == pytest.approx([2, -1], abs=0.15) and abs(intercept) < 0.2
-    best, fits, kl = vbsr_path(x, y, np.array([-60.0, -20.0, -8.0]), orderings=3)
-    assert len(fits) == len(kl) == 3 and any(best is f for f in fits)
+    best, fits, chosen = vbsr_path(x, y, np.array([-60.0, -20.0, -8.0]), orderings=3)
+    assert len(fits) == 3 and set(chosen) == set(PATH_RULES) and best is fits[chosen["mean"]]
+    cold = vbsr(x, y, l0=-20.0, orderings=3)
+    assert fits[1].beta == pytest.approx(cold.beta, abs=1e-3)
+    l0s = penalty_path(x, y, 10)
+    assert len(l0s) == 10 and (np.diff(l0s) > 0).all()
     with pytest.raises(ValueError):
         vbsr_path(x, y, np.array([-20.0]), rule="max")
 
 
+def test_choices_on_a_path():
+    kl = np.array([5.0, 4.0, 2.0, 1.0, 3.0])
+    assert choose_on_path(kl, 2.1, 1.0, "mean") == 2 and choose_on_path(kl, 2.1, 1.0, "mean_1se") == 1 and choose_on_path(kl, 2.1, 1.0, "mean_2se") == 1
+    assert choose_on_path(kl, 0.0, 1.0, "min") == 3 and choose_on_path(kl, 9.0, 0.1, "mean") == 0 and choose_on_path(kl, 2.9, 0.0, "mean") in (1, 2)
+    assert choose_on_path(np.array([3.0, 2.0]), 1.0, 0.0, "mean") == 1
+
+
+def test_vbsr_on_an_orthonormal_design():
+    """With orthogonal columns and a strong penalty, only the features of the response are in, at their least squares coefficients."""
+    rng = np.random.default_rng(21)
+    q, _ = np.linalg.qr(np.hstack([np.ones((64, 1)), rng.normal(size=(64, 8))]))
+    x = q[:, 1:] * 8
+    y = 3 * x[:, 1] - 2 * x[:, 6] + 0.05 * rng.normal(size=64)
+    fit = vbsr(x, y)
+    ols = x.T @ (y - y.mean()) / (x * x).sum(0)
+    assert fit.beta[[1, 6]] == pytest.approx(ols[[1, 6]], rel=1e-6) and np.abs(np.delete(fit.beta, [1, 6])).max() < 0.02
+    z = ols[[1, 6]] * np.sqrt((x * x).sum(0)[[1, 6]]) / np.sqrt(((y - y.mean() - x[:, [1, 6]] @ ols[[1, 6]]) ** 2).mean())
+    assert fit.z[[1, 6]] == pytest.approx(z, rel=0.05)
+
+
+def test_lasso_on_an_orthonormal_design():
+    """Coefficients are least squares ones drawn towards zero by the penalty."""
+    rng = np.random.default_rng(22)
+    q, _ = np.linalg.qr(np.hstack([np.ones((64, 1)), rng.normal(size=(64, 8))]))
+    x = q[:, 1:] * 8
+    y = 3 * x[:, 1] - 2 * x[:, 6] + rng.normal(size=64)
+    ols = x.T @ (y - y.mean()) / 64
+    for place in (1, 5, 9):
+        lam = float(np.quantile(lambda_path(x, y), (place - 1) / 9))
+        assert regression(f"LASSOparam{place}")(x, y, 0.05, 0) == pytest.approx(np.sign(ols) * np.maximum(np.abs(ols) - lam, 0), abs=1e-6)
+    assert regression("LASSOparam0")(x, y, 0.05, 0) == pytest.approx(ols, abs=1e-5)
+
+
+def test_linkage_against_plain_search():
+    rng = np.random.default_rng(23)
+    for method, join in (("average", np.mean), ("complete", np.max)):
+        d = hclust.euclidean_distance(rng.normal(size=(25, 4)))
+        got = hclust.clusters_of(hclust.linkage(d, method), 25)
+        groups = [frozenset([k]) for k in range(25)]
+        for merged in got:
+            a, b = min(((a, b) for a in groups for b in groups if a != b), key=lambda p: join([d[i, j] for i in p[0] for j in p[1]]))
+            assert merged == a | b
+            groups = [g for g in groups if g not in (a, b)] + [merged]
+    with pytest.raises(ValueError):
+        hclust.linkage(d, "single")
+    hits = sum(hclust.bootstrap_hits(rng.normal(size=(30, 5)), [frozenset({0, 1})], 1.0, range(k, k + 5)) for k in (0, 5))
+    assert 0 <= hits[0] <= 10
+
+
+def test_tails_of_arrays():
+    t, df = np.array([0.0, 1.5, -3.0, np.nan, np.inf, 40.0]), np.array([3.0, 10.5, 200.0, 5.0, 5.0, 7.0])
+    got = dist.t_two_sided(t, df)
+    assert got[0] == 1 and math.isnan(got[3]) and got[4] == 0
+    for k in (1, 2, 5):
+        grid = np.linspace(math.atan(abs(t[k]) / math.sqrt(df[k])), math.pi / 2, 200_001)
+        area = np.trapezoid(np.cos(grid) ** (df[k] - 1), grid)
+        assert got[k] == pytest.approx(2 * area * math.exp(math.lgamma(df[k] / 2 + 0.5) - math.lgamma(df[k] / 2) - math.lgamma(0.5)), rel=1e-6)
+    z = np.array([-3.0, 0.0, 0.7, 2.5, 9.0])
+    assert dist.erfc(z) == pytest.approx([math.erfc(v) for v in z], rel=1e-11)
+    assert dist.spearman_tail([0.2, 0.3], [8, 20], [False, True])[1] == pytest.approx(dist.pearson_p(0.3, 20))
+
+
 def test_vbsr_logistic():
     rng = np.random.default_rng(8)
     x = rng.normal(size=(400, 15))

@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corrweave.functions.scalar import adjust_p, capped_log10, fisher_combined, signif
+from corrweave.functions.scalar import adjust_many, adjust_p, average_rank, capped_log10, cumulated, fisher_combined, signif
 from corrweave.kernels.modules import REGRESSIONS
-from corrweave.operators import evidence, graph, prep, tests, validate
+from corrweave.operators import assoc, evidence, graph, layout, prep, tests, validate
 from corrweave.plans import inference, pipeline, report
 from corrweave.sources import files
 from corrweave.sources.adapters import ExprSet
@@ -49,18 +49,18 @@ def test_fisher_combination(spark):
 def test_adjustments(spark):
     p = [0.01, 0.04, 0.03, 0.2, None]
     df = spark.createDataFrame([(str(k), v) for k, v in enumerate(p)], "k string, p double")
-    by = {m: {r["k"]: r["adjusted"] for r in adjust_p(df, "p", "k", m).collect()} for m in ("BH", "holm", "bonferroni", "hochberg", "BY")}
+    by = {m: {r["k"]: r["adjusted"] for r in adjust_p(df, "p", m).collect()} for m in ("BH", "holm", "bonferroni", "hochberg", "BY")}
     assert by["BH"]["0"] == pytest.approx(0.04) and by["BH"]["1"] == by["BH"]["2"] == pytest.approx(0.04 * 4 / 3) and by["BH"]["4"] is None
     assert by["holm"]["2"] == pytest.approx(0.09) and by["holm"]["1"] == pytest.approx(0.09) and by["bonferroni"]["3"] == pytest.approx(0.8)
     assert by["BY"]["0"] == pytest.approx(0.04 * (1 + 1 / 2 + 1 / 3 + 1 / 4))
     with pytest.raises(ValueError):
-        adjust_p(df, "p", "k", "none")
+        adjust_p(df, "p", "none")
 
 
 def test_fisher_tails(spark):
     df = spark.createDataFrame([(3, 1, 1, 3), (0, 0, 2, 2), (5, 0, 0, 5)], "a int, b int, c int, d int")
-    up = [r["p"] for r in tests.fisher_p(df, "a", "b", "c", "d", "greater", "p", 20).collect()]
-    down = [r["p"] for r in tests.fisher_p(df, "a", "b", "c", "d", "less", "p", 20).collect()]
+    up = [r["p"] for r in tests.fisher_p(df, "a", "b", "c", "d", "greater", "p").collect()]
+    down = [r["p"] for r in tests.fisher_p(df, "a", "b", "c", "d", "less", "p").collect()]
     assert up == pytest.approx([17 / 70, 1, 1 / 252]) and down == pytest.approx([69 / 70, 1, 1])
 
 
@@ -108,6 +108,8 @@ def test_summaries_of_a_module(planted):
     nodes, edges = pipeline.summarize_module(planted, genes, "LM")
     assert nodes.count() == 4 and edges.count() == 4
     assert edges.where("reg = 'r0' and all_pearson_p < 1e-6 and all_weight != 0").count() == 2
+    ties = edges.where("reg = 'r0' and target = 'b0'").first()
+    assert not ties["all_ties"] and ties["all_n"] == 40 and ties["c1_n"] == 20
     assert {r["gene"] for r in pipeline.refine_module(genes, edges).collect()} == {"b0", "b1", "r0"}
     assert pipeline.module_counts(planted, genes).first().asDict() == {"regulators": 2, "targets": 2, "genes": 4, "samples": 40, "label0": 20, "label1": 20}
 
@@ -199,9 +201,267 @@ def test_reports(spark, planted, tmp_path):
     assert found.tables["null"].count() == 21 and "<h2>regulators</h2>" in found.html("m")
     edges = spark.createDataFrame([("g1", "t1", "r1", 1.0), ("g2", "t1", "r1", 1.0), ("g2", "t2", "r1", 0.5)], "graph string, target string, regulator string, weight double")
     peaks = spark.createDataFrame([("r1", "t1", 4)], "regulator string, target string, peaks int")
-    tables = report.evidence_report(edges, peaks)
+    tables = report.evidence_report(edges, peaks, 1, 2, 2)
     assert tables["edges"].first()["key"] == "t1||r1"
-    assert sorted(map(tuple, tables["support_by_evidence"].collect())) == [(1, 1, 0), (2, 0, 1)]
+    assert sorted(map(tuple, tables["support_by_evidence"].collect())) == [(1, 1, 0, 0), (2, 0, 0, 1)]
     assert report.first_last(["a", "b", "c", "d"]) == "a, ..., d" and report.cell({1: 3, 0: 2}) == "0:2 1:3"
     values = planted.expr.where("gene < 'r'").withColumn("module", F.substring("gene", 1, 1))
     assert [r["module"] for r in report.rewired_ids(values, planted.samples, tests.PermutationPlan(50, 100)).collect()] == ["a"]
+
+
+def test_ranks_and_adjustments_in_ranges(spark):
+    """Ordering in ranges between quantiles gives what one window gives."""
+    rng = np.random.default_rng(6)
+    p = rng.integers(1, 60, 300) / 60
+    df = spark.createDataFrame([(k, float(v)) for k, v in enumerate(p)], "k int, p double")
+    counts = df.groupBy("p").agg(F.count("*").alias("c"))
+    forms = {"low": ("down", F.col("p") * F.col("n") / F.col("hi")), "high": ("up", F.col("p") * (F.col("n") - F.col("hi") + F.col("c")))}
+    plain = {r["p"]: tuple(r) for r in cumulated(counts, "p", [], forms).select("p", "hi", "n", "low", "high").collect()}
+    ranged = {r["p"]: tuple(r) for r in cumulated(counts, "p", [], forms, range_rows=7).select("p", "hi", "n", "low", "high").collect()}
+    assert len(plain) > 40 and {k: pytest.approx(v) for k, v in plain.items()} == ranged
+    order = np.sort(p)
+    ranks = {r["k"]: r["rank"] for r in average_rank(df, "p", []).collect()}
+    for k, v in enumerate(p):
+        assert ranks[k] == (np.searchsorted(order, v, "left") + 1 + np.searchsorted(order, v, "right")) / 2
+    by = {r["k"]: r for r in adjust_many(df.withColumn("g", F.col("k") % 2), "p", {"bh": "BH", "by": "BY"}, ["g"]).collect()}
+    own = np.sort(p[::2])
+    for k in range(0, 300, 2):
+        want = min(own[j] * 150 / (j + 1) for j in range(150) if own[j] >= p[k])
+        assert by[k]["bh"] == pytest.approx(min(want, 1)) and by[k]["by"] == pytest.approx(min(want * sum(1 / j for j in range(1, 151)), 1))
+    assert average_rank(spark.createDataFrame([(1, None), (2, 5.0)], "k int, p double"), "p", []).orderBy("k").collect()[0]["rank"] is None
+
+
+def test_published_condition_table(spark):
+    """A published table of drivers' edges by condition, and its summary."""
+    targets = {
+        "ASCL1": (["CHGA", "EYA3", "ILF3", "SEZ6", "SYT4"], []),
+        "ELK3": (["PPME1", "ZMYM3"], ["OTUD3"]),
+        "INSM1": (["CACNA1B", "MARCH11", "MGAT5B", "MYT1", "RPL30", "SYT13", "TSPYL4"], ["MARCH11", "SYT13"]),
+        "ZBTB12": (["BCL7A", "BTBD9", "COPG2", "IFT81", "MAP3K9", "TRAF3IP1"], []),
+    }
+    graphs = [spark.createDataFrame([(r, t) for r, both in targets.items() for t in both[k]], "regulator string, target string") for k in (0, 1)]
+    xor = evidence.condition_xor(*graphs)
+    assert xor.count() == 21 and xor.where("xor = 0").count() == 2
+    assert {r["driver"]: r["normalised_xor"] for r in evidence.xor_summary(xor).collect()} == {"ASCL1": 1, "ELK3": 1, "INSM1": 0.714, "ZBTB12": 1}
+    cliques = spark.createDataFrame([("ASCL1, INSM1, X",), ("Y",)], "genes string")
+    named = {r["driver"]: r["cliques"] for r in evidence.with_cliques(evidence.xor_summary(xor), "driver", cliques).collect()}
+    assert named == {"ASCL1": "INSM1, X", "ELK3": "", "INSM1": "ASCL1, X", "ZBTB12": ""}
+    labels = evidence.clique_labels(spark.createDataFrame([("INSM1", 0.1), ("ELK3", 0.2)], "regulator string, p double"), cliques)
+    assert {r["label"] for r in labels.collect()} == {"INSM1||ASCL1||X", "ELK3"}
+
+
+def test_difference_is_label_0_less_label_1(spark):
+    """Published rows say 1.73 - 1.28 with a positive difference and t."""
+    values = [("g", f"s{k}", v, int(k >= 20)) for k, v in enumerate([1.73 + 0.3 * (-1) ** k for k in range(20)] + [1.28 + 0.3 * (-1) ** k for k in range(15)])]
+    row = tests.node_summary(spark.createDataFrame(values, "gene string, sample string, value double, phenotype int"), spark.createDataFrame([("g", False)], "gene string, is_regulator boolean")).first()
+    assert row["avg_diff"] == pytest.approx(row["avg0"] - row["avg1"]) and row["avg_diff"] > 0 and row["t_stat"] > 0
+
+
+def test_rank_correlation_of_tied_values_goes_by_t(spark):
+    rng = np.random.default_rng(12)
+    x, y = rng.normal(size=20), rng.normal(size=20)
+    rows = [(g, f"s{k:02d}", float(v), int(k % 2)) for g, values in (("r", x), ("t", y), ("u", np.round(y))) for k, v in enumerate(values)]
+    genes = spark.createDataFrame([("r", True), ("t", False), ("u", False)], "gene string, is_regulator boolean")
+    got = {r["target"]: r for r in tests.with_edge_p(tests.edge_summary(spark.createDataFrame(rows, "gene string, sample string, value double, phenotype int"), genes)).collect()}
+    from corrweave.functions import dist
+
+    assert not got["t"]["all_ties"] and got["u"]["all_ties"]
+    assert got["t"]["all_spearman_p"] == pytest.approx(dist.spearman_p(got["t"]["all_spearman"], 20, False))
+    assert got["u"]["all_spearman_p"] == pytest.approx(dist.pearson_p(got["u"]["all_spearman"], 20))
+
+
+def test_support_tables(spark):
+    """Classes of evidence are three; a gene's first neighbours go by support, then peaks; percentages are of the cumulated row."""
+    support = spark.createDataFrame([("r1", "t1", 3, "a"), ("r1", "t2", 3, "a"), ("r1", "t3", 1, "a"), ("r2", "t1", 1, "a")], "regulator string, target string, support long, graphs string")
+    peaks = spark.createDataFrame([("r1", "t1", 0), ("r1", "t2", 7), ("r1", "t3", 2)], "regulator string, target string, peaks int")
+    joined = evidence.evidence_join(support, peaks)
+    assert {(r["key"], r["evidence"]) for r in joined.collect()} == {("t1||r1", 0), ("t2||r1", 1), ("t3||r1", 1), ("t1||r2", -1)}
+    assert [tuple(r) for r in evidence.cumulative_support(joined).orderBy(F.desc("support")).collect()] == [(3, 2, 2, 0.0, 50.0, 50.0), (1, 2, 4, 25.0, 25.0, 50.0)]
+    genes = {(r["role"], r["gene"]): r for r in evidence.gene_support(joined, 3).collect()}
+    assert genes["regulator", "r1"]["first"] == "t2, t1, t3" and genes["regulator", "r1"]["at_best"] == 2 and genes["target", "t1"]["total"] == 4
+    assert [r["gene"] for r in evidence.gene_table(joined, "target", 3, least=2, rows=2).collect()] == ["t1", "t2"]
+    edges = spark.createDataFrame([(g, t, "r1", 1.0) for g, t in (("a", "t1"), ("a", "t2"), ("b", "t1"))], "graph string, target string, regulator string, weight double")
+    assert tuple(evidence.run_overview(edges, 2, 5, 4).first()) == (2, 1.5, 3, 7.5, 2, 20.0)
+
+
+def test_overlaps_of_disjoint_modules(spark):
+    members = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "y"), ("b", "z"), ("c", "w")], "module string, gene string")
+    assert evidence.module_overlaps(members, 10).count() == 4
+    every = {(r["m1"], r["m2"]): r for r in evidence.module_overlaps(members, 10, disjoint=True).collect()}
+    assert len(every) == 6 and every["a", "c"]["p"] == 1 and every["a", "b"]["p"] == pytest.approx(1 - 28 / 45)
+    big = spark.createDataFrame([(400_000, 600_000, 600_000, 2_000_000)], "a long, b long, c long, d long")
+    assert 0 <= tests.fisher_p(big.limit(0), "a", "b", "c", "d", "greater", "p").count() == 0
+
+
+def test_ranking_of_regulators(spark):
+    nodes = spark.createDataFrame([("r1", True, 1.0, 0.5), ("r2", True, 2.0, 0.01), ("t1", False, -2.0, 0.1), ("t2", False, 3.0, 0.1), ("t3", False, -4.0, 0.1)], "gene string, is_regulator boolean, t_stat double, t_p double")
+    edges = [("r1", "t1", 0.9, 0.1, 1.0, 1.0, 0.0), ("r1", "t3", 0.8, 0.2, 1.0, 1.0, 1.0), ("r1", "t2", 0.7, 0.1, 1.0, 0.0, 1.0), ("r2", "t2", 0.1, 0.1, 1.0, 0.0, 0.0)]
+    df = spark.createDataFrame(edges, "reg string, target string, c0_pearson double, c1_pearson double, all_weight double, c0_weight double, c1_weight double")
+    got = {r["reg"]: r for r in evidence.regulator_ranking(nodes, df).collect()}
+    assert got["r1"]["target_t"] == -1.0 and got["r1"]["rank_t"] == 1 and got["r2"]["rank_t"] == 2 and got["r2"]["rank_expr"] == 1
+    assert got["r2"]["corr_p"] == 1 and got["r1"]["corr_p"] < 0.01 and got["r1"]["rank_corr"] == 1
+
+
+def test_module_statistics_and_residuals(spark):
+    rng = np.random.default_rng(13)
+    regs = rng.normal(size=(2, 30))
+    targets = np.vstack([regs[0] * 2 + rng.normal(0, 0.1, 30) for _ in range(3)])
+    expr = _expr(spark, np.vstack([regs, targets]), ["r0", "r1", "t0", "t1", "t2"])
+    members = spark.createDataFrame([("m", f"t{k}") for k in range(3)], "module string, gene string")
+    programs = spark.createDataFrame([("m", "r0", 2.0, 0.5), ("m", "r1", 0.0, 0.5)], "module string, regulator string, beta double, intercept double")
+    from corrweave.kernels.modules import evaluate
+
+    row = graph.module_eval(expr, members, programs.drop("intercept")).first()
+    want = evaluate(targets, targets.mean(0), 2 * regs[0], 1, False)
+    for name, value in want.items():
+        assert row[name] == pytest.approx(value), name
+    errors = graph.residuals(expr, members, programs).collect()
+    assert len(errors) == 30 and np.mean([r["error"] for r in errors]) == pytest.approx((targets.mean(0) - 2 * regs[0]).mean() - 0.5)
+
+
+def test_missing_values(spark, planted):
+    """The permutation test counts them pair by pair, in the kernel as in the join; regressions refuse them."""
+    holes = planted.expr.where("gene < 'r'").where("not (gene = 'a3' and sample in ('s01', 's25')) and not (gene = 'b1' and sample = 's07')")
+    values = holes.withColumn("module", F.substring("gene", 1, 1))
+    kernel = {r["module"]: (r["stat"], r["p"]) for r in inference.permutation_p(values, planted.samples, 19).collect()}
+    joined = {r["module"]: (r["stat"], r["p"]) for r in tests.permutation_p(values, planted.samples, 19).collect()}
+    assert kernel == {m: pytest.approx(v) for m, v in joined.items()}
+    with pytest.raises(ValueError, match="are missing"):
+        inference.discover_modules(holes.unionByName(planted.expr.where("gene >= 'r'")), planted.genes, inference.DiscoveryParams(modules=2, bootstraps=1, iterations=2, mode="LM"))
+
+
+def test_modules_broadcast_or_dealt_alike(planted, monkeypatch):
+    params = inference.DiscoveryParams(modules=2, bootstraps=2, iterations=3, mode="LASSOparam3")
+    one = sorted(map(str, inference.discover_modules(planted.expr, planted.genes, params).collect()))
+    monkeypatch.setattr(inference, "MAX_BROADCAST", 10)
+    assert one and sorted(map(str, inference.discover_modules(planted.expr, planted.genes, params).collect())) == one
+    with pytest.raises(ValueError):
+        inference.discover_modules(planted.expr, planted.genes, inference.DiscoveryParams(mode="LASSOparam11"))
+
+
+def test_cliques_of_a_dense_component(spark):
+    import random
+
+    rnd = random.Random(3)
+    pairs = [(f"n{a:02d}", f"n{b:02d}") for a in range(18) for b in range(a + 1, 18) if rnd.random() < 0.6]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    from corrweave.kernels.cliques import maximal_cliques
+
+    got = inference.cliques(spark.createDataFrame([(b, a, 0.9) for a, b in pairs], "gene_a string, gene_b string, weight double")).collect()
+    assert sorted(r["genes"] for r in got) == sorted(", ".join(c) for c in maximal_cliques(near))
+    assert sorted(r["clique"] for r in got) == list(range(len(got))) and {r["component"] for r in got} == {"n00"}
+
+
+def test_order_of_genes(spark):
+    """Leaves of complete linkage, against a plain search for the closest pair."""
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(9, 9))
+    x = x + x.T
+    np.fill_diagonal(x, 0)
+    rows = [(f"g{i}", f"g{j}", float(x[i, j])) for i in range(9) for j in range(i + 1, 9)]
+    genes = spark.createDataFrame([(f"g{i}", i >= 7) for i in range(9)] + [("alone", True)], "gene string, is_regulator boolean")
+    got = inference.gene_order(spark.createDataFrame(rows, "gene_a string, gene_b string, diff double"), genes).orderBy("is_regulator", "pos").collect()
+    sub = x[:7, :7]
+    groups = [[k] for k in range(7)]
+    far = lambda a, b: max(np.linalg.norm(sub[i] - sub[j]) for i in a for j in b)
+    age = {(k,): k - 7 for k in range(7)}
+    for step in range(6):
+        a, b = min(((a, b) for a in range(len(groups)) for b in range(a)), key=lambda p: far(groups[p[0]], groups[p[1]]))
+        first, second = sorted((groups[a], groups[b]), key=lambda g: age[tuple(g)])
+        groups = [g for k, g in enumerate(groups) if k not in (a, b)] + [first + second]
+        age[tuple(first + second)] = step
+    assert [r["gene"] for r in got if not r["is_regulator"]] == [f"g{k}" for k in groups[0]]
+    assert {r["gene"] for r in got if r["is_regulator"]} == {"g7", "g8", "alone"}
+
+
+def test_rewiring_with_products(spark, planted):
+    genes = planted.genes.where("gene like 'a%' or gene like 'r%'")
+    halves = [genes.where("gene like 'r%' or gene < 'a5'"), genes.where("gene like 'r%' or gene >= 'a5'"), genes]
+    rows = None
+    for k, g in enumerate(halves):
+        m = g.select(F.lit(f"m{k}").alias("module"), "gene", F.when(F.col("is_regulator"), "regulator").otherwise("target").alias("role"))
+        rows = m if rows is None else rows.unionByName(m)
+    run = pipeline.run_rewiring(planted, rows, tests.PermutationPlan(20, 50, retest_below=1.1, threshold=1.0), rounds=5, gene_variance=0.0)
+    table = pipeline.module_statistics(run.prepared, run.tested)
+    assert table.count() == 3 and table.first()["num_samples"] == 40 and table.first()["num_label0"] == 20
+    assert run.log()[2:4] == ["samples: 40", "samples of each label: 20, 20"]
+    one = run.tested.select("module", F.lit(0).alias("cluster"))
+    whole = pipeline.Rewiring(run.prepared, run.tested, run.overlaps, one, evidence.cluster_members(run.prepared.modules, one))
+    assert pipeline.cluster_products(whole, "LM") == [] and whole.log()[-1] == "cluster 0: m0|m1|m2"
+    found = pipeline.cluster_products(whole, "LM", last_cluster=True)
+    tables = found[0].tables()
+    assert tables["raw_edges"].count() == 40 and set(tables) == {"multiplicity", "raw_nodes", "raw_edges", "refined_nodes", "refined_edges", "conditions", "drivers"}
+    joint = pipeline.joint_clusters({"x": run, "y": run}, rounds=5)
+    assert {r["module"] for r in joint.collect()} == {f"{n}.m{k}" for n in "xy" for k in range(3)}
+    assert joint.select("module").distinct().count() == joint.count()
+
+
+def test_preparation_warns_and_drops(spark, planted):
+    few = ExprSet(planted.expr.unionByName(planted.expr.where("gene = 'a0'").withColumn("gene", F.lit("flat")).withColumn("value", F.lit(1.0))), planted.genes.unionByName(spark.createDataFrame([("flat", False)], planted.genes.schema)), planted.samples.where("sample < 's25'"))
+    members = few.genes.select(F.lit("m").alias("module"), "gene", F.when(F.col("is_regulator"), "regulator").otherwise("target").alias("role"))
+    members = members.unionByName(members.where("role = 'target'").withColumn("module", F.lit("bare")))
+    with pytest.warns(UserWarning, match="20 and 5"):
+        got = pipeline.prepare_rewiring(few, members, 1e-9)
+    assert [r["gene"] for r in got.dropped.collect()] == ["flat"] and got.modules.where("gene = 'flat' or module = 'bare'").count() == 0
+    assert got.log[1] == "genes dropped for their variance: 1"
+
+
+def test_regulons_end_to_end(spark, planted):
+    """The driver of genes that are rewired is found, that of steady ones is not; each 3rd module is tested again in any case."""
+    edges = [("m", f"a{k}", "r1", 1.0) for k in range(6)] + [("n", f"a{k}", "r1", 1.0) for k in range(3, 9)] + [("m", f"b{k}", "r0", 1.0) for k in range(6)]
+    df = spark.createDataFrame(edges, "graph string, target string, regulator string, weight double")
+    got = pipeline.run_regulons(planted, df, plan=tests.PermutationPlan(50, 200))
+    assert {r["driver"] for r in got.collect()} == {"r1"} and got.first()["multiplicity"] == 2
+    tested = spark.createDataFrame([("m", False), ("n", True)], "module string, significant boolean")
+    assert pipeline.run_regulons(planted, df, tested, tests.PermutationPlan(50, 200)).where("multiplicity > 1").count() == 0
+    values = planted.expr.where("gene < 'r'").withColumn("module", F.substring("gene", 1, 1))
+    numbers = spark.createDataFrame([("a", 1), ("b", 3)], "module string, number int")
+    two = {r["module"]: r["p"] for r in tests.two_stage(values, planted.samples, tests.PermutationPlan(20, 30, every=3), inference.permutation_p, numbers).collect()}
+    assert two["b"] is not None
+
+
+def test_chosen_graphs(spark):
+    df = spark.createDataFrame([("LM", "LM", "g"), ("LM", "VBSR", "g"), ("VBSR", "LASSOmin", "g"), ("VBSR", "LM", "g")], "link_mode string, graph_mode string, graph string")
+    assert {(r["link_mode"], r["graph_mode"]) for r in graph.chosen_graphs(df).collect()} == {("LM", "VBSR"), ("VBSR", "LASSOmin")}
+
+
+def test_containers_and_ids(spark):
+    assays = spark.createDataFrame([(1, "a", "s", 1.0), (2, "a", "s", 5.0), (2, "b", "s", 6.0)], "assay int, gene string, sample string, value double")
+    rows = spark.createDataFrame([("a", 1), ("b", 0)], "gene string, regulator int")
+    data = files.read_annotated(assays, rows, spark.createDataFrame([("s", 1)], "sample string, phenotype int"), assay=2)
+    assert {(r["gene"], r["value"]) for r in data.expr.collect()} == {("a", 5.0), ("b", 6.0)} and data.genes.where("is_regulator").first()["gene"] == "a"
+    names = spark.createDataFrame([("i1", "G1")], "uniq_isos string, iso_gnames string")
+    assert {r["gene"] for r in prep.remap_ids(spark.createDataFrame([("i1",), ("i2",)], "gene string"), names).collect()} == {"G1", "i2"}
+    assert prep.prune(spark.createDataFrame([("g", 0.0), ("h", -1.0)], "gene string, weight double")).first()["gene"] == "h"
+    top = layout.top_or_regulator(spark.createDataFrame([("a", False, 0.3), ("b", True, 0.9), ("c", False, 0.1)], "gene string, is_regulator boolean, p double"), "p", 1)
+    assert {r["gene"] for r in top.collect()} == {"b", "c"}
+
+
+def test_messages_come_in_order(spark, planted):
+    for args, say in (
+        ((None, None, None), "lognorm_est_counts field empty"),
+        (("text", [], []), "matrix class is required for input dataset"),
+        ((planted.expr.withColumn("value", F.lit("1")), [], []), "non-numeric values inside lognorm_est_counts variable"),
+        ((planted.expr.withColumn("gene", F.lit(None).cast("string")), [], []), "null field detected in row names or column names, check lognorm_est_counts matrix"),
+        ((planted.expr, None, []), "target_filtered_idx field empty"),
+        ((planted.expr, ["a0"], None), "regulator_filtered_idx field empty"),
+        ((planted.expr, ["a0"], ["r0"]), "the total number of genes is not equal to the sum of target_filtered_idx and regulatory_filtered_idx lengths"),
+    ):
+        with pytest.raises(ValueError) as found:
+            validate.check_network(*args)
+        assert str(found.value) == say
+    validate.check_network(planted.expr, [f"{c}{k}" for c in "ab" for k in range(10)], [f"r{k}" for k in range(4)])
+    for args, say in (((None,), "dataset field empty"), (("x",), "matrix or dataframe class is required"), ((planted.genes,), "non-numeric values inside dataset variable")):
+        with pytest.raises(ValueError, match=say):
+            validate.check_cliques(*args)
+    for args, say in (((None, False, True), "Path to the graph object must be specified"), (("p", False, True), "graph object in the specified folder must exist"), (("p", True, "x"), "non-logical variable pass to this cliquesbool argument")):
+        with pytest.raises(ValueError, match=say):
+            validate.check_report(*args)
+
+
+def test_four_correlation_matrices(planted):
+    found = assoc.label_correlations(prep.with_phenotype(planted)).where("gene_a = 'a0' and gene_b = 'a1'").first()
+    assert found["r1"] > 0.9 and found["diff"] == pytest.approx(found["r0"] - found["r1"]) and abs(found["r"]) < 1
