@@ -141,7 +141,7 @@ def _across_components(classes: DataFrame, sets: DataFrame, percent: int) -> Dat
     An exact prefix filter: with shingles sorted by how few classes have them, a pair of sizes a and b whose first common
     shingle stands at places x and y shares at most min(a - x, b - y) shingles, and a link takes
     percent x (a + b) / (100 + percent) of them. A shingle's rows are joined with those outside its largest component.
-    Counts are written before the join, so that both its sides are plain exchanges and a frequent shingle can be split.
+    What a join reads is written first, so that both its sides are plain exchanges and a frequent shingle can be split.
     """
     token = classes.join(sets, "c").select("c", "n", "component", F.explode("shingles").alias("token"))
     common = materialize(token.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "counts")
@@ -151,14 +151,15 @@ def _across_components(classes: DataFrame, sets: DataFrame, percent: int) -> Dat
     rows = materialize(prefix.where("t.df > 1").select(F.col("t.token").alias("token"), "c", "n", "component", "pos"), "prefix")
     parts = rows.groupBy("token", "component").agg(F.count("*").alias("members"))
     largest = parts.groupBy("token").agg(F.max_by("component", F.struct("members", -F.col("component"))).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", "main")
-    split = rows.join(largest.hint("merge"), "token")
+    largest = materialize(largest, "largest")
+    split = materialize(rows.join(largest.hint("merge"), "token"), "split")
     minor = split.where("component != main").select("token", F.col("c").alias("v"), F.col("n").alias("b"), F.col("component").alias("cv"), F.col("pos").alias("y"))
     every = split.select("token", F.col("c").alias("u"), F.col("n").alias("a"), F.col("component").alias("cu"), F.col("pos").alias("x"), "main")
     room = (100 + percent) * F.least(F.col("a") - F.col("x"), F.col("b") - F.col("y")) >= percent * (F.col("a") + F.col("b"))
     once = (F.col("cu") == F.col("main")) | (F.col("u") < F.col("v"))
     passing = every.join(minor.hint("merge"), (every["token"] == minor["token"]) & (F.col("cu") != F.col("cv")) & _close_sizes("a", "b", percent) & room & once)
     pairs = materialize(passing.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-    drop(classes.sparkSession, common, rows)
+    drop(classes.sparkSession, common, rows, largest, split)
     return pairs
 
 
