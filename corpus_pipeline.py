@@ -14,7 +14,7 @@ from corrweave.llm.bpe import encode_decode
 from corrweave.llm.neardup import NearDupParams, near_duplicates
 from corrweave.llm.queries import tokenizer_path
 from corrweave.llm.text import limit_batches
-from corrweave.plans.shared import delete, materialize, new_path, scratch
+from corrweave.plans.shared import broadcast_if_small, delete, materialize, new_path, scratch
 
 #: Texts of which a smaller share of letter n-grams belongs to the best language are rejected, as those without letters are.
 LEAST_LANGUAGE_SCORE = 0.2
@@ -45,7 +45,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if not rivals.isEmpty():
         losers = kept.where("n_shingles > 0").join(rivals, "component_id").where("text_hash != least").select("doc_id", "text_hash")
         gone = gone.unionByName(losers)
-    gone = materialize(gone.distinct().select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")), "gone")
+    gone = broadcast_if_small(materialize(gone.distinct().select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")), "gone"))
     out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["id"]) & (F.xxhash64(docs["text"]) == gone["hash"]), "left_anti")
     again = kept.groupBy("doc_id", "text_hash").count().where("count > 1")
     if again.isEmpty():
