@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from corrweave.llm.text import blocks, keep
 
 #: Chunks kept with their encodings in one Python worker (beyond that, the more frequent half stays), and trie nodes (beyond that, the trie starts anew).
-CACHE_CHUNKS = 400_000
-TRIE_NODES = 600_000
+CACHE_CHUNKS = 700_000
+TRIE_NODES = 1_000_000
 #: Token pairs whose standing is remembered.
 KNOWN_PAIRS = 400_000
-#: Chunks kept from one task to the next: a Python worker that does other work next gives the rest of the memory back.
-KEPT_CHUNKS = 250_000
+#: Chunks kept from one task to the next.
+KEPT_CHUNKS = 500_000
 #: Added to the last character of a word: it stands for the character with the word-end mark.
 _LAST = 0x1000
 #: Printable ASCII and Latin letters whose lower case is one Latin letter: normalisation leaves them as they are.
@@ -239,24 +239,39 @@ class TrieBpe:
                 return token, size
         raise ValueError(f"no token ends at {end} of {word!r}")
 
+    def encode_words(self, words: list[str]) -> dict[str, list[int]]:
+        """Ids of pre-tokens of byte-level characters, in sorted order: what a word shares with the one before it is neither walked nor encoded again, and new nodes of the trie get their states on the way."""
+        child, last, back = self.child, self.last, self.back
+        before, path, out = "", [0], {}
+        for word in words:
+            marked = word[:-1] + chr(ord(word[-1]) + _LAST)
+            same = 0
+            for a, b in zip(before, marked, strict=False):
+                if a != b:
+                    break
+                same += 1
+            del path[same + 1 :]
+            node, end = path[same], same
+            for c in marked[same:]:
+                end += 1
+                edge = node << 13 | ord(c)
+                node = child.get(edge)
+                if node is None:
+                    token, size = self._last_token(marked, end, path)
+                    child[edge] = node = len(last)
+                    last.append(token)
+                    back.append(path[end - size])
+                path.append(node)
+            before, ids = marked, []
+            while node:
+                ids.append(last[node])
+                node = back[node]
+            out[word] = ids[::-1]
+        return out
+
     def encode_word(self, word: str) -> list[int]:
-        """Ids of one pre-token of byte-level characters; new nodes of the trie get their states on the way."""
-        word = word[:-1] + chr(ord(word[-1]) + _LAST)
-        node, path, child, last = 0, [0], self.child, self.last
-        for end, c in enumerate(word, 1):
-            edge = node << 13 | ord(c)
-            node = child.get(edge)
-            if node is None:
-                token, size = self._last_token(word, end, path)
-                child[edge] = node = len(last)
-                last.append(token)
-                self.back.append(path[end - size])
-            path.append(node)
-        ids = []
-        while node:
-            ids.append(last[node])
-            node = self.back[node]
-        return ids[::-1]
+        """Ids of one pre-token."""
+        return self.encode_words([word])[word]
 
     def _pretokens(self, chunk: bytes) -> Iterator[str | int]:
         """Byte-level pre-tokens of a chunk, and ids of added tokens."""
@@ -276,7 +291,7 @@ class TrieBpe:
         split = [[*self._pretokens(c)] for c in chunks]
         if len(self.last) > self.limit:
             self.clear()
-        ids = {w: self.encode_word(w) for w in sorted({w for s in split for w in s if type(w) is str})}
+        ids = self.encode_words(sorted({w for s in split for w in s if type(w) is str}))
         return [[i for w in s for i in (ids[w] if type(w) is str else (w,))] for s in split]
 
 
@@ -309,7 +324,6 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
                 decoded = [" ".join(spelled[a:b]) for a, b in places]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())), pa.array(decoded, pa.string())], [id_col, "ids", "decoded"])
         cache.shrink(KEPT_CHUNKS)
-        bpe.clear()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
