@@ -39,7 +39,7 @@ from corrweave.plans.shared import plan_bytes
 
 MAGIC, END = b"CWTOKS01", b"CWTOKEND"
 #: Chunks kept with their ids in one Python worker (beyond that, the more frequent half stays).
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 1_400_000
 
 
 @dataclass(frozen=True)
