@@ -84,18 +84,45 @@ def log_factorial(n: Column) -> Column:
 
 
 def fisher_p(df: DataFrame, a: str, b: str, c: str, d: str, tail: str, name: str) -> DataFrame:
-    """One-sided p of a 2 x 2 table by the hypergeometric tail; a table with an empty margin has p = 1. No table is too large: factorials are expressions."""
+    """One-sided p of a 2 x 2 table by the hypergeometric tail; a table with an empty margin has p = 1. No table is too large: factorials are expressions.
+
+    Terms are added from the table's own outwards, away from the mode, each by its ratio to the one before: those of the
+    tail, or of the other tail where the table lies on the near side of the mode.
+    """
     if tail not in ("greater", "less"):
         raise ValueError(f"unknown tail {tail!r}")
     A, B, C, D = (F.col(x).cast("long") for x in (a, b, c, d))
-    row, col, n = A + B, A + C, A + B + C + D
-    low, high = F.greatest(F.lit(0), row + col - n), F.least(row, col)
-    cells = F.sequence(A, high) if tail == "greater" else F.sequence(low, A)
+    sums = {"_cell": A, "_row": A + B, "_column": A + C, "_total": A + B + C + D}
+    out = df.select("*", *(v.alias(k) for k, v in sums.items()))
+    x0, row, col, n = (F.col(k) for k in sums)
     lf = log_factorial
-    fixed = df.withColumn("_fixed", lf(row) + lf(n - row) + lf(col) + lf(n - col) - lf(n))
-    p = F.aggregate(cells, F.lit(0.0), lambda s, x: s + F.exp(F.col("_fixed") - lf(x) - lf(row - x) - lf(col - x) - lf(n - row - col + x)))
-    whole = A == (low if tail == "greater" else high)
-    return fixed.withColumn(name, F.when(whole, F.lit(1.0)).otherwise(F.least(p, F.lit(1.0)))).drop("_fixed")
+    out = out.withColumn("_low", F.greatest(F.lit(0), row + col - n)).withColumn("_high", F.least(row, col)).withColumn("_fixed", lf(row) + lf(n - row) + lf(col) + lf(n - col) - lf(n))
+    low, high = F.col("_low"), F.col("_high")
+
+    def outwards(start: Column, up: bool) -> Column:
+        """Sum of the terms from ``start`` to the end of its side; 0 beyond the end."""
+        first = F.exp(F.col("_fixed") - lf(start) - lf(row - start) - lf(col - start) - lf(n - row - col + start))
+        if up:
+            inside, more = start <= high, start < high
+            steps = F.when(more, F.sequence(start, high - 1, F.lit(1).cast("long")))
+            ratio = lambda x: (row - x).cast("double") * (col - x) / ((x + 1).cast("double") * (n - row - col + x + 1))
+        else:
+            inside, more = start >= low, start > low
+            steps = F.when(more, F.sequence(start, low + 1, F.lit(-1).cast("long")))
+            ratio = lambda x: x.cast("double") * (n - row - col + x) / ((row - x + 1).cast("double") * (col - x + 1))
+        relative = F.aggregate(
+            F.coalesce(steps, F.array().cast("array<bigint>")),
+            F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")),
+            lambda acc, x: F.struct((acc["t"] * ratio(x)).alias("t"), (acc["s"] + acc["t"] * ratio(x)).alias("s")),
+            lambda acc: acc["s"],
+        )
+        return F.when(inside, first * relative).otherwise(0.0)
+
+    mode = F.floor((row + 1).cast("double") * (col + 1) / (n + 2))
+    up = tail == "greater"
+    near = x0 <= mode if up else x0 >= mode
+    p = F.when(near, 1.0 - outwards(x0 - 1 if up else x0 + 1, not up)).otherwise(outwards(x0, up))
+    return out.withColumn(name, F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))).drop(*sums, "_low", "_high", "_fixed")
 
 
 def module_correlations(values: DataFrame, by: list[str]) -> DataFrame:
