@@ -175,7 +175,8 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id
     """
     spark = docs.sparkSession
     left, right = _bands(params)
-    base = materialize(signatures(docs, params, id_col, text_col), "signatures")
+    #: Narrow rows, dealt anew so that they are written in few files of a fair size, not one for each piece of input.
+    base = materialize(signatures(docs, params, id_col, text_col).hint("rebalance"), "signatures")
     one = base.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("rep_hash"), *(F.first(b).alias(b) for b in (*left, *right)))
     #: Numbered where they are written, so that a class keeps its number.
     classes = materialize(one.withColumn("c", F.monotonically_increasing_id()), "classes")
