@@ -9,8 +9,9 @@ follows is about classes. Every class of a key is compared with the key's hub, t
 most (the largest sum of the sizes of its keys), and what the hubs link is one component. Classes whose keys still hold
 several components are verified by an exact join: sets are sorted by rarity, similar sets must share one of their rarest
 shingles, at places that leave room for the overlap that a link takes, and only pairs of different components that pass
-are compared in full. Copies that each have edits of their own begin with shingles of their own, so even a very large
-group of them gives few such pairs. No link between classes that share a key is lost.
+are compared in full. Components around one hub are joined by their differences from it instead: in a large group of
+near copies any two share most shingles and miss a link by little, but what each changed is its own, so few pairs pass.
+No link between classes that share a key is lost.
 """
 
 from __future__ import annotations
@@ -126,41 +127,96 @@ def _close_sizes(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough. The join on u comes last: it is the side that may be a hub of very many pairs, and holds one set for each."""
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """u, v, shared, united: the sizes of the intersection and the union of the full sets of each pair. The join on u comes last: it is the side that may be a hub of very many pairs, and holds one set for each."""
     mine = sets.select(F.col("c").alias("v"), F.col("shingles").alias("sv"))
     hubs = sets.select(F.col("c").alias("u"), F.col("shingles").alias("su"))
     both = pairs.join(mine.hint("merge"), "v").join(hubs.hint("merge"), "u")
     shared = F.size(F.array_intersect("su", "sv"))
-    return both.where(100 * shared >= percent * (F.size("su") + F.size("sv") - shared)).select("u", "v")
+    return both.select("u", "v", shared.alias("shared"), (F.size("su") + F.size("sv") - shared).alias("united"))
 
 
-def _across_components(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of classes (c, n, component) in different components that a link's overlap does not rule out. ``sets`` has one row a class.
+def _families(classes: DataFrame, kin: DataFrame) -> DataFrame:
+    """``classes`` (c, n, component, crowd) with ``family``, and ``hub`` (c, n, component) of families that hold several components.
 
-    An exact prefix filter: with shingles sorted by how few classes have them, a pair of sizes a and b whose first common
-    shingle stands at places x and y shares at most min(a - x, b - y) shingles, and a link takes
-    percent x (a + b) / (100 + percent) of them. A shingle's rows are joined with those outside its largest component.
-    What a join reads is written first, so that both its sides are plain exchanges and a frequent shingle can be split.
+    A component joins that of the most crowded hub that shares half of the shingles with one of its classes (``kin``: pairs
+    u, v of a hub and a class) and is more crowded than its own classes. So a component is in one family as a whole.
+    Families decide how pairs are sought, never which are found.
     """
-    token = classes.join(sets, "c").select("c", "n", "component", F.explode("shingles").alias("token"))
-    common = materialize(token.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "counts")
-    counted = token.join(common.hint("merge"), "token", "left").select("c", "n", "component", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token").alias("t"))
-    sorted_ = counted.groupBy("c", "n", "component").agg(F.array_sort(F.collect_list("t")).alias("tokens"))
-    prefix = sorted_.select("c", "n", "component", F.posexplode(F.slice("tokens", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))).alias("pos", "t"))
-    rows = materialize(prefix.where("t.df > 1").select(F.col("t.token").alias("token"), "c", "n", "component", "pos"), "prefix")
-    parts = rows.groupBy("token", "component").agg(F.count("*").alias("members"))
-    largest = parts.groupBy("token").agg(F.max_by("component", F.struct("members", -F.col("component"))).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", "main")
+    ends = kin
+    for end in "uv":
+        ends = ends.join(classes.select(F.col("c").alias(end), F.col("component").alias(f"c{end}"), F.struct("crowd", (-F.col("c")).alias("c")).alias(f"r{end}")), end)
+    best = ends.where("cu != cv").groupBy(F.col("cv").alias("component")).agg(F.max("ru").alias("ru"), F.max_by("cu", "ru").alias("cu"))
+    own = classes.groupBy("component").agg(F.max(F.struct("crowd", (-F.col("c")).alias("c"))).alias("own"))
+    steps = best.join(own, "component").where("ru > own").select(F.col("cu").alias("u"), F.col("component").alias("v"))
+    found = connected_components(steps)
+    grouped = found.select(F.col("node").alias("component"), F.col("component").alias("family"))
+    joined = materialize(classes.join(grouped, "component", "left").withColumn("family", F.coalesce("family", "component")), "joined")
+    hubs = joined.groupBy("family").agg(F.max_by(F.struct("c", "n", "component"), F.struct("crowd", -F.col("c"))).alias("hub"), (F.min("component") < F.max("component")).alias("several")).where("several").select("family", "hub")
+    families = materialize(joined.join(hubs, "family", "left").select("c", "n", "component", "family", "hub"), "families")
+    drop(classes.sparkSession, found, joined)
+    return families
+
+
+def _across_components(families: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u, v) of classes in different components that a link's overlap does not rule out, and links (u, v) with the hubs of families. ``sets`` has one row a class.
+
+    An exact prefix filter, in two scopes. Classes of different families are compared by their sets, those of one family
+    by how their sets differ from its hub's: near copies share most of their shingles, but few of their edits. In both,
+    with lists sorted by how few classes have an item (first those of one family or component alone), the first common
+    item of a pair of lists of lengths d and e stands at places x and y, so that they share at most min(d - x, e - y).
+    With q = 100 - percent and r = 100 + percent, sets of sizes a and b are linked if r times the size of their symmetric
+    difference is at most q (a + b), and that difference is the same for the lists: d + e - 2 x shared. Two classes of one
+    family whose lists share nothing are linked only if both are linked with the hub; such links are returned, and two
+    classes that both have one are not compared. A list's length and an item's place bound the lengths of lists that can
+    match, so that lists meet only those in their ranges of lengths.
+
+    An item's rows are joined with those outside its largest component or family. What a join reads is written first, so
+    that both its sides are plain exchanges and a frequent item can be split.
+    """
+    q, r = 100 - percent, 100 + percent
+    others = sets.select(F.col("c").alias("hc"), F.col("shingles").alias("sh"))
+    apart = F.concat(F.array_except("shingles", "sh"), F.array_except("sh", "shingles"))
+    edited = families.where("hub.c != c").join(sets, "c").withColumn("hc", F.col("hub.c")).join(others.hint("merge"), "hc")
+    diffs = materialize(edited.select("c", "n", "component", "family", "hub", apart.alias("items")).withColumn("d", F.size("items").cast("long")), "diffs")
+    near = r * F.col("d") <= q * (F.col("n") + F.col("h"))
+    to_hubs = diffs.withColumn("h", F.col("hub.n")).where(near & (F.col("component") != F.col("hub.component"))).select(F.col("hub.c").alias("u"), F.col("c").alias("v"))
+
+    same = ["scope", "c", "n", "d", "part", "h"]
+    zero = F.lit(0).cast("long")
+    by_set = families.join(sets, "c").select((zero - 1).alias("scope"), "c", "n", F.col("n").alias("d"), F.col("family").alias("part"), zero.alias("h"), F.explode("shingles").alias("token"))
+    by_diff = diffs.select(F.col("family").alias("scope"), "c", "n", "d", F.col("component").alias("part"), F.col("hub.n").alias("h"), F.explode("items").alias("token"))
+    token = by_set.unionByName(by_diff)
+    common = token.groupBy("scope", "token").agg(F.count("*").alias("df"), F.min("part").alias("low"), F.max("part").alias("high"))
+    common = materialize(common.where("low < high").select("scope", "token", "df"), "counts")
+    counted = token.join(common.hint("merge"), ["scope", "token"], "left").select(*same, F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token").alias("t"))
+    sorted_ = counted.groupBy(*same).agg(F.array_sort(F.collect_list("t")).alias("tokens"))
+    #: Lengths of lists that one of a class can match: ``least`` to ``most`` - 2 x the place.
+    slack = F.floor(F.col("n") * q / percent)
+    far = F.when(near, F.floor(q * (F.ceil(F.col("n") * percent / 100) + F.col("h")) / r) + 1).otherwise(0)
+    ranged = sorted_.withColumns({"whole": F.col("scope") < 0, "near": (F.col("scope") >= 0) & near, "least": F.greatest(F.col("d") - slack, far), "most": F.col("d") + slack, "step": F.greatest(F.lit(1), F.floor(F.col("h") * q / percent / 4))})
+    places = F.when(F.col("whole"), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).otherwise(F.greatest(F.lit(0), F.floor((F.col("most") - F.col("least")) / 2) + 1))
+    prefix = ranged.select("scope", "c", "n", "d", "part", "near", "whole", "least", "most", "step", F.posexplode(F.slice("tokens", F.lit(1), places.cast("int"))).alias("pos", "t"))
+    #: Ranges are met in steps: a row for each step of lengths that it can match.
+    at = F.when(F.col("whole"), zero).otherwise(F.floor(F.col("d") / F.col("step")))
+    to = F.when(F.col("whole"), F.array(zero)).otherwise(F.sequence(F.floor(F.col("least") / F.col("step")), F.floor((F.col("most") - 2 * F.col("pos")) / F.col("step"))))
+    rows = materialize(prefix.where("t.df > 1").select("scope", F.col("t.token").alias("token"), "c", "n", "d", "part", "near", "pos", at.alias("at"), F.explode(to).alias("to")), "prefix")
+    met = ["scope", "token", "low", "high"]
+    rows = rows.withColumns({"low": F.least("at", "to"), "high": F.greatest("at", "to")})
+    parts = rows.groupBy(*met, "part").agg(F.count("*").alias("members"))
+    largest = parts.groupBy(*met).agg(F.max_by("part", F.struct("members", -F.col("part"))).alias("main"), F.count("*").alias("parts")).where("parts > 1").select(*met, "main")
     largest = materialize(largest, "largest")
-    split = materialize(rows.join(largest.hint("merge"), "token"), "split")
-    minor = split.where("component != main").select("token", F.col("c").alias("v"), F.col("n").alias("b"), F.col("component").alias("cv"), F.col("pos").alias("y"))
-    every = split.select("token", F.col("c").alias("u"), F.col("n").alias("a"), F.col("component").alias("cu"), F.col("pos").alias("x"), "main")
-    room = (100 + percent) * F.least(F.col("a") - F.col("x"), F.col("b") - F.col("y")) >= percent * (F.col("a") + F.col("b"))
-    once = (F.col("cu") == F.col("main")) | (F.col("u") < F.col("v"))
-    passing = every.join(minor.hint("merge"), (every["token"] == minor["token"]) & (F.col("cu") != F.col("cv")) & _close_sizes("a", "b", percent) & room & once)
+    split = materialize(rows.join(largest.hint("merge"), met), "split")
+    minor = split.where("part != main").select("scope", "token", F.col("at").alias("to"), F.col("to").alias("at"), F.col("c").alias("v"), F.col("n").alias("b"), F.col("d").alias("e"), F.col("part").alias("pv"), F.col("pos").alias("y"), F.col("near").alias("nv"))
+    every = split.select("scope", "token", "at", "to", F.col("c").alias("u"), F.col("n").alias("a"), "d", F.col("part").alias("pu"), F.col("pos").alias("x"), F.col("near").alias("nu"), "main")
+    room = 2 * r * F.least(F.col("d") - F.col("x"), F.col("e") - F.col("y")) >= r * (F.col("d") + F.col("e")) - q * (F.col("a") + F.col("b"))
+    once = (F.col("pu") == F.col("main")) | (F.col("u") < F.col("v"))
+    keys = [every[k] == minor[k] for k in ("scope", "token", "at", "to")]
+    passing = every.join(minor.hint("merge"), [*keys, F.col("pu") != F.col("pv"), ~(F.col("nu") & F.col("nv")), _close_sizes("a", "b", percent), room, once])
     pairs = materialize(passing.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-    drop(classes.sparkSession, common, rows, largest, split)
-    return pairs
+    links = materialize(to_hubs, "links")
+    drop(families.sparkSession, diffs, common, rows, largest, split)
+    return pairs, links
 
 
 def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,22 +248,25 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), id
     stars = shared.join(hubs.hint("merge"), "key").where((F.col("u") != F.col("c")) & _close_sizes("n", "nu", params.percent)).select("u", F.col("c").alias("v")).distinct()
     wanted = materialize(classes.select("c", "rep", "rep_hash").join(shared.select("c").distinct(), "c", "left_semi"), "wanted")
     sets = _sets(docs, broadcast_if_small(wanted), params, id_col, text_col)
-    links = materialize(_confirm(stars, sets, params.percent), "links")
+    linked = F.expr(f"100 * shared >= {params.percent} * united")
+    kin = materialize(_overlaps(stars, sets).where(f"100 * shared >= {min(50, params.percent)} * united").select("u", "v", linked.alias("linked")), "kin")
+    links = kin.where("linked").select("u", "v")
     found = connected_components(links)
 
-    placed = shared.join(found, shared["c"] == found["node"], "left").select("key", "c", "n", F.coalesce("component", "c").alias("component"))
+    placed = shared.join(found, shared["c"] == found["node"], "left").select("key", "c", "n", "size", F.coalesce("component", "c").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    open_ = materialize(placed.join(mixed.hint("merge"), "key", "left_semi").select("c", "n", "component").distinct(), "open")
-    rest = _across_components(open_, sets, params.percent)
-    more = materialize(_confirm(rest, sets, params.percent), "links")
+    open_ = materialize(placed.join(mixed.hint("merge"), "key", "left_semi").groupBy("c", "n", "component").agg(F.sum("size").alias("crowd")), "open")
+    families = _families(open_, kin.where("not linked").select("u", "v"))
+    rest, to_hubs = _across_components(families, sets, params.percent)
+    more = materialize(_overlaps(rest, sets).where(linked).select("u", "v").unionByName(to_hubs), "links")
     labels = found if more.isEmpty() else connected_components(links.unionByName(more))
 
     #: Classes in no component have keys of their own, so that none is hot; what a join reads is written first, so that adaptive execution can split it.
     named = classes.join(labels, F.col("c") == F.col("node"), "left").select("d1", "d2", "n", "rep", F.col("component"), F.coalesce("component", -1 - F.col("c")).alias("group"))
     least = materialize(named.where("component is not null").groupBy("group").agg(F.min("rep").alias("least")), "least")
-    linked = F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("least"))
-    ids = materialize(named.join(least.hint("merge"), "group", "left").select("d1", "d2", "n", linked.alias("component_id")), "ids")
-    drop(spark, shared, wanted, sets, links, rest, more, open_, least, classes, found, labels)
+    reached = F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("least"))
+    ids = materialize(named.join(least.hint("merge"), "group", "left").select("d1", "d2", "n", reached.alias("component_id")), "ids")
+    drop(spark, shared, wanted, sets, kin, rest, to_hubs, more, open_, families, least, classes, found, labels)
     narrow = base.select("doc_id", "n", "d1", "d2", "text_hash")
     columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "text_hash"]
     out = narrow.where("n > 0").join(ids.hint("merge"), ["d1", "d2", "n"]).select(*columns).unionByName(narrow.where("n = 0").withColumn("component_id", F.col("doc_id")).select(*columns))

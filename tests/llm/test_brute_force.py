@@ -86,6 +86,73 @@ def test_rows_without_an_id(spark):
     assert _got(spark, some + some) == _rows_brute(some + some)
 
 
+def _edited(n, edits, words=150, choice=10**6, seed=12):
+    """Copies of one text with up to ``edits`` words changed, each into one of ``choice`` words."""
+    rnd = random.Random(seed)
+    base, out = [f"w{k}" for k in range(words)], []
+    for k in range(n):
+        mine = list(base)
+        for _ in range(rnd.randint(1, edits)):
+            mine[rnd.randrange(words)] = f"x{rnd.randrange(choice)}"
+        out.append((k, " ".join(mine)))
+    return out
+
+
+def test_near_copies_give_few_pairs(spark, monkeypatch):
+    """What is compared in full grows with the copies, not with the pairs that miss the threshold by little."""
+    counts, write = [], neardup.materialize
+
+    def counting(df, name):
+        out = write(df, name)
+        if name == "pairs":
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "materialize", counting)
+    rows = _edited(200, 6)
+    assert _got(spark, rows) == _rows_brute(rows)
+    assert len(counts) == 1 and counts[0] <= 2 * len(rows)
+
+
+def test_copies_that_share_edits_are_linked(spark):
+    """Links between copies that are all far from the hub are found by what they changed alike."""
+    for choice, edits, seed in ((1, 9, 1), (2, 14, 2), (10**6, 8, 3)):
+        rows = _edited(150, edits, 100, choice, seed)
+        far = rows[7][1].split()
+        for k in range(0, 96, 8):
+            far[k] = f"far{k}"
+        rows += [(1000 + k, " ".join([*far[:k], "own", *far[k + 1 :]])) for k in range(1, 90, 9)]
+        assert _got(spark, rows) == _rows_brute(rows)
+
+
+def test_no_link_across_components_is_lost(spark):
+    """The join alone against all pairs, whatever the families and their hubs are."""
+    rnd = random.Random(4)
+    for percent in (85, 80):
+        sets, base = [], [rnd.sample(range(10**6), n) for n in (12, 40, 90)]
+        for k in range(150):
+            one = set(base[k % 3])
+            for _ in range(rnd.randint(0, max(2, len(one) // 6))):
+                one.discard(rnd.choice(base[k % 3])) if rnd.random() < 0.5 else one.add(rnd.randrange(10**6, 10**6 + 15))
+            sets.append(sorted(one))
+        linked = lambda a, b: 100 * len({*a} & {*b}) >= percent * len({*a} | {*b})
+        component = [min(j for j in range(k % 3, k + 1, 3) if j == k or (j % 5 == 0 and linked(sets[j], sets[k]))) for k in range(150)]
+        component = [component[component[k]] for k in range(150)]
+        hubs = {f: rnd.choice([k for k in range(150) if component[k] % 4 == f]) for f in (0, 1, 2)}  # hubs of any kind, alike or not; a family holds whole components
+        rows = [(k, len(sets[k]), component[k], f, (hubs[f], len(sets[hubs[f]]), component[hubs[f]]) if f in hubs else None) for k in range(150) for f in [component[k] % 4 if component[k] % 4 in hubs else 1000 + component[k]]]
+        families = spark.createDataFrame(rows, "c long, n long, component long, family long, hub struct<c:long,n:long,component:long>")
+        pairs, links = neardup._across_components(families, spark.createDataFrame(list(enumerate(sets)), "c long, shingles array<long>"), percent)
+        pairs, links = {tuple(r) for r in pairs.collect()}, {tuple(r) for r in links.collect()}
+        assert all(linked(sets[u], sets[v]) for u, v in links)
+        by_hub = {(v, f) for f, h in hubs.items() for v in range(150) if (h, v) in links or (component[v] == component[h] and linked(sets[v], sets[h]))}
+        for u in range(150):
+            for v in range(u + 1, 150):
+                if component[u] != component[v] and linked(sets[u], sets[v]):
+                    f = component[u] % 4
+                    both = f == component[v] % 4 and (u == hubs.get(f) or (u, f) in by_hub) and (v == hubs.get(f) or (v, f) in by_hub)
+                    assert (u, v) in pairs or both
+
+
 def test_pairs_at_the_threshold(spark):
     """Two classes that share 92 of 100 shingles each are a pair of the exact join, however often their rows repeat."""
     one = " ".join(f"w{k}" for k in range(102))
