@@ -61,13 +61,18 @@ def cumulated(counts: DataFrame, value: str, by: list[str], extremes: dict[str,
 
 
 def average_rank(df: DataFrame, value: str, by: list[str], name: str = "rank") -> DataFrame:
-    """Ranks from 1 with ties at their mean, within ``by``; without ``by``, over all rows in ranges. Null values have no rank."""
+    """Ranks from 1 with ties at their mean, within ``by``; without ``by``, over all rows in ranges. Null values have no rank.
+
+    Ranks over all rows are joined back by value, so the rows are written first: a sum that is added up again, in another
+    order, can differ in its last digit, and would find no rank.
+    """
     if by:
         order = W.partitionBy(*by).orderBy(value)
         peers = W.partitionBy(*by, value)
         rank = F.rank().over(order) + (F.count("*").over(peers) - 1) / F.lit(2.0)
         missing = F.count(F.when(F.col(value).isNull(), 1)).over(W.partitionBy(*by))  # they are ordered first
         return df.withColumn(name, F.when(F.col(value).isNotNull(), rank - missing))
+    df = materialize(df, "valued")
     ranked = cumulated(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c")), value, [])
     return df.join(ranked.select(value, (F.col("hi") - (F.col("c") - 1) / F.lit(2.0)).alias(name)), value, "left").select(*df.columns, name)
 
@@ -83,7 +88,7 @@ def adjust_many(df: DataFrame, p: str, methods: dict[str, str], by: list[str] |
     """Multiple-testing corrections (name to method: bonferroni, holm, hochberg, BH or BY) within ``by``; nulls do not count.
 
     A correction depends on a p-value and on how many are smaller and as large, so it is found once for each different
-    value, and joined back.
+    value, and joined back to the rows, which are written first (as in ``average_rank``).
     """
     by = by or []
     P, hi, n, c = F.col(p), F.col("hi"), F.col("n"), F.col("c")
@@ -97,6 +102,7 @@ def adjust_many(df: DataFrame, p: str, methods: dict[str, str], by: list[str] |
     for method in methods.values():
         if method not in forms:
             raise ValueError(f"unknown adjustment {method!r}")
+    df = materialize(df, "valued")
     counts = df.where(P.isNotNull()).groupBy(*by, p).agg(F.count("*").alias("c"))
     found = cumulated(counts, p, by, {name: forms[method] for name, method in methods.items()})
     joined = df.join(found.select(*by, p, *methods), [*by, p], "left")
