@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from corrweave.kernels import cliques as clique_kernel
 from corrweave.kernels import hclust
-from corrweave.kernels.modules import discover, regression
+from corrweave.kernels.lasso import dealt as lasso_folds
+from corrweave.kernels.modules import discover, discover_sums, folded, regression, sums_regression
 from corrweave.kernels.perm import hashed_labels, statistic, varying
+from corrweave.plans import moments
 from corrweave.plans.components import connected_components
 from corrweave.plans.shared import materialize
 
@@ -90,12 +92,29 @@ def permutation_null(values: DataFrame, samples: DataFrame, draws: int, seed: in
 STATISTICS = ("n_reg", "n_genes", "mean_corr", "rsquare", "rsquare_adjusted", "homogeneity", "condition")
 
 
+def _fewer_sums(sized: list, draws: int, mode: str) -> bool:
+    """Whether sums of products, of all folds of some draws, are fewer numbers than the values (rows: gene, n), and few enough for one kernel or task to hold."""
+    sums = draws * (12 if folded(mode) else 2) * (len(sized) + 1) ** 2
+    return sums < min(sum(r["n"] for r in sized), MAX_BROADCAST) and len({r["gene"] for r in sized}) == len(sized)
+
+
+def _sample_rows(measured: DataFrame, sized: list) -> tuple[DataFrame, int]:
+    """Samples as rows of the values of the genes in ``sized``, in that order, and how many they are."""
+    at = measured.sparkSession.createDataFrame([(r["gene"], k) for k, r in enumerate(sized)], "gene string, at int")
+    rows = moments.rows_of(measured.join(F.broadcast(at), "gene").select("sample", "at", "value"))  # one row a gene
+    n = moments.complete(rows, len(sized))
+    if n is None:
+        raise ValueError("values of genes x samples are missing, or there more than once: fill them in, or leave out those genes or samples")
+    return rows, n
+
+
 def discover_modules(expr: DataFrame, genes: DataFrame, params: DiscoveryParams = DiscoveryParams()) -> DataFrame:
     """bootstrap, module, role, gene, beta (of regulators), intercept, and the seven statistics of training and held-out samples, one row for each member.
 
     Each bootstrap's loop of assignment and fitting is short of data and long of rounds, so it runs in one kernel, and
-    bootstraps run beside each other. The matrix is broadcast once if its size allows; a larger one is dealt to the
-    bootstraps by a shuffle. Values must be complete.
+    bootstraps run beside each other. Where samples are many beside the genes, kernels get sums of products over them
+    (``moments``; not for VBSR or the eigengene, which need the rows). Else the matrix is broadcast once if its size
+    allows; a larger one is dealt to the bootstraps by a shuffle. Values must be complete.
     """
     regression(params.mode)
     spark = expr.sparkSession
@@ -106,7 +125,9 @@ def discover_modules(expr: DataFrame, genes: DataFrame, params: DiscoveryParams
     schema = "bootstrap int, module int, role string, gene string, beta double, intercept double, " + ", ".join(f"{c} double" for c in stats)
 
     def one(bootstrap: int, x: np.ndarray, samples: list[str], gene: np.ndarray, reg: np.ndarray) -> pd.DataFrame:
-        found = discover(x.T, reg, samples, params.modules, params.mode, params.iterations, bootstrap, params.train_share, params.profile, params.fdr, params.seed, params.only_train)
+        return members(bootstrap, discover(x.T, reg, samples, params.modules, params.mode, params.iterations, bootstrap, params.train_share, params.profile, params.fdr, params.seed, params.only_train), gene, reg)
+
+    def members(bootstrap: int, found: list[dict], gene: np.ndarray, reg: np.ndarray) -> pd.DataFrame:
         rows = []
         for m in found:
             own = {"bootstrap": bootstrap, "module": m["module"], "intercept": m["intercept"], **{f"{s}_{k}": m[s][k] for s in ("train", "held_out") if s in m for k in STATISTICS}}
@@ -119,7 +140,25 @@ def discover_modules(expr: DataFrame, genes: DataFrame, params: DiscoveryParams
         x, samples, gene = _matrix(pdf)
         return x, samples, np.array(gene), role.loc[gene].to_numpy(bool)
 
-    if measured.count() <= MAX_BROADCAST:
+    sized = measured.groupBy("gene", "is_regulator").agg(F.count("*").alias("n"), F.avg("value").alias("middle")).collect()  # one row a gene
+    numbers = sum(r["n"] for r in sized)
+    if params.profile == "MEAN" and sums_regression(params.mode) and _fewer_sums(sized, params.bootstraps, params.mode):
+        sized = sorted(sized, key=lambda r: r["gene"])
+        names, reg = np.array([r["gene"] for r in sized]), np.array([r["is_regulator"] for r in sized], bool)
+        rows, n = _sample_rows(measured, sized)
+        size = round(params.train_share * n)
+        fold = lasso_folds(size, seed=params.seed).astype(np.int8) if folded(params.mode) else None
+        sums = moments.fold_sums(rows, n, np.array([r["middle"] for r in sized]), list(range(params.bootstraps)), size, params.seed, fold)
+
+        def of_sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            total = moments.added(pdf["sums"].tolist(), len(names))
+            if reg.sum() < 2:
+                raise ValueError("at least two regulators are needed")
+            found = [] if reg.all() else discover_sums(total[:-1], None if params.only_train else total[-1], reg, params.modules, params.mode, params.iterations, int(key[0]), params.fdr, params.seed)
+            return members(int(key[0]), found, names, reg)
+
+        return sums.repartition(params.bootstraps, "d").groupBy("d").applyInPandas(of_sums, schema)
+    if numbers <= MAX_BROADCAST:
         shared = spark.sparkContext.broadcast(whole(measured.toPandas()))  # its size is checked above
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,9 +200,38 @@ def target_graph(expr: DataFrame, genes: DataFrame, mode: str, fdr: float = 0.05
 
 
 def module_graphs(expr: DataFrame, modules: DataFrame, mode: str, fdr: float = 0.05, seed: int = 1) -> DataFrame:
-    """bootstrap, module, regulator, target, weight: in each module, each target fitted on the module's regulators; a module of one regulator gives all its targets that regulator's coefficient."""
-    fit = regression(mode)
+    """bootstrap, module, regulator, target, weight: in each module, each target fitted on the module's regulators; a module of one regulator gives all its targets that regulator's coefficient. Where samples are many beside the genes, modules get sums of products over them (``moments``; not for VBSR)."""
+    fit, schema = regression(mode), "bootstrap int, module int, regulator string, target string, weight double"
     members = modules.select("bootstrap", "module", "role", "gene", "beta")
+    by_sums = sums_regression(mode)
+    used = expr.join(members.select("gene").distinct(), "gene", "left_semi")
+    sized = used.groupBy("gene").agg(F.count("value").alias("n"), F.avg("value").alias("middle")).orderBy("gene").collect() if by_sums else []  # one row a gene
+    if len({r["n"] for r in sized}) == 1 and _fewer_sums(sized, 1, mode):
+        rows, n = _sample_rows(used, sized)
+        fold = lasso_folds(n, seed=seed).astype(np.int8) if folded(mode) else None
+        found = moments.fold_sums(rows, n, np.array([r["middle"] for r in sized]), [None], n, seed, fold).collect()  # one row a range of samples
+        shared = expr.sparkSession.sparkContext.broadcast(moments.added([r["sums"] for r in found], len(sized))[:-1])  # its size is checked above
+        at = {r["gene"]: k + 1 for k, r in enumerate(sized)}
+
+        def of_sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf[pdf["gene"].isin(list(at))]
+            regs = pdf[pdf["role"] == "regulator"].sort_values("gene")
+            names, targets = regs["gene"].tolist(), sorted(set(pdf["gene"][pdf["role"] == "target"]))
+            out = []
+            for g in targets if names else []:
+                if len(names) == 1:
+                    beta = np.array([regs["beta"].iloc[0]])
+                else:
+                    pick = [0, *(at[r] for r in names), at[g]]
+                    own = shared.value[:, pick][:, :, pick]
+                    total = own.sum(0)
+                    varies = total[-1, -1] / n - (total[0, -1] / n) ** 2 > 1e-24
+                    beta = by_sums(own, fdr / max(len(names) * len(targets), 1)) if varies else np.zeros(len(names))
+                    beta = np.where(beta != 0, 1.0, 0.0) if mode == "LM" else beta
+                out += [(key[0], key[1], names[k], g, float(beta[k])) for k in np.flatnonzero(beta)]
+            return pd.DataFrame(out, columns=["bootstrap", "module", "regulator", "target", "weight"])
+
+        return members.groupBy("bootstrap", "module").applyInPandas(of_sums, schema)
     data = members.join(expr, "gene")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -180,7 +248,7 @@ def module_graphs(expr: DataFrame, modules: DataFrame, mode: str, fdr: float = 0
             out += [(key[0], key[1], names[k], g, float(beta[k])) for k in np.flatnonzero(beta)]
         return pd.DataFrame(out, columns=["bootstrap", "module", "regulator", "target", "weight"])
 
-    return data.groupBy("bootstrap", "module").applyInPandas(run, "bootstrap int, module int, regulator string, target string, weight double")
+    return data.groupBy("bootstrap", "module").applyInPandas(run, schema)
 
 
 def cliques(edges: DataFrame) -> DataFrame:

@@ -475,3 +475,49 @@ def test_ranks_and_adjustments_of_values_that_change(spark):
     df = spark.range(40).select("id", (anew("id") / 100).alias("p"))
     assert [r["rank"] for r in average_rank(df, "p", []).orderBy("id").collect()] == list(range(1, 41))
     assert all(r["q"] is not None for r in adjust_p(df, "p", "BH", "q").collect())
+
+
+@pytest.mark.parametrize("mode", ["LM", "LASSOmin", "LASSOparam3"])
+def test_modules_of_sums_are_those_of_rows(spark, mode, monkeypatch):
+    """Discovery and graphs from sums of products over samples, which kernels get where samples are many, are those of the matrix; no kernel gets the samples."""
+    rng = np.random.default_rng(21)
+    n = 1100
+    regs = rng.normal(size=(3, n)) + 5
+    targets = np.vstack([*(regs[k % 2] + rng.normal(0, 1.5, n) for k in range(6)), regs[0] * regs[2], np.full(n, 2.0)])
+    genes = [*(f"r{k}" for k in range(3)), *(f"t{k}" for k in range(8))]
+    expr = _expr(spark, np.vstack([regs, targets]), genes, [f"s{k}" for k in range(n)])
+    roles = spark.createDataFrame([(g, g[0] == "r") for g in genes], "gene string, is_regulator boolean")
+    params = inference.DiscoveryParams(modules=3, bootstraps=2, iterations=3, mode=mode)
+
+    def both():
+        found = inference.discover_modules(expr, roles, params).orderBy("bootstrap", "module", "role", "gene").toPandas()
+        edges = inference.module_graphs(expr, spark.createDataFrame(found[["bootstrap", "module", "role", "gene", "beta"]]), mode).orderBy("bootstrap", "module", "regulator", "target").toPandas()
+        return found, edges
+
+    with monkeypatch.context() as m:
+        m.setattr(inference, "_fewer_sums", lambda *a: False)
+        plain = both()
+    monkeypatch.setattr(inference.moments, "RANGE_NUMBERS", 3000)
+    monkeypatch.setattr(inference, "_matrix", None)  # whoever pivots the samples fails
+    for got, want in zip(both(), plain, strict=True):
+        assert len(want) > 3 and list(got.columns) == list(want.columns) and len(got) == len(want)
+        for c in want.columns:
+            if want[c].dtype.kind == "f":
+                assert np.allclose(got[c], want[c], rtol=1e-7, atol=1e-7, equal_nan=True), c
+            else:
+                assert (got[c] == want[c]).all(), c
+
+
+def test_last_of_the_smallest_digests(spark):
+    """The cut of each draw is found from a window of digests, and from a wider one where that misses it."""
+    import hashlib
+
+    names = [f"s{k}" for k in range(500)]
+    df = spark.createDataFrame([(s,) for s in names], "sample string")
+    for size in (0, 1, 170, 500):
+        for spread in (6.0, 1e-3):
+            got = inference.moments.last_of_smallest(df, [0, 3], 500, size, 7, spread)
+            for d in (0, 3):
+                order = sorted(names, key=lambda s: (hashlib.md5(f"7:{d}:{s}".encode()).hexdigest(), s))
+                inside = inference.moments.chosen(7, d, [s.encode() for s in names], got[d])
+                assert {s for s, on in zip(names, inside, strict=True) if on} == set(order[:size])
