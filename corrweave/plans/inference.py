@@ -11,15 +11,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from corrweave.kernels import cliques as clique_kernel
 from corrweave.kernels import hclust
 from corrweave.kernels.lasso import dealt as lasso_folds
 from corrweave.kernels.modules import discover, discover_sums, folded, regression, sums_regression
-from corrweave.kernels.perm import hashed_labels, statistic, varying
+from corrweave.kernels.perm import hashed_labels, label_products, statistic, statistics_of_sums, varying
 from corrweave.plans import moments
 from corrweave.plans.components import connected_components
 from corrweave.plans.shared import materialize
@@ -66,26 +68,88 @@ def _null_of(pdf: pd.DataFrame, draws: int, seed: int) -> tuple[float, np.ndarra
     return statistic(x, y), np.array([statistic(x, hashed_labels(names, ones, d, seed)) for d in range(draws)])
 
 
-def permutation_p(values: DataFrame, samples: DataFrame, draws: int, seed: int = 1) -> DataFrame:
-    """module, stat, p as ``operators.tests.permutation_p``, one kernel for each module: right for modules of hundreds of genes. Missing values count pair by pair, as in the join."""
+#: Digests that a task of ``_draw_sums`` finds, and samples that it multiplies at once.
+TASK_DIGESTS, BLOCK_SAMPLES = 4_000_000, 2_000
+
+
+def _draw_sums(labelled: DataFrame, draws: int, seed: int) -> tuple[DataFrame, list[tuple[str, int]]] | None:
+    """m, sums (to be added: rows of ``statistics_of_sums``), and the module and its number of genes for each m; None where kernels get the samples.
+
+    Labels of a draw are the same for all modules that have all samples, and a statistic needs no more than sums of
+    products by label. So samples are dealt over tasks, each with the values of all modules, and nothing held grows with
+    their number. For values without gaps, and where the sums are fewer numbers than those.
+    """
+    found = labelled.groupBy("module", "gene").agg(F.count("*").alias("n"), F.count("value").alias("known"), F.avg("value").alias("middle"))
+    sized = sorted(found.limit(MAX_BROADCAST // 100).collect(), key=lambda r: (str(r["module"]), r["gene"]))  # numbers of genes and modules, checked below
+    sizes: dict = {}
+    for r in sized:
+        sizes[r["module"]] = sizes.get(r["module"], 0) + 1
+    sums = (draws + 2) * sum((k + 1) * (k + 2) // 2 for k in sizes.values())
+    if not sized or len(sized) == MAX_BROADCAST // 100 or len({r["n"] for r in sized} | {r["known"] for r in sized}) > 1 or sums >= min(sized[0]["n"] * len(sized), MAX_BROADCAST):
+        return None
+    at = labelled.sparkSession.createDataFrame([(r["module"], r["gene"], k) for k, r in enumerate(sized)], StructType([*labelled.select("module", "gene").schema, StructField("at", IntegerType())]))
+    rows = moments.rows_of(labelled.join(F.broadcast(at), ["module", "gene"]).select("sample", "phenotype", "at", "value"), "phenotype")  # one row a gene of a module
+    n = moments.complete(rows, len(sized))
+    labels = rows.agg(F.count_if(F.col("phenotype") == 1).alias("ones"), F.count_if(~F.col("phenotype").isin(0, 1)).alias("others")).first()
+    if n is None or labels["others"]:
+        return None
+    dealt = rows.select("sample", "phenotype", "v").repartition(max(1, -(-n * draws // TASK_DIGESTS)))
+    last = moments.last_of_smallest(dealt, list(range(draws)), n, labels["ones"], seed)
+    ends = np.cumsum([0, *sizes.values()]).tolist()
+    shared = labelled.sparkSession.sparkContext.broadcast((last, np.array([r["middle"] for r in sized])))  # one row a draw, a number a gene
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts, middle = shared.value
+        total = None
+        for whole in batches:
+            for start in range(0, whole.num_rows, BLOCK_SAMPLES):
+                batch = whole.slice(start, BLOCK_SAMPLES)
+                names = [s.encode() for s in batch.column(0).to_pylist()]
+                y = np.vstack([np.asarray(batch.column(1)), *(moments.chosen(seed, d, names, cuts[d]) for d in range(draws))]).astype(float)
+                x = np.asarray(batch.column(2).flatten(), float).reshape(len(names), -1) - middle
+                own = [label_products(x[:, a:b], y) for a, b in zip(ends, ends[1:], strict=False)]
+                total = own if total is None else [np.add(t, o, out=t) for t, o in zip(total, own, strict=True)]
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array([t.tobytes() for t in total], pa.binary())], ["m", "sums"])
+
+    return dealt.mapInArrow(run, "m int, sums binary"), list(sizes.items())
+
+
+def _per_module(values: DataFrame, samples: DataFrame, draws: int, seed: int, table: Callable, schema: str) -> DataFrame:
+    """``table`` of each module, its statistic and those of the draws."""
+    labelled = _labelled(values, samples)
+    by_sums = _draw_sums(labelled, draws, seed)
+    if by_sums is None:
+        return labelled.groupBy("module").applyInPandas(lambda key, pdf: table(key[0], *_null_of(pdf, draws, seed)), schema)
+    sums, modules = by_sums
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        seen, null = _null_of(pdf, draws, seed)
+        name, genes = modules[int(key[0])]
+        total = sum(np.frombuffer(s).reshape(draws + 2, -1) for s in pdf["sums"])
+        found = statistics_of_sums(total, genes)
+        return table(name, float(found[0]), found[1:])
+
+    return sums.groupBy("m").applyInPandas(run, schema)
+
+
+def permutation_p(values: DataFrame, samples: DataFrame, draws: int, seed: int = 1) -> DataFrame:
+    """module, stat, p as ``operators.tests.permutation_p``, by sums over samples or one kernel for each module: right for modules of hundreds of genes. Missing values count pair by pair, as in the join."""
+
+    def table(module, seen: float, null: np.ndarray) -> pd.DataFrame:
         null = null[np.isfinite(null)]
         p = (1 + (null >= seen * (1 - 1e-9)).sum()) / (1 + len(null)) if np.isfinite(seen) else np.nan
-        return pd.DataFrame({"module": [key[0]], "stat": [seen], "p": [p]})
+        return pd.DataFrame({"module": [module], "stat": [seen], "p": [p]})
 
-    return _labelled(values, samples).groupBy("module").applyInPandas(run, "module string, stat double, p double")
+    return _per_module(values, samples, draws, seed, table, "module string, stat double, p double")
 
 
 def permutation_null(values: DataFrame, samples: DataFrame, draws: int, seed: int = 1) -> DataFrame:
     """module, draw, stat of each permutation; draw -1 is the observed labelling."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        seen, null = _null_of(pdf, draws, seed)
-        return pd.DataFrame({"module": key[0], "draw": np.arange(-1, len(null)).astype(np.int32), "stat": [seen, *null]})
+    def table(module, seen: float, null: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"module": module, "draw": np.arange(-1, len(null)).astype(np.int32), "stat": [seen, *null]})
 
-    return _labelled(values, samples).groupBy("module").applyInPandas(run, "module string, draw int, stat double")
+    return _per_module(values, samples, draws, seed, table, "module string, draw int, stat double")
 
 
 #: Statistics of a module over one part of the samples.

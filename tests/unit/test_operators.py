@@ -521,3 +521,28 @@ def test_last_of_the_smallest_digests(spark):
                 order = sorted(names, key=lambda s: (hashlib.md5(f"7:{d}:{s}".encode()).hexdigest(), s))
                 inside = inference.moments.chosen(7, d, [s.encode() for s in names], got[d])
                 assert {s for s, on in zip(names, inside, strict=True) if on} == set(order[:size])
+
+
+def test_permutations_by_sums_are_those_of_rows(spark, monkeypatch):
+    """Statistics from sums over samples, which are dealt over tasks, are those of a kernel with all samples of a module; no kernel gets those."""
+    rng = np.random.default_rng(22)
+    n = 900
+    label = np.arange(n) % 3 == 0
+    common = rng.normal(size=n)
+    a = np.where(label, common, 0) + rng.normal(size=(3, n)) + 4
+    b = np.vstack([rng.normal(size=(2, n)), np.where(label, 1.0, rng.normal(size=n))])  # its last gene is constant within a label
+    genes = ["a0", "a1", "a2", "b0", "b1", "b2", "c0"]
+    names = [f"s{k}" for k in range(n)]
+    values = _expr(spark, np.vstack([a, b, common]), genes, names).withColumn("module", F.substring("gene", 1, 1))
+    samples = spark.createDataFrame([*((s, int(v)) for s, v in zip(names, label, strict=True)), ("other", None)], "sample string, phenotype int")
+    tables = lambda: [f(values, samples, 20).orderBy("module", *x).toPandas() for f, x in ((inference.permutation_p, ()), (inference.permutation_null, ("draw",)))]
+    with monkeypatch.context() as m:
+        m.setattr(inference, "_draw_sums", lambda *a: None)
+        plain = tables()
+    monkeypatch.setattr(inference, "TASK_DIGESTS", 5000)
+    monkeypatch.setattr(inference, "BLOCK_SAMPLES", 70)
+    monkeypatch.setattr(inference, "_matrix", None)
+    for got, want in zip(tables(), plain, strict=True):
+        assert len(got) == len(want) > 2 and (got["module"] == want["module"]).all()
+        assert all(np.allclose(got[c], want[c], equal_nan=True) for c in want.columns[1:])
+    assert plain[0]["p"][0] == pytest.approx(1 / 21) and np.isnan(plain[0]["p"][2])
