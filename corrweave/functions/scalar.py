@@ -126,6 +126,17 @@ def fisher_combined(ps: Column) -> Column:
     return F.when(F.exists(ps, lambda p: p <= 0), 0.0).when(F.size(ps) == 0, None).otherwise(F.exp(-half) * terms)
 
 
+def fisher_tail(half: Column, n: Column) -> Column:
+    """Fisher's combined p from minus the sum of the logarithms of n p-values; null for none."""
+    terms = F.aggregate(
+        F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)).cast("int")),
+        F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")),
+        lambda a, k: F.struct((a["t"] * half / k).alias("t"), (a["s"] + F.when(k < n, a["t"] * half / k).otherwise(0.0)).alias("s")),
+        lambda a: a["s"],
+    )
+    return F.when(n == 0, None).otherwise(F.exp(-half) * terms)
+
+
 def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
     """((c + .5) / (d + .5)) / ((a + .5) / (b + .5))"""
     return ((c + 0.5) / (d + 0.5)) / ((a + 0.5) / (b + 0.5))

@@ -5,12 +5,14 @@ Members are (module, bootstrap, gene, role); edges are (graph, target, regulator
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corrweave.functions.dist import t_p_udf
-from corrweave.functions.scalar import adjust_p, average_rank, capped_log10, fisher_combined, odds_ratio, signif
+from corrweave.functions.scalar import adjust_p, average_rank, capped_log10, fisher_combined, fisher_tail, odds_ratio, signif
 from corrweave.operators.tests import fisher_p
 
 
@@ -96,11 +98,20 @@ def regulons(edges: DataFrame) -> DataFrame:
     return edges.groupBy("graph", F.col("regulator").alias("driver")).agg(F.array_sort(F.collect_set("target")).alias("targets"), F.countDistinct("target").alias("degree"))
 
 
+def set_regulons(sets: DataFrame, tasks: int | None = None) -> DataFrame:
+    """graph, driver, targets, degree as ``regulons``, from sets (graph, regulators, targets) of numbers: a regulator's sets are rows until they meet."""
+    each = sets.select("graph", F.explode("regulators").alias("driver"), "targets")
+    dealt = each.repartition(tasks, "graph", "driver") if tasks else each.repartition("graph", "driver")
+    found = dealt.where(F.size("targets") > 0).groupBy("graph", "driver").agg(F.array_distinct(F.flatten(F.collect_list("targets"))).alias("targets"))
+    return found.withColumn("degree", F.size("targets").cast("long"))
+
+
 def merge_regulons(tested: DataFrame) -> DataFrame:
     """driver, target, p, multiplicity from regulons (graph, driver, targets, p): BH over all, then Fisher's combination for each target."""
     adjusted = adjust_p(tested, "p", "BH", "q")
-    flat = adjusted.select("driver", F.explode("targets").alias("target"), "q")
-    return flat.groupBy("driver", "target").agg(fisher_combined(F.array_sort(F.collect_list("q"))).alias("p"), F.count("*").alias("multiplicity"))
+    flat = adjusted.select("driver", "targets", "q").repartition("driver").select("driver", F.explode("targets").alias("target"), "q")  # a driver's regulons meet before they are unfolded
+    sums = flat.groupBy("driver", "target").agg(F.sum(-F.ln("q")).alias("_h"), F.count("q").alias("_n"), F.count_if(F.col("q") <= 0).alias("_zero"), F.count("*").alias("multiplicity"))
+    return sums.select("driver", "target", F.when(F.col("_zero") > 0, 0.0).otherwise(fisher_tail(F.col("_h"), F.col("_n"))).alias("p"), "multiplicity")
 
 
 def filter_regulons(merged: DataFrame, threshold: float = 0.05) -> DataFrame:
@@ -134,6 +145,29 @@ def edge_support(edges: DataFrame) -> DataFrame:
     return each.groupBy("regulator", "target").agg(F.count("*").alias("support"), F.array_join(F.array_sort(F.collect_list("graph")), "|").alias("graphs"))
 
 
+def set_support(sets: DataFrame, graphs: int, tasks: int | None = None) -> DataFrame:
+    """regulator, target, support, and the graphs that have the edge as bits of 64 a column (w0, w1, ...), from sets (graph, regulators, targets) whose regulators all have edges to its targets; graph is a number below ``graphs``.
+
+    A regulator's sets meet as they are, and edges are unfolded there, into sums of fixed size: no edge of a graph is a
+    row of a shuffle.
+    """
+    words = range(-(-graphs // 64))
+    each = sets.select("graph", F.explode("regulators").alias("regulator"), "targets")
+    dealt = each.repartition(tasks, "regulator") if tasks else each.repartition("regulator")
+    flat = dealt.select("graph", "regulator", F.explode("targets").alias("target"))
+    bit = F.expr("shiftleft(1L, graph % 64)")
+    word = lambda w: F.bit_or(F.when(F.expr("graph div 64") == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}")
+    found = flat.groupBy("regulator", "target").agg(*map(word, words))
+    return found.select("regulator", "target", sum((F.bit_count(f"w{w}") for w in words), F.lit(0)).cast("long").alias("support"), *(f"w{w}" for w in words))
+
+
+def graph_names(names: list[str]) -> Column:
+    """The names of the graphs of ``set_support``, in order of their numbers, joined by |."""
+    has = lambda word: lambda _, k: F.col(word).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k)) != 0
+    parts = [F.filter(F.array(*map(F.lit, names[w : w + 64])), has(f"w{w // 64}")) for w in range(0, len(names), 64)]
+    return F.array_join(F.concat(*parts), "|")
+
+
 def evidence_join(support: DataFrame, evidence: DataFrame) -> DataFrame:
     """Support with peaks (-1 unknown), their class (-1 unknown, 0 none, 1 some) and the edge's key."""
     joined = support.join(evidence, ["regulator", "target"], "left").withColumn("peaks", F.coalesce("peaks", F.lit(-1)))
@@ -175,12 +209,24 @@ def cumulative_support(joined: DataFrame) -> DataFrame:
     return n.select("support", "edges", total("edges").alias("cum_edges"), share("_u").alias("percent_unknown"), share("_n").alias("percent_none"), share("_s").alias("percent_some"))
 
 
+def run_overview_of(counts: DataFrame, regulators: int, targets: int, bootstraps: int) -> DataFrame:
+    """``run_overview`` from the numbers of edges, graphs and unique edges (one row)."""
+    percent = lambda c, of: signif(100.0 * F.col(c) / F.lit(float(max(of, 1))), 3)
+    return counts.select("graphs", signif(F.col("edges") / F.greatest("graphs", F.lit(1)), 3).alias("mean_edges"), "edges", percent("edges", regulators * targets * bootstraps).alias("percent_possible"), "unique_edges", percent("unique_edges", regulators * targets).alias("percent_unique"))
+
+
+def support_counts(support: DataFrame) -> DataFrame:
+    """edges, graphs and unique_edges of ``set_support``."""
+    words = [c for c in support.columns if re.fullmatch(r"w\d+", c)]
+    found = support.agg(F.coalesce(F.sum("support"), F.lit(0)).alias("edges"), F.count("*").alias("unique_edges"), *(F.coalesce(F.bit_or(w), F.lit(0)).cast("long").alias(w) for w in words))
+    return found.select("edges", "unique_edges", sum((F.bit_count(w) for w in words), F.lit(0)).cast("long").alias("graphs"))
+
+
 def run_overview(edges: DataFrame, regulators: int, targets: int, bootstraps: int) -> DataFrame:
     """graphs, average edges of one, all edges and their percentage of regulators x targets x bootstraps, unique edges and theirs of regulators x targets (percentages and the average to 3 significant digits)."""
     each = edges.select("graph", "regulator", "target").distinct()
     counts = each.agg(F.count("*").alias("edges"), F.countDistinct("graph").alias("graphs")).crossJoin(F.broadcast(each.select("regulator", "target").distinct().agg(F.count("*").alias("unique_edges"))))  # one row each
-    percent = lambda c, of: signif(100.0 * F.col(c) / F.lit(float(max(of, 1))), 3)
-    return counts.select("graphs", signif(F.col("edges") / F.greatest("graphs", F.lit(1)), 3).alias("mean_edges"), "edges", percent("edges", regulators * targets * bootstraps).alias("percent_possible"), "unique_edges", percent("unique_edges", regulators * targets).alias("percent_unique"))
+    return run_overview_of(counts, regulators, targets, bootstraps)
 
 
 def evidence_overview(evidence: DataFrame) -> DataFrame:

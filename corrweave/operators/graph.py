@@ -52,10 +52,11 @@ def ols_edges(fits: DataFrame, fdr: float = 0.05) -> DataFrame:
     return tested.crossJoin(F.broadcast(size)).where(F.col("p") < fdr / F.col("m")).select("regulator", "target", F.col("slope").alias("weight"), "p")  # one row
 
 
-def vertex_degree(edges: DataFrame) -> DataFrame:
-    """vertex, is_regulator, degree."""
-    r = edges.groupBy(F.col("regulator").alias("vertex")).agg(F.count("*").alias("degree")).withColumn("is_regulator", F.lit(True))
-    t = edges.groupBy(F.col("target").alias("vertex")).agg(F.count("*").alias("degree")).withColumn("is_regulator", F.lit(False))
+def vertex_degree(edges: DataFrame, times: str | None = None) -> DataFrame:
+    """vertex, is_regulator, degree; ``times`` is the column that says for how many edges a row stands."""
+    n = F.count("*") if times is None else F.sum(times)
+    r = edges.groupBy(F.col("regulator").alias("vertex")).agg(n.alias("degree")).withColumn("is_regulator", F.lit(True))
+    t = edges.groupBy(F.col("target").alias("vertex")).agg(n.alias("degree")).withColumn("is_regulator", F.lit(False))
     return r.unionByName(t).select("vertex", "is_regulator", "degree")
 
 

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corrweave.plans.shared import plan_bytes
+
 
 @dataclass(frozen=True)
 class ExprSet:
@@ -78,12 +80,61 @@ def module_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return module_parts(spark, sf_dir).select("module", "bootstrap", "gene", "role").distinct()
 
 
+@dataclass(frozen=True)
+class CodedSets:
+    """Sets of genes of graphs as numbers: rows (graph, regulators, targets), graph a place in ``graphs``, which is sorted, and genes numbers that ``gene_of`` names; ``tasks`` is how many to deal them over. Each set's regulators have edges to its targets."""
+
+    rows: DataFrame
+    graphs: list[str]
+    tasks: int
+
+
+#: Bytes of ``lineitem`` for each partition of the sets, and names of modules that are coded by number.
+SET_BYTES, MAX_GRAPHS = 4_000_000, 2_000
+
+
+def gene_code(key):
+    """A supplier's name as a number: its first five characters."""
+    text = key.cast("string")
+    return F.when(F.length(text) <= 5, key.cast("int")).otherwise(F.substring(text, 1, 5).cast("int"))
+
+
+def gene_of(code):
+    """The name of a number of ``gene_code``."""
+    return _name("sup", code, 5)
+
+
+def coded_parts(spark: SparkSession, sf_dir: str) -> CodedSets | None:
+    """The parts' suppliers by module, as ``module_parts`` has them; None for more modules than ``MAX_GRAPHS``.
+
+    A part is one row: its suppliers are collected where its lines meet, and named when all is added up.
+    """
+    line = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
+    module = F.concat_ws(":", F.col("p_brand"), F.pmod("p_size", F.lit(10)).cast("string"))
+    part = table(spark, sf_dir, "part").select("p_partkey", module.alias("module"))
+    names = sorted(r["module"] for r in part.select("module").distinct().limit(MAX_GRAPHS + 1).collect())
+    if not names or len(names) > MAX_GRAPHS:
+        return None
+    place = F.broadcast(spark.createDataFrame([(n, k) for k, n in enumerate(names)], "module string, graph int"))  # its size is checked above
+    tasks = max(8, -(-plan_bytes(table(spark, sf_dir, "lineitem")) // SET_BYTES))
+    sets = line.where("l_partkey is not null and l_suppkey is not null").repartition(tasks, "l_partkey").groupBy("l_partkey").agg(F.collect_set("l_suppkey").alias("keys"))
+    coded = sets.join(part.join(place, "module").select("p_partkey", "graph"), F.col("l_partkey") == F.col("p_partkey"))
+    pick = lambda regulator: F.transform(F.filter("keys", lambda k: (F.pmod(k, F.lit(10)) == 0) == F.lit(regulator)), gene_code)
+    return CodedSets(coded.select("graph", pick(True).alias("regulators"), pick(False).alias("targets")), names, tasks)
+
+
 def module_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """graph (a module), target, regulator, weight: an edge where both supply a part of the module, a sixteenth for each such part."""
-    parts = module_parts(spark, sf_dir)
-    r = parts.where("role = 'regulator'").select(F.col("module").alias("graph"), "part", F.col("gene").alias("regulator"))
-    t = parts.where("role = 'target'").select("part", F.col("gene").alias("target"))
-    return r.join(t, "part").groupBy("graph", "target", "regulator").agg((F.count("*") / 16.0).alias("weight"))
+    sets = coded_parts(spark, sf_dir)
+    if sets is None:
+        parts = module_parts(spark, sf_dir)
+        r = parts.where("role = 'regulator'").select(F.col("module").alias("graph"), "part", F.col("gene").alias("regulator"))
+        t = parts.where("role = 'target'").select("part", F.col("gene").alias("target"))
+        return r.join(t, "part").groupBy("graph", "target", "regulator").agg((F.count("*") / 16.0).alias("weight"))
+    dealt = sets.rows.select("graph", F.explode("regulators").alias("regulator"), "targets").repartition(sets.tasks, "graph", "regulator")
+    counted = dealt.select("graph", "regulator", F.explode("targets").alias("target")).groupBy("graph", "regulator", "target").agg((F.count("*") / 16.0).alias("weight"))
+    names = F.array(*map(F.lit, sets.graphs))
+    return counted.select(F.get(names, F.col("graph")).alias("graph"), gene_of(F.col("target")).alias("target"), gene_of(F.col("regulator")).alias("regulator"), "weight")
 
 
 def rewired_modules(members: DataFrame) -> DataFrame:

@@ -546,3 +546,34 @@ def test_permutations_by_sums_are_those_of_rows(spark, monkeypatch):
         assert len(got) == len(want) > 2 and (got["module"] == want["module"]).all()
         assert all(np.allclose(got[c], want[c], equal_nan=True) for c in want.columns[1:])
     assert plain[0]["p"][0] == pytest.approx(1 / 21) and np.isnan(plain[0]["p"][2])
+
+
+def test_sets_of_genes_are_their_edges(spark, sf_small):
+    """Support, its graphs, regulons and counts from sets are those of the edges that the sets stand for, and no edge of a graph is a row of a shuffle."""
+    from corrweave import catalogue
+
+    rng = np.random.default_rng(23)
+    rows = [(int(g), rng.choice(9, 2, False).tolist(), (10 + rng.choice(9, 3, False)).tolist()) for g in rng.integers(0, 150, 300)] + [(149, [1], []), (3, [], [10])]
+    sets = spark.createDataFrame(rows, "graph int, regulators array<int>, targets array<int>")
+    names = [f"m{k:03d}" for k in range(150)]
+    edges = spark.createDataFrame(sorted({(names[g], t, r) for g, rs, ts in rows for r in rs for t in ts}), "graph string, target int, regulator int").withColumn("weight", F.lit(1.0))
+    support = evidence.set_support(sets, 150, 3)
+    got = support.select("regulator", "target", "support", evidence.graph_names(names).alias("graphs"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, evidence.edge_support(edges).collect()))
+    own = {(names[r["graph"]], r["driver"], tuple(sorted(r["targets"])), r["degree"]) for r in evidence.set_regulons(sets, 3).collect()}
+    assert own == {(r["graph"], r["driver"], tuple(r["targets"]), r["degree"]) for r in evidence.regulons(edges).collect()}
+    assert tuple(evidence.run_overview_of(evidence.support_counts(support), 9, 9, 10).first()) == tuple(evidence.run_overview(edges, 9, 9, 10).first())
+    assert sorted(map(tuple, graph.vertex_degree(support, "support").collect())) == sorted(map(tuple, graph.vertex_degree(edges).collect()))
+    for name in ("edge_support", "vertex_degree", "run_overview"):
+        plan = catalogue.QUERIES[name](spark, sf_small)._jdf.queryExecution().executedPlan().toString().split("Generate explode(targets")
+        below = plan[-1]
+        assert len(plan) > 1 and "Exchange" in below and "HashAggregate" in plan[-2].rsplit("Exchange", 1)[-1], name
+
+
+def test_regulons_merge_by_sums(spark):
+    """Fisher's combination by sums is that of the sorted list; a p of 0 gives 0."""
+    rows = [("a", "d1", ["x", "y"], 0.2), ("b", "d1", ["x"], 0.05), ("c", "d1", ["x"], 0.9), ("a", "d2", ["z"], 0.0)]
+    got = {(r["driver"], r["target"]): (r["p"], r["multiplicity"]) for r in evidence.merge_regulons(spark.createDataFrame(rows, "graph string, driver string, targets array<string>, p double")).collect()}
+    qs = [0.0, 0.1, 0.2 * 4 / 3, 0.9]
+    want = spark.createDataFrame([(qs[1:],)], "q array<double>").select(fisher_combined(F.col("q"))).first()[0]
+    assert got["d1", "x"] == (pytest.approx(want), 3) and got["d2", "z"] == (0.0, 1) and got["d1", "y"] == (pytest.approx(qs[2]), 1)
