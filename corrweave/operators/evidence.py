@@ -6,23 +6,36 @@ Members are (module, bootstrap, gene, role); edges are (graph, target, regulator
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from corrweave.functions.dist import t_p_udf
 from corrweave.functions.scalar import adjust_p, average_rank, capped_log10, fisher_combined, fisher_tail, odds_ratio, signif
 from corrweave.operators.tests import fisher_p
+from corrweave.plans.shared import materialize
+
+
+#: Modules whose pairs a task counts in one matrix.
+MAX_MODULES = 2_000
 
 
 def module_overlaps(members: DataFrame, universe: int, disjoint: bool = False) -> DataFrame:
     """m1 <= m2, the cells of their 2 x 2 table over ``universe`` genes, and the one-sided p of their overlap.
 
-    Pairs come from the genes that modules share; ``disjoint`` adds the pairs that share none, whose p is 1, by a join of
-    all modules: for a table that shows every pair.
+    Up to ``MAX_MODULES`` modules are bits of their genes, and pairs are counted by products of those. More meet through
+    the genes that they share. ``disjoint`` adds the pairs that share none, whose p is 1: for a table that shows every pair.
     """
     sets = members.select("module", "gene").distinct()
+    names = sorted(r["module"] for r in sets.where("module is not null").select("module").distinct().limit(MAX_MODULES + 1).collect())
+    if names and len(names) <= MAX_MODULES:
+        place = sets.sparkSession.createDataFrame([(n, k) for k, n in enumerate(names)], StructType([sets.schema["module"], StructField("graph", IntegerType())]))
+        return overlaps_of_bits(materialize(gene_bits(sets.join(F.broadcast(place), "module"), len(names)), "bits"), names, universe, disjoint)  # its size is checked above
     count = sets.groupBy("module").agg(F.count("*").alias("size"))
     both = sets.select(F.col("module").alias("m1"), "gene").join(sets.select(F.col("module").alias("m2"), "gene"), "gene").where("m1 <= m2").groupBy("m1", "m2").agg(F.count("*").alias("a"))
     s1, s2 = count.select(F.col("module").alias("m1"), F.col("size").alias("s1")), count.select(F.col("module").alias("m2"), F.col("size").alias("s2"))
@@ -30,10 +43,50 @@ def module_overlaps(members: DataFrame, universe: int, disjoint: bool = False) -
         sized = s1.join(s2, F.col("m1") <= F.col("m2")).join(both, ["m1", "m2"], "left").withColumn("a", F.coalesce("a", F.lit(0)))
     else:
         sized = both.join(s1, "m1").join(s2, "m2")
+    return _tested(sized, universe)
+
+
+def _tested(sized: DataFrame, universe: int) -> DataFrame:
     cells = sized.select("m1", "m2", "a", (F.col("s1") - F.col("a")).alias("b"), (F.col("s2") - F.col("a")).alias("c"), (F.lit(universe) - F.col("s1") - F.col("s2") + F.col("a")).alias("d"))
     return fisher_p(cells, "a", "b", "c", "d", "greater", "p")
 
 
+def _bits(graphs: int) -> list[Column]:
+    """Columns w0, w1, ...: the numbers in column ``graph`` as bits, 64 a column, for an aggregate."""
+    bit = F.expr("shiftleft(1L, graph % 64)")
+    return [F.bit_or(F.when(F.expr("graph div 64") == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(-(-graphs // 64))]
+
+
+def gene_bits(members: DataFrame, graphs: int) -> DataFrame:
+    """gene, w0, w1, ...: the modules (graph, a number below ``graphs``) of each gene."""
+    return members.groupBy("gene").agg(*_bits(graphs))
+
+
+def overlaps_of_bits(bits: DataFrame, names: list, universe: int, disjoint: bool = False) -> DataFrame:
+    """``module_overlaps`` from ``gene_bits``, whose numbers are places in ``names``, which is sorted. A task adds up one square of modules, whatever its genes."""
+    m = len(names)
+    words = [f"w{w}" for w in range(-(-m // 64))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((m, m))
+        for batch in batches:
+            packed = np.stack([np.asarray(c, np.int64) for c in batch.columns], 1).astype("<i8")
+            for start in range(0, len(packed), 4096):
+                on = np.unpackbits(packed[start : start + 4096].copy().view(np.uint8), axis=1, bitorder="little")[:, :m].astype(np.float32)
+                total += on.T @ on
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(m), pa.int32()), pa.array(list(total.astype(np.int64)), pa.list_(pa.int64()))], ["i", "row"])
+
+    parts = bits.where("gene is not null").select(*words).mapInArrow(run, "i int, row array<bigint>").select("i", F.posexplode("row").alias("j", "a")).where("i <= j")
+    shared = materialize(parts.groupBy("i", "j").agg(F.sum("a").alias("a")), "shared")
+    size = shared.where("i = j")
+    s1, s2 = size.select("i", F.col("a").alias("s1")), size.select("j", F.col("a").alias("s2"))
+    kind = bits.sparkSession.createDataFrame([(n, k) for k, n in enumerate(names)], ["m", "k"]) if not isinstance(names[0], str) else bits.sparkSession.createDataFrame([(n, k) for k, n in enumerate(names)], "m string, k int")
+    named = shared.join(F.broadcast(s1.where("s1 > 0")), "i").join(F.broadcast(s2.where("s2 > 0")), "j")  # one row a module, as below
+    for at, name in (("i", "m1"), ("j", "m2")):
+        named = named.join(F.broadcast(kind.select(F.col("k").alias(at), F.col("m").alias(name))), at)
+    return _tested(named if disjoint else named.where("a > 0"), universe)
+
+
 def similarity(overlaps: DataFrame) -> DataFrame:
     """m1, m2, score: -log10 p to three significant digits, at most 300."""
     return overlaps.select("m1", "m2", F.least(signif(capped_log10(F.col("p")), 3), F.lit(300.0)).alias("score"))
@@ -151,14 +204,12 @@ def set_support(sets: DataFrame, graphs: int, tasks: int | None = None) -> DataF
     A regulator's sets meet as they are, and edges are unfolded there, into sums of fixed size: no edge of a graph is a
     row of a shuffle.
     """
-    words = range(-(-graphs // 64))
     each = sets.select("graph", F.explode("regulators").alias("regulator"), "targets")
     dealt = each.repartition(tasks, "regulator") if tasks else each.repartition("regulator")
     flat = dealt.select("graph", "regulator", F.explode("targets").alias("target"))
-    bit = F.expr("shiftleft(1L, graph % 64)")
-    word = lambda w: F.bit_or(F.when(F.expr("graph div 64") == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}")
-    found = flat.groupBy("regulator", "target").agg(*map(word, words))
-    return found.select("regulator", "target", sum((F.bit_count(f"w{w}") for w in words), F.lit(0)).cast("long").alias("support"), *(f"w{w}" for w in words))
+    found = flat.groupBy("regulator", "target").agg(*_bits(graphs))
+    words = found.columns[2:]
+    return found.select("regulator", "target", sum((F.bit_count(w) for w in words), F.lit(0)).cast("long").alias("support"), *words)
 
 
 def graph_names(names: list[str]) -> Column:

@@ -87,7 +87,9 @@ def fisher_p(df: DataFrame, a: str, b: str, c: str, d: str, tail: str, name: str
     """One-sided p of a 2 x 2 table by the hypergeometric tail; a table with an empty margin has p = 1. No table is too large: factorials are expressions.
 
     Terms are added from the table's own outwards, away from the mode, each by its ratio to the one before: those of the
-    tail, or of the other tail where the table lies on the near side of the mode.
+    tail, or of the other tail where the table lies on the near side of the mode. Ratios fall from 1 or less, the k-th by
+    exp(-k r) at least, r the sum of inverses of the counts that shrink; so beyond sqrt(120 / r) + 2 terms each one is
+    below e^-60 of the first, and none of them can change a double. Terms grow with the root of the table.
     """
     if tail not in ("greater", "less"):
         raise ValueError(f"unknown tail {tail!r}")
@@ -99,16 +101,20 @@ def fisher_p(df: DataFrame, a: str, b: str, c: str, d: str, tail: str, name: str
     out = out.withColumn("_low", F.greatest(F.lit(0), row + col - n)).withColumn("_high", F.least(row, col)).withColumn("_fixed", lf(row) + lf(n - row) + lf(col) + lf(n - col) - lf(n))
     low, high = F.col("_low"), F.col("_high")
 
+    def reach(one: Column, other: Column) -> Column:
+        """Terms that count, where two counts shrink with each."""
+        return (F.sqrt(120.0 / (1.0 / F.greatest(one, F.lit(1)) + 1.0 / F.greatest(other, F.lit(1)))) + 2).cast("long")
+
     def outwards(start: Column, up: bool) -> Column:
         """Sum of the terms from ``start`` to the end of its side; 0 beyond the end."""
         first = F.exp(F.col("_fixed") - lf(start) - lf(row - start) - lf(col - start) - lf(n - row - col + start))
         if up:
             inside, more = start <= high, start < high
-            steps = F.when(more, F.sequence(start, high - 1, F.lit(1).cast("long")))
+            steps = F.when(more, F.sequence(start, F.least(high - 1, start + reach(row - start, col - start)), F.lit(1).cast("long")))
             ratio = lambda x: (row - x).cast("double") * (col - x) / ((x + 1).cast("double") * (n - row - col + x + 1))
         else:
             inside, more = start >= low, start > low
-            steps = F.when(more, F.sequence(start, low + 1, F.lit(-1).cast("long")))
+            steps = F.when(more, F.sequence(start, F.greatest(low + 1, start - reach(start, n - row - col + start)), F.lit(-1).cast("long")))
             ratio = lambda x: x.cast("double") * (n - row - col + x) / ((row - x + 1).cast("double") * (col - x + 1))
         relative = F.aggregate(
             F.coalesce(steps, F.array().cast("array<bigint>")),

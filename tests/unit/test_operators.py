@@ -577,3 +577,37 @@ def test_regulons_merge_by_sums(spark):
     qs = [0.0, 0.1, 0.2 * 4 / 3, 0.9]
     want = spark.createDataFrame([(qs[1:],)], "q array<double>").select(fisher_combined(F.col("q"))).first()[0]
     assert got["d1", "x"] == (pytest.approx(want), 3) and got["d2", "z"] == (0.0, 1) and got["d1", "y"] == (pytest.approx(qs[2]), 1)
+
+
+def test_overlaps_of_bits_are_those_of_joins(spark, monkeypatch):
+    """Pairs of modules counted by products of bits are those that meet through shared genes."""
+    rng = np.random.default_rng(24)
+    rows = sorted({(f"m{a:02d}", f"g{b}") for a, b in zip(rng.integers(0, 70, 400), rng.integers(0, 60, 400), strict=True)})
+    members = spark.createDataFrame(rows, "module string, gene string")
+    for disjoint in (False, True):
+        got = evidence.module_overlaps(members, 60, disjoint)
+        assert "gene" not in got._jdf.queryExecution().optimizedPlan().toString()
+        with monkeypatch.context() as m:
+            m.setattr(evidence, "MAX_MODULES", 5)
+            want = evidence.module_overlaps(members, 60, disjoint)
+        columns = ["m1", "m2", "a", "b", "c", "d", "p"]
+        assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    assert evidence.module_overlaps(spark.createDataFrame([(1, "x"), (2, "x")], "module int, gene string"), 3).count() == 3
+
+
+def test_fisher_tails_of_large_tables(spark):
+    """A tail takes as many terms as count, not as many as the table has."""
+    import math
+
+    def tail(a, b, c, d):
+        row, col, n = a + b, a + c, a + b + c + d
+        ln = lambda x: math.lgamma(x + 1)
+        return sum(math.exp(ln(row) + ln(n - row) + ln(col) + ln(n - col) - ln(n) - ln(x) - ln(row - x) - ln(col - x) - ln(n - row - col + x)) for x in range(a, min(row, col) + 1))
+
+    cells = [(4100, 900, 900, 300), (3760, 1240, 1240, 400), (3700, 1300, 1300, 300), (30, 9000, 8, 9000)]
+    df = spark.createDataFrame([*cells, (1_000_000_000,) * 4], "a long, b long, c long, d long")
+    up = [r["p"] for r in tests.fisher_p(df, "a", "b", "c", "d", "greater", "p").collect()]
+    down = [r["p"] for r in tests.fisher_p(df, "a", "b", "c", "d", "less", "p").collect()]
+    assert up[:4] == pytest.approx([tail(*c) for c in cells], rel=1e-7, abs=1e-12)
+    assert down[:4] == pytest.approx([tail(b, a, d, c) for a, b, c, d in cells], rel=1e-7, abs=1e-12)
+    assert up[4] == pytest.approx(0.5, abs=1e-3) and down[4] == pytest.approx(0.5, abs=1e-3)
